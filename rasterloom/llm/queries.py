@@ -5,6 +5,10 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op4_quality_rules": "quality_rules",
+    "op7_language_id": "language_id",
+    "op8_sharding": "sharding",
+    "op9_decontamination": "decontamination",
     "op1_token_counts": "token_counts",
     "op10_bpe_codec": "bpe_codec",
 }
