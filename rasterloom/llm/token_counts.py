@@ -15,11 +15,15 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rasterloom.llm.common import map_texts, table
+from rasterloom.llm.common import bounded_batches, table
 from rasterloom.llm.merge_table import MergeTable
 
 SPACE = "▁"
@@ -74,7 +78,10 @@ class PrefixCounter:
                 if left is not None and right is not None and table.replay(left, right):
                     self.token[piece] = table.add(left, right, rank)
                     break
-        self.longest = max(map(len, self.token))
+        ends: dict[str, set[int]] = {}
+        for piece in self.token:
+            ends.setdefault(piece[-2:], {1}).add(len(piece))
+        self.sizes = {tail: tuple(sorted(n)) for tail, n in ends.items()}  # of the pieces that end so
         self.newline_alone = "\n" not in self.token
         self.after_space = _Kept(self._word, SPACE)
         self.at_start = _Kept(self._word, "")
@@ -86,9 +93,12 @@ class PrefixCounter:
         n = len(chunk)
         last, count = array("i", [-2]) * (n + 1), array("q", [0]) * (n + 1)
         last[0] = -1
-        token, longest, known, compatible = self.token.get, self.longest, self.table.known.get, self.table.compatible
+        token, sizes, known, compatible = self.token.get, self.sizes.get, self.table.known.get, self.table.compatible
         for end in range(1, n + 1):
-            for start in range(end - 1, max(-1, end - longest - 1), -1):
+            for size in sizes(chunk[end - 2 : end], (1,)) if end > 1 else (1,):
+                start = end - size
+                if start < 0:
+                    continue
                 t = token(chunk[start:end])
                 if t is not None:
                     before = last[start]
@@ -165,35 +175,68 @@ class PrefixCounter:
                 total += sum(map(after.__getitem__, words))
         return total
 
+    def _chunk_prefixes(self, chunk: str) -> array:
+        """The counts of the prefixes of any chunk, the empty one first."""
+        k = len(chunk) - len(chunk.lstrip(SPACE))
+        lead = max(0, k - 1)
+        own = array("q", (self._run(j) for j in range(lead + 1)))
+        last, inner = self._prefixes(chunk[lead:])
+        lengths, alone = self._lengths(), array("b", [0]) * len(inner)
+        for j in range(1, len(inner)):
+            at = j - (1 if last[j] < 0 else lengths[last[j]])
+            alone[j] = j == 1 or at > 0 and alone[at]  # the first token is the space alone
+            own.append(inner[j] - 1 + self._run(k) if lead and alone[j] else inner[j] + self._run(lead))
+        return own
+
     def prefix_counts(self, text: str) -> array:
         """counts[i] is the number of tokens of text[:i], exact for every i."""
         counts = array("q", [0])
-        done = 0
         for m in _CHUNK.finditer(SPACE + text.replace(" ", SPACE)):
-            chunk = m.group()
-            k = len(chunk) - len(chunk.lstrip(SPACE))
-            lead = max(0, k - 1)
-            own = array("q", (done + self._run(j) for j in range(1, lead + 1)))
-            last, inner = self._prefixes(chunk[lead:])
-            lengths, alone = self._lengths(), array("b", [0]) * len(inner)
-            for j in range(1, len(inner)):
-                at = j - (1 if last[j] < 0 else lengths[last[j]])
-                alone[j] = j == 1 or at > 0 and alone[at]  # the first token is the space alone
-                if lead and alone[j]:
-                    own.append(done + inner[j] - 1 + self._run(k))
-                else:
-                    own.append(done + inner[j] + self._run(lead))
-            counts.extend(own)
             done = counts[-1]
-        counts.pop(0)
-        if counts:
-            counts[0] = 0  # the space that the library puts before a text is no prefix of it
-        return counts or array("q", [0])
+            counts.extend(done + n for n in self._chunk_prefixes(m.group())[1:])
+        counts.pop(0)  # the space that the library puts before a text is no prefix of it
+        counts[0] = 0
+        return counts
 
     def fit(self, text: str, budget: int) -> int:
-        """The largest number of characters whose prefix takes budget tokens at most."""
-        counts = self.prefix_counts(text)
-        return max(i for i, n in enumerate(counts) if n <= budget)
+        """The largest number of characters whose prefix takes budget tokens at most. Whole chunks are passed
+        by their kept counts; only the chunk that the budget ends in is looked at prefix by prefix."""
+        done = at = 0  # tokens and characters (with the space before the text) of the chunks so far
+        for m in _CHUNK.finditer(SPACE + text.replace(" ", SPACE)):
+            n = self._chunk(m.group())
+            if done + n > budget:
+                inner = self._chunk_prefixes(m.group())
+                at += max(i for i, k in enumerate(inner) if done + k <= budget)
+                break
+            done, at = done + n, m.end()
+        return max(0, at - 1)
+
+    def word(self, word: str) -> int:
+        """Count of a word as batch_counts() splits them: after a space, or with the line break before it."""
+        return 1 + self.at_start[word[1:]] if word[:1] == "\n" else self.after_space[word]
+
+    def batch_counts(self, texts) -> list[int]:
+        """Counts of an Arrow array of texts without nulls. Words are split and told apart in Arrow, so that each
+        distinct word of the batch is looked up once."""
+        import numpy as np
+
+        if not self.newline_alone or not len(texts):
+            return [self.count(t) for t in texts.to_pylist()]
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        flat, ends = lists.flatten(), np.asarray(lists.offsets)
+        ends = ends - ends[0]
+        coded = flat.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.word, words), np.int64, len(words))
+        odd = np.fromiter((not w or SPACE in w for w in words), bool, len(words))  # runs of spaces
+        at = np.asarray(coded.indices)
+        total = np.concatenate(([0], np.cumsum(known[at])))
+        odds = np.concatenate(([0], np.cumsum(odd[at])))
+        counts = total[ends[1:]] - total[ends[:-1]]
+        again = np.flatnonzero(odds[ends[1:]] > odds[ends[:-1]])
+        for i in again:
+            counts[i] = self.count(texts[int(i)].as_py())
+        return counts.tolist()
 
 
 @lru_cache(maxsize=2)
@@ -210,14 +253,24 @@ def default_model() -> str:
 def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = TOKEN_LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit and fit_chars (characters of the longest prefix of limit tokens
     at most, read off the prefix counts) for each row of docs."""
-
-    def row(_, text):
-        c = counter(model_path or default_model())
-        text = text or ""
-        n = c.count(text)
-        return len(text.encode()), n, n > limit, len(text) if n <= limit else c.fit(text, limit)
-
-    return map_texts(docs, row, "n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    bounded_batches(docs.sparkSession)
+    path = model_path or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for b in batches:
+            texts = pc.fill_null(b.column(1), "")
+            counts = c.batch_counts(texts)
+            fits = pc.utf8_length(texts).to_pylist()
+            for i, n in enumerate(counts):
+                if n > limit:
+                    fits[i] = c.fit(texts[i].as_py(), limit)
+            columns = [pc.binary_length(texts).cast("int64"), pa.array(counts, pa.int64()), pa.array([n > limit for n in counts]), pa.array(fits, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
