@@ -1,0 +1,29 @@
+"""Connected components of a table of links, by label passing with pointer jumps, on tables only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from rasterloom.llm.common import written
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label for every node of edges (a, b): label is the smallest node that links reach.
+
+    Each round takes the smallest label of the neighbours (pre-aggregated before its shuffle) and then the
+    label of that label, so that a chain of n links takes about log n rounds. Rounds are written to the shared
+    folder, so that a lost executor costs one round at most; nothing but a count comes to the driver."""
+    spark = edges.sparkSession
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
+    both = written(spark, both.distinct(), "links")
+    labels = written(spark, both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    while True:
+        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("label").alias("near"))
+        lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        step = lower.join(jump, lower.label == jump.at, "left").select("node", "old", F.least("label", "far").alias("label"))
+        step = written(spark, step, "labels")
+        labels = step.select("node", "label")
+        if not step.filter("label < old").head(1):
+            return labels

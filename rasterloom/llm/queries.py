@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = {
+    "op2_suffix_dedup": "suffix_dedup",
+    "op6_jaccard_join": "jaccard_join",
     "op3_chat_format": "chat_format",
     "op5_url_filter": "url_filter",
     "op4_quality_rules": "quality_rules",
