@@ -225,3 +225,14 @@ def round_trips(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(table(spark, sf_dir, "documents"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of ids and decoding."""
+
+    def row(_, text):
+        c = codec(default_vocabulary())
+        ids = c.encode(text)
+        return len(ids) // 4, ids, sha256_hex(ids), sha256_hex(c.decode(ids).encode())
+
+    return map_texts(docs, row, "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
