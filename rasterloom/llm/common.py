@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.sources import shared
+
 #: Rows and bytes of one Arrow batch; a batch of long texts must still fit a Python worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
@@ -31,21 +32,9 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where the cluster names it,
-    else one of our own (tests, single machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "/tmp/checkpoints/rasterloom"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
 def written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return shared.written(df, what)
 
 
 def map_texts(

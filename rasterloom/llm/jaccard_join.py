@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import bounded_batches, table, written
-from rasterloom.llm.components import components
+from rasterloom.operators.components import components
 
 WORDS = 5
 #: Columns of so many documents give pairs directly; wider ones are block products.
