@@ -95,3 +95,18 @@ def border_distance(points: DataFrame, polygons: list[Polygon], x: Column, y: Co
     t = F.greatest(F.least(((F.col("_x") - F.col("x1")) * dx + (F.col("_y") - F.col("y1")) * dy) / (dx * dx + dy * dy), F.lit(1.0)), F.lit(0.0))
     ex, ey = F.col("_x") - (F.col("x1") + t * dx), F.col("_y") - (F.col("y1") + t * dy)
     return p.groupBy(*points.columns).agg(F.min(F.sqrt(ex * ex + ey * ey)).alias("distance"))
+
+
+def resized(patch: DataFrame, column: str, shape: tuple[int, int], size: int, most_invalid: float = 0.4) -> DataFrame:
+    """A patch (r, c from 0) stretched to size x size, corners on corners; gaps count as the patch's mean and
+    as invalid, NULL where their weight is over most_invalid."""
+    h, w = shape
+    spark = patch.sparkSession
+    mean = F.broadcast(patch.agg(F.avg(column).alias("_m")))
+    side = spark.range(size)
+    p = side.select(F.col("id").cast("int").alias("r")).crossJoin(side.select(F.col("id").cast("int").alias("c")))
+    fr, fc = F.col("r") * (h - 1) / float(size - 1), F.col("c") * (w - 1) / float(size - 1)
+    filled = patch.crossJoin(mean).select("r", "c", F.coalesce(column, "_m").alias(column), F.col(column).isNull().cast("double").alias("_gap"))
+    value = sampled(p, filled, column, fr, fc, h, w)
+    gap = sampled(p, filled, "_gap", fr, fc, h, w)
+    return value.join(gap, ["r", "c"]).select("r", "c", F.when(F.col("_gap") <= most_invalid, F.col(column)).alias(column))
