@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, table, written
+from rasterloom.llm.common import bounded_batches, plain_names, table, written
 from rasterloom.operators.components import components
 
 WORDS = 5
@@ -104,7 +104,8 @@ def hints(docs: DataFrame) -> np.ndarray:
 
 
 def rows_of(docs: DataFrame) -> DataFrame:
-    """doc_id, rep (smallest doc_id with this set), n, and for the representative's row prefix and parity."""
+    """doc_id, mark (of the set) and n of every row; prefix and parity too where no row of the same set in the
+    Arrow batch has a smaller doc_id."""
     spark = docs.sparkSession
     last = spark.sparkContext.broadcast(hints(docs))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -134,14 +135,19 @@ def rows_of(docs: DataFrame) -> DataFrame:
                 ["doc_id", "mark", "n", "prefix", "parity"],
             )
 
-    out = docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, mark binary, n long, prefix binary, parity binary")
-    w = Window.partitionBy("mark").orderBy(F.col("prefix").isNull(), F.col("doc_id").asc_nulls_last())
-    stands = F.row_number().over(w) == 1
-    smallest = F.first("doc_id").over(w)
-    return out.select(
-        "doc_id", F.when(F.col("n") > 0, smallest).otherwise(F.col("doc_id")).alias("rep"), "n",
-        F.when(stands, F.col("prefix")).alias("prefix"), F.when(stands, F.col("parity")).alias("parity"),
-    )
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, mark binary, n long, prefix binary, parity binary")
+
+
+def copies_of(rows: DataFrame) -> DataFrame:
+    """mark, rep: the smallest doc_id of each set. Copies are pre-aggregated before the shuffle."""
+    return rows.filter("n > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"))
+
+
+def representatives(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """rep, n, prefix, parity: one row per distinct set."""
+    held = rows.filter(F.col("prefix").isNotNull())
+    chosen = held.join(copies, (held.mark == copies.mark) & (held.doc_id == copies.rep)).select(held.mark, "rep", "n", "prefix", "parity")
+    return chosen.dropDuplicates(["mark", "rep"]).drop("mark")
 
 
 def postings(reps: DataFrame) -> DataFrame:
@@ -281,21 +287,25 @@ def classes(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     rows = written(spark, rows_of(docs), "rows")
-    reps = rows.filter(F.col("prefix").isNotNull())
+    copies = copies_of(rows)
+    reps = written(spark, representatives(rows, copies), "reps")
     columns = written(spark, postings(reps), "columns")
     pairs = written(spark, candidate_pairs(columns, reps), "pairs")
     wanted = pairs.select(F.col("x").alias("rep")).union(pairs.select("y")).union(columns.filter(F.col("wide") > MOST).select("rep"))
     sets = written(spark, sets_of(docs, wanted), "sets")
     links = written(spark, pair_links(pairs, sets).union(block_links(columns, sets)), "found")
     labels = components(links)
-    out = rows.select("doc_id", "rep", "n").join(labels, rows.rep == labels.node, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    # rows meet their set's class on the set, never copies with copies; a hot set is split as a skewed join side
+    known = copies.join(labels, copies.rep == labels.node, "left").select("mark", F.coalesce("label", "rep").alias("class"))
+    out = rows.select("doc_id", "mark", "n").join(known, "mark", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))
 
 
+@plain_names
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, once."""
     found = classes(docs).filter(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
