@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,18 @@ def written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return shared.written(df, what)
 
 
+def plain_names(stage: Callable) -> Callable:
+    """A pipeline stage that sees documents whose further columns have neutral names, so that none can clash
+    with its own; the names are put back on what it returns, by position."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        neutral = [c if c in ("doc_id", "text", "n_chars") else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*neutral), sf_dir).toDF(*docs.columns)
+
+    return run
+
+
 def map_texts(
     df: DataFrame, row: Callable[[object, str | None], tuple], schema: str, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:

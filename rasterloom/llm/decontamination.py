@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, table, written
+from rasterloom.llm.common import bounded_batches, plain_names, table, written
 
 WINDOW = 10
 BLOCK = 3
@@ -156,6 +156,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occurrences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@plain_names
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no window of the benchmark."""
     m = marked(docs, table(spark, sf_dir, "benchmark"))

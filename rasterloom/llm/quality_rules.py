@@ -14,10 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import SPACES, map_texts, table
+from rasterloom.llm.common import SPACES, arrow_types, bounded_batches, map_texts, plain_names, table
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -111,13 +112,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@plain_names
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the current policy keeps, with their columns. The decision and the row travel
     together through one pass, so that no join by doc_id is needed."""
-    import pyarrow as pa
-
-    from rasterloom.llm.common import arrow_types, bounded_batches
-
     bounded_batches(spark)
     at = docs.columns.index("text")
     fields = arrow_types(MEASURES)

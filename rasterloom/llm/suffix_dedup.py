@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, sha256_hex, table, written
+from rasterloom.llm.common import bounded_batches, plain_names, sha256_hex, table, written
 from rasterloom.llm.suffix_sort import Hashes, suffix_order
 
 LENGTH = 100
@@ -331,6 +331,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(table(spark, sf_dir, "documents"))
 
 
+@plain_names
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated bytes. What is left of a character that lost a byte goes too;
     n_chars counts the text that is left; a document that was repeated throughout stays, empty."""
