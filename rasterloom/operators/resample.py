@@ -70,7 +70,7 @@ def nearest(points: DataFrame, src: DataFrame, column: str, r: Column, c: Column
 
 def edges(polygons: list[Polygon]):
     """Rows (poly, x1, y1, x2, y2) of the sides of polygons."""
-    return [(k, *a, *b) for k, p in enumerate(polygons) for a, b in zip(p, p[1:] + p[:1])]
+    return [(k, *map(float, (*a, *b))) for k, p in enumerate(polygons) for a, b in zip(p, p[1:] + p[:1])]
 
 
 def inside(points: DataFrame, polygons: list[Polygon], x: Column, y: Column) -> DataFrame:
@@ -110,3 +110,21 @@ def resized(patch: DataFrame, column: str, shape: tuple[int, int], size: int, mo
     value = sampled(p, filled, column, fr, fc, h, w)
     gap = sampled(p, filled, "_gap", fr, fc, h, w)
     return value.join(gap, ["r", "c"]).select("r", "c", F.when(F.col("_gap") <= most_invalid, F.col(column)).alias(column))
+
+
+def separable_warp(src: DataFrame, target: DataFrame, column: str, h: int, w: int) -> DataFrame:
+    """Inverse mapping whose rows and columns are independent: the mean y of each source row and the mean x of
+    each source column are inverted by linear interpolation, and the source is read bilinearly there. src has
+    r, c, x, y and column; target has r, c, x, y. Pixels outside of the means are left out."""
+
+    def inverse(key: str, value: str) -> DataFrame:
+        means = src.groupBy(key).agg(F.avg(value).alias("m"))
+        nxt = means.select((F.col(key) - 1).alias(key), F.col("m").alias("m2"))  # the next line, by a join on its number
+        return F.broadcast(means.join(nxt, key).select(F.col(key).alias(f"_{key}"), F.col("m").alias(f"m{key}"), F.col("m2").alias(f"n{key}")))
+
+    between = lambda v, k: (F.col(v) >= F.col(f"m{k}")) & (F.col(v) < F.col(f"n{k}"))
+    rows = target.select("r", "y").distinct().join(inverse("r", "y"), between("y", "r"))
+    cols = target.select("c", "x").distinct().join(inverse("c", "x"), between("x", "c"))
+    at = lambda v, k: F.col(f"_{k}") + (F.col(v) - F.col(f"m{k}")) / (F.col(f"n{k}") - F.col(f"m{k}"))
+    p = target.select("r", "c").join(rows.select("r", at("y", "r").alias("fr")), "r").join(cols.select("c", at("x", "c").alias("fc")), "c")
+    return sampled(p, src.select("r", "c", column), column, F.col("fr"), F.col("fc"), h, w).select("r", "c", column)

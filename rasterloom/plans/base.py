@@ -28,7 +28,7 @@ def sql(needs: str, body: str, recursive: bool = False) -> str:
 
     for n in needs.split():
         add(n)
-    own = [f"{n} AS ({RELATIONS[n][1]})" for n in order]
+    own = [f"{n} AS MATERIALIZED ({RELATIONS[n][1]})" for n in order]
     head, sep, rest = body.partition("WITH ")
     if not head.strip() and sep:
         own.append(rest)

@@ -95,17 +95,18 @@ def t6(spark, d):
     return resample.nearest(p, scaled, "v", F.floor((lat + 90) / 0.02).cast("int"), F.floor((lon + 180) / 5.625).cast("int")).select("r", "c", r6("v").alias("v"))
 
 
-@query("T8_separable_warp", sql("located grid", f"""WITH s AS (SELECT r, c, 2 * {_R} * tan(pi() / 4 + radians(lat) / 2) * sin(radians(lon / 100)) AS x, r * 100.0::DOUBLE + lat AS y FROM located),
-ym AS (SELECT r, avg(y) AS y FROM s GROUP BY r), yn AS (SELECT r, y, lead(y) OVER (ORDER BY r) AS y2 FROM ym),
-t AS (SELECT k, k * 250.0::DOUBLE + 30 AS yt FROM range(40) a(k))
-SELECT k::INT AS k, {q6('r + (yt - y) / (y2 - y)')} AS src_row FROM t JOIN yn ON yt >= y AND yt < y2"""))
+_INV = "SELECT {k}, {m}, lead({m}) OVER (ORDER BY {k}) AS m2 FROM (SELECT {k}, avg({x}) AS {m} FROM s GROUP BY {k})"
+
+
+@query("T8_separable_warp", sql("grid", f"""WITH s AS (SELECT r, c, c * 10.0::DOUBLE + v AS x, r * 10.0::DOUBLE + v AS y FROM grid), ys AS ({_INV.format(k='r', m='m', x='y')}), xs AS ({_INV.format(k='c', m='m', x='x')}),
+p AS (SELECT i, j, ys.r + (i * 7 + 5.0::DOUBLE - ys.m) / (ys.m2 - ys.m) AS fr, xs.c + (j * 7 + 5.0::DOUBLE - xs.m) / (xs.m2 - xs.m) AS fc FROM range(120) a(i) JOIN ys ON i * 7 + 5 >= ys.m AND i * 7 + 5 < ys.m2, range(80) b(j) JOIN xs ON j * 7 + 5 >= xs.m AND j * 7 + 5 < xs.m2),
+k AS (SELECT i, j, CASE q WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE u WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS wt, floor(fr) + q AS sr, floor(fc) + u AS sc FROM p, (VALUES (0), (1)) z(q), (VALUES (0), (1)) o(u))
+SELECT k.i::INT AS r, k.j::INT AS c, {q6('sum(wt * v)')} AS v FROM k JOIN grid g ON g.r = sr AND g.c = sc WHERE wt > 0 GROUP BY k.i, k.j"""))
 def t8(spark, d):
-    """The row half of the separable inverse map: mean position per source row, inverted by interpolation."""
-    s = located(spark, d).select("r", (c("r") * 100.0 + c("lat")).alias("y"))
-    means = s.groupBy("r").agg(F.avg("y").alias("y"))
-    steps = F.broadcast(means.withColumn("y2", F.lead("y").over(Window.partitionBy(F.lit(0)).orderBy("r"))))  # one row per scene line
-    t = spark.range(40).select(c("id").cast("int").alias("k"), (c("id") * 250.0 + 30).alias("yt"))
-    return t.join(steps, (c("yt") >= c("y")) & (c("yt") < c("y2"))).select("k", r6(c("r") + (c("yt") - c("y")) / (c("y2") - c("y"))).alias("src_row"))
+    g = derived.grid(spark, d)
+    place = g.select("r", "c", "v", (c("c") * 10.0 + c("v")).alias("x"), (c("r") * 10.0 + c("v")).alias("y"))
+    target = spark.range(120).select(c("id").cast("int").alias("r"), (c("id") * 7 + 5.0).alias("y")).crossJoin(spark.range(80).select(c("id").cast("int").alias("c"), (c("id") * 7 + 5.0).alias("x")))
+    return resample.separable_warp(place, target, "v", *shape(spark, d)).select("r", "c", r6("v").alias("v"))
 
 
 @query("T10_rasterise", sql("grid sides", """WITH p AS (SELECT r, c, c + 0.5 AS x, r + 0.5 AS y FROM grid),
@@ -172,7 +173,7 @@ def j4(spark, d):
 
 
 @query("K1_mask_union", sql("dem sun5", f"""SELECT o.r, o.c, max(CASE WHEN x.a IS NULL THEN 1 ELSE 0 END) AS lit FROM (SELECT r, c, a FROM dem, (SELECT DISTINCT a FROM sun5)) o LEFT JOIN (
-SELECT DISTINCT o.r, o.c, a FROM dem o, sun5 JOIN dem t ON t.r = o.r + dr AND t.c = o.c + dc WHERE (t.z - o.z) / dist >= tan(radians(80))) x ON x.r = o.r AND x.c = o.c AND x.a = o.a GROUP BY o.r, o.c"""))
+SELECT DISTINCT o.r, o.c, a FROM (SELECT r, c, z, a, dist, r + dr AS tr, c + dc AS tc FROM dem CROSS JOIN sun5) o JOIN dem t ON t.r = tr AND t.c = tc WHERE (t.z - o.z) / dist >= tan(radians(80))) x ON x.r = o.r AND x.c = o.c AND x.a = o.a GROUP BY o.r, o.c"""))
 def k1(spark, d):
     dem = derived.dem(spark, d)
     masks = [ray_ops.illumination(dem, [az], 80.0, 8).select("r", "c", "lit") for az in AZIMUTHS]

@@ -138,10 +138,11 @@ relation("rays", """SELECT a, k, CASE WHEN abs(ec) >= abs(er) THEN (2 * k * abs(
 CASE WHEN abs(ec) >= abs(er) THEN k ELSE (2 * k * abs(ec) + abs(er)) // (2 * abs(er)) END * CASE WHEN ec >= 0 THEN 1 ELSE -1 END AS dc
 FROM (SELECT a, k, round_even(8 * sin(a * 2 * pi() / 8), 0)::INT AS er, round_even(8 * cos(a * 2 * pi() / 8), 0)::INT AS ec FROM range(8) x(a), range(1, 9) y(k)) WHERE k <= greatest(abs(er), abs(ec))""")
 relation("rayd", "SELECT a::INT AS a, k::INT AS k, dr::INT AS dr, dc::INT AS dc, greatest(sqrt(dr * dr + dc * dc) * 20, 1)::DOUBLE AS dist FROM rays", "rays")
-relation("looks", """SELECT o.r, o.c, a, k, dist, o.z AS z0, g.z AS z1, g.psr AS tpsr, g.r AS tr, g.c AS tc FROM shadow o, rayd JOIN shadow g ON g.r = o.r + dr AND g.c = o.c + dc WHERE o.psr = 1""", "shadow rayd")
+relation("looks", """SELECT o.r, o.c, a, k, dist, o.z AS z0, g.z AS z1, g.psr AS tpsr, tr, tc
+FROM (SELECT r, c, z, a, k, dist, r + dr AS tr, c + dc AS tc FROM shadow CROSS JOIN rayd WHERE psr = 1) o JOIN shadow g ON g.r = tr AND g.c = tc""", "shadow rayd")
 relation("seen", """SELECT *, max(tan) OVER (PARTITION BY r, c, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
 SELECT *, (1737400 + z0) * (1737400 + z1 - sqrt(dist * dist + (1737400 + z0) * (1737400 + z0))) / (dist * (1737400 + z1)) AS tan FROM looks)""", "looks")
-relation("dpsr", """SELECT r, c FROM shadow WHERE psr = 1 AND (r, c) NOT IN (SELECT (r, c) FROM seen WHERE tpsr = 0 AND tan >= coalesce(before, -1e18))""", "shadow seen")
+relation("dpsr", """SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM seen WHERE tpsr = 0 AND tan >= coalesce(before, -1e18)) USING (r, c) WHERE psr = 1""", "shadow seen")
 
 
 @query("D3_ray_join", sql("looks", f"SELECT a, k, count(*) AS n, {q6('sum(z1 - z0)', 3)} AS rise FROM looks GROUP BY a, k"))
@@ -151,7 +152,7 @@ def d3(spark, d):
     return looks.groupBy("a", "k").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(c("z1") - c("z0")), 3).alias("rise"))
 
 
-@query("D4_blind_observers", sql("shadow looks", "SELECT r, c FROM shadow WHERE psr = 1 AND (r, c) NOT IN (SELECT (r, c) FROM looks WHERE k = 1 AND tpsr = 0)"))
+@query("D4_blind_observers", sql("shadow looks", "SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM looks WHERE k = 1 AND tpsr = 0) USING (r, c) WHERE psr = 1"))
 def d4(spark, d):
     s = derived.shadow(spark, d)
     seen = ray_ops.targets(s.filter("psr = 1"), ray_ops.bresenham_rays(spark, 8, 8).filter("k = 1"), s).filter("psr = 0")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from rasterloom.functions import polarimetry as pol
-from rasterloom.operators import focal, peaks
+from rasterloom.operators import focal, peaks, ray_tiles
 from rasterloom.operators import rays as ray_ops
 from rasterloom.operators.components import regions, without_small
 from rasterloom.operators.resample import tie_group
@@ -158,7 +158,7 @@ def w12(spark, d):
 def _lit(sun: str, n: int) -> str:
     tan = repr(math.tan(math.radians(80.0)))
     return f"""SELECT o.r, o.c, coalesce(k, 0)::INT AS n_dark, CASE WHEN coalesce(k, 0) < {n} THEN 1 ELSE 0 END AS lit FROM dem o LEFT JOIN (
-SELECT o.r, o.c, count(DISTINCT a) AS k FROM dem o, {sun} JOIN dem t ON t.r = o.r + dr AND t.c = o.c + dc WHERE (t.z - o.z) / dist >= {tan}::DOUBLE GROUP BY o.r, o.c) x ON x.r = o.r AND x.c = o.c"""
+SELECT o.r, o.c, count(DISTINCT a) AS k FROM (SELECT r, c, z, a, dist, r + dr AS tr, c + dc AS tc FROM dem CROSS JOIN {sun}) o JOIN dem t ON t.r = tr AND t.c = tc WHERE (t.z - o.z) / dist >= {tan}::DOUBLE GROUP BY o.r, o.c) x ON x.r = o.r AND x.c = o.c"""
 
 
 relation("lit1", _lit("sun1", 1), "dem sun1")
@@ -183,17 +183,28 @@ def w15(spark, d):
     return dpsr(spark, d)
 
 
-relation("flat", """SELECT o.r, o.c, a, k, (t.z - o.z) / dist AS tan, t.lit FROM shadow o, dda JOIN (SELECT r, c, z, lit FROM shadow JOIN lit1 USING (r, c)) t ON t.r = o.r + dr AND t.c = o.c + dc WHERE o.psr = 1""", "shadow dda lit1")
+relation("flat", """SELECT o.r, o.c, a, k, (t.z - o.z) / dist AS tan, t.lit FROM (SELECT r, c, z, a, k, dist, r + dr AS tr, c + dc AS tc FROM shadow CROSS JOIN dda WHERE psr = 1) o
+JOIN (SELECT r, c, z, lit FROM shadow JOIN lit1 USING (r, c)) t ON t.r = tr AND t.c = tc""", "shadow dda lit1")
 relation("flatseen", "SELECT *, max(tan) OVER (PARTITION BY r, c, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM flat", "flat")
 
 
-@query("W16_doubly_shadowed_flat", sql("shadow flatseen", "SELECT r, c FROM shadow WHERE psr = 1 AND (r, c) NOT IN (SELECT (r, c) FROM flatseen WHERE lit = 1 AND tan >= coalesce(before, -1e18))"))
+@query("W16_doubly_shadowed_flat", sql("shadow flatseen", "SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM flatseen WHERE lit = 1 AND tan >= coalesce(before, -1e18)) USING (r, c) WHERE psr = 1"))
 def w16(spark, d):
     lit = ray_ops.illumination(derived.dem(spark, d), [137.0], 80.0, 8).select("r", "c", "lit")
     s = derived.shadow(spark, d).join(lit, ["r", "c"])
     return ray_ops.doubly_shadowed(s, ray_ops.rounded_rays(spark, 8, 8), 2, ray_ops.flat_tan(), c("lit") == 1)
 
 
+@query("W14_annual_illumination_tiled", sql("dem sun5", f"WITH l AS ({_lit('sun5', 5)}) SELECT r, c, lit, n_dark FROM l"))
+def w14_tiled(spark, d):
+    return ray_tiles.illumination(derived.dem(spark, d), AZIMUTHS, 80.0, 8, tile=64)
+
+
+@query("W15_doubly_shadowed_tiled", sql("dpsr", "SELECT r, c FROM dpsr"))
+def w15_tiled(spark, d):
+    return ray_tiles.doubly_shadowed(derived.shadow(spark, d), ray_tiles.bresenham_table(8, 8), tile=64)
+
+
 _REGIONS = """near AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM {m} a JOIN {m} b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND {way}),
 reach AS (SELECT r, c, r AS r2, c AS c2 FROM {m} UNION SELECT reach.r, reach.c, near.r2, near.c2 FROM reach JOIN near ON near.r = reach.r2 AND near.c = reach.c2),
 label AS (SELECT r, c, min(r2 * 64 + c2)::BIGINT AS label FROM reach GROUP BY r, c)"""

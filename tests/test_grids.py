@@ -1,0 +1,278 @@
+"""Neighbourhoods, statistics, functions and sources against numpy and loops."""
+
+import json
+import math
+import random
+import struct
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from rasterloom.functions import geodesy, labels, polarimetry as pol, scaling, validity
+from rasterloom.operators import compare, components, focal, paths, peaks, resample, stats
+from rasterloom.sources import derived, rasters
+
+SF = "/root/testdata/sf0.001"
+
+
+def table(spark, a, name="v"):
+    rows = [(r, k, None if np.isnan(x) else float(x)) for r, line in enumerate(a) for k, x in enumerate(line)]
+    return spark.createDataFrame(rows, f"r int, c int, {name} double")
+
+
+def array(df, name, shape):
+    out = np.full(shape, np.nan)
+    for r in df.collect():
+        out[r["r"], r["c"]] = np.nan if r[name] is None else r[name]
+    return out
+
+
+def one(spark, **columns):
+    return spark.range(1).select(*[F.lit(v).cast("double").alias(k) for k, v in columns.items()])
+
+
+def value(spark, column, **columns):
+    return one(spark, **columns).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("size", [(5, 3), (4, 1), (7, 7), (1, 3)])
+def test_multilook_mirrors_its_edges(spark, size):
+    a = np.random.default_rng(1).normal(size=(11, 9))
+    lo, hi = zip(*(focal.reach(n) for n in size))
+    pad = np.pad(a, ((lo[0], hi[0]), (lo[1], hi[1])), mode="symmetric")
+    want = np.array([[pad[r : r + size[0], k : k + size[1]].mean() for k in range(9)] for r in range(11)])
+    got = array(focal.multilook(table(spark, a), ["v"], size, (11, 9)), "v", (11, 9))
+    assert np.allclose(got, want)
+
+
+def test_multilook_of_valid_values(spark):
+    a = np.arange(25.0).reshape(5, 5)
+    a[1:3, 1:4] = np.nan  # 5 of the 9 around (1, 2) are missing at least
+    got = array(focal.multilook_valid(table(spark, a), "v", (3, 3), (5, 5)), "v", (5, 5))
+    pad = np.pad(a, 1, mode="symmetric")
+    for r in range(5):
+        for k in range(5):
+            win = pad[r : r + 3, k : k + 3]
+            n = (~np.isnan(win)).sum()
+            assert (np.isnan(got[r, k]) and n / 9 < 0.5) or np.isclose(got[r, k], np.nansum(win) / n)
+    assert np.isnan(got[1, 2])
+
+
+def test_gradient_is_numpys(spark):
+    a = np.random.default_rng(2).normal(size=(6, 7)) * 30
+    g = focal.gradient(table(spark, a, "z"), "z", 20.0, 10.0).cache()
+    gy, gx = np.gradient(a, 20.0, 10.0)
+    assert np.allclose(array(g, "gy", a.shape), gy) and np.allclose(array(g, "gx", a.shape), gx)
+    slope = array(g.select("r", "c", focal.slope_deg().alias("s")), "s", a.shape)
+    assert np.allclose(slope, np.degrees(np.arctan(np.hypot(gx, gy))))
+
+
+def test_canonical_null(spark):
+    rows = spark.createDataFrame([(float("nan"),), (float("inf"),), (-9999.0,), (0.0,), (None,), (2.5,)], "v double")
+    got = [r[0] for r in rows.select(validity.canonical(F.col("v"), -9999.0)).collect()]
+    assert got == [None, None, None, 0.0, None, 2.5]
+    assert [r[0] for r in rows.select(validity.canonical(F.col("v"), 0.0)).collect()][3] is None
+
+
+def test_polarimetry_fixtures(spark):
+    c = F.col
+    assert value(spark, pol.cpr_fields(c("a"), c("b")), a=1, b=0) is None
+    assert value(spark, pol.mu_c(c("a"), c("b")), a=2, b=2) is None
+    assert math.isclose(value(spark, pol.dop_transmit(c("a"), c("b"), c("d"), c("e")), a=1, b=0.6, d=0.8, e=0), 1.0, abs_tol=1e-6)
+    assert value(spark, pol.dop_transmit(c("a"), c("b"), c("d"), c("e")), a=1, b=1, d=0.8, e=0) is None
+    assert value(spark, pol.number_to_db(c("a")), a=0) is None
+    assert value(spark, pol.cpr_intensity(c("a"), c("b"), c("d")), a=1, b=-0.1, d=0) is None
+    assert value(spark, pol.stokes_broken(c("a"), c("b"), c("d"), c("e")), a=1, b=2, d=0, e=0)
+
+
+def test_pole_and_back(spark):
+    x, y = geodesy.to_plane(F.col("lat"), F.col("lon"))
+    assert abs(value(spark, x, lat=-90, lon=33)) < 1e-6 and abs(value(spark, y, lat=-90, lon=33)) < 1e-6
+    lat, lon = geodesy.from_plane(x, y)
+    assert math.isclose(value(spark, lat, lat=-86.5, lon=40), -86.5) and math.isclose(value(spark, lon, lat=-86.5, lon=40), 40)
+    row, _ = geodesy.cell_nearest(F.col("lat"), F.col("lon"), 0, 0, 1, 1)
+    assert [value(spark, row, lat=0, lon=v) for v in (0.5, 1.5, 2.5)] == [0, 2, 2]  # halves go to even
+
+
+def test_score_of_one_band_is_that_band(spark):
+    b = spark.createDataFrame([(0, None, 10.0), (1, 1.0, 20.0), (2, 3.0, 30.0)], "r int, cpr double, pump double")
+    rows = {r["r"]: r for r in scaling.confidence(b).collect()}
+    assert rows[0]["n_valid"] == 1 and math.isclose(rows[0]["score"], rows[0]["pump"])
+    assert all(0 <= r["score"] <= 1 for r in rows.values())
+    flat = spark.createDataFrame([(1.0,), (1.0,), (None,)], "v double")
+    for constant in (0.5, 0.0):
+        assert [r["v"] for r in scaling.normalised(flat, ["v"], [], constant=constant).collect()] == [constant, constant, None]
+
+
+def test_weights_sum_to_one():
+    from rasterloom.config import WEIGHTS
+
+    assert math.isclose(sum(WEIGHTS.values()), 1.0)
+
+
+def test_histogram_closes_its_last_bin(spark):
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.99, 1.0, 3.0, 3.1, -0.1)], "v double")
+    got = {r["bin"]: r["n"] for r in stats.histogram(df, "v", 0.0, 3.0, 3).collect()}
+    assert got == {0: 2, 1: 1, 2: 1} == dict(enumerate(np.histogram([0.0, 0.99, 1.0, 3.0, 3.1, -0.1], 3, (0, 3))[0]))
+
+
+def test_formats(spark):
+    fmt = lambda xs: stats.data_format(spark.createDataFrame([(float(x),) for x in xs], "v double"), "v").first()["fmt"]
+    assert fmt([-30, -12, -5, 1]) == "db" and fmt([0, 0.2, 5]) == "linear" and fmt([100, 4000]) == "raw_dn" and fmt([0, 0]) == "raw_dn"
+
+
+def test_ranks_average_ties_over_many_ranges(spark):
+    xs = [random.Random(3).randrange(40) * 1.0 for _ in range(300)]
+    got = {r["v"]: r["k"] for r in compare.ranks(spark.createDataFrame([(x,) for x in xs], "v double"), "v", "k").collect()}
+    order = sorted(xs)
+    assert got == {x: order.index(x) + 1 + (order.count(x) - 1) / 2 for x in set(xs)}
+
+
+def test_p_values():
+    # Two-sided p of r for n pairs.
+    for r, n, p in ((0.5, 10, 0.1411), (0.0790, 200, 0.2660), (0.9, 5, 0.0374)):
+        assert abs(compare.t_test_p(r, n) - p) < 5e-4
+    assert compare.t_test_p(1.0, 9) == 0.0 and math.isnan(compare.t_test_p(0.3, 2))
+
+
+@pytest.mark.parametrize("connectivity", [8, 4])
+def test_regions_equal_flood_fill(spark, connectivity):
+    rng = random.Random(connectivity)
+    on = {(r, k) for r in range(20) for k in range(16) if rng.random() < 0.45}
+    on |= {(25 + i, i) for i in range(5)}  # a diagonal chain
+    ways = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (connectivity == 8 or not (a and b))]
+    want = {}
+    for p in sorted(on):
+        if p in want:
+            continue
+        todo, seen = [p], {p}
+        while todo:
+            r, k = todo.pop()
+            for a, b in ways:
+                q = (r + a, k + b)
+                if q in on and q not in seen:
+                    seen.add(q)
+                    todo.append(q)
+        want |= {q: min(r * 16 + k for r, k in seen) for q in seen}
+    labelled = components.regions(spark.createDataFrame(sorted(on), "r int, c int"), 16, connectivity)
+    assert {(r["r"], r["c"]): r["label"] for r in labelled.collect()} == want
+    kept = {(r["r"], r["c"]) for r in components.without_small(labelled, 5).collect()}
+    assert ((25, 0) in kept) == (connectivity == 8)
+
+
+def test_components_of_long_chains_and_nothing(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (5, 5)], "a long, b long")
+    got = {r["node"]: r["label"] for r in components.components(chain).collect()}
+    assert got == {i: 0 for i in range(71)} | {100: 100, 101: 100}
+    assert components.components(chain.limit(0)).count() == 0
+
+
+def test_peaks(spark):
+    dens = [0, 1, 0, 2, 2, 2, 0, 5, 4, 5, 0, 3]
+    profile = spark.createDataFrame([(i, float(x)) for i, x in enumerate(dens)], "r int, dens double")
+    tops = {r["r"] for r in peaks.maxima(profile, 1.0).collect()}
+    assert tops == {1, 4, 7, 9}
+    chosen = [r["r"] for r in peaks.spaced(peaks.maxima(profile, 1.0), 3, 9).orderBy("r").collect()]
+    assert chosen == [1, 4, 9]
+
+
+def test_least_cost(spark):
+    a = np.random.default_rng(6).uniform(1, 5, (6, 5))
+    got = array(paths.least_cost(table(spark, a, "cost"), (0, 0)), "dist", a.shape)
+    want = np.full(a.shape, np.inf)
+    want[0, 0] = 0
+    for _ in range(40):
+        for r in range(6):
+            for k in range(5):
+                for dr in (-1, 0, 1):
+                    for dk in (-1, 0, 1):
+                        y, x = r + dr, k + dk
+                        if (dr or dk) and 0 <= y < 6 and 0 <= x < 5:
+                            want[r, k] = min(want[r, k], want[y, x] + math.hypot(dr, dk) * (a[r, k] + a[y, x]) / 2)
+    assert np.allclose(got, want)
+
+
+def test_decomposition_of_known_matrices(spark):
+    from rasterloom.plans.projections import T3, decomposition
+
+    rows = [(0, 0, 1.0, 1.0, 1.0, *[0.0] * 6), (0, 1, 1.0, 0.0, 0.0, *[0.0] * 6), (0, 2, 0.0, 2.0, 0.0, *[0.0] * 6)]
+    df = spark.createDataFrame(rows, "r int, c int, " + ", ".join(f"{t} double" for t in T3))
+    got = {r["c"]: r for r in decomposition(df).collect()}
+    assert math.isclose(got[0]["entropy"], 1, abs_tol=1e-6) and abs(got[1]["entropy"]) < 1e-6
+    assert abs(got[1]["alpha"]) < 1e-3 and math.isclose(got[2]["alpha"], 90, abs_tol=1e-3)
+
+
+def test_inside_a_square(spark):
+    p = spark.createDataFrame([(r, k) for r in range(6) for k in range(6)], "r int, c int")
+    got = {(r["r"], r["c"]) for r in resample.inside(p, [[(1.0, 1.0), (4.0, 1.0), (4.0, 3.0), (1.0, 3.0)]], F.col("c") + 0.5, F.col("r") + 0.5).filter("inside = 1").collect()}
+    assert got == {(r, k) for r in (1, 2) for k in (1, 2, 3)}
+
+
+def test_sampling_outside_and_in_gaps(spark):
+    a = np.array([[0.0, 1, np.nan], [2, 3, np.nan]])
+    p = spark.createDataFrame([(0, 0.5, 0.5), (1, -0.1, 0.0), (2, 0.0, 1.4), (3, 0.0, 1.6), (4, 1.0, 1.0)], "k int, y double, x double")
+    got = {r["k"]: r["v"] for r in resample.sampled(p, table(spark, a), "v", F.col("y"), F.col("x"), 2, 3).collect()}
+    assert math.isclose(got.pop(2), 0.6) and got == {0: 1.5, 1: None, 3: None, 4: 3.0}
+
+
+def test_raw_float_file(spark, tmp_path):
+    values = [0.5, 1.25, -2.0, 3.5, 4.0, 5.0]
+    (tmp_path / "a.img").write_bytes(b"HEADER" * 3 + struct.pack("<6f", *values))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.img").load(str(tmp_path))
+    got = array(rasters.decode_float32(files, 2, 3), "z", (2, 3))
+    assert np.allclose(got.ravel(), np.array(values) * 1000)
+    assert rasters.discover(spark, str(tmp_path), "*.img").count() == 1
+
+
+def test_geometry_csv(spark, tmp_path):
+    lines = ["Latitude (deg),Longitude (deg), Slant_Range (m),Incidence"] + [f"-8{i % 3},{i},{1000 * (i % 3)},{i}" for i in range(9)]
+    (tmp_path / "g.csv").write_text("\n".join(lines))
+    df = rasters.read_geometry(spark, str(tmp_path / "g.csv"))
+    assert df.columns == ["lat", "lon", "slant", "incidence", "n"]
+    assert tuple(resample.tie_group(df).first()) == (3, 3, 9)
+
+
+def test_windows_open_only_their_tiles(spark, tmp_path):
+    rasters.write_tiles(derived.grid(spark, SF), str(tmp_path / "t"), 64)
+    win = rasters.read_window(spark, str(tmp_path / "t"), 70, 80, 3, 9, 64)
+    assert win.count() == 11 * 7
+    plan = win._jdf.queryExecution().executedPlan().toString()
+    assert "tile_r" in plan.split("PartitionFilters")[1].split("]")[0] and "GreaterThanOrEqual(r,70)" in plan
+
+
+def test_labels(spark):
+    stems = ["ch2_sar_ncxl_1_d_CPR_xx", "a_b_c_d_e_zzz_xx", "my-vol-map", "plain_name_without_any_code_at_all"]
+    df = spark.createDataFrame([(s,) for s in stems], "s string")
+    assert [r[0] for r in df.select(labels.product_label(F.col("s"))).collect()] == ["CPR", "DFSAR_a_b_c_d_e_zzz_xx", "VOL", "DFSAR_plain_name_without_any_c"]
+    text = spark.createDataFrame([("<k> 12.5 </k>",), ("<k>x</k>",), (None,)], "t string")
+    assert [r[0] for r in text.select(labels.tagged_constant(F.col("t"), "k", 7.0)).collect()] == [12.5, 7.0, 7.0]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    from rasterloom.streaming import tiles
+
+    bands = derived.bands(spark, SF)
+    bands.repartition(4).write.parquet(str(tmp_path / "in"))
+    lim = tiles.fixed_limits(bands)
+    out = tiles.stream(spark, str(tmp_path / "in"), bands.schema, lim, 1)
+    q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).select("r", "c", F.round("score", 9).alias("s"))
+    want = scaling.confidence(bands).select("r", "c", F.round("score", 9).alias("s"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_nothing_imports_the_llm_subpackage():
+    import pathlib
+
+    root = pathlib.Path(__file__).parent.parent / "rasterloom"
+    for p in root.rglob("*.py"):
+        if "llm" not in p.parts:
+            assert "rasterloom.llm" not in p.read_text(), p
+
+
+def test_bench_prints_one_line(capsys):
+    import bench
+
+    assert all(isinstance(q, str) for q in bench.HEADLINE) and json.dumps(bench.HEADLINE)
