@@ -6,16 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.config import INVERTED, MASKS, SETTINGS, WEIGHTS
+from rasterloom.operators.quantiles import quantiles
 
 
 def limits(df: DataFrame, columns: list[str], low: float = SETTINGS.stretch_low, high: float = SETTINGS.stretch_high) -> DataFrame:
-    """One row with <column>_lo and <column>_hi, the exact percentiles of valid values, in one aggregation."""
-    aggs = []
-    for c in columns:
-        pair = F.percentile(c, F.array(F.lit(low), F.lit(high)))
-        aggs.append(pair.alias(c))
-    one = df.agg(*aggs)
-    return one.select(*[x for c in columns for x in (F.get(F.col(c), F.lit(0)).alias(f"{c}_lo"), F.get(F.col(c), F.lit(1)).alias(f"{c}_hi"))])
+    """One row with <column>_lo and <column>_hi, the exact percentiles of valid values."""
+    found = quantiles(df, columns, [low, high])
+    names = [f"{c}_{x}" for c in columns for x in ("lo", "hi")]
+    return df.sparkSession.createDataFrame([tuple(v for c in columns for v in found[c])], ", ".join(f"{n} double" for n in names))
 
 
 def stretch(v: Column, lo: Column, hi: Column, constant: float, invert: bool = False) -> Column:

@@ -15,25 +15,24 @@ def reach(size: int) -> tuple[int, int]:
     return size // 2, size - 1 - size // 2
 
 
-def _pass(df: DataFrame, columns: list[str], axis: str, other: str, size: int, n: Column, reflect: bool) -> DataFrame:
+def line_sums(df: DataFrame, columns: list[str], axis: str, other: str, size: int, n: int, reflect: bool) -> DataFrame:
     if size == 1:
         return df
     lo, hi = reach(size)
-    rows = df.withColumn("_n", n)
-    if reflect:
-        top = rows.filter(F.col(axis) < lo).withColumn(axis, -1 - F.col(axis))
-        end = rows.filter(F.col(axis) >= F.col("_n") - hi).withColumn(axis, 2 * F.col("_n") - 1 - F.col(axis))
-        rows = rows.unionByName(top).unionByName(end)
+    rows = df
+    if reflect:  # a pixel stands for itself and for its mirror images; one branch, so that its source is read once
+        at = F.col(axis)
+        images = F.array(at, F.when(at < lo, -1 - at), F.when(at >= n - hi, 2 * n - 1 - at))
+        rows = df.withColumn(axis, F.explode(F.filter(images, lambda x: x.isNotNull())))
     w = Window.partitionBy(other).orderBy(axis).rangeBetween(-lo, hi)
-    sums = {c: F.sum(c).over(w) for c in columns}
-    return rows.withColumns(sums).filter((F.col(axis) >= 0) & (F.col(axis) < F.col("_n"))).drop("_n")
+    return rows.withColumns({c: F.sum(c).over(w) for c in columns}).filter((F.col(axis) >= 0) & (F.col(axis) < n))
 
 
 def box_sums(df: DataFrame, columns: list[str], size: tuple[int, int], shape: tuple[int, int], reflect: bool = True) -> DataFrame:
     """Sums of columns over a window of size (rows, columns); NULL counts as absent."""
     h, w = shape
-    out = _pass(df, columns, "r", "c", size[0], F.lit(h), reflect)
-    return _pass(out, columns, "c", "r", size[1], F.lit(w), reflect)
+    out = line_sums(df, columns, "r", "c", size[0], h, reflect)
+    return line_sums(out, columns, "c", "r", size[1], w, reflect)
 
 
 def multilook(df: DataFrame, columns: list[str], size: tuple[int, int], shape: tuple[int, int]) -> DataFrame:

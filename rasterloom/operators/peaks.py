@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.operators.focal import _pass
+from rasterloom.operators.focal import line_sums
 
 
 def density(df: DataFrame, flag: Column, smooth: int, h: int) -> DataFrame:
     """r, dens: share of flagged pixels per line, box-smoothed over `smooth` lines with mirrored ends. One row a
     line is left after the first aggregation; the window holds the lines of one scene."""
     per = df.groupBy("r").agg(F.avg(F.when(flag, 1.0).otherwise(0.0)).alias("dens")).withColumn("c", F.lit(0))
-    return _pass(per, ["dens"], "r", "c", smooth, F.lit(h), True).select("r", (F.col("dens") / smooth).alias("dens"))
+    return line_sums(per, ["dens"], "r", "c", smooth, h, True).select("r", (F.col("dens") / smooth).alias("dens"))
 
 
 def maxima(profile: DataFrame, height: float) -> DataFrame:

@@ -15,22 +15,29 @@ def unpivot(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> Da
 
 
 def summary(v: Column) -> list[Column]:
-    """min, max, mean, median, population deviation, counts."""
+    """min, max, mean, population deviation, counts."""
     return [
-        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"),
-        F.stddev_pop(v).alias("std"), F.count(v).alias("n_valid"), F.count_if(v.isNull()).alias("n_missing"), F.count(F.lit(1)).alias("n_total"),
+        F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+        F.count(v).alias("n_valid"), F.count_if(v.isNull()).alias("n_missing"), F.count(F.lit(1)).alias("n_total"),
     ]
 
 
 def band_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    out = unpivot(df, columns).groupBy("band").agg(*summary(F.col("v")))
+    """The summary of each band, with its exact median."""
+    from rasterloom.operators.quantiles import quantiles
+
+    middle = [(b, q[0]) for b, q in quantiles(df, columns, [0.5]).items()]
+    medians = F.broadcast(df.sparkSession.createDataFrame(middle, "band string, median double"))
+    out = unpivot(df, columns).groupBy("band").agg(*summary(F.col("v"))).join(medians, "band", "left")
     return out.withColumn("valid_pct", 100.0 * F.col("n_valid") / F.col("n_total"))
 
 
 def percentiles(df: DataFrame, column: str, at: tuple[float, ...] = PERCENTILES) -> DataFrame:
     """pct, v by linear interpolation."""
-    one = df.agg(F.percentile(column, F.array(*[F.lit(p / 100) for p in at])).alias("q"))
-    return one.select(F.posexplode("q").alias("i", "v")).select(F.get(F.array(*[F.lit(float(p)) for p in at]), F.col("i")).alias("pct"), "v")
+    from rasterloom.operators.quantiles import quantiles
+
+    found = quantiles(df, [column], [p / 100 for p in at])[column]
+    return df.sparkSession.createDataFrame(list(zip(map(float, at), found)), "pct double, v double")
 
 
 def bin_of(v: Column, lo: float, hi: float, n: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom.operators import compare, joins, stats
+from rasterloom.operators.quantiles import quantiles
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.joins import circles
 from rasterloom.sources import derived
@@ -22,13 +23,13 @@ def rounded(df, names, digits=6):
 
 @query("F1_band_stats", sql("bands", f"SELECT {_SUMMARY}, count(v) AS n_valid, count(*) - count(v) AS n_missing, count(*) AS n_total FROM (SELECT dop AS v FROM bands)"))
 def f1(spark, d):
-    return rounded(derived.bands(spark, d).agg(*stats.summary(c("dop"))), FLOATS)
+    return rounded(stats.band_stats(derived.bands(spark, d), ["dop"]), FLOATS).drop("band", "valid_pct")
 
 
 @query("F2_validation_stats", sql("bands", f"SELECT {_SUMMARY}, count(v) AS n_valid, 0 AS n_missing, count(*) AS n_total FROM (SELECT cpr AS v FROM bands) WHERE v >= 0"))
 def f2(spark, d):
     b = derived.bands(spark, d).filter(c("cpr") >= 0)
-    return rounded(b.agg(*stats.summary(c("cpr"))), FLOATS)
+    return rounded(stats.band_stats(b, ["cpr"]), FLOATS).drop("band", "valid_pct")
 
 
 _Q = ", ".join(f"{p / 100}" for p in stats.PERCENTILES)
@@ -227,7 +228,7 @@ ha AS (SELECT least(floor(a / (hi / 99)), 98) AS bin, count(*) AS n FROM pair, q
 SELECT {q6('sum(least(coalesce(ha.n, 0) / (SELECT sum(n) FROM ha), coalesce(hb.n, 0) / (SELECT sum(n) FROM hb)))')} AS overlap FROM ha FULL JOIN hb USING (bin)"""))
 def g7(spark, d):
     p = derived.pair(spark, d)
-    hi = p.select("a").union(p.select("b")).agg(F.percentile("a", F.lit(0.99))).first()[0]
+    hi = quantiles(p.select("a").union(p.select("b")), ["a"], [0.99])["a"][0]
     return rounded(compare.intersection(p, 0.0, hi, 99), ["overlap"]) if hi else compare.intersection(p, 0.0, 1.0, 99)
 
 
@@ -268,16 +269,18 @@ _QQ = ", ".join(repr((0.5 + k * 99.0 / 999) / 100) for k in range(1000))
 
 @query("G12_qq", sql("pair", f"SELECT i, {q6('x')} AS qa, {q6('y')} AS qb FROM (SELECT unnest(range(1000)) AS i, unnest(qa) AS x, unnest(qb) AS y FROM (SELECT quantile_cont(a, [{_QQ}]) AS qa, quantile_cont(b, [{_QQ}]) AS qb FROM pair))"))
 def g12(spark, d):
-    at = F.array(*[F.lit((0.5 + k * 99.0 / 999) / 100) for k in range(1000)])
-    one = derived.pair(spark, d).agg(F.percentile("a", at).alias("qa"), F.percentile("b", at).alias("qb"))
-    both = one.select(F.posexplode(F.arrays_zip("qa", "qb")).alias("i", "q"))
-    return both.select(c("i").cast("long").alias("i"), r6("q.qa").alias("qa"), r6("q.qb").alias("qb"))
+    at = [(0.5 + k * 99.0 / 999) / 100 for k in range(1000)]
+    q = quantiles(derived.pair(spark, d), ["a", "b"], at)
+    rows = spark.createDataFrame(list(zip(range(1000), q["a"], q["b"])), "i long, qa double, qb double")
+    return rows.select("i", r6("qa").alias("qa"), r6("qb").alias("qb"))
 
 
 @query("G13_boxplot", sql("pair", f"SELECT {', '.join(q6(f'quantile_cont({x}, {q}) FILTER ({x} <= 3)') + f' AS {x}_q{int(q * 100)}' for x in 'ab' for q in (0.25, 0.5, 0.75))} FROM pair"))
 def g13(spark, d):
-    cut = lambda x: F.when(c(x) <= 3, c(x))
-    return derived.pair(spark, d).agg(*[r6(F.percentile(cut(x), F.lit(q))).alias(f"{x}_q{int(q * 100)}") for x in "ab" for q in (0.25, 0.5, 0.75)])
+    cut = derived.pair(spark, d).select(*[F.when(c(x) <= 3, c(x)).alias(x) for x in "ab"])
+    at = [0.25, 0.5, 0.75]
+    found = quantiles(cut, ["a", "b"], at)
+    return spark.range(1).select(*[r6(F.lit(v)).alias(f"{x}_q{int(q * 100)}") for x in "ab" for q, v in zip(at, found[x])])
 
 
 _SCATTER = [("cpr", "dop"), ("cpr", "tmean"), ("dop", "slope"), ("tmean", "zit"), ("pump", "zit")]

@@ -75,8 +75,7 @@ def a8(spark, d):
 
 @query("A9_window_scan", sql("grid", f"SELECT r, c, {q6('v')} AS v FROM grid WHERE r BETWEEN 100 AND 199 AND c BETWEEN 10 AND 40"))
 def a9(spark, d):
-    g = derived.grid(spark, d)
-    return g.filter(F.col("r").between(100, 199) & F.col("c").between(10, 40)).select("r", "c", r6("v").alias("v"))
+    return derived.grid(spark, d, (100, 199), (10, 40)).select("r", "c", r6("v").alias("v"))
 
 
 @query("A10_convert_nodata", sql("grid", f"""

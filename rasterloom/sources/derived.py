@@ -18,10 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid(spark: SparkSession, sf_dir: str, rows: tuple[int, int] | None = None, columns: tuple[int, int] | None = None) -> DataFrame:
+    """r, c, v. A window (both ends included) is cut before lines become pixels: rows reach the Parquet scan as
+    a filter on the stored number, columns are sliced out of the line."""
     e = table(spark, sf_dir, "embeddings")
-    out = e.select(F.col("vec_id").cast("int").alias("r"), F.posexplode("embedding").alias("c", "v"))
-    return out.select("r", "c", canonical(F.col("v"), None).alias("v"))
+    if rows:
+        e = e.filter(F.col("vec_id").between(*rows))
+    first, line = 0, F.col("embedding")
+    if columns:
+        first, line = columns[0], F.slice("embedding", columns[0] + 1, columns[1] - columns[0] + 1)
+    out = e.select(F.col("vec_id").cast("int").alias("r"), F.posexplode(line).alias("c", "v"))
+    return out.select("r", (F.col("c") + first).cast("int").alias("c"), canonical(F.col("v"), None).alias("v"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,3 +276,26 @@ def test_bench_prints_one_line(capsys):
     import bench
 
     assert all(isinstance(q, str) for q in bench.HEADLINE) and json.dumps(bench.HEADLINE)
+
+
+def test_window_scans_push_their_rows_down(spark):
+    win = derived.grid(spark, SF, (10, 19), (3, 9))
+    plan = win._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(vec_id,10)" in plan and "LessThanOrEqual(vec_id,19)" in plan
+    assert win.count() == 70 and {r["c"] for r in win.select("c").distinct().collect()} == set(range(3, 10))
+
+
+@pytest.mark.parametrize("rows,fetch", [(65_536, 20_000), (64, 30), (16, 0)])
+def test_quantiles_are_numpys(spark, monkeypatch, rows, fetch):
+    from rasterloom.operators import quantiles as q
+
+    monkeypatch.setattr(q, "ROWS", rows)
+    monkeypatch.setattr(q, "FETCH", fetch)
+    rng = np.random.default_rng(8)
+    a, b = rng.lognormal(size=700), np.round(rng.normal(size=700), 1)
+    a[::9] = np.nan
+    df = spark.createDataFrame([(None if np.isnan(x) else float(x), float(y), 2.0, None) for x, y in zip(a, b)], "a double, b double, c double, d double")
+    at = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    got = q.quantiles(df, ["a", "b", "c", "d"], at)
+    assert np.allclose(got["a"], np.nanquantile(a, at)) and np.allclose(got["b"], np.quantile(b, at))
+    assert got["c"] == [2.0] * 6 and got["d"] == [None] * 6
