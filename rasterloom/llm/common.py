@@ -14,7 +14,7 @@ from rasterloom.sources import shared
 
 #: Rows and bytes of one Arrow batch; a batch of long texts must still fit a Python worker.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 #: ASCII white space, the separators of words in the quality and join operators.
 SPACES = " \t\n\x0b\x0c\r"

@@ -9,7 +9,7 @@ is any segmentation whose neighbours are all compatible, and there is one such s
 from __future__ import annotations
 
 #: Answers of compatible() that one table remembers before it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 
 
 class MergeTable:

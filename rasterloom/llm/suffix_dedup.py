@@ -35,9 +35,9 @@ from rasterloom.llm.suffix_sort import Hashes, suffix_order
 
 LENGTH = 100
 GRAM = 32
-PIECE = 1 << 20
+PIECE = 1 << 18
 HOT = 2048
-CHUNK = 20_000
+CHUNK = 4_000
 NO_ID = (1 << 63) - 1
 
 
