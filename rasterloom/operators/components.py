@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.sources.shared import written
+from rasterloom.sources.shared import discard, written
 
 EIGHT = ((0, 1), (1, -1), (1, 0), (1, 1))
 FOUR = ((0, 1), (1, 0))
@@ -25,11 +25,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = links.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("low"))
         far = low.select(F.col("node").alias("low"), F.col("low").alias("far"))
         step = written(low.join(far, "low").select("node", F.least("low", "far").alias("to")), "step")
-        labels = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left")
-        labels = written(labels.select("node", F.coalesce("to", "label").alias("label")), "labels")
-        links = links.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
-        links = links.join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
-        links = written(links.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        joined = labels.join(step.select(F.col("node").alias("label"), "to"), "label", "left")
+        labels_now = written(joined.select("node", F.coalesce("to", "label").alias("label")), "labels")
+        moved = links.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+        moved = moved.join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b").filter("x <> y")
+        links_now = written(moved.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        discard(links, labels, step)
+        links, labels = links_now, labels_now
     return labels
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.sources.shared import written
+from rasterloom.sources.shared import discard, written
 
 
 def least_cost(cost: DataFrame, start: tuple[int, int]) -> DataFrame:
@@ -21,5 +21,6 @@ def least_cost(cost: DataFrame, start: tuple[int, int]) -> DataFrame:
         front = front.select((F.col("r") + F.col("w.a")).alias("r"), (F.col("c") + F.col("w.b")).alias("c"), "dist", "c0", F.col("w.s").alias("s"))
         tried = front.join(cost, ["r", "c"]).groupBy("r", "c").agg(F.min(F.col("dist") + F.col("s") * (F.col("c0") + F.col("cost")) / 2).alias("try"))
         step = best.join(tried, ["r", "c"], "full").select("r", "c", F.least("dist", "try").alias("dist"), (F.col("dist").isNull() | (F.col("try") < F.col("dist") - 1e-12)).alias("better"))
-        best = written(step.select("r", "c", "dist", F.coalesce("better", F.lit(False)).alias("new")), "front")
+        last, best = best, written(step.select("r", "c", "dist", F.coalesce("better", F.lit(False)).alias("new")), "front")
+        discard(last)
     return best.select("r", "c", "dist")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = "/tmp/checkpoints/rasterloom"
@@ -20,4 +21,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once all that is made of them has been written too."""
+    for t in tables:
+        if "_written_at" in t.__dict__:
+            spark = t.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(t._written_at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
