@@ -9,6 +9,7 @@ ROWS bins a level and FETCH values at the end."""
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def quantiles(df: DataFrame, columns: list[str], probs: list[float]) -> dict[str
         deeper = {}
         for (b, cell), (_, _, below, _, ranks) in cells.items():
             for r in sorted(parts[b, cell], key=lambda r: r["cell"]):
-                inside = [k for k in ranks if below <= k < below + r["n"]]
+                inside = ranks[bisect_left(ranks, below) : bisect_left(ranks, below + r["n"])]
                 if inside:
                     deeper[b, r["cell"]] = (r["lo"], r["hi"], below, r["n"], inside)
                 below += r["n"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom.operators import compare, joins, stats
+from rasterloom.operators.focal import box_sums
 from rasterloom.operators.quantiles import quantiles
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.joins import circles
@@ -134,9 +135,9 @@ def f17(spark, d):
 
 @query("F18_neighbourhood", sql("shadow", f"SELECT o.r, o.c, {q6('avg(t.psr)')} AS share FROM shadow o JOIN shadow t ON abs(t.r - o.r) <= 5 AND abs(t.c - o.c) <= 5 WHERE o.r % 20 = 0 AND o.c % 8 = 0 GROUP BY o.r, o.c"))
 def f18(spark, d):
-    s = derived.shadow(spark, d)
-    pairs = joins.offset_pairs(s.filter("r % 20 = 0 and c % 8 = 0").select("r", "c"), s.select("r", "c", "psr"), 5)
-    return pairs.groupBy("r", "c").agg(r6(F.avg("t_psr")).alias("share"))
+    s = derived.shadow(spark, d).select("r", "c", c("psr").cast("double").alias("psr"), F.lit(1.0).alias("k"))
+    box = box_sums(s, ["psr", "k"], (11, 11), (derived.table(spark, d, "embeddings").count(), derived.WIDTH), reflect=False)
+    return box.filter("r % 20 = 0 and c % 8 = 0").select("r", "c", r6(c("psr") / c("k")).alias("share"))
 
 
 @query("F19_accounting", sql("bands", "SELECT count(*) FILTER (psr > 0 AND zit > 1.5) AS lit, count(*) FILTER (psr > 0 AND NOT zit > 1.5) AS dark, count(*) FILTER (NOT psr > 0) AS outside FROM bands"))

@@ -114,8 +114,9 @@ def t8(spark, d):
 i AS (SELECT r, c, poly, (count(*) FILTER ((y1 > y) <> (y2 > y) AND x < x1 + (y - y1) / (y2 - y1) * (x2 - x1)))::INT % 2 AS k FROM p, sides GROUP BY r, c, poly)
 SELECT r, c, max(k)::INT AS psr FROM i GROUP BY r, c"""))
 def t10(spark, d):
-    p = derived.grid(spark, d).select("r", "c")
-    return resample.inside(p, POLYGONS, c("c") + 0.5, c("r") + 0.5).withColumnRenamed("inside", "psr")
+    rows = [(k, *side) for k, p in enumerate(POLYGONS) for side in resample.sides(p)]
+    polygons = spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double")
+    return resample.rasterised(derived.grid(spark, d), polygons).withColumnRenamed("inside", "psr")
 
 
 @query("T11_patch_resize", sql("bands", f"""WITH s AS (SELECT r - 100 AS r, c, dop FROM bands WHERE r BETWEEN 100 AND 139), m AS (SELECT avg(dop) AS m FROM s),
