@@ -99,6 +99,32 @@ def t6(spark, d):
 _INV = "SELECT {k}, {m}, lead({m}) OVER (ORDER BY {k}) AS m2 FROM (SELECT {k}, avg({x}) AS {m} FROM s GROUP BY {k})"
 
 
+_CELL = f"""SELECT l.r, l.c, v, 2 * {_R} * tan(pi() / 4 + radians(lat) / 2) * sin(radians(lon)) AS x, 2 * {_R} * tan(pi() / 4 + radians(lat) / 2) * cos(radians(lon)) AS y
+FROM located l JOIN grid g ON g.r = l.r AND g.c = l.c"""
+
+
+@query("T7_forward_grid", sql("located grid", f"""WITH p AS ({_CELL}), k AS (SELECT *, floor((x + 300000) / 20000)::INT AS tc, floor((300000 - y) / 20000)::INT AS tr FROM p)
+SELECT tr, tc, count(*) AS n, {q6('avg(v)')} AS mean FROM k GROUP BY tr, tc"""))
+def t7(spark, d):
+    """Forward gridding by tie points: a stand-in for a black-box warp, not equal to it."""
+    x, y = geodesy.to_plane(c("lat"), c("lon"))
+    p = located(spark, d).join(derived.grid(spark, d), ["r", "c"]).select("v", x.alias("x"), y.alias("y"))
+    row, col = geodesy.cell_floor(c("x"), c("y"), -300000.0, 300000.0, 20000.0, -20000.0)
+    return p.groupBy(row.alias("tr"), col.alias("tc")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v")).alias("mean"))
+
+
+@query("T9_resample_bands", sql("grid size bands", " UNION ALL ".join(
+    f"(SELECT '{b}' AS band, p.r::INT AS r, p.c::INT AS c, {q6(b)} AS v FROM ({_DST}) p LEFT JOIN bands s ON s.r = floor((p.r + 0.5) * 1.5) AND s.c = floor((p.c + 0.5) * 1.5))" for b in ("zit", "slope"))))
+def t9(spark, d):
+    """Several bands to one coarser grid, nearest pixel: one plan, whose bands run side by side."""
+    b, out = derived.bands(spark, d), None
+    for name in ("zit", "slope"):
+        one = resample.nearest(coarse(spark), b.select("r", "c", c(name).alias("v")), "v", F.floor((c("r") + 0.5) * 1.5).cast("int"), F.floor((c("c") + 0.5) * 1.5).cast("int"))
+        one = one.select(F.lit(name).alias("band"), "r", "c", r6("v").alias("v"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("T8_separable_warp", sql("grid", f"""WITH s AS (SELECT r, c, c * 10.0::DOUBLE + v AS x, r * 10.0::DOUBLE + v AS y FROM grid), ys AS ({_INV.format(k='r', m='m', x='y')}), xs AS ({_INV.format(k='c', m='m', x='x')}),
 p AS (SELECT i, j, ys.r + (i * 7 + 5.0::DOUBLE - ys.m) / (ys.m2 - ys.m) AS fr, xs.c + (j * 7 + 5.0::DOUBLE - xs.m) / (xs.m2 - xs.m) AS fc FROM range(120) a(i) JOIN ys ON i * 7 + 5 >= ys.m AND i * 7 + 5 < ys.m2, range(80) b(j) JOIN xs ON j * 7 + 5 >= xs.m AND j * 7 + 5 < xs.m2),
 k AS (SELECT i, j, CASE q WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE u WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS wt, floor(fr) + q AS sr, floor(fc) + u AS sc FROM p, (VALUES (0), (1)) z(q), (VALUES (0), (1)) o(u))
