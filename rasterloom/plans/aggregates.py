@@ -27,7 +27,7 @@ def f1(spark, d):
     return rounded(stats.band_stats(derived.bands(spark, d), ["dop"]), FLOATS).drop("band", "valid_pct")
 
 
-@query("F2_validation_stats", sql("bands", f"SELECT {_SUMMARY}, count(v) AS n_valid, 0 AS n_missing, count(*) AS n_total FROM (SELECT cpr AS v FROM bands) WHERE v >= 0"))
+@query("F2_validation_stats", sql("bands", f"SELECT {_SUMMARY}, count(v) AS n_valid, 0::BIGINT AS n_missing, count(*) AS n_total FROM (SELECT cpr AS v FROM bands) WHERE v >= 0"))
 def f2(spark, d):
     b = derived.bands(spark, d).filter(c("cpr") >= 0)
     return rounded(stats.band_stats(b, ["cpr"]), FLOATS).drop("band", "valid_pct")
