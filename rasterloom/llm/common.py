@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.sources import shared
+from rasterloom.sources.shared import discard  # noqa: F401
 
 #: Rows and bytes of one Arrow batch; a batch of long texts must still fit a Python worker.
 BATCH_ROWS = 1000

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, plain_names, table, written
+from rasterloom.llm.common import bounded_batches, discard, plain_names, table, written
 from rasterloom.operators.components import components
 
 WORDS = 5
@@ -144,7 +144,7 @@ def copies_of(rows: DataFrame) -> DataFrame:
 
 
 def representatives(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """rep, n, prefix, parity: one row per distinct set."""
+    """rep, n, prefix, parity: one row per distinct set. What a reader does not ask for is not shuffled."""
     held = rows.filter(F.col("prefix").isNotNull())
     chosen = held.join(copies, (held.mark == copies.mark) & (held.doc_id == copies.rep)).select(held.mark, "rep", "n", "prefix", "parity")
     return chosen.dropDuplicates(["mark", "rep"]).drop("mark")
@@ -287,17 +287,20 @@ def classes(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     rows = written(spark, rows_of(docs), "rows")
-    copies = copies_of(rows)
-    reps = written(spark, representatives(rows, copies), "reps")
+    members = written(spark, rows.select("doc_id", "mark", "n"), "members")
+    copies = copies_of(members)
+    reps = representatives(rows, copies)  # read twice, for prefixes and for bitmaps; a written copy would cost more disk
     columns = written(spark, postings(reps), "columns")
     pairs = written(spark, candidate_pairs(columns, reps), "pairs")
+    discard(rows)
     wanted = pairs.select(F.col("x").alias("rep")).union(pairs.select("y")).union(columns.filter(F.col("wide") > MOST).select("rep"))
     sets = written(spark, sets_of(docs, wanted), "sets")
     links = written(spark, pair_links(pairs, sets).union(block_links(columns, sets)), "found")
+    discard(columns, pairs, sets)
     labels = components(links)
     # rows meet their set's class on the set, never copies with copies; a hot set is split as a skewed join side
     known = copies.join(labels, copies.rep == labels.node, "left").select("mark", F.coalesce("label", "rep").alias("class"))
-    out = rows.select("doc_id", "mark", "n").join(known, "mark", "left")
+    out = members.join(known, "mark", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, plain_names, sha256_hex, table, written
+from rasterloom.llm.common import bounded_batches, discard, plain_names, sha256_hex, table, written
 from rasterloom.llm.suffix_sort import Hashes, suffix_order
 
 LENGTH = 100
@@ -283,7 +283,9 @@ def spans(docs: DataFrame) -> DataFrame:
     again = rows.filter("again").select("d", "q", F.when(F.col("g") < 0, -F.col("g")).otherwise(F.shiftright("g", 7).bitwiseAND(F.lit(127))).alias("n"))
     every = again.union(found)
     part = F.struct(F.shiftright("q", 16).alias("p"), F.col("n"))
-    return every.groupBy("d", F.col("q").bitwiseAND(F.lit(0xFFFF)).alias("m")).agg(F.collect_list(part).alias("s"))
+    out = written(spark, every.groupBy("d", F.col("q").bitwiseAND(F.lit(0xFFFF)).alias("m")).agg(F.collect_list(part).alias("s")), "spans")
+    discard(rows, crowds, texts)
+    return out
 
 
 def kept_bytes(data: bytes, found: list | None) -> tuple[bytes, int, int]:
