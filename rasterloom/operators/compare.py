@@ -1,4 +1,4 @@
-"""Metrics that compare two co-registered rasters, columns a (calculated) and b (reference)."""
+"""Metrics that compare two co-registered rasters, columns a (calculated) and b (official)."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from rasterloom.operators.stats import histogram, histogram2d
 from rasterloom.sources.shared import written
 
 def basic() -> list:
-    """n, Pearson r, RMSE, MAE, bias and R2 (b is the reference), as aggregates."""
+    """n, Pearson r, RMSE, MAE, bias and R2 (against b), as aggregates."""
     d = F.col("a") - F.col("b")
     return [
         F.count(F.lit(1)).alias("n"), F.corr("a", "b").alias("pearson_r"), F.sqrt(F.avg(d * d)).alias("rmse"),
