@@ -281,6 +281,16 @@ def test_jaccard_null_ids(spark):
     assert sorted((r["doc_id"] is None, r["component_id"] or -1) for r in got) == [(False, 4), (True, -1), (True, 4)]
 
 
+def test_jaccard_one_id_with_two_texts(spark, monkeypatch):
+    from rasterloom.llm import jaccard_join as j
+
+    monkeypatch.setattr(j, "MOST", 1)
+    a, b = "a b c d e f g h i j", "p q r s t u v w x y"
+    rows = [(1, a), (1, b), (2, a + " k"), (3, b + " z"), (4, "nothing like any of the others")]
+    got = j.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 5 and {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_bitmap_bound_never_excludes_a_link():
     import numpy as np
 

@@ -73,3 +73,30 @@ def test_run(spark):
 
     assert c.ORACLE_SQL is None
     assert c.run(spark, SF).columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+
+
+def awkward(spark):
+    from tests.llm.test_operators import AWKWARD
+
+    good = "One clean sentence of plain words that no rule here has reason to reject at all."
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(AWKWARD)]
+    rows += [(50, good, None, None, None), (50, good, None, None, None), (None, good + " Once more.", "en", None, 3), (None, None, None, None, None), (51, "w " * 200_000, "en", "s", 400_000)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, no rows, clashing names."""
+    import corpus_pipeline as c
+
+    docs = awkward(spark).selectExpr("*", "1 as _hit", "2 as `a.b`", "3 as mark", "text as prefix")
+    for start in (docs, docs.limit(0)):
+        now = start
+        for k, (name, stage) in enumerate(c.STAGES):
+            out = stage(spark, now, SF)
+            path = str(tmp_path / f"{name}-{start is docs}")
+            out.write.parquet(path)
+            now = spark.read.parquet(path)
+            if k < 4:
+                assert out.columns == start.columns
+        ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in now.collect())
+        assert ids == ([(False, 50), (True, 0)] if start is docs else [])
