@@ -19,6 +19,10 @@ CRATERS = [
 ]
 
 
+#: Fixed value: what labels of unknown products begin with.
+UNKNOWN_PRODUCT = "DFSAR_"
+
+
 @dataclass(frozen=True)
 class Settings:
     moon_radius_m: float = 1_737_400.0

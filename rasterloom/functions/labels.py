@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rasterloom.config import PRODUCTS
+from rasterloom.config import PRODUCTS, UNKNOWN_PRODUCT
 
 
 def tagged_constant(text: Column, tag: str, fallback: float) -> Column:
@@ -18,7 +18,7 @@ def product_label(stem: Column) -> Column:
     """The label of a file name: its sixth token if that is a product code, else the first code that it
     contains, else a readable label of its first 24 characters."""
     token = F.lower(F.get(F.split(stem, "_"), F.lit(5)))
-    out = F.concat(F.lit("DFSAR_"), F.substring(stem, 1, 24))
+    out = F.concat(F.lit(UNKNOWN_PRODUCT), F.substring(stem, 1, 24))
     for code, label in reversed(PRODUCTS.items()):
         out = F.when(F.lower(stem).contains(code), F.lit(label)).otherwise(out)
     for code, label in PRODUCTS.items():
