@@ -30,6 +30,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -103,11 +104,19 @@ def hints(docs: DataFrame) -> np.ndarray:
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
 
-def rows_of(docs: DataFrame) -> DataFrame:
+def prefix_of(s: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The elements of a set that the size bound asks to look at: by hash, frequent ones last."""
+    if len(often):
+        at = np.searchsorted(often, s)
+        at[at == len(often)] = 0
+        late = often[at] == s
+        s = np.concatenate([s[~late], s[late]])
+    return s[: len(s) + 1 - -(-3 * len(s) // 4)]
+
+
+def rows_of(docs: DataFrame, last: Broadcast) -> DataFrame:
     """doc_id, mark (of the set) and n of every row; prefix and parity too where no row of the same set in the
-    Arrow batch has a smaller doc_id."""
-    spark = docs.sparkSession
-    last = spark.sparkContext.broadcast(hints(docs))
+    Arrow batch has a smaller doc_id. last: the elements that come last in the order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +131,8 @@ def rows_of(docs: DataFrame) -> DataFrame:
                     first[m] = i
             prefix, bits = [None] * len(sets), [None] * len(sets)
             for m, i in first.items():
-                if n := len(s := sets[i]):
-                    if len(often):
-                        at = np.searchsorted(often, s)
-                        at[at == len(often)] = 0
-                        late = often[at] == s
-                        s = np.concatenate([s[~late], s[late]])
-                    prefix[i] = s[: n + 1 - -(-3 * n // 4)].tobytes()
+                if len(sets[i]):
+                    prefix[i] = prefix_of(sets[i], often).tobytes()
                     bits[i] = parity(sets[i])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())],
@@ -219,29 +223,42 @@ def pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("x", "y", "p", "q").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def forest(left: list, lsets: list[np.ndarray], right: list | None, rsets: list[np.ndarray] | None) -> list[tuple]:
-    """A spanning forest of the links between two blocks (or inside one): overlap counts by a product of the
-    incidence matrices, over the columns that both blocks have; pairs under the bound are dropped."""
-    inside = right is None
-    if inside:
-        right, rsets = left, lsets
-    cols = np.intersect1d(np.unique(np.concatenate(lsets)), np.unique(np.concatenate(rsets)), assume_unique=True)
+def matrix(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
+    """Incidence of sets and the (sorted) columns of part."""
+    m = np.zeros((len(sets), len(part)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(part, s)
+        at[at == len(part)] = 0
+        m[i, at[part[at] == s]] = 1
+    return m
 
-    def matrix(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
-        m = np.zeros((len(sets), len(part)), np.float32)
-        for i, s in enumerate(sets):
-            at = np.searchsorted(part, s)
-            at[at == len(part)] = 0
-            m[i, at[part[at] == s]] = 1
-        return m
 
-    shared = np.zeros((len(left), len(right)), np.float32)
+def product(lsets: list[np.ndarray], rsets: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of all pairs of two blocks: a product of incidence matrices, over the columns that both
+    blocks have, a slice of them at a time."""
+    shared = np.zeros((len(lsets), len(rsets)), np.float32)
+    none = np.zeros(0, np.uint64)
+    cols = np.intersect1d(np.unique(np.concatenate([none, *lsets])), np.unique(np.concatenate([none, *rsets])), assume_unique=True)
     for k in range(0, len(cols), 8192):
         part = cols[k : k + 8192]
-        a = matrix(lsets, part)
-        shared += a @ (a if inside else matrix(rsets, part)).T
+        shared += matrix(lsets, part) @ matrix(rsets, part).T
+    return shared
+
+
+def before(s: np.ndarray, column: int, often: np.ndarray) -> np.ndarray:
+    """The part of a set's prefix that stands before a column in the order (all of it if the column is of
+    another set with this doc_id)."""
+    p = prefix_of(s, often)
+    at = np.flatnonzero(p == np.uint64(column))
+    return np.sort(p[: at[0]] if len(at) else p)
+
+
+def forest(left: list, lsets: list[np.ndarray], right: list, rsets: list[np.ndarray], column: int, often: np.ndarray) -> list[tuple]:
+    """A spanning forest of the links between two blocks of a column's documents. Pairs under the bound are
+    dropped, and pairs that share an earlier column of their prefixes, as they are looked at there."""
     n, m = np.array([len(s) for s in lsets]), np.array([len(s) for s in rsets])
-    links = 7 * shared.astype(np.int64) >= 3 * (n[:, None] + m[None, :])
+    links = 7 * product(lsets, rsets).astype(np.int64) >= 3 * (n[:, None] + m[None, :])
+    links &= product([before(s, column, often) for s in lsets], [before(s, column, often) for s in rsets]) == 0
     up: dict = {}
 
     def top(v):
@@ -258,7 +275,7 @@ def forest(left: list, lsets: list[np.ndarray], right: list | None, rsets: list[
     return out
 
 
-def block_links(columns: DataFrame, sets: DataFrame) -> DataFrame:
+def block_links(columns: DataFrame, sets: DataFrame, last: Broadcast) -> DataFrame:
     """a, b: spanning forests of the links among the documents of each wide column, block against block."""
     wide = columns.filter(F.col("wide") > MOST)
     kind = columns.schema["rep"].dataType.simpleString()
@@ -271,10 +288,10 @@ def block_links(columns: DataFrame, sets: DataFrame) -> DataFrame:
     rows = numbered.join(tasks, ["s", "k"]).join(sets, "rep").select("s", "i", "j", "k", "rep", "set")
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
+        column, i, j = np.int64(key[0].as_py()).view(np.uint64), key[1].as_py(), key[2].as_py()
         ks, reps, packed = (group.column(c).to_pylist() for c in ("k", "rep", "set"))
         part = lambda b: ([r for k, r in zip(ks, reps) if k == b], [np.frombuffer(p, np.uint64) for k, p in zip(ks, packed) if k == b])
-        found = forest(*part(i), *((None, None) if i == j else part(j))) if ks else []
+        found = forest(*part(i), *part(j), column, last.value) if ks else []
         types = group.schema.field("rep").type
         return pa.table({"a": pa.array([a for a, _ in found], types), "b": pa.array([b for _, b in found], types)})
 
@@ -286,7 +303,8 @@ def classes(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
-    rows = written(spark, rows_of(docs), "rows")
+    last = spark.sparkContext.broadcast(hints(docs))
+    rows = written(spark, rows_of(docs, last), "rows")
     members = written(spark, rows.select("doc_id", "mark", "n"), "members")
     copies = copies_of(members)
     reps = representatives(rows, copies)  # read twice, for prefixes and for bitmaps; a written copy would cost more disk
@@ -295,7 +313,7 @@ def classes(docs: DataFrame) -> DataFrame:
     discard(rows)
     wanted = pairs.select(F.col("x").alias("rep")).union(pairs.select("y")).union(columns.filter(F.col("wide") > MOST).select("rep"))
     sets = written(spark, sets_of(docs, wanted), "sets")
-    links = written(spark, pair_links(pairs, sets).union(block_links(columns, sets)), "found")
+    links = written(spark, pair_links(pairs, sets).union(block_links(columns, sets, last)), "found")
     discard(columns, pairs, sets)
     labels = components(links)
     # rows meet their set's class on the set, never copies with copies; a hot set is split as a skewed join side
