@@ -25,7 +25,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm.common import map_texts, sha256_hex, table
+from rasterloom.llm.common import map_texts, sha256_hex, slim, table
 from rasterloom.llm.merge_table import MergeTable
 
 END = "</w>"
@@ -209,7 +209,7 @@ def decoded(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = [c.decode(x or b"") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, f"doc_id {key_type}, text string")
+    return ids.select("doc_id", "ids").mapInArrow(slim(run), f"doc_id {key_type}, text string")
 
 
 def round_trips(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import wraps
@@ -15,7 +18,7 @@ from rasterloom.sources.shared import discard  # noqa: F401
 
 #: Rows and bytes of one Arrow batch; a batch of long texts must still fit a Python worker.
 BATCH_ROWS = 1000
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 #: ASCII white space, the separators of words in the quality and join operators.
 SPACES = " \t\n\x0b\x0c\r"
@@ -39,6 +42,27 @@ def written(spark: SparkSession, df: DataFrame, what: str) -> DataFrame:
     return shared.written(df, what)
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system: a worker outlives its task, and
+    what it holds counts against its executor while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def slim(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """A function of batches that releases memory when its task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def plain_names(stage: Callable) -> Callable:
     """A pipeline stage that sees documents whose further columns have neutral names, so that none can clash
     with its own; the names are put back on what it returns, by position."""
@@ -73,7 +97,7 @@ def map_texts(
             arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays([keys, *arrays], [key, *[n for n, _ in kinds]])
 
-    return narrow.mapInArrow(run, f"{key} {key_type}, {schema}")
+    return narrow.mapInArrow(slim(run), f"{key} {key_type}, {schema}")
 
 
 _ARROW = {

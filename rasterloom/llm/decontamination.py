@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, plain_names, table, written
+from rasterloom.llm.common import bounded_batches, plain_names, slim, table, written
 
 WINDOW = 10
 BLOCK = 3
@@ -134,7 +134,7 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 new = [pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], *new], names=[*b.schema.names[:width], "_hit", "_items"])
 
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(slim(run), schema)
 
     df = docs
     for k, block in enumerate(blocks(benchmark)):

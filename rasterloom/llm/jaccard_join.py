@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, discard, plain_names, table, written
+from rasterloom.llm.common import bounded_batches, discard, plain_names, release, slim, table, written
 from rasterloom.operators.components import components
 
 WORDS = 5
@@ -99,7 +99,7 @@ def hints(docs: DataFrame) -> np.ndarray:
             s, n = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
 
-    counted = sample.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
+    counted = sample.mapInArrow(slim(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
     rows = counted.orderBy(F.desc("n"), "s").limit(HINTS).select("s").toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
 
@@ -139,7 +139,7 @@ def rows_of(docs: DataFrame, last: Broadcast) -> DataFrame:
                 ["doc_id", "mark", "n", "prefix", "parity"],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, mark binary, n long, prefix binary, parity binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(slim(run), f"doc_id {kind}, mark binary, n long, prefix binary, parity binary")
 
 
 def copies_of(rows: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def postings(reps: DataFrame) -> DataFrame:
             at = pa.array(np.repeat(np.arange(len(size)), size))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), b.column(0).take(at), b.column(1).take(at)], ["s", "rep", "n"])
 
-    rows = reps.select("rep", F.col("n").cast("int").alias("n"), "prefix").mapInArrow(run, f"s long, rep {kind}, n int")
+    rows = reps.select("rep", F.col("n").cast("int").alias("n"), "prefix").mapInArrow(slim(run), f"s long, rep {kind}, n int")
     w = Window.partitionBy("s")
     return rows.select("*", F.count(F.lit(1)).over(w).alias("wide")).filter("wide > 1")
 
@@ -188,7 +188,7 @@ def candidate_pairs(columns: DataFrame, reps: DataFrame) -> DataFrame:
             keep = pa.array([may_link(*z) for z in zip(nx, px, ny, py)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["x", "y"])
 
-    return both.select("x", "y", "nx", "px", "ny", "py").mapInArrow(run, f"x {kind}, y {kind}")
+    return both.select("x", "y", "nx", "px", "ny", "py").mapInArrow(slim(run), f"x {kind}, y {kind}")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             sets = [shingles(t).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
 
-    return texts.mapInArrow(run, f"rep {kind}, set binary").filter(F.length("set") > 0).distinct()
+    return texts.mapInArrow(slim(run), f"rep {kind}, set binary").filter(F.length("set") > 0).distinct()
 
 
 def pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -220,7 +220,7 @@ def pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     joined = pairs.join(sets.toDF("x", "p"), "x").join(sets.toDF("y", "q"), "y")
-    return joined.select("x", "y", "p", "q").mapInArrow(run, f"a {kind}, b {kind}")
+    return joined.select("x", "y", "p", "q").mapInArrow(slim(run), f"a {kind}, b {kind}")
 
 
 def matrix(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
@@ -293,6 +293,8 @@ def block_links(columns: DataFrame, sets: DataFrame, last: Broadcast) -> DataFra
         part = lambda b: ([r for k, r in zip(ks, reps) if k == b], [np.frombuffer(p, np.uint64) for k, p in zip(ks, packed) if k == b])
         found = forest(*part(i), *part(j), column, last.value) if ks else []
         types = group.schema.field("rep").type
+        if len(ks) > BLOCK:
+            release()
         return pa.table({"a": pa.array([a for a, _ in found], types), "b": pa.array([b for _, b in found], types)})
 
     return rows.groupBy("s", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import SPACES, arrow_types, bounded_batches, map_texts, plain_names, table
+from rasterloom.llm.common import SPACES, arrow_types, bounded_batches, map_texts, plain_names, slim, table
 
 WINDOW = 5
 SYMBOLS = "#*$%&|<>"
@@ -130,7 +130,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     more = ", ".join(f"_m_{x.strip()}" for x in MEASURES.split(","))
-    out = docs.mapInArrow(run, f"{schema}, {more}")
+    out = docs.mapInArrow(slim(run), f"{schema}, {more}")
     held = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(*[F.col(n).alias(n[3:]) for n in names]).alias("_m"))
     rejects = F.lit(mask(tuple({*BASE, *POLICIES[CURRENT]})))
     return held.filter(failures("_m.").bitwiseAND(rejects) == 0).drop("_m")

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, discard, plain_names, sha256_hex, table, written
+from rasterloom.llm.common import bounded_batches, discard, plain_names, sha256_hex, slim, table, written
 from rasterloom.llm.suffix_sort import Hashes, suffix_order
 
 LENGTH = 100
@@ -137,7 +137,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 yield settle(found)
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_mark().alias("m"))
-    return narrow.mapInArrow(run, "h long, g long, d long, q long")
+    return narrow.mapInArrow(slim(run), "h long, g long, d long, q long")
 
 
 def text_mark():
@@ -177,7 +177,7 @@ def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["h", "g", "d", "q", "seg"])
 
     joined = keyed.join(wanted, ["d", "m"]).select("d", "text", "s").dropDuplicates(["d", "text"])
-    return joined.mapInArrow(run, "h long, g long, d long, q long, seg binary")
+    return joined.mapInArrow(slim(run), "h long, g long, d long, q long, seg binary")
 
 
 def _windows(h, g, d, q, segs):
@@ -241,7 +241,7 @@ def compared(texts: DataFrame) -> DataFrame:
         if rows and (found := solve(rows)) is not None:
             yield found
 
-    return texts.repartition("h").sortWithinPartitions("h", "d", "q").mapInArrow(run, "d long, q long, n long")
+    return texts.repartition("h").sortWithinPartitions("h", "d", "q").mapInArrow(slim(run), "d long, q long, n long")
 
 
 def dealt(texts: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def dealt(texts: DataFrame) -> DataFrame:
             columns = (one.view(np.int64), half.view(np.int64), d[row], start << 16 | (q & 0xFFFF)[row])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w", "v", "d", "q"])
 
-    windows = texts.mapInArrow(run, "w long, v long, d long, q long")
+    windows = texts.mapInArrow(slim(run), "w long, v long, d long, q long")
     first = windows.groupBy("w", "v").agg(F.min(F.struct("d", F.shiftright("q", 16).alias("p"))).alias("f"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     p = F.shiftright("q", 16)
     hit = windows.join(first, ["w", "v"]).filter((F.col("d") > F.col("f.d")) | (p > F.col("f.p")))
@@ -326,7 +326,7 @@ def removals(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = with_spans(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(slim(run), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -350,4 +350,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return with_spans(docs).mapInArrow(run, schema)
+    return with_spans(docs).mapInArrow(slim(run), schema)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import bounded_batches, table
+from rasterloom.llm.common import bounded_batches, slim, table
 from rasterloom.llm.merge_table import MergeTable
 
 SPACE = "▁"
@@ -270,7 +270,7 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = TO
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return narrow.mapInArrow(slim(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
