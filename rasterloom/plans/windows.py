@@ -216,7 +216,7 @@ def _components(m: str, body: str, needs: str, way: str = "true") -> str:
 
 @query("W17_doubly_shadowed_product", _components("dpsr", ", big AS (SELECT r, c FROM label WHERE label IN (SELECT label FROM label GROUP BY label HAVING count(*) >= 5)) SELECT g.r, g.c, CASE WHEN big.r IS NULL THEN 0 ELSE 1 END AS dpsr FROM grid g LEFT JOIN big ON big.r = g.r AND big.c = g.c", "dpsr grid"))
 def w17(spark, d):
-    kept = without_small(regions(dpsr(spark, d), derived.WIDTH), 5)
+    kept = without_small(regions(w15_tiled(spark, d), derived.WIDTH), 5)
     return ray_ops.scattered(derived.grid(spark, d), kept, "dpsr")
 
 
