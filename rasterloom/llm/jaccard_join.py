@@ -20,7 +20,7 @@ one shingle; repeated rows are one document and appear as often as before; rows
 different texts are distinct sets that meet in one component; a null doc_id keeps its row, counts for no
 component's smallest id, and has a null component unless its set has another row; an empty table gives an
 empty one; other columns are ignored. No partner or candidate is dropped. Memory of a task: one Arrow batch
-or two blocks of BLOCK sets.
+or two blocks of BLOCK sets, fewer where sets are large.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ WORDS = 5
 #: Columns of so many documents give pairs directly; wider ones are block products.
 MOST = 64
 BLOCK = 512
+#: Elements of a set that count as one document's when blocks are filled.
+USUAL = 500
 SAMPLE = 16
 OFTEN = 3
 HINTS = 1_000_000
@@ -279,8 +281,10 @@ def block_links(columns: DataFrame, sets: DataFrame, last: Broadcast) -> DataFra
     """a, b: spanning forests of the links among the documents of each wide column, block against block."""
     wide = columns.filter(F.col("wide") > MOST)
     kind = columns.schema["rep"].dataType.simpleString()
-    w = Window.partitionBy("s").orderBy("n", "rep")  # by size: blocks too far apart in size never meet
-    numbered = wide.select("s", "rep", "n", F.floor((F.row_number().over(w) - 1) / BLOCK).cast("int").alias("k"))
+    # by size: blocks too far apart in size never meet; a block holds BLOCK documents or BLOCK * USUAL elements
+    w = Window.partitionBy("s").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, 0)
+    weight = F.sum(F.greatest("n", F.lit(USUAL))).over(w)
+    numbered = wide.select("s", "rep", "n", F.floor((weight - 1) / (BLOCK * USUAL)).cast("int").alias("k"))
     ranges = numbered.groupBy("s", "k").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     i, j = ranges.toDF("s", "i", "ilo", "ihi"), ranges.toDF("s", "j", "jlo", "jhi")
     tasks = i.join(j, "s").filter((F.col("i") <= F.col("j")) & (4 * F.col("ihi") >= 3 * F.col("jlo")))
