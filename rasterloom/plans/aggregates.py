@@ -135,9 +135,11 @@ def f17(spark, d):
 
 @query("F18_neighbourhood", sql("shadow", f"SELECT o.r, o.c, {q6('avg(t.psr)')} AS share FROM shadow o JOIN shadow t ON abs(t.r - o.r) <= 5 AND abs(t.c - o.c) <= 5 WHERE o.r % 20 = 0 AND o.c % 8 = 0 GROUP BY o.r, o.c"))
 def f18(spark, d):
+    """Shares over 21x21 (share) and 101x101 (share_101) around every pixel, cut at the edges."""
+    size = (derived.table(spark, d, "embeddings").count(), derived.WIDTH)
     s = derived.shadow(spark, d).select("r", "c", c("psr").cast("double").alias("psr"), F.lit(1.0).alias("k"))
-    box = box_sums(s, ["psr", "k"], (11, 11), (derived.table(spark, d, "embeddings").count(), derived.WIDTH), reflect=False)
-    return box.filter("r % 20 = 0 and c % 8 = 0").select("r", "c", r6(c("psr") / c("k")).alias("share"))
+    near, wide = (box_sums(s, ["psr", "k"], (n, n), size, reflect=False).select("r", "c", r6(c("psr") / c("k")).alias(x)) for n, x in ((21, "share"), (101, "share_101")))
+    return near.join(wide, ["r", "c"])
 
 
 @query("F19_accounting", sql("bands", "SELECT count(*) FILTER (psr > 0 AND zit > 1.5) AS lit, count(*) FILTER (psr > 0 AND NOT zit > 1.5) AS dark, count(*) FILTER (NOT psr > 0) AS outside FROM bands"))
