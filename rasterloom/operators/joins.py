@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["r", "c"]
@@ -27,6 +27,21 @@ def offset_pairs(df: DataFrame, other: DataFrame, reach: int, include_self: bool
     return e.join(seen, ["tr", "tc"])
 
 
+def within(grid: DataFrame, target: Column, radius: int) -> DataFrame:
+    """grid, a row for every pixel, with within: whether a target lies in a circle of radius pixels around it. The
+    nearest target of a pixel's own column says how far along the line that column reaches; a pixel is within if
+    the reach of some column of its line covers it. Four running windows, whatever the radius."""
+    column, line, first = Window.partitionBy("c"), Window.partitionBy("r"), Window.unboundedPreceding
+    down, up, right, left = (w.orderBy(k).rowsBetween(first, 0) for w, k in ((column, "r"), (column, F.desc("r")), (line, "c"), (line, F.desc("c"))))
+    at = F.when(target, F.col("r"))
+    g = grid.withColumns({"_u": F.max(at).over(down), "_d": F.min(at).over(up)})
+    g = g.withColumn("_g", F.least(F.col("r") - F.col("_u"), F.col("_d") - F.col("r")).cast("long"))
+    g = g.withColumn("_w", F.when(F.col("_g") <= radius, F.floor(F.sqrt(radius * radius - F.col("_g") * F.col("_g")))))
+    before = F.max(F.col("c") + F.col("_w")).over(right) >= F.col("c")
+    after = F.min(F.col("c") - F.col("_w")).over(left) <= F.col("c")
+    return g.withColumn("within", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).drop("_u", "_d", "_g", "_w")
+
+
 def in_circles(df: DataFrame, circles: DataFrame) -> DataFrame:
     """Pixels in circles (name, r0, c0, radius), a small table that is broadcast; a box comes before the circle."""
     dr, dc = F.col("r") - F.col("r0"), F.col("c") - F.col("c0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterloom.config import SETTINGS
 from rasterloom.functions import geodesy, polarimetry as pol, validity
 from rasterloom.operators import joins, rays as ray_ops
 from rasterloom.operators.resample import border_distance, inside, nearest
@@ -114,7 +115,7 @@ t AS (SELECT *, greatest(least(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (
 g AS (SELECT r, c, min(sqrt((x - (x1 + u * (x2 - x1))) ** 2 + (y - (y1 + u * (y2 - y1))) ** 2)) AS distance FROM t GROUP BY r, c)
 SELECT r, c, inside::INT AS inside, {q6('distance')} AS distance FROM i JOIN g USING (r, c)"""))
 def c13(spark, d):
-    p = derived.grid(spark, d).filter("r % 5 = 0").select("r", "c")
+    p = derived.grid(spark, d).select("r", "c")
     x, y = c("c") + 0.5, c("r") + 0.5
     near = border_distance(p, POLYGONS, x, y)
     return inside(p, POLYGONS, x, y).join(near, ["r", "c"]).select("r", "c", "inside", r6("distance").alias("distance"))
@@ -129,7 +130,7 @@ def d1(spark, d):
 
 @query("D2_optional_bands", sql("bands", f"SELECT r, c, {q6('zit')} AS zit, {q6('dop')} AS dop FROM bands WHERE r % 2 = 0"))
 def d2(spark, d):
-    b = derived.bands(spark, d).filter("r % 2 = 0")
+    b = derived.bands(spark, d)
     out = joins.aligned([b.select("r", "c", "zit"), b.select("r", "c", "dop").filter("dop is not null")], "left")
     return out.select("r", "c", r6("zit").alias("zit"), r6("dop").alias("dop"))
 
@@ -212,6 +213,4 @@ def d10(spark, d):
 WHERE o.psr = 1 AND o.r % 3 = 0 GROUP BY o.r, o.c"""))
 def d11(spark, d):
     s = derived.shadow(spark, d)
-    asked = s.filter("psr = 1 and r % 3 = 0").select("r", "c")
-    near = joins.offset_pairs(asked, s.filter("psr = 0").select("r", "c"), 1).select("r", "c").distinct().withColumn("reachable", F.lit(True))
-    return asked.join(near, ["r", "c"], "left").select("r", "c", F.coalesce("reachable", F.lit(False)).alias("reachable"))
+    return joins.within(s, c("psr") == 0, SETTINGS.max_distance).filter("psr = 1").select("r", "c", c("within").alias("reachable"))

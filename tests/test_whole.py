@@ -25,3 +25,29 @@ def test_neighbourhood_of_every_pixel(spark):
         for half, name in ((10, "share"), (50, "share_101")):
             win = psr[max(0, r - half) : r + half + 1, max(0, k - half) : k + half + 1]
             assert abs(x[name] - win.mean()) < 1e-6
+
+
+def test_polygons_and_optional_bands_reach_every_pixel(spark):
+    want = {(r, k) for r, line in enumerate(lines()) for k in range(len(line))}
+    for name in ("C13_polygon_distance", "D2_optional_bands"):
+        got = [(r["r"], r["c"]) for r in rows(spark, name)]
+        assert len(got) == len(want) and set(got) == want, name
+
+
+def test_reach_of_every_shadowed_pixel(spark):
+    v = lines()
+    assert {(r["r"], r["c"]): r["reachable"] for r in rows(spark, "D11_reachable")} == {(int(r), int(k)): True for r, k in zip(*np.where(v < 0.1))}
+
+
+def test_within_a_circle(spark):
+    from pyspark.sql import functions as F
+
+    from rasterloom.operators import joins
+
+    rng = np.random.default_rng(8)
+    for share, radius in ((0.02, 5), (0.01, 13), (0.0, 3)):
+        lit = rng.random((30, 22)) < share
+        g = spark.createDataFrame([(r, k, int(x)) for r, line in enumerate(lit) for k, x in enumerate(line)], "r int, c int, lit int")
+        at = np.argwhere(lit)
+        want = {(r, k): bool(len(at) and (((at - (r, k)) ** 2).sum(1) <= radius * radius).any()) for r in range(30) for k in range(22)}
+        assert {(r["r"], r["c"]): r["within"] for r in joins.within(g, F.col("lit") == 1, radius).collect()} == want
