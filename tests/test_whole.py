@@ -51,3 +51,14 @@ def test_within_a_circle(spark):
         at = np.argwhere(lit)
         want = {(r, k): bool(len(at) and (((at - (r, k)) ** 2).sum(1) <= radius * radius).any()) for r in range(30) for k in range(22)}
         assert {(r["r"], r["c"]): r["within"] for r in joins.within(g, F.col("lit") == 1, radius).collect()} == want
+
+
+def test_quick_compare_takes_all_pixels(spark):
+    e = lines()
+    at = lambda k: np.roll(e, -k, axis=1)
+    cpr = np.where(at(5) <= 0.2, 0.4 + 2 * e, np.nan)
+    official = np.where(at(57) <= 0.2, 0.5 + 1.6 * e + 0.6 * at(56), np.nan)
+    ok = (cpr > 0) & (cpr <= 20) & (official > 0) & (official <= 20)
+    (x,) = rows(spark, "G15_quick_compare")
+    assert x["n"] == ok.sum() and ok.sum() > 10_000
+    assert abs(x["r"] - np.corrcoef(cpr[ok], official[ok])[0, 1]) < 1e-6
