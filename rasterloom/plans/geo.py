@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geodesy
@@ -15,17 +14,23 @@ from rasterloom.plans.windows import AZIMUTHS, dpsr, grad, shape
 from rasterloom.sources import derived
 
 c = F.col
+#: The table that the oracles were written for; the queries take the whole table and the whole grid.
 N_AZ, N_RG, SCENE_H, SCENE_W = 20, 9, 115, 41
 relation("tiegrid", f"""SELECT (n // 9)::INT AS i, (n % 9)::INT AS j, lat, lon, (n // 9) * {SCENE_H - 1} / {N_AZ - 1}.0::DOUBLE AS row_px, (n % 9) * {SCENE_W - 1} / {N_RG - 1}.0::DOUBLE AS col_px
 FROM ties WHERE n < {N_AZ * N_RG}""", "ties")
 
 
+def n_az(spark, d) -> int:
+    """Whole lines of tie points, as tie_group() counts them."""
+    return derived.table(spark, d, "events").count() // N_RG
+
+
 def tie_grid(spark, d):
-    return resample.tie_grid(derived.ties(spark, d).filter(c("n") < N_AZ * N_RG), N_RG, N_AZ, SCENE_H, SCENE_W)
+    return resample.tie_grid(derived.ties(spark, d), N_RG, n_az(spark, d), *shape(spark, d))
 
 
-def scene(spark):
-    return spark.range(SCENE_H).select(c("id").cast("int").alias("r")).crossJoin(spark.range(SCENE_W).select(c("id").cast("int").alias("c")))
+def target(spark, h, w):
+    return spark.range(h).select(c("id").cast("int").alias("r")).crossJoin(spark.range(w).select(c("id").cast("int").alias("c")))
 
 
 @query("T1_tie_grid", sql("tiegrid", f"SELECT i, j, {', '.join(q6(x) + f' AS {x}' for x in ('lat', 'lon', 'row_px', 'col_px'))} FROM tiegrid"))
@@ -46,8 +51,9 @@ JOIN tiegrid d ON d.i = p.i + 1 AND d.j = p.j JOIN tiegrid e ON e.i = p.i + 1 AN
 
 
 def located(spark, d):
-    fi, fj = c("r") * (N_AZ - 1) / float(SCENE_H - 1), c("c") * (N_RG - 1) / float(SCENE_W - 1)
-    return resample.interpolate(scene(spark), tie_grid(spark, d), ["lat", "lon"], fi, fj, N_AZ, N_RG)
+    (h, w), n = shape(spark, d), n_az(spark, d)
+    fi, fj = c("r") * (n - 1) / float(h - 1), c("c") * (N_RG - 1) / float(w - 1)
+    return resample.interpolate(target(spark, h, w), tie_grid(spark, d), ["lat", "lon"], fi, fj, n, N_RG)
 
 
 @query("T3_geolocate", sql("located", f"SELECT r::INT AS r, c::INT AS c, {q6('lat')} AS lat, {q6('lon')} AS lon FROM located"))
@@ -59,9 +65,10 @@ def t3(spark, d):
 SELECT p.r::INT AS r, {q6('a.lat + (fa - p.i) * (b.lat - a.lat)')} AS lat FROM p JOIN tiegrid a ON a.i = p.i AND a.j = 4 JOIN tiegrid b ON b.i = p.i + 1 AND b.j = 4"""))
 def t4(spark, d):
     mid = tie_grid(spark, d).filter(c("j") == N_RG // 2).select("i", "lat")
-    step = mid.withColumn("next", F.lead("lat").over(Window.partitionBy(F.lit(0)).orderBy("i")))  # tie lines of one scene
-    fa = c("r") * (N_AZ - 1) / float(SCENE_H - 1)
-    lines = spark.range(SCENE_H).select(c("id").cast("int").alias("r")).withColumn("fa", fa).withColumn("i", F.least(F.floor("fa"), F.lit(N_AZ - 2)).cast("int"))
+    step = mid.join(mid.select((c("i") - 1).alias("i"), c("lat").alias("next")), "i")
+    (h, _), n = shape(spark, d), n_az(spark, d)
+    fa = c("r") * (n - 1) / float(h - 1)
+    lines = spark.range(h).select(c("id").cast("int").alias("r")).withColumn("fa", fa).withColumn("i", F.least(F.floor("fa"), F.lit(n - 2)).cast("int"))
     return lines.join(step, "i").select("r", r6(c("lat") + (c("fa") - c("i")) * (c("next") - c("lat"))).alias("lat"))
 
 

@@ -62,3 +62,34 @@ def test_quick_compare_takes_all_pixels(spark):
     (x,) = rows(spark, "G15_quick_compare")
     assert x["n"] == ok.sum() and ok.sum() > 10_000
     assert abs(x["r"] - np.corrcoef(cpr[ok], official[ok])[0, 1]) < 1e-6
+
+
+def ties():
+    got = duckdb.sql(f"SELECT -90 + value / 50, user_id * 2.4 - 180 FROM '{SF}/events.parquet' ORDER BY event_id").fetchall()
+    n = len(got) // 9
+    return np.array(got, np.float64)[: n * 9].reshape(n, 9, 2)
+
+
+def test_ties_of_all_lines(spark):
+    t, (h, w) = ties(), lines().shape
+    n = len(t)
+    got = {(x["i"], x["j"]): x for x in rows(spark, "T1_tie_grid")}
+    assert set(got) == {(i, j) for i in range(n) for j in range(9)}
+    for (i, j), x in got.items():
+        want = (*t[i, j], i * (h - 1) / (n - 1), j * (w - 1) / 8)
+        assert np.allclose([x["lat"], x["lon"], x["row_px"], x["col_px"]], want, atol=1e-5)
+    assert {(x["i"], x["j"]) for x in rows(spark, "T2_control_points")} == {(i, j) for i in range(0, n, 10) for j in range(9)}
+
+
+def test_geolocation_of_every_pixel(spark):
+    t, (h, w) = ties(), lines().shape
+    n = len(t)
+    fa, fr = np.arange(h) * (n - 1) / (h - 1), np.arange(w) * 8 / (w - 1)
+    across = np.stack([[np.interp(fr, np.arange(9), line[:, k]) for line in t] for k in (0, 1)], -1)
+    want = np.stack([[np.interp(fa, np.arange(n), across[:, k, x]) for k in range(w)] for x in (0, 1)], -1)
+    got = rows(spark, "T3_geolocate")
+    assert len(got) == h * w
+    assert all(np.allclose((x["lat"], x["lon"]), want[x["c"], x["r"]], atol=1e-5) for x in got)
+    track = {x["r"]: x["lat"] for x in rows(spark, "T4_along_track")}
+    assert len(track) == h and np.allclose([track[r] for r in range(h)], np.interp(fa, np.arange(n), t[:, 4, 0]), atol=1e-5)
+    assert sum(x["n"] for x in rows(spark, "T7_forward_grid")) == h * w
