@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geodesy
@@ -79,14 +81,15 @@ floor(fr) + i AS sr, floor(fc) + j AS sc FROM p, size, (VALUES (0), (1)) x(i), (
 g AS (SELECT k.r, k.c, sum(wt * coalesce(dop, 0)) AS s, sum(CASE WHEN dop IS NULL THEN wt ELSE 0 END) AS bad FROM k LEFT JOIN bands b ON b.r = sr AND b.c = sc WHERE wt > 0 GROUP BY k.r, k.c)"""
 
 
-def coarse(spark):
-    return spark.range(334).select(c("id").cast("int").alias("r")).crossJoin(spark.range(44).select(c("id").cast("int").alias("c")))
+def coarse(spark, d):
+    """The coarser grid over the whole of the source, ending behind its last pixel."""
+    return target(spark, *(math.ceil((n + 1) / _STEP) for n in shape(spark, d)))
 
 
 @query("T5_resample", sql("grid size bands", _RESAMPLED + f" SELECT p.r::INT AS r, p.c::INT AS c, {q6('CASE WHEN bad <= 0.5 THEN s END')} AS dop FROM p LEFT JOIN g ON g.r = p.r AND g.c = p.c"))
 def t5(spark, d):
     h, w = shape(spark, d)
-    out = resample.sampled(coarse(spark), derived.bands(spark, d).select("r", "c", "dop"), "dop", (c("r") + 0.5) * _STEP - 0.5, (c("c") + 0.5) * _STEP - 0.5, h, w)
+    out = resample.sampled(coarse(spark, d), derived.bands(spark, d).select("r", "c", "dop"), "dop", (c("r") + 0.5) * _STEP - 0.5, (c("c") + 0.5) * _STEP - 0.5, h, w)
     return out.select("r", "c", r6("dop").alias("dop"))
 
 
@@ -126,7 +129,7 @@ def t9(spark, d):
     """Several bands to one coarser grid, nearest pixel: one plan, whose bands run side by side."""
     b, out = derived.bands(spark, d), None
     for name in ("zit", "slope"):
-        one = resample.nearest(coarse(spark), b.select("r", "c", c(name).alias("v")), "v", F.floor((c("r") + 0.5) * 1.5).cast("int"), F.floor((c("c") + 0.5) * 1.5).cast("int"))
+        one = resample.nearest(coarse(spark, d), b.select("r", "c", c(name).alias("v")), "v", F.floor((c("r") + 0.5) * 1.5).cast("int"), F.floor((c("c") + 0.5) * 1.5).cast("int"))
         one = one.select(F.lit(name).alias("band"), "r", "c", r6("v").alias("v"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -139,8 +142,9 @@ SELECT k.i::INT AS r, k.j::INT AS c, {q6('sum(wt * v)')} AS v FROM k JOIN grid g
 def t8(spark, d):
     g = derived.grid(spark, d)
     place = g.select("r", "c", "v", (c("c") * 10.0 + c("v")).alias("x"), (c("r") * 10.0 + c("v")).alias("y"))
-    target = spark.range(120).select(c("id").cast("int").alias("r"), (c("id") * 7 + 5.0).alias("y")).crossJoin(spark.range(80).select(c("id").cast("int").alias("c"), (c("id") * 7 + 5.0).alias("x")))
-    return resample.separable_warp(place, target, "v", *shape(spark, d)).select("r", "c", r6("v").alias("v"))
+    h, w = shape(spark, d)  # lines and columns lie 10 apart, targets 7
+    points = target(spark, math.ceil(h * 10 / 7), math.ceil(w * 10 / 7)).withColumns({"y": c("r") * 7 + 5.0, "x": c("c") * 7 + 5.0})
+    return resample.separable_warp(place, points, "v", h, w).select("r", "c", r6("v").alias("v"))
 
 
 @query("T10_rasterise", sql("grid sides", """WITH p AS (SELECT r, c, c + 0.5 AS x, r + 0.5 AS y FROM grid),

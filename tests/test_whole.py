@@ -93,3 +93,28 @@ def test_geolocation_of_every_pixel(spark):
     track = {x["r"]: x["lat"] for x in rows(spark, "T4_along_track")}
     assert len(track) == h and np.allclose([track[r] for r in range(h)], np.interp(fa, np.arange(n), t[:, 4, 0]), atol=1e-5)
     assert sum(x["n"] for x in rows(spark, "T7_forward_grid")) == h * w
+
+
+def bilinear(v, fr, fc):
+    i, j = int(fr), int(fc)
+    y, x = min(i + 1, v.shape[0] - 1), min(j + 1, v.shape[1] - 1)
+    a, b = fr - i, fc - j
+    return v[i, j] * (1 - a) * (1 - b) + v[i, x] * (1 - a) * b + v[y, j] * a * (1 - b) + v[y, x] * a * b
+
+
+def test_separable_warp_covers_the_grid(spark):
+    v = lines()
+    h, w = v.shape
+    ys, xs = np.arange(h) * 10 + v.mean(1), np.arange(w) * 10 + v.mean(0)
+    inside = lambda n, m: [i for i in range(n * 2) if m[0] <= i * 7 + 5 < m[-1]]
+    want = {(i, j): bilinear(v, np.interp(i * 7 + 5, ys, np.arange(h)), np.interp(j * 7 + 5, xs, np.arange(w))) for i in inside(h, ys) for j in inside(w, xs)}
+    got = {(x["r"], x["c"]): x["v"] for x in rows(spark, "T8_separable_warp")}
+    assert {k for k, x in got.items() if x is not None} == set(want)
+    assert all(abs(got[k] - x) < 2e-6 for k, x in want.items())
+
+
+def test_coarse_grid_grows_with_the_table(spark, tmp_path):
+    duckdb.sql(f"COPY (SELECT * FROM '{SF}/embeddings.parquet' UNION ALL SELECT vec_id + 500, * EXCLUDE (vec_id) FROM '{SF}/embeddings.parquet') TO '{tmp_path}/embeddings.parquet'")
+    for name, column, most in (("T5_resample", "dop", 41), ("T9_resample_bands", "v", 42)):
+        got = registry.queries()[name](spark, str(tmp_path)).collect()
+        assert max(x["r"] for x in got if x[column] is not None) >= 665 and max(x["c"] for x in got if x[column] is not None) == most, name
