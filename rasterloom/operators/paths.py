@@ -1,26 +1,73 @@
-"""Least-cost distances over a cost surface, by relaxing the frontier until nothing changes."""
+"""Least-cost distances over a cost surface, tile by tile until no tile's border improves."""
 
 from __future__ import annotations
 
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.sources.shared import discard, written
 
+_SCHEMA = "r int, c int, cost double, dist double, new boolean"
+_MOVES = [(a, b, (a * a + b * b) ** 0.5) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+
+
+def _solved(key, own: pa.Table, told: pa.Table) -> pa.Table:
+    """The pixels of one tile after the told ones (its own, or a border of its neighbours) have spread over it."""
+    r, c, cost = (own.column(x).to_numpy() for x in ("r", "c", "cost"))
+    old = np.where(own.column("dist").is_null().to_numpy(), np.inf, own.column("dist").fill_null(0.0).to_numpy())
+    if not len(r) or not told.num_rows:
+        new, dist = np.zeros(len(r), bool), old
+    else:
+        top, left = r.min() - 1, c.min() - 1
+        h, w = r.max() - top + 2, c.max() - left + 2
+        costs, best, inner = np.full((h, w), np.nan), np.full((h, w), np.inf), np.zeros((h, w), bool)
+        costs[r - top, c - left], best[r - top, c - left], inner[r - top, c - left] = cost, old, True
+        tr, tc, tcost, tdist = (told.column(x).to_numpy() for x in ("r", "c", "cost", "dist"))
+        y, x = tr - top, tc - left
+        on = (y >= 0) & (y < h) & (x >= 0) & (x < w)
+        y, x = y[on], x[on]
+        costs[y, x], best[y, x] = tcost[on], tdist[on]
+        seeds = (y * w + x).tolist()
+        k, d, mine = costs.ravel().tolist(), best.ravel().tolist(), inner.ravel().tolist()
+        moves = [(int(a * w + b), s / 2) for a, b, s in _MOVES]
+        heap = [(d[p], p) for p in seeds]
+        heapq.heapify(heap)
+        size = len(k)
+        while heap:
+            at, p = heapq.heappop(heap)
+            if at > d[p]:
+                continue
+            for step, s in moves:
+                q = p + step
+                if 0 <= q < size and mine[q] and (there := at + s * (k[p] + k[q])) < d[q] - 1e-12:
+                    d[q] = there
+                    heapq.heappush(heap, (there, q))
+        dist = np.array(d).reshape(h, w)[r - top, c - left]
+        start = np.zeros((h, w), bool)
+        start[y, x] = True
+        new = (dist < old) | start[r - top, c - left]
+    return pa.table({"r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32()), "cost": cost, "dist": pa.array(dist, pa.float64(), mask=np.isinf(dist)), "new": new})
+
 
-def least_cost(cost: DataFrame, start: tuple[int, int]) -> DataFrame:
+def least_cost(cost: DataFrame, start: tuple[int, int], tile: int = 512) -> DataFrame:
     """r, c, dist: the least sum of step costs from start; a step costs its length times the mean of both
-    pixels' costs. Only pixels that improved are relaxed in the next round; rounds are written."""
-    cost = written(cost.select("r", "c", "cost"), "cost")
-    moves = [(a, b, (a * a + b * b) ** 0.5) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-    ways = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("s")) for a, b, s in moves])).alias("w")
-    best = cost.filter((F.col("r") == start[0]) & (F.col("c") == start[1])).select("r", "c", F.lit(0.0).alias("dist"), F.lit(True).alias("new"))
-    best = written(best, "front")
-    while best.filter("new").head(1):
-        front = best.filter("new").join(cost, ["r", "c"]).select("r", "c", "dist", F.col("cost").alias("c0"), ways)
-        front = front.select((F.col("r") + F.col("w.a")).alias("r"), (F.col("c") + F.col("w.b")).alias("c"), "dist", "c0", F.col("w.s").alias("s"))
-        tried = front.join(cost, ["r", "c"]).groupBy("r", "c").agg(F.min(F.col("dist") + F.col("s") * (F.col("c0") + F.col("cost")) / 2).alias("try"))
-        step = best.join(tried, ["r", "c"], "full").select("r", "c", F.least("dist", "try").alias("dist"), (F.col("dist").isNull() | (F.col("try") < F.col("dist") - 1e-12)).alias("better"))
-        last, best = best, written(step.select("r", "c", "dist", F.coalesce("better", F.lit(False)).alias("new")), "front")
+    pixels' costs. A tile is searched whenever pixels next to it improved, so that there are about as many rounds
+    as tiles on the longest path; rounds are written. A task holds a tile. No row where nothing leads."""
+    place = [F.floor(F.col(x) / tile).cast("int").alias(f"t{x}") for x in "rc"]
+    first = (F.col("r") == start[0]) & (F.col("c") == start[1])
+    state = cost.filter("cost is not null").select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("cost").cast("double").alias("cost"), F.when(first, 0.0).alias("dist"), first.alias("new"))
+    state, own = written(state, "front"), True
+    while state.filter("new").head(1):
+        near = lambda x: F.explode(F.sequence(F.floor((F.col(x) - 1) / tile).cast("int"), F.floor((F.col(x) + 1) / tile).cast("int"))).alias(f"t{x}")
+        told = state.filter("new").select("r", "c", "cost", "dist", near("r")).select("*", near("c"))
+        if not own:  # a tile has spread its own pixels already
+            told = told.filter((F.col("tr") != F.floor(F.col("r") / tile)) | (F.col("tc") != F.floor(F.col("c") / tile)))
+        tiles = state.select("r", "c", "cost", "dist", *place)
+        last, state = state, written(tiles.groupBy("tr", "tc").cogroup(told.groupBy("tr", "tc")).applyInArrow(_solved, _SCHEMA), "front")
         discard(last)
-    return best.select("r", "c", "dist")
+        own = False
+    return state.filter("dist is not null").select("r", "c", "dist")
