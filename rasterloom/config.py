@@ -31,6 +31,7 @@ class Settings:
     nodata: float = -9999.0
     calibration_db: float = 70.308868
     max_distance: int = 2500
+    n_angles: int = 72
     looks_az: int = 19
     looks_rg: int = 3
     valid_fraction: float = 0.5

@@ -3,7 +3,7 @@
 The relational casts of rays.py make a row per observer and step. Here a pixel is shuffled once per tile whose
 halo it lies in (4 / tile * reach times for a square tile, whatever the number of azimuths), and each tile
 steps all of its observers along a ray at once in arrays, dropping observers as soon as they are settled.
-Results equal those of rays.py. A task holds one tile and its halo: (tile + 2 reach) squared values, a bound
+Results equal those of rays.py. A task holds one tile and its halo: (tile + 2 reach) values each way, a bound
 that the caller sets; the shuffle grows with the grid, not with azimuths x steps.
 """
 
@@ -48,15 +48,34 @@ def sun_table(azimuths: list[float], max_steps: int, cell: float = SETTINGS.cell
     return out
 
 
-def reach(table: Table) -> int:
-    return max((int(max(abs(dr).max(), abs(dc).max())) for dr, dc, _ in table if len(dr)), default=0)
+def rounded_table(n_angles: int, max_steps: int, cell: float = SETTINGS.cell_m) -> Table:
+    """The rays of rays.rounded_rays(), as arrays."""
+    out = []
+    k = np.arange(1, max_steps + 1)
+    for a in range(n_angles):
+        rad = a * (2 * 3.141592653589793) / n_angles
+        dr, dc = np.rint(math.sin(rad) * k).astype(int), np.rint(math.cos(rad) * k).astype(int)
+        out.append((dr, dc, np.maximum(np.sqrt(dr * dr + dc * dc) * cell, 1.0)))
+    return out
+
 
+def inside(table: Table, h: int, w: int) -> Table:
+    """The steps that can land on a grid of h x w: a ray is monotone in both axes, so that this loses no pixel."""
+    on = [(abs(dr) < h) & (abs(dc) < w) for dr, dc, _ in table]
+    return [(dr[k], dc[k], dist[k]) for (dr, dc, dist), k in zip(table, on)]
 
-def tiled(grid: DataFrame, columns: list[str], tile: int, halo: int, solve: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
+
+def reach(table: Table) -> tuple[int, int]:
+    """Rows and columns that the longest rays span."""
+    return tuple(max((int(abs(ray[axis]).max()) for ray in table if len(ray[0])), default=0) for axis in (0, 1))
+
+
+def tiled(grid: DataFrame, columns: list[str], tile: int, halo: tuple[int, int], solve: Callable[..., dict[str, np.ndarray]], schema: str) -> DataFrame:
     """Runs solve(r, c, top, left, arrays, there) on every tile: r and c place its pixels in arrays, which are the
     columns over tile and halo (NaN without a pixel, `there` says where one is), cornered at row top, column left."""
-    near = lambda x: F.sequence(F.floor((F.col(x) - halo) / tile).cast("int"), F.floor((F.col(x) + halo) / tile).cast("int"))
-    e = grid.select("r", "c", *columns).select("*", F.explode(near("r")).alias("tr")).select("*", F.explode(near("c")).alias("tc"))
+    hr, hc = halo
+    near = lambda x, n: F.sequence(F.floor((F.col(x) - n) / tile).cast("int"), F.floor((F.col(x) + n) / tile).cast("int"))
+    e = grid.select("r", "c", *columns).select("*", F.explode(near("r", hr)).alias("tr")).select("*", F.explode(near("c", hc)).alias("tc"))
     arrow = {"int": pa.int32(), "double": pa.float64()}
     kinds = [(n, arrow[t]) for n, t in (x.strip().split(" ") for x in schema.split(","))]
 
@@ -67,13 +86,13 @@ def tiled(grid: DataFrame, columns: list[str], tile: int, halo: int, solve: Call
         own = (r >= r0) & (r < r0 + tile) & (c >= c0) & (c < c0 + tile)
         if not own.any():  # a tile outside of the grid
             return pa.table({n: pa.array([], t) for n, t in kinds})
-        top, left = r0 - halo, c0 - halo
+        top, left = r0 - hr, c0 - hc
         arrays = {}
         for name in columns:
-            x = np.full((tile + 2 * halo, tile + 2 * halo), np.nan)
+            x = np.full((tile + 2 * hr, tile + 2 * hc), np.nan)
             x[r - top, c - left] = group.column(name).to_numpy(zero_copy_only=False)
             arrays[name] = x
-        there = np.zeros((tile + 2 * halo, tile + 2 * halo), bool)
+        there = np.zeros((tile + 2 * hr, tile + 2 * hc), bool)
         there[r - top, c - left] = True
         found = solve(r[own] - top, c[own] - left, top, left, arrays, there)
         return pa.table({n: pa.array(found[n], t) for n, t in kinds})
@@ -81,8 +100,9 @@ def tiled(grid: DataFrame, columns: list[str], tile: int, halo: int, solve: Call
     return e.groupBy("tr", "tc").applyInArrow(run, schema)
 
 
-def doubly_shadowed(shadow: DataFrame, table: Table, tile: int = 512, radius: float = SETTINGS.moon_radius_m) -> DataFrame:
-    """r, c of shadowed pixels that see no pixel out of the shadow, over a sphere."""
+def doubly_shadowed(shadow: DataFrame, table: Table, tile: int = 512, radius: float | None = SETTINGS.moon_radius_m, target: str | None = None) -> DataFrame:
+    """r, c of shadowed pixels that see no pixel out of the shadow (none whose column `target` is 1, if given), over a
+    sphere, or over a plane without radius."""
     halo = reach(table)
 
     def solve(r, c, top, left, arrays, there):
@@ -94,7 +114,7 @@ def doubly_shadowed(shadow: DataFrame, table: Table, tile: int = 512, radius: fl
             at = np.flatnonzero(left_over)  # settled observers cast no further ray
             if not len(at):
                 break
-            r1 = radius + z[r[at], c[at]]
+            r1 = (radius or 0.0) + z[r[at], c[at]]
             highest = np.full(len(at), -1e18)
             for a, b, d in zip(dr, dc, dist):
                 y, x = r[at] + a, c[at] + b
@@ -102,20 +122,49 @@ def doubly_shadowed(shadow: DataFrame, table: Table, tile: int = 512, radius: fl
                 at, r1, highest, y, x = at[on], r1[on], highest[on], y[on], x[on]
                 if not len(at):
                     break
-                r2 = radius + z[y, x]
-                tan = r1 * (r2 - np.sqrt(d * d + r1 * r1)) / (d * r2)
-                sees = (psr[y, x] == 0) & (tan >= highest)
+                if radius is None:
+                    tan = (z[y, x] - r1) / d
+                else:
+                    r2 = radius + z[y, x]
+                    tan = r1 * (r2 - np.sqrt(d * d + r1 * r1)) / (d * r2)
+                sees = (psr[y, x] == 0 if target is None else arrays[target][y, x] == 1) & (tan >= highest)
                 left_over[at[sees]] = False
                 highest = np.maximum(highest, np.nan_to_num(tan, nan=-1e18))
                 at, r1, highest = at[~sees], r1[~sees], highest[~sees]
         return {"r": (r[left_over] + top).astype(np.int32), "c": (c[left_over] + left).astype(np.int32)}
 
-    return tiled(shadow, ["z", "psr"], tile, halo, solve, "r int, c int")
+    return tiled(shadow, ["z", "psr", *([target] if target else [])], tile, halo, solve, "r int, c int")
+
+
+def looks(shadow: DataFrame, table: Table, tile: int = 512) -> DataFrame:
+    """a, k, n, rise: over each step of each ray the shadowed pixels that meet a pixel there, and by how much those
+    pixels lie higher in sum."""
+    halo = reach(table)
+
+    def solve(r, c, top, left, arrays, there):
+        z, psr = arrays["z"], arrays["psr"]
+        shadowed = psr[r, c] == 1
+        r, c = r[shadowed], c[shadowed]
+        out = []
+        for a, (dr, dc, _) in enumerate(table):
+            at = np.arange(len(r))
+            for k, (i, j) in enumerate(zip(dr, dc), 1):
+                y, x = r[at] + i, c[at] + j
+                on = there[y, x]
+                at, y, x = at[on], y[on], x[on]
+                if not len(at):
+                    break
+                out.append((a, k, len(at), float((z[y, x] - z[r[at], c[at]]).sum())))
+        return dict(zip(("a", "k", "n", "rise"), zip(*out))) if out else {x: [] for x in ("a", "k", "n", "rise")}
+
+    parts = tiled(shadow, ["z", "psr"], tile, halo, solve, "a int, k int, n int, rise double")
+    return parts.groupBy("a", "k").agg(F.sum("n").alias("n"), F.sum("rise").alias("rise"))
 
 
-def illumination(dem: DataFrame, azimuths: list[float], elevation: float, max_steps: int, tile: int = 512, cell: float = SETTINGS.cell_m) -> DataFrame:
-    """r, c, lit and n_dark (azimuths whose sun is hidden) of every pixel."""
+def illumination(dem: DataFrame, azimuths: list[float], elevation: float, max_steps: int, tile: int = 512, cell: float = SETTINGS.cell_m, shape: tuple[int, int] | None = None) -> DataFrame:
+    """r, c, lit and n_dark (azimuths whose sun is hidden) of every pixel; shape, the grid's, spares steps off it."""
     table, tan = sun_table(azimuths, max_steps, cell), math.tan(math.radians(elevation))
+    table = table if shape is None else inside(table, *shape)
 
     def solve(r, c, top, left, arrays, there):
         z = arrays["z"]

@@ -8,11 +8,10 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geodesy
 from rasterloom.operators import paths, resample
-from rasterloom.operators import rays as ray_ops
 from rasterloom.operators.quantiles import quantiles
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.joins import POLYGONS
-from rasterloom.plans.windows import AZIMUTHS, dpsr, grad, shape
+from rasterloom.plans.windows import SUNS, dpsr, grad, shape, sunlit
 from rasterloom.sources import derived
 
 c = F.col
@@ -214,12 +213,8 @@ def j4(spark, d):
 @query("K1_mask_union", sql("dem sun5", f"""SELECT o.r, o.c, max(CASE WHEN x.a IS NULL THEN 1 ELSE 0 END) AS lit FROM (SELECT r, c, a FROM dem, (SELECT DISTINCT a FROM sun5)) o LEFT JOIN (
 SELECT DISTINCT o.r, o.c, a FROM (SELECT r, c, z, a, dist, r + dr AS tr, c + dc AS tc FROM dem CROSS JOIN sun5) o JOIN dem t ON t.r = tr AND t.c = tc WHERE (t.z - o.z) / dist >= tan(radians(80))) x ON x.r = o.r AND x.c = o.c AND x.a = o.a GROUP BY o.r, o.c"""))
 def k1(spark, d):
-    dem = derived.dem(spark, d)
-    masks = [ray_ops.illumination(dem, [az], 80.0, 8).select("r", "c", "lit") for az in AZIMUTHS]
-    out = masks[0]
-    for m in masks[1:]:
-        out = out.unionByName(m)
-    return out.groupBy("r", "c").agg(F.max("lit").alias("lit"))
+    """Lit at one of the suns at least: a pixel's masks are united where they are cast, tile by tile."""
+    return sunlit(spark, d, SUNS).select("r", "c", "lit")
 
 
 @query("K2_subset_check", sql("dpsr shadow", "SELECT count(*) AS n_outside FROM (SELECT r, c FROM dpsr EXCEPT SELECT r, c FROM shadow WHERE psr = 1)"))

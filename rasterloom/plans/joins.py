@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.config import SETTINGS
 from rasterloom.functions import geodesy, polarimetry as pol, validity
-from rasterloom.operators import joins, rays as ray_ops
+from rasterloom.operators import joins, ray_tiles, rays as ray_ops
 from rasterloom.operators.resample import border_distance, inside, nearest
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.projections import _HAV, craters, plane, powers
@@ -148,9 +148,8 @@ relation("dpsr", """SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM seen WHE
 
 @query("D3_ray_join", sql("looks", f"SELECT a, k, count(*) AS n, {q6('sum(z1 - z0)', 3)} AS rise FROM looks GROUP BY a, k"))
 def d3(spark, d):
-    s = derived.shadow(spark, d)
-    looks = ray_ops.targets(s.filter("psr = 1"), ray_ops.bresenham_rays(spark, 8, 8), s.select("r", "c", "z"))
-    return looks.groupBy("a", "k").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(c("z1") - c("z0")), 3).alias("rise"))
+    table = ray_tiles.inside(ray_tiles.bresenham_table(SETTINGS.n_angles, SETTINGS.max_distance), derived.table(spark, d, "embeddings").count(), derived.WIDTH)
+    return ray_tiles.looks(derived.shadow(spark, d), table).select("a", "k", "n", r6("rise", 3).alias("rise"))
 
 
 @query("D4_blind_observers", sql("shadow looks", "SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM looks WHERE k = 1 AND tpsr = 0) USING (r, c) WHERE psr = 1"))

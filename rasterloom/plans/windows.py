@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from rasterloom.config import SETTINGS
 from rasterloom.functions import polarimetry as pol
 from rasterloom.operators import focal, peaks, ray_tiles
 from rasterloom.operators import rays as ray_ops
@@ -163,19 +164,28 @@ SELECT o.r, o.c, count(DISTINCT a) AS k FROM (SELECT r, c, z, a, dist, r + dr AS
 
 relation("lit1", _lit("sun1", 1), "dem sun1")
 
+#: The oracles' rays have 8 steps and fewer directions.
+SUNS = [360.0 * a / SETTINGS.n_angles for a in range(SETTINGS.n_angles)]
+TILE = 512
+
+
+def sunlit(spark, d, azimuths):
+    return ray_tiles.illumination(derived.dem(spark, d), azimuths, 80.0, SETTINGS.max_distance, TILE, shape=shape(spark, d))
+
 
 @query("W13_sun_shadow", sql("lit1", "SELECT r, c, lit FROM lit1"))
 def w13(spark, d):
-    return ray_ops.illumination(derived.dem(spark, d), [137.0], 80.0, 8).select("r", "c", "lit")
+    return sunlit(spark, d, [137.0]).select("r", "c", "lit")
 
 
 @query("W14_annual_illumination", sql("dem sun5", f"WITH l AS ({_lit('sun5', 5)}) SELECT r, c, lit, n_dark FROM l"))
 def w14(spark, d):
-    return ray_ops.illumination(derived.dem(spark, d), AZIMUTHS, 80.0, 8).select("r", "c", "lit", "n_dark")
+    return sunlit(spark, d, SUNS)
 
 
 def dpsr(spark, d):
-    return ray_ops.doubly_shadowed(derived.shadow(spark, d), ray_ops.bresenham_rays(spark, 8, 8), near=2)
+    table = ray_tiles.inside(ray_tiles.bresenham_table(SETTINGS.n_angles, SETTINGS.max_distance), *shape(spark, d))
+    return ray_tiles.doubly_shadowed(derived.shadow(spark, d), table, TILE)
 
 
 @query("W15_doubly_shadowed", sql("dpsr", "SELECT r, c FROM dpsr"))
@@ -190,19 +200,19 @@ relation("flatseen", "SELECT *, max(tan) OVER (PARTITION BY r, c, a ORDER BY k R
 
 @query("W16_doubly_shadowed_flat", sql("shadow flatseen", "SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM flatseen WHERE lit = 1 AND tan >= coalesce(before, -1e18)) USING (r, c) WHERE psr = 1"))
 def w16(spark, d):
-    lit = ray_ops.illumination(derived.dem(spark, d), [137.0], 80.0, 8).select("r", "c", "lit")
-    s = derived.shadow(spark, d).join(lit, ["r", "c"])
-    return ray_ops.doubly_shadowed(s, ray_ops.rounded_rays(spark, 8, 8), 2, ray_ops.flat_tan(), c("lit") == 1)
+    s = derived.shadow(spark, d).join(sunlit(spark, d, [137.0]).select("r", "c", "lit"), ["r", "c"])
+    table = ray_tiles.inside(ray_tiles.rounded_table(SETTINGS.n_angles, SETTINGS.max_distance), *shape(spark, d))
+    return ray_tiles.doubly_shadowed(s, table, TILE, None, "lit")
 
 
 @query("W14_annual_illumination_tiled", sql("dem sun5", f"WITH l AS ({_lit('sun5', 5)}) SELECT r, c, lit, n_dark FROM l"))
 def w14_tiled(spark, d):
-    return ray_tiles.illumination(derived.dem(spark, d), AZIMUTHS, 80.0, 8, tile=64)
+    return sunlit(spark, d, SUNS)
 
 
 @query("W15_doubly_shadowed_tiled", sql("dpsr", "SELECT r, c FROM dpsr"))
 def w15_tiled(spark, d):
-    return ray_tiles.doubly_shadowed(derived.shadow(spark, d), ray_tiles.bresenham_table(8, 8), tile=64)
+    return dpsr(spark, d)
 
 
 _REGIONS = """near AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM {m} a JOIN {m} b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND {way}),

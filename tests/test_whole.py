@@ -155,3 +155,92 @@ def test_paths_cross_tiles_and_come_back(spark):
     for x in paths.least_cost(g, (0, 0), tile=5).collect():
         dist[x["r"], x["c"]] = x["dist"]
     assert settled(cost, dist)
+
+
+def terrain():
+    v = lines()
+    return v * 4 * 1000, (v < 0.1).astype(int)
+
+
+def shifted(x, dr, dc):
+    out = np.full(x.shape, np.nan)
+    h, w = x.shape
+    out[max(0, -dr) : h - max(0, dr), max(0, -dc) : w - max(0, dc)] = x[max(0, dr) : h - max(0, -dr), max(0, dc) : w - max(0, -dc)]
+    return out
+
+
+def ways(table, shape):
+    """Steps of each ray that stay on the grid, with their lengths in metres."""
+    for ray in table:
+        yield [(dr, dc, max(np.sqrt(dr * dr + dc * dc) * 20.0, 1.0)) for dr, dc in ray if abs(dr) < shape[0] and abs(dc) < shape[1]]
+
+
+def dark_suns(z, azimuths):
+    k, n = np.arange(1, 2501), np.zeros(z.shape, int)
+    rays = [list(zip(np.rint(-np.cos(np.radians(a)) * k).astype(int), np.rint(np.sin(np.radians(a)) * k).astype(int))) for a in azimuths]
+    for ray in ways(rays, z.shape):
+        hidden = np.zeros(z.shape, bool)
+        for dr, dc, dist in ray:
+            hidden |= (shifted(z, dr, dc) - z) / dist >= np.tan(np.radians(80.0))
+        n += hidden
+    return n
+
+
+def blind(z, psr, target, rays, radius):
+    """Shadowed pixels that see no target."""
+    sees = np.zeros(z.shape, bool)
+    for ray in ways(rays, z.shape):
+        top = np.full(z.shape, -1e18)
+        for dr, dc, dist in ray:
+            z1 = shifted(z, dr, dc)
+            tan = (z1 - z) / dist if radius is None else (radius + z) * (radius + z1 - np.sqrt(dist * dist + (radius + z) ** 2)) / (dist * (radius + z1))
+            sees |= (shifted(target, dr, dc) == 1) & (tan >= top)
+            top = np.fmax(top, tan)
+    return {(int(r), int(k)) for r, k in zip(*np.where((psr == 1) & ~sees))}
+
+
+def test_suns_over_whole_rays(spark):
+    z, _ = terrain()
+    one = dark_suns(z, [137.0])
+    assert {(x["r"], x["c"]): x["lit"] for x in rows(spark, "W13_sun_shadow")} == {k: 1 - n for k, n in np.ndenumerate(one)}
+    year = dark_suns(z, [5.0 * a for a in range(72)])
+    want = {k: (int(n < 72), n) for k, n in np.ndenumerate(year)}
+    for name in ("W14_annual_illumination", "W14_annual_illumination_tiled"):
+        assert {(x["r"], x["c"]): (x["lit"], x["n_dark"]) for x in rows(spark, name)} == want
+    assert {(x["r"], x["c"]): x["lit"] for x in rows(spark, "K1_mask_union")} == {k: x for k, (x, _) in want.items()}
+
+
+def test_sight_over_whole_rays(spark):
+    from tests.test_rays import line
+
+    z, psr = terrain()
+    rays = [line(a, 72, 2500) for a in range(72)]
+    want = blind(z, psr, 1 - psr, rays, 1_737_400.0)
+    for name in ("W15_doubly_shadowed", "W15_doubly_shadowed_tiled"):
+        assert {(x["r"], x["c"]) for x in rows(spark, name)} == want
+    k = np.arange(1, 2501)
+    rounded = [list(zip(np.rint(np.sin(a * 2 * np.pi / 72) * k).astype(int), np.rint(np.cos(a * 2 * np.pi / 72) * k).astype(int))) for a in range(72)]
+    lit = 1 - dark_suns(z, [137.0])
+    assert {(x["r"], x["c"]) for x in rows(spark, "W16_doubly_shadowed_flat")} == blind(z, psr, lit.astype(float), rounded, None)
+    looks = {}
+    for a, ray in enumerate(ways(rays, z.shape)):
+        for s, (dr, dc, _) in enumerate(ray, 1):
+            rise = np.where(psr == 1, shifted(z, dr, dc) - z, np.nan)
+            if n := int((~np.isnan(rise)).sum()):
+                looks[a, s] = (n, np.nansum(rise))
+    got = {(x["a"], x["k"]): x for x in rows(spark, "D3_ray_join")}
+    assert set(got) == set(looks) and all(got[i]["n"] == n and abs(got[i]["rise"] - x) < 0.01 for i, (n, x) in looks.items())
+    for name in ("W17_doubly_shadowed_product", "K2_subset_check"):
+        assert rows(spark, name)
+
+
+def test_sight_by_small_tiles(spark):
+    from rasterloom.operators import ray_tiles
+    from tests.test_rays import line
+
+    rng = np.random.default_rng(3)
+    z, psr = rng.uniform(0, 60, (40, 23)), (rng.random((40, 23)) < 0.95).astype(int)
+    g = spark.createDataFrame([(r, k, float(z[r, k]), int(psr[r, k])) for r, k in np.ndindex(z.shape)], "r int, c int, z double, psr int")
+    table = ray_tiles.inside(ray_tiles.bresenham_table(72, 2500), *z.shape)
+    got = {(x["r"], x["c"]) for x in ray_tiles.doubly_shadowed(g, table, tile=7).collect()}
+    assert got == blind(z, psr, 1 - psr, [line(a, 72, 2500) for a in range(72)], 1_737_400.0)
