@@ -5,7 +5,8 @@ the question, so suffixes first find the few others they could equal. Every 100-
 GRAM-byte piece in it with the smallest hash, the leftmost on a tie; that depends on the window's bytes alone,
 so equal windows have equal anchors at equal offsets. Consecutive windows with one anchor form a segment. In
 one shuffle by the anchor's hash (64 bits):
-  - segments with the same anchor and segment hash (50 bits more) are copies: all but the first are removed;
+  - segments with the same anchor and segment hashes (49 and 64 bits more, over all of the segment) are copies:
+    all but the first are removed;
   - an anchor that only one segment has is unique: nothing of it repeats;
   - where different segments share an anchor, their texts are fetched and their windows suffix-sorted, with
     equal neighbours verified byte by byte.
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import bounded_batches, discard, plain_names, sha256_hex, slim, table, written
-from rasterloom.llm.suffix_sort import Hashes, suffix_order
+from rasterloom.llm.suffix_sort import LETTER, SECOND, Hashes, suffix_order
 
 LENGTH = 100
 GRAM = 32
@@ -48,8 +49,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     """Anchors of all windows that lie inside [bounds[i], bounds[i+1]): for each run of windows with one anchor
-    its first start, its number of windows, the anchor's offset from there, anchor hash and segment hash."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    its first start, its number of windows, the anchor's offset from there, anchor hash and two segment hashes."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     if len(data) < LENGTH:
         return none
     hashes = Hashes(data)
@@ -74,19 +75,20 @@ def segments(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
     count = np.diff(np.r_[first, len(starts)])
     start, anchor = starts[first], anchor[first]
-    return start, count, anchor - start, grams[anchor], mixed(hashes.of(start, count + (LENGTH - 1)))
+    whole = [mixed(x.of(start, count + (LENGTH - 1))) for x in (hashes, Hashes(data, SECOND))]
+    return start, count, anchor - start, grams[anchor], *whole
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """h (anchor), g (segment), d (doc), q (start << 16 | text mark) of every segment; where g is negative, -g
+    """h (anchor), g and e (segment), d (doc), q (start << 16 | text mark) of every segment; where g is negative, -g
     windows from there on are known to repeat."""
-    kinds = ["h", "g", "d", "q"]
+    kinds = ["h", "g", "e", "d", "q"]
 
     def settle(parts: list[tuple]) -> pa.RecordBatch:
-        h, g, d, q, c = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((q, d, g, h))
-        h, g, d, q, c = h[order], g[order], d[order], q[order], c[order]
-        head = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+        h, g, e, d, q, c = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((q, d, e, g, h))
+        h, g, e, d, q, c = h[order], g[order], e[order], d[order], q[order], c[order]
+        head = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (e[1:] != e[:-1])]
         of = np.flatnonzero(head)[np.cumsum(head) - 1]
         later = (d > d[of]) | ((d == d[of]) & (q >> 16 > q[of] >> 16))
         kd, kq, kc = d[later], q[later], c[later]
@@ -100,7 +102,7 @@ def anchors(docs: DataFrame) -> DataFrame:
         kh = mixed(kd.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + kq.view(np.uint64)).view(np.int64)
         keep = ~later
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(x)) for x in ((h[keep], kh), (g[keep], -length), (d[keep], kd), (q[keep], kq))], kinds
+            [pa.array(np.concatenate(x)) for x in ((h[keep], kh), (g[keep], -length), (e[keep], np.zeros_like(kh)), (d[keep], kd), (q[keep], kq))], kinds
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +117,12 @@ def anchors(docs: DataFrame) -> DataFrame:
                 if not held:
                     return
                 bounds = np.concatenate(([0], np.cumsum([len(x) for _, _, x in held])))
-                start, count, offset, h, g = segments(np.frombuffer(b"".join(x for _, _, x in held), np.uint8), bounds)
+                start, count, offset, h, g, e = segments(np.frombuffer(b"".join(x for _, _, x in held), np.uint8), bounds)
                 of = np.searchsorted(bounds, start, side="right") - 1
                 rows, at = np.array([i for i, _, _ in held]), np.array([o for _, o, _ in held])
                 p = start - bounds[of] + at[of]
                 g = ((g >> np.uint64(15)).astype(np.int64) << 14 & ((1 << 63) - 1)) | count << 7 | offset
-                found.append((h.view(np.int64), g, ids[rows[of]], p << 16 | marks[rows[of]], count))
+                found.append((h.view(np.int64), g, e.view(np.int64), ids[rows[of]], p << 16 | marks[rows[of]], count))
                 held.clear()
 
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -137,7 +139,7 @@ def anchors(docs: DataFrame) -> DataFrame:
                 yield settle(found)
 
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), text_mark().alias("m"))
-    return narrow.mapInArrow(slim(run), "h long, g long, d long, q long")
+    return narrow.mapInArrow(slim(run), "h long, g long, e long, d long, q long")
 
 
 def text_mark():
@@ -148,11 +150,11 @@ def decided(rows: DataFrame) -> DataFrame:
     """The segments that repeat (again) or that differ from others of their anchor (not again), in one shuffle."""
     known = F.col("g") < 0
     rows = rows.withColumn("known", known)
-    same = Window.partitionBy("h", "known", "g").orderBy("d", "q")
+    same = Window.partitionBy("h", "known", "g", "e").orderBy("d", "q")
     group = Window.partitionBy("h", "known")
     start = lambda q: F.shiftright(q, 16)
     rows = rows.select("*", F.first("d").over(same).alias("d0"), F.first("q").over(same).alias("q0"))
-    rows = rows.select("*", (F.min("g").over(group) != F.max("g").over(group)).alias("mixed"))
+    rows = rows.select("*", ((F.min("g").over(group) != F.max("g").over(group)) | (F.min("e").over(group) != F.max("e").over(group))).alias("mixed"))
     later = (F.col("d") > F.col("d0")) | ((F.col("d") == F.col("d0")) & (start(F.col("q")) > start(F.col("q0"))))
     rows = rows.select("h", "g", "d", "q", "mixed", "known", (F.col("known") | later).alias("again"))
     return rows.filter(F.col("again") | (F.col("mixed") & ~F.col("known"))).select("h", "g", "d", "q", "again")
@@ -244,6 +246,11 @@ def compared(texts: DataFrame) -> DataFrame:
     return texts.repartition("h").sortWithinPartitions("h", "d", "q").mapInArrow(slim(run), "d long, q long, n long")
 
 
+def window_hashes(data: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two hashes of the whole window at each place."""
+    return tuple(mixed(Hashes(data, letter).of(place, LENGTH)) for letter in (LETTER, SECOND))
+
+
 def dealt(texts: DataFrame) -> DataFrame:
     """The same for anchors with very many segments: windows dealt by their own hash, not by the anchor's."""
 
@@ -254,9 +261,8 @@ def dealt(texts: DataFrame) -> DataFrame:
             h, g, d, q = (b.column(i).to_numpy() for i in range(4))
             segs = b.column(4).to_pylist()
             row, place, _, start = _windows(h, g, d, q, segs)
-            hashes = Hashes(np.frombuffer(b"".join(segs), np.uint8))
-            one, half = mixed(hashes.of(place, LENGTH)), mixed(hashes.of(place, LENGTH // 2) * np.uint64(3))
-            columns = (one.view(np.int64), half.view(np.int64), d[row], start << 16 | (q & 0xFFFF)[row])
+            one, two = window_hashes(np.frombuffer(b"".join(segs), np.uint8), place)
+            columns = (one.view(np.int64), two.view(np.int64), d[row], start << 16 | (q & 0xFFFF)[row])
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["w", "v", "d", "q"])
 
     windows = texts.mapInArrow(slim(run), "w long, v long, d long, q long")

@@ -11,6 +11,7 @@ import numpy as np
 
 _SEEDED = np.random.default_rng(20_240_607)
 LETTER = _SEEDED.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
+SECOND = _SEEDED.integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
 UNBASE = pow(BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -29,12 +30,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of the pieces of a byte buffer."""
+    """Hashes of the pieces of a byte buffer; by other letters (SECOND) they are others of the same pieces."""
 
-    def __init__(self, data: np.ndarray) -> None:
+    def __init__(self, data: np.ndarray, letter: np.ndarray = LETTER) -> None:
         up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(LETTER[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum(letter[data] * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, size) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * self.down[start]
