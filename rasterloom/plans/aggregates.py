@@ -133,7 +133,14 @@ def f17(spark, d):
     return rounded(stats.block_mean(derived.grid(spark, d), "v", 7, h, derived.WIDTH), ["v"])
 
 
-@query("F18_neighbourhood", sql("shadow", f"SELECT o.r, o.c, {q6('avg(t.psr)')} AS share FROM shadow o JOIN shadow t ON abs(t.r - o.r) <= 5 AND abs(t.c - o.c) <= 5 WHERE o.r % 20 = 0 AND o.c % 8 = 0 GROUP BY o.r, o.c"))
+def _share(half: int) -> str:
+    """Box sums as running sums along lines, then along columns."""
+    across = f"OVER (PARTITION BY r ORDER BY c ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    down = f"OVER (PARTITION BY c ORDER BY r ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING)"
+    return f"SELECT r, c, sum(s) {down} / (sum(n) {down})::DOUBLE AS x FROM (SELECT r, c, sum(psr) {across} AS s, count(*) {across} AS n FROM shadow)"
+
+
+@query("F18_neighbourhood", sql("shadow", f"SELECT r, c, {q6('a.x')} AS share, {q6('b.x')} AS share_101 FROM ({_share(10)}) a JOIN ({_share(50)}) b USING (r, c)"))
 def f18(spark, d):
     """Shares over 21x21 (share) and 101x101 (share_101) around every pixel, cut at the edges."""
     size = (derived.table(spark, d, "embeddings").count(), derived.WIDTH)
@@ -296,6 +303,6 @@ def g14(spark, d):
     return rounded(one.selectExpr(f"stack({len(_SCATTER)}, {rows}) as (x, y, r)"), ["r"])
 
 
-@query("G15_quick_compare", sql("pair", f"SELECT count(*) AS n, {q6('corr(a, b)')} AS r FROM (SELECT a, b FROM pair ORDER BY r, c LIMIT 10000)"))
+@query("G15_quick_compare", sql("pair", f"SELECT count(*) AS n, {q6('corr(a, b)')} AS r FROM pair"))
 def g15(spark, d):
     return derived.pair(spark, d).agg(F.count(F.lit(1)).alias("n"), r6(F.corr("a", "b")).alias("r"))

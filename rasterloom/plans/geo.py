@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from rasterloom.config import SETTINGS
 from rasterloom.functions import geodesy
 from rasterloom.operators import paths, resample
 from rasterloom.operators.quantiles import quantiles
@@ -15,10 +16,11 @@ from rasterloom.plans.windows import SUNS, dpsr, grad, shape, sunlit
 from rasterloom.sources import derived
 
 c = F.col
-#: The table that the oracles were written for; the queries take the whole table and the whole grid.
-N_AZ, N_RG, SCENE_H, SCENE_W = 20, 9, 115, 41
-relation("tiegrid", f"""SELECT (n // 9)::INT AS i, (n % 9)::INT AS j, lat, lon, (n // 9) * {SCENE_H - 1} / {N_AZ - 1}.0::DOUBLE AS row_px, (n % 9) * {SCENE_W - 1} / {N_RG - 1}.0::DOUBLE AS col_px
-FROM ties WHERE n < {N_AZ * N_RG}""", "ties")
+N_RG = 9
+relation("lay", f"SELECT h, w, n // {N_RG} AS n_az FROM size, (SELECT count(*) AS n FROM events)", "size")
+relation("tiegrid", f"""SELECT (n // {N_RG})::INT AS i, (n % {N_RG})::INT AS j, lat, lon, (n // {N_RG}) * (h - 1) / (n_az - 1)::DOUBLE AS row_px, (n % {N_RG}) * (w - 1) / {N_RG - 1}.0::DOUBLE AS col_px
+FROM ties, lay WHERE n < n_az * {N_RG}""", "ties lay")
+relation("scene", "SELECT r, c, h, w FROM size, (SELECT unnest(range(h)) AS r FROM size), (SELECT unnest(range(w)) AS c FROM size)", "size")
 
 
 def n_az(spark, d) -> int:
@@ -44,11 +46,11 @@ def t2(spark, d):
     return resample.control_points(tie_grid(spark, d)).select("i", "j", r6("lat").alias("lat"), r6("lon").alias("lon"))
 
 
-_POINTS = f"""SELECT r, c, fa, fr, least(greatest(floor(fa), 0), {N_AZ - 2})::INT AS i, least(greatest(floor(fr), 0), {N_RG - 2})::INT AS j FROM (
-SELECT r, c, r * {N_AZ - 1} / {SCENE_H - 1}.0::DOUBLE AS fa, c * {N_RG - 1} / {SCENE_W - 1}.0::DOUBLE AS fr FROM range({SCENE_H}) x(r), range({SCENE_W}) y(c))"""
+_POINTS = f"""SELECT r, c, fa, fr, least(greatest(floor(fa), 0), n_az - 2)::INT AS i, least(greatest(floor(fr), 0), {N_RG - 2})::INT AS j FROM (
+SELECT r, c, n_az, r * (n_az - 1) / (lay.h - 1)::DOUBLE AS fa, c * {N_RG - 1} / (lay.w - 1)::DOUBLE AS fr FROM scene, lay)"""
 _MIX = lambda v: f"a.{v} * (1 - (fa - p.i)) * (1 - (fr - p.j)) + b.{v} * (1 - (fa - p.i)) * (fr - p.j) + d.{v} * (fa - p.i) * (1 - (fr - p.j)) + e.{v} * (fa - p.i) * (fr - p.j)"
 relation("located", f"""SELECT p.r, p.c, {_MIX('lat')} AS lat, {_MIX('lon')} AS lon FROM ({_POINTS}) p JOIN tiegrid a ON a.i = p.i AND a.j = p.j JOIN tiegrid b ON b.i = p.i AND b.j = p.j + 1
-JOIN tiegrid d ON d.i = p.i + 1 AND d.j = p.j JOIN tiegrid e ON e.i = p.i + 1 AND e.j = p.j + 1""", "tiegrid")
+JOIN tiegrid d ON d.i = p.i + 1 AND d.j = p.j JOIN tiegrid e ON e.i = p.i + 1 AND e.j = p.j + 1""", "tiegrid scene")
 
 
 def located(spark, d):
@@ -62,7 +64,7 @@ def t3(spark, d):
     return located(spark, d).select("r", "c", r6("lat").alias("lat"), r6("lon").alias("lon"))
 
 
-@query("T4_along_track", sql("tiegrid", f"""WITH p AS (SELECT r, fa, least(floor(fa), {N_AZ - 2})::INT AS i FROM (SELECT r, r * {N_AZ - 1} / {SCENE_H - 1}.0::DOUBLE AS fa FROM range({SCENE_H}) x(r)))
+@query("T4_along_track", sql("tiegrid lay", f"""WITH p AS (SELECT r, fa, least(floor(fa), n_az - 2)::INT AS i FROM (SELECT r, n_az, r * (n_az - 1) / (h - 1)::DOUBLE AS fa FROM (SELECT unnest(range(h)) AS r, h, n_az FROM lay)))
 SELECT p.r::INT AS r, {q6('a.lat + (fa - p.i) * (b.lat - a.lat)')} AS lat FROM p JOIN tiegrid a ON a.i = p.i AND a.j = 4 JOIN tiegrid b ON b.i = p.i + 1 AND b.j = 4"""))
 def t4(spark, d):
     mid = tie_grid(spark, d).filter(c("j") == N_RG // 2).select("i", "lat")
@@ -74,7 +76,8 @@ def t4(spark, d):
 
 
 _STEP = 1.5
-_DST = f"SELECT r, c, (r + 0.5) * {_STEP}::DOUBLE - 0.5 AS fr, (c + 0.5) * {_STEP}::DOUBLE - 0.5 AS fc FROM range(0, 334) x(r), range(0, 44) y(c)"
+_DST = f"""SELECT r, c, (r + 0.5) * {_STEP}::DOUBLE - 0.5 AS fr, (c + 0.5) * {_STEP}::DOUBLE - 0.5 AS fc
+FROM (SELECT unnest(range(ceil((h + 1) / {_STEP}::DOUBLE)::BIGINT)) AS r FROM size), (SELECT unnest(range(ceil((w + 1) / {_STEP}::DOUBLE)::BIGINT)) AS c FROM size)"""
 _RESAMPLED = f"""WITH p AS ({_DST}), k AS (SELECT p.r, p.c, CASE i WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE j WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS wt,
 floor(fr) + i AS sr, floor(fc) + j AS sc FROM p, size, (VALUES (0), (1)) x(i), (VALUES (0), (1)) y(j) WHERE fr BETWEEN 0 AND h - 1 AND fc BETWEEN 0 AND w - 1),
 g AS (SELECT k.r, k.c, sum(wt * coalesce(dop, 0)) AS s, sum(CASE WHEN dop IS NULL THEN wt ELSE 0 END) AS bad FROM k LEFT JOIN bands b ON b.r = sr AND b.c = sc WHERE wt > 0 GROUP BY k.r, k.c)"""
@@ -95,12 +98,16 @@ def t5(spark, d):
 _R = "1737400.0::DOUBLE"
 
 
-@query("T6_align", sql("grid", f"""WITH p AS (SELECT r, c, -150000 + c * 5000.0::DOUBLE + 100 AS x, 150000 - r * 5000.0::DOUBLE + 100 AS y FROM range(60) a(r), range(60) b(c)),
+@query("T6_align", sql("grid size", f"""WITH n AS (SELECT ceil(2 * {_R} * tan(radians(h * 0.02 / 2)) / 5000)::BIGINT AS n FROM size), m AS (SELECT n, unnest(range(2 * n)) AS k FROM n),
+p AS (SELECT a.k AS r, b.k AS c, -5000.0::DOUBLE * a.n + b.k * 5000.0::DOUBLE + 100 AS x, 5000.0::DOUBLE * a.n - a.k * 5000.0::DOUBLE + 100 AS y FROM m a, m b),
 g AS (SELECT r, c, floor((degrees(2 * atan(sqrt(x * x + y * y) / (2 * {_R}))) - 90 + 90) / 0.02)::INT AS sr, floor((degrees(atan2(x, y)) + 180) / 5.625)::INT AS sc FROM p)
 SELECT g.r::INT AS r, g.c::INT AS c, {q6('v * 1000')} AS v FROM g LEFT JOIN grid s ON s.r = g.sr AND s.c = g.sc"""))
 def t6(spark, d):
-    p = spark.range(60).select(c("id").cast("int").alias("r")).crossJoin(spark.range(60).select(c("id").cast("int").alias("c")))
-    lat, lon = geodesy.from_plane(-150000 + c("c") * 5000.0 + 100, 150000 - c("r") * 5000.0 + 100)
+    """Scaled values at the nearest source pixel, over the square on the plane that holds the whole source."""
+    h, _ = shape(spark, d)
+    n = math.ceil(2 * SETTINGS.moon_radius_m * math.tan(math.radians(h * 0.02 / 2)) / 5000)
+    p = target(spark, 2 * n, 2 * n)
+    lat, lon = geodesy.from_plane(-5000.0 * n + c("c") * 5000.0 + 100, 5000.0 * n - c("r") * 5000.0 + 100)
     scaled = derived.grid(spark, d).select("r", "c", (c("v") * 1000).alias("v"))
     return resample.nearest(p, scaled, "v", F.floor((lat + 90) / 0.02).cast("int"), F.floor((lon + 180) / 5.625).cast("int")).select("r", "c", r6("v").alias("v"))
 
@@ -134,8 +141,8 @@ def t9(spark, d):
     return out
 
 
-@query("T8_separable_warp", sql("grid", f"""WITH s AS (SELECT r, c, c * 10.0::DOUBLE + v AS x, r * 10.0::DOUBLE + v AS y FROM grid), ys AS ({_INV.format(k='r', m='m', x='y')}), xs AS ({_INV.format(k='c', m='m', x='x')}),
-p AS (SELECT i, j, ys.r + (i * 7 + 5.0::DOUBLE - ys.m) / (ys.m2 - ys.m) AS fr, xs.c + (j * 7 + 5.0::DOUBLE - xs.m) / (xs.m2 - xs.m) AS fc FROM range(120) a(i) JOIN ys ON i * 7 + 5 >= ys.m AND i * 7 + 5 < ys.m2, range(80) b(j) JOIN xs ON j * 7 + 5 >= xs.m AND j * 7 + 5 < xs.m2),
+@query("T8_separable_warp", sql("grid size", f"""WITH s AS (SELECT r, c, c * 10.0::DOUBLE + v AS x, r * 10.0::DOUBLE + v AS y FROM grid), ys AS ({_INV.format(k='r', m='m', x='y')}), xs AS ({_INV.format(k='c', m='m', x='x')}),
+p AS (SELECT i, j, ys.r + (i * 7 + 5.0::DOUBLE - ys.m) / (ys.m2 - ys.m) AS fr, xs.c + (j * 7 + 5.0::DOUBLE - xs.m) / (xs.m2 - xs.m) AS fc FROM (SELECT unnest(range(ceil(h * 10 / 7.0::DOUBLE)::BIGINT)) AS i FROM size) JOIN ys ON i * 7 + 5 >= ys.m AND i * 7 + 5 < ys.m2, (SELECT unnest(range(ceil(w * 10 / 7.0::DOUBLE)::BIGINT)) AS j FROM size) JOIN xs ON j * 7 + 5 >= xs.m AND j * 7 + 5 < xs.m2),
 k AS (SELECT i, j, CASE q WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END * CASE u WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END AS wt, floor(fr) + q AS sr, floor(fc) + u AS sc FROM p, (VALUES (0), (1)) z(q), (VALUES (0), (1)) o(u))
 SELECT k.i::INT AS r, k.j::INT AS c, {q6('sum(wt * v)')} AS v FROM k JOIN grid g ON g.r = sr AND g.c = sc WHERE wt > 0 GROUP BY k.i, k.j"""))
 def t8(spark, d):
@@ -210,8 +217,7 @@ def j4(spark, d):
     return derived.grid(spark, d).join(F.broadcast(rows), "r", "left_semi").groupBy("r").agg(r6(F.avg("v")).alias("v"))
 
 
-@query("K1_mask_union", sql("dem sun5", f"""SELECT o.r, o.c, max(CASE WHEN x.a IS NULL THEN 1 ELSE 0 END) AS lit FROM (SELECT r, c, a FROM dem, (SELECT DISTINCT a FROM sun5)) o LEFT JOIN (
-SELECT DISTINCT o.r, o.c, a FROM (SELECT r, c, z, a, dist, r + dr AS tr, c + dc AS tc FROM dem CROSS JOIN sun5) o JOIN dem t ON t.r = tr AND t.c = tc WHERE (t.z - o.z) / dist >= tan(radians(80))) x ON x.r = o.r AND x.c = o.c AND x.a = o.a GROUP BY o.r, o.c"""))
+@query("K1_mask_union", sql("year", "SELECT r, c, lit FROM year"))
 def k1(spark, d):
     """Lit at one of the suns at least: a pixel's masks are united where they are cast, tile by tile."""
     return sunlit(spark, d, SUNS).select("r", "c", "lit")

@@ -109,7 +109,7 @@ _SIDES = ", ".join(f"({k}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]
 relation("sides", f"SELECT * FROM (VALUES {_SIDES}) t(poly, x1, y1, x2, y2)")
 
 
-@query("C13_polygon_distance", sql("grid sides", f"""WITH p AS (SELECT r, c, c + 0.5 AS x, r + 0.5 AS y FROM grid WHERE r % 5 = 0),
+@query("C13_polygon_distance", sql("grid sides", f"""WITH p AS (SELECT r, c, c + 0.5 AS x, r + 0.5 AS y FROM grid),
 i AS (SELECT r, c, max(k) AS inside FROM (SELECT r, c, poly, (count(*) FILTER ((y1 > y) <> (y2 > y) AND x < x1 + (y - y1) / (y2 - y1) * (x2 - x1)))::INT % 2 AS k FROM p, sides GROUP BY r, c, poly) GROUP BY r, c),
 t AS (SELECT *, greatest(least(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 1), 0) AS u FROM p, sides),
 g AS (SELECT r, c, min(sqrt((x - (x1 + u * (x2 - x1))) ** 2 + (y - (y1 + u * (y2 - y1))) ** 2)) AS distance FROM t GROUP BY r, c)
@@ -128,31 +128,49 @@ def d1(spark, d):
     return joins.aligned(parts).select("r", "c", *[r6(n).alias(n) for n in ("cpr", "dop", "tmean")])
 
 
-@query("D2_optional_bands", sql("bands", f"SELECT r, c, {q6('zit')} AS zit, {q6('dop')} AS dop FROM bands WHERE r % 2 = 0"))
+@query("D2_optional_bands", sql("bands", f"SELECT r, c, {q6('zit')} AS zit, {q6('dop')} AS dop FROM bands"))
 def d2(spark, d):
     b = derived.bands(spark, d)
     out = joins.aligned([b.select("r", "c", "zit"), b.select("r", "c", "dop").filter("dop is not null")], "left")
     return out.select("r", "c", r6("zit").alias("zit"), r6("dop").alias("dop"))
 
 
-relation("rays", """SELECT a, k, CASE WHEN abs(ec) >= abs(er) THEN (2 * k * abs(er) + abs(ec)) // (2 * abs(ec)) ELSE k END * CASE WHEN er >= 0 THEN 1 ELSE -1 END AS dr,
+def _rays(n: int, steps: int, most: int) -> str:
+    """The first `most` steps of n line rays that are `steps` long."""
+    turn = f"a * 2 * pi() / {n}"
+    return f"""SELECT a::INT AS a, k::INT AS k, dr::INT AS dr, dc::INT AS dc, greatest(sqrt(dr * dr + dc * dc) * 20, 1)::DOUBLE AS dist FROM (
+SELECT a, k, CASE WHEN abs(ec) >= abs(er) THEN (2 * k * abs(er) + abs(ec)) // (2 * abs(ec)) ELSE k END * CASE WHEN er >= 0 THEN 1 ELSE -1 END AS dr,
 CASE WHEN abs(ec) >= abs(er) THEN k ELSE (2 * k * abs(ec) + abs(er)) // (2 * abs(er)) END * CASE WHEN ec >= 0 THEN 1 ELSE -1 END AS dc
-FROM (SELECT a, k, round_even(8 * sin(a * 2 * pi() / 8), 0)::INT AS er, round_even(8 * cos(a * 2 * pi() / 8), 0)::INT AS ec FROM range(8) x(a), range(1, 9) y(k)) WHERE k <= greatest(abs(er), abs(ec))""")
-relation("rayd", "SELECT a::INT AS a, k::INT AS k, dr::INT AS dr, dc::INT AS dc, greatest(sqrt(dr * dr + dc * dc) * 20, 1)::DOUBLE AS dist FROM rays", "rays")
-relation("looks", """SELECT o.r, o.c, a, k, dist, o.z AS z0, g.z AS z1, g.psr AS tpsr, tr, tc
-FROM (SELECT r, c, z, a, k, dist, r + dr AS tr, c + dc AS tc FROM shadow CROSS JOIN rayd WHERE psr = 1) o JOIN shadow g ON g.r = tr AND g.c = tc""", "shadow rayd")
-relation("seen", """SELECT *, max(tan) OVER (PARTITION BY r, c, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
-SELECT *, (1737400 + z0) * (1737400 + z1 - sqrt(dist * dist + (1737400 + z0) * (1737400 + z0))) / (dist * (1737400 + z1)) AS tan FROM looks)""", "looks")
-relation("dpsr", """SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM seen WHERE tpsr = 0 AND tan >= coalesce(before, -1e18)) USING (r, c) WHERE psr = 1""", "shadow seen")
+FROM (SELECT a, k, round_even({steps} * sin({turn}), 0)::INT AS er, round_even({steps} * cos({turn}), 0)::INT AS ec FROM range({n}) x(a), range(1, {most + 1}) y(k)) WHERE k <= greatest(abs(er), abs(ec))), size
+WHERE abs(dr) < h AND abs(dc) < w"""
 
 
-@query("D3_ray_join", sql("looks", f"SELECT a, k, count(*) AS n, {q6('sum(z1 - z0)', 3)} AS rise FROM looks GROUP BY a, k"))
+def _looks(observers: str, rays: str) -> str:
+    return f"""SELECT o.r, o.c, a, k, dist, o.z AS z0, g.z AS z1, g.psr AS tpsr
+FROM (SELECT r, c, z, a, k, dist, r + dr AS tr, c + dc AS tc FROM {observers} CROSS JOIN {rays}) o JOIN shadow g ON g.r = tr AND g.c = tc"""
+
+
+def _sees(looks: str) -> str:
+    """Observers that see a pixel out of the shadow."""
+    return f"""SELECT DISTINCT r, c FROM (SELECT *, max(tan) OVER (PARTITION BY r, c, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+SELECT *, (1737400 + z0) * (1737400 + z1 - sqrt(dist * dist + (1737400 + z0) * (1737400 + z0))) / (dist * (1737400 + z1)) AS tan FROM ({looks}))) WHERE tpsr = 0 AND tan >= coalesce(before, -1e18)"""
+
+
+relation("around", _rays(8, 8, 8), "size")
+relation("rays", _rays(SETTINGS.n_angles, SETTINGS.max_distance, SETTINGS.max_distance), "size")
+relation("dark", "SELECT * FROM shadow WHERE psr = 1", "shadow")
+# most observers are settled by their first steps; the rest cast whole rays
+relation("unsettled", f"SELECT * FROM dark ANTI JOIN ({_sees(_looks('dark', '(SELECT * FROM rays WHERE k <= 4)'))}) USING (r, c)", "dark rays")
+relation("dpsr", f"SELECT r, c FROM unsettled ANTI JOIN ({_sees(_looks('unsettled', 'rays'))}) USING (r, c)", "unsettled rays shadow")
+
+
+@query("D3_ray_join", sql("dark rays", f"SELECT a, k, count(*) AS n, {q6('sum(z1 - z0)', 3)} AS rise FROM ({_looks('dark', 'rays')}) GROUP BY a, k"))
 def d3(spark, d):
     table = ray_tiles.inside(ray_tiles.bresenham_table(SETTINGS.n_angles, SETTINGS.max_distance), derived.table(spark, d, "embeddings").count(), derived.WIDTH)
     return ray_tiles.looks(derived.shadow(spark, d), table).select("a", "k", "n", r6("rise", 3).alias("rise"))
 
 
-@query("D4_blind_observers", sql("shadow looks", "SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM looks WHERE k = 1 AND tpsr = 0) USING (r, c) WHERE psr = 1"))
+@query("D4_blind_observers", sql("dark around", f"SELECT r, c FROM dark ANTI JOIN (SELECT r, c FROM ({_looks('dark', '(SELECT * FROM around WHERE k = 1)')}) WHERE tpsr = 0) USING (r, c)"))
 def d4(spark, d):
     s = derived.shadow(spark, d)
     seen = ray_ops.targets(s.filter("psr = 1"), ray_ops.bresenham_rays(spark, 8, 8).filter("k = 1"), s).filter("psr = 0")
@@ -208,8 +226,8 @@ def d10(spark, d):
     return ray_ops.scattered(g, g.filter("v > 0.2"))
 
 
-@query("D11_reachable", sql("shadow", """SELECT o.r, o.c, count(t.r) > 0 AS reachable FROM shadow o LEFT JOIN shadow t ON t.psr = 0 AND abs(t.r - o.r) <= 1 AND abs(t.c - o.c) <= 1
-WHERE o.psr = 1 AND o.r % 3 = 0 GROUP BY o.r, o.c"""))
+@query("D11_reachable", sql("shadow", f"""WITH n AS (SELECT r, c, r - max(CASE WHEN psr = 0 THEN r END) OVER (PARTITION BY c ORDER BY r) AS up, min(CASE WHEN psr = 0 THEN r END) OVER (PARTITION BY c ORDER BY r DESC) - r AS down FROM shadow)
+SELECT o.r, o.c, coalesce(bool_or((n.c - o.c) ** 2 + least(coalesce(up, 1000000), coalesce(down, 1000000)) ** 2 <= {SETTINGS.max_distance} ** 2), false) AS reachable FROM shadow o JOIN n ON n.r = o.r WHERE o.psr = 1 GROUP BY o.r, o.c"""))
 def d11(spark, d):
     s = derived.shadow(spark, d)
     return joins.within(s, c("psr") == 0, SETTINGS.max_distance).filter("psr = 1").select("r", "c", c("within").alias("reachable"))

@@ -127,7 +127,7 @@ def w9(spark, d):
     return grad(spark, d).select("r", "c", r6(focal.hillshade_byte(), 5).alias("shade"))
 
 
-@query("W10_bresenham_rays", sql("rayd", f"SELECT a, k, dr, dc, {q6('dist')} AS dist FROM rayd"))
+@query("W10_bresenham_rays", sql("around", f"SELECT a, k, dr, dc, {q6('dist')} AS dist FROM around"))
 def w10(spark, d):
     return ray_ops.bresenham_rays(spark, 8, 8).select("a", "k", "dr", "dc", r6("dist").alias("dist"))
 
@@ -146,9 +146,7 @@ def _sun(azimuths: list[float], steps: int) -> str:
 FROM (VALUES {rows}) x(a, az), range(1, {steps + 1}) y(k))"""
 
 
-AZIMUTHS = [17.0, 89.0, 161.0, 233.0, 305.0]
 relation("sun1", _sun([137.0], 8))
-relation("sun5", _sun(AZIMUTHS, 8))
 
 
 @query("W12_sun_ray", sql("sun1", f"SELECT a, k, dr, dc, {q6('dist')} AS dist FROM sun1"))
@@ -156,16 +154,18 @@ def w12(spark, d):
     return ray_ops.sun_rays(spark, [137.0], 8).select("a", "k", "dr", "dc", r6("dist").alias("dist"))
 
 
-def _lit(sun: str, n: int) -> str:
-    tan = repr(math.tan(math.radians(80.0)))
+def _lit(azimuths: list[float]) -> str:
+    """Suns that are hidden. Nothing hides a sun from farther than the relief over the sun's slope."""
+    tan, n = repr(math.tan(math.radians(80.0))), len(azimuths)
     return f"""SELECT o.r, o.c, coalesce(k, 0)::INT AS n_dark, CASE WHEN coalesce(k, 0) < {n} THEN 1 ELSE 0 END AS lit FROM dem o LEFT JOIN (
-SELECT o.r, o.c, count(DISTINCT a) AS k FROM (SELECT r, c, z, a, dist, r + dr AS tr, c + dc AS tc FROM dem CROSS JOIN {sun}) o JOIN dem t ON t.r = tr AND t.c = tc WHERE (t.z - o.z) / dist >= {tan}::DOUBLE GROUP BY o.r, o.c) x ON x.r = o.r AND x.c = o.c"""
+SELECT r, c, count(*) AS k FROM (SELECT DISTINCT o.r, o.c, a FROM (SELECT r, c, z, a, dist, r + dr AS tr, c + dc AS tc FROM dem CROSS JOIN (
+SELECT s.* FROM ({_sun(azimuths, SETTINGS.max_distance)}) s, size, (SELECT max(z) - min(z) AS relief FROM dem) WHERE abs(dr) < h AND abs(dc) < w AND dist <= relief / {tan}::DOUBLE + 20)) o
+JOIN dem t ON t.r = tr AND t.c = tc WHERE (t.z - o.z) / dist >= {tan}::DOUBLE) GROUP BY r, c) x ON x.r = o.r AND x.c = o.c"""
 
 
-relation("lit1", _lit("sun1", 1), "dem sun1")
-
-#: The oracles' rays have 8 steps and fewer directions.
 SUNS = [360.0 * a / SETTINGS.n_angles for a in range(SETTINGS.n_angles)]
+relation("lit1", _lit([137.0]), "dem size")
+relation("year", _lit(SUNS), "dem size")
 TILE = 512
 
 
@@ -178,7 +178,7 @@ def w13(spark, d):
     return sunlit(spark, d, [137.0]).select("r", "c", "lit")
 
 
-@query("W14_annual_illumination", sql("dem sun5", f"WITH l AS ({_lit('sun5', 5)}) SELECT r, c, lit, n_dark FROM l"))
+@query("W14_annual_illumination", sql("year", "SELECT r, c, lit, n_dark FROM year"))
 def w14(spark, d):
     return sunlit(spark, d, SUNS)
 
@@ -193,19 +193,27 @@ def w15(spark, d):
     return dpsr(spark, d)
 
 
-relation("flat", """SELECT o.r, o.c, a, k, (t.z - o.z) / dist AS tan, t.lit FROM (SELECT r, c, z, a, k, dist, r + dr AS tr, c + dc AS tc FROM shadow CROSS JOIN dda WHERE psr = 1) o
-JOIN (SELECT r, c, z, lit FROM shadow JOIN lit1 USING (r, c)) t ON t.r = tr AND t.c = tc""", "shadow dda lit1")
-relation("flatseen", "SELECT *, max(tan) OVER (PARTITION BY r, c, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM flat", "flat")
+def _flat(observers: str, rays: str) -> str:
+    """Observers that see a lit pixel, over a plane."""
+    return f"""SELECT DISTINCT r, c FROM (SELECT *, max(tan) OVER (PARTITION BY r, c, a ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (
+SELECT o.r, o.c, a, k, (t.z - o.z) / dist AS tan, t.lit FROM (SELECT r, c, z, a, k, dist, r + dr AS tr, c + dc AS tc FROM {observers} CROSS JOIN {rays}) o
+JOIN (SELECT r, c, z, lit FROM shadow JOIN lit1 USING (r, c)) t ON t.r = tr AND t.c = tc)) WHERE lit = 1 AND tan >= coalesce(before, -1e18)"""
+
+
+_TURN = f"a * (2 * 3.141592653589793::DOUBLE) / {SETTINGS.n_angles}"
+relation("roundrays", f"""SELECT a, k, dr, dc, greatest(sqrt(dr * dr + dc * dc) * 20, 1)::DOUBLE AS dist FROM (SELECT a::INT AS a, k::INT AS k, round_even(sin({_TURN}) * k, 0)::INT AS dr, round_even(cos({_TURN}) * k, 0)::INT AS dc
+FROM range({SETTINGS.n_angles}) x(a), range(1, {SETTINGS.max_distance + 1}) y(k)), size WHERE abs(dr) < h AND abs(dc) < w""", "size")
+relation("unlit", f"SELECT * FROM dark ANTI JOIN ({_flat('dark', '(SELECT * FROM roundrays WHERE k <= 4)')}) USING (r, c)", "dark roundrays lit1")
 
 
-@query("W16_doubly_shadowed_flat", sql("shadow flatseen", "SELECT r, c FROM shadow ANTI JOIN (SELECT r, c FROM flatseen WHERE lit = 1 AND tan >= coalesce(before, -1e18)) USING (r, c) WHERE psr = 1"))
+@query("W16_doubly_shadowed_flat", sql("unlit roundrays", f"SELECT r, c FROM unlit ANTI JOIN ({_flat('unlit', 'roundrays')}) USING (r, c)"))
 def w16(spark, d):
     s = derived.shadow(spark, d).join(sunlit(spark, d, [137.0]).select("r", "c", "lit"), ["r", "c"])
     table = ray_tiles.inside(ray_tiles.rounded_table(SETTINGS.n_angles, SETTINGS.max_distance), *shape(spark, d))
     return ray_tiles.doubly_shadowed(s, table, TILE, None, "lit")
 
 
-@query("W14_annual_illumination_tiled", sql("dem sun5", f"WITH l AS ({_lit('sun5', 5)}) SELECT r, c, lit, n_dark FROM l"))
+@query("W14_annual_illumination_tiled", sql("year", "SELECT r, c, lit, n_dark FROM year"))
 def w14_tiled(spark, d):
     return sunlit(spark, d, SUNS)
 
