@@ -2,7 +2,9 @@
 
 Prefix polynomial hashes give the hash of any piece of a buffer; binary search over lengths gives how far two
 suffixes agree; a bottom-up mergesort orders suffixes with that comparison, all classes at once, each element
-finding its place in the neighbouring run by binary search. Equal neighbours are verified byte by byte.
+finding its place in the neighbouring run by binary search. Equal neighbours are verified byte by byte, and
+suffixes with one hash must lie together; a class where either fails was put out of order by a collision and is
+sorted by its bytes.
 """
 
 from __future__ import annotations
@@ -98,18 +100,21 @@ def suffix_order(data: np.ndarray, starts: np.ndarray, classes: np.ndarray, limi
         new_pos[place], new_order[place] = own, order[live]
         pos, order = new_pos, new_order
         width *= 2
+    whole = hashes.of(pos, limit)
+    fresh = np.r_[True, (cls[1:] != cls[:-1]) | (whole[1:] != whole[:-1])]
     same = np.zeros(n, bool)
-    at = np.flatnonzero(cls[1:] == cls[:-1]) + 1
-    at = at[hashes.of(pos[at], limit) == hashes.of(pos[at - 1], limit)]
+    at = np.flatnonzero(~fresh)
     for k in range(0, len(at), 5_000):  # collision check
         i = at[k : k + 5_000]
         span = np.arange(limit)
         same[i] = (data[pos[i][:, None] + span] == data[pos[i - 1][:, None] + span]).all(axis=1)
-    if not same[at].all():  # two strings with one hash: that class is sorted by its bytes
-        for c in np.unique(cls[at[~same[at]]]):
-            members = np.flatnonzero(cls == c)
-            text = [data[p : p + limit].tobytes() for p in pos[members]]
-            by = sorted(range(len(members)), key=lambda i: (text[i], order[members[i]]))
-            order[members], pos[members] = order[members][by], pos[members][by]
-            same[members] = [i > 0 and text[by[i]] == text[by[i - 1]] for i in range(len(by))]
+    runs = np.flatnonzero(fresh)
+    runs = runs[np.lexsort((whole[runs], cls[runs]))]
+    apart = runs[1:][(cls[runs][1:] == cls[runs][:-1]) & (whole[runs][1:] == whole[runs][:-1])]
+    for c in np.unique(cls[np.r_[at[~same[at]], apart]]):  # different strings with one hash
+        members = np.flatnonzero(cls == c)
+        text = [data[p : p + limit].tobytes() for p in pos[members]]
+        by = sorted(range(len(members)), key=lambda i: (text[i], order[members[i]]))
+        order[members], pos[members] = order[members][by], pos[members][by]
+        same[members] = [i > 0 and text[by[i]] == text[by[i - 1]] for i in range(len(by))]
     return order, same

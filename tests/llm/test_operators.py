@@ -106,11 +106,18 @@ def repeated_rows():
     return rows + [(100, "a" * 500), (101, "a" * 99), (102, "a" * 100), (103, None), (104, ""), (105, "ab" * 200), (5, rows[5][1]), (None, rows[7][1]), (None, "n" * 120)]
 
 
-@pytest.mark.parametrize("hot", [2048, 3])
-def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
+#: Hints off, hot anchors dealt in groups, and crowded ones split into windows.
+DEALING = [(64, 16), (1, 3), (1, 1)]
+
+
+@pytest.mark.parametrize("sample,hot", DEALING)
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, sample, hot):
     from rasterloom.llm import suffix_dedup
 
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", sample)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 10)
+    monkeypatch.setattr(suffix_dedup, "PIECE", 300)  # texts run over pieces
     rows = repeated_rows()
     df = documents(spark, [t for _, t in rows], [d for d, _ in rows])
     assert collections.Counter(tuple(r) for r in suffix_dedup.removals(df).collect()) == removed_by_brute_force(rows)
