@@ -12,7 +12,7 @@ from rasterloom.operators.resample import tie_group
 from rasterloom.operators.stats import band_stats
 from rasterloom.plans.base import q6, query, r6, sql
 from rasterloom.sources import derived, rasters
-from rasterloom.sources.shared import shared_dir, written
+from rasterloom.sources.shared import run_dir, written
 
 
 @query("A1_dem_scan", sql("dem", f"SELECT r, c, {q6('z')} AS z FROM dem"))
@@ -119,7 +119,7 @@ def a13(spark, d):
 
 @query("A14_tiled_sink", sql("grid", f"SELECT (r // 64)::INT AS tile, count(*) AS n, {q6('sum(v)')} AS total FROM grid WHERE r BETWEEN 60 AND 300 GROUP BY 1"))
 def a14(spark, d):
-    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/tiles-{uuid.uuid4().hex}"
     rasters.write_tiles(derived.grid(spark, d), path, 64)
     back = rasters.read_window(spark, path, 60, 300, 0, 63, 64)
     return back.groupBy(F.floor(F.col("r") / 64).cast("int").alias("tile")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("v")).alias("total"))
@@ -132,7 +132,7 @@ _ONE = " UNION ALL ".join(f"SELECT '{b}' AS band, {b} AS v FROM bands" for b in
 @query("A15_statistics_csv", sql("bands", f"SELECT band, count(v) AS n_valid, {q6('avg(v)')} AS mean FROM ({_ONE}) GROUP BY band"))
 def a15(spark, d):
     stats = band_stats(derived.bands(spark, d), _BANDS).select("band", "n_valid", r6("mean").alias("mean"))
-    path = f"{shared_dir(spark)}/statistics-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/statistics-{uuid.uuid4().hex}"
     stats.write.csv(path, header=True)
     return spark.read.schema("band string, n_valid long, mean double").csv(path, header=True)
 

@@ -2,25 +2,54 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Removes a query's shuffle files once it has ended, not when the driver's collector comes by.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_used: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it names none (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it names none, one of our own in local mode,
+    which is one machine; elsewhere that is an error, as executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "/tmp/checkpoints/rasterloom"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's written tables. What queries have not discarded, since their results read
+    it, is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}"
+    if path not in _used:
+        _used.add(path)
+        atexit.register(_remove, spark, path)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet and reads it back."""
+    """Cuts lineage: writes df as Parquet and reads it back. Its shuffle files go with the end of the write."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
@@ -30,6 +59,4 @@ def discard(*tables: DataFrame) -> None:
     """Removes tables that written() made, once all that is made of them has been written too."""
     for t in tables:
         if "_written_at" in t.__dict__:
-            spark = t.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(t._written_at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(t.sparkSession, t._written_at)
