@@ -49,6 +49,8 @@ SAMPLE = 64
 HOT = 16
 HINTS = 1_000_000
 SALTS = 64
+#: The bytes of segments are fetched by parts of the anchors, so that not all of them lie on disk at once.
+PASSES = 2
 #: s of a row: a group number of a hot anchor from 1 on, else ALONE; KNOWN rows are removals found in a batch.
 ALONE, KNOWN = 0, -1
 _ROW = "h long, s int, g long, d long, p long, a long, b long"
@@ -116,10 +118,10 @@ def segments(data: np.ndarray, bounds: np.ndarray, crowded: np.ndarray) -> tuple
 def settle(texts: list[bytes], ids: np.ndarray, marks: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, ...], hot: np.ndarray) -> pa.RecordBatch:
     """The rows of a batch: segments that no earlier row of the batch has, and KNOWN runs that repeat one."""
     row, p, count, offset, h, g, split = found
-    g = ((g >> np.uint64(15)).astype(np.int64) << 14 & ((1 << 63) - 1)) | count << 7 | offset
+    shape = (g >> np.uint64(48)).astype(np.int64) << 14 | count << 7 | offset
     d, a, b = ids[row], marks[0][row], marks[1][row]
     order = np.lexsort((b, a, p, d, g, h))
-    row, p, count, h, g, split, d, a, b = (x[order] for x in (row, p, count, h, g, split, d, a, b))
+    row, p, count, h, g, shape, split, d, a, b = (x[order] for x in (row, p, count, h, g, shape, split, d, a, b))
     head = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
     of = np.flatnonzero(head)[np.cumsum(head) - 1]
     later, again = np.zeros(len(h), bool), np.zeros(len(h), bool)
@@ -138,7 +140,7 @@ def settle(texts: list[bytes], ids: np.ndarray, marks: tuple[np.ndarray, np.ndar
     salt = (mixed(d.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ a.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1
     s = np.where(split | among(h, hot), salt, ALONE).astype(np.int32)
     known = (kh, np.full(len(at), KNOWN, np.int32), length, d[at], p[at], a[at], b[at])
-    columns = [pa.array(np.concatenate([x[keep], y])) for x, y in zip((h.view(np.int64), s, g, d, p, a, b), known)]
+    columns = [pa.array(np.concatenate([x[keep], y])) for x, y in zip((h.view(np.int64), s, shape, d, p, a, b), known)]
     return pa.RecordBatch.from_arrays(columns, ["h", "s", "g", "d", "p", "a", "b"])
 
 
@@ -149,7 +151,7 @@ def identity() -> list[Column]:
 
 
 def anchors(docs: DataFrame, hints: Broadcast | None = None) -> DataFrame:
-    """A row per segment: h (anchor), s (group), g (49 bits of segment hash, windows, offset), d, p (start), a and b;
+    """A row per segment: h (anchor), s (group), g (16 bits of segment hash, windows, offset), d, p (start), a and b;
     for KNOWN rows g is the number of windows from p on that repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,17 +328,16 @@ def spans(docs: DataFrame) -> DataFrame:
     rows = anchors(docs, spark.sparkContext.broadcast(hints))
     rows = written(spark, grouped(rows), "segments")
     hot = len(hints[0]) > 0
-    found = compared(texts_of(docs, shared_anchors(rows, hot)), hot)
+    together = shared_anchors(rows, hot)
+    passes = [together.filter(F.pmod("h", F.lit(PASSES)) == k) for k in range(PASSES)]
+    found = [written(spark, compared(texts_of(docs, part), hot), "found") for part in passes]
+    every = functools.reduce(DataFrame.union, found)
+    lost = rows.filter(F.col("s") == KNOWN).drop("many").union(every.filter(F.col("s") == KNOWN).drop("seg"))
     if hot:
-        found = written(spark, found, "found")
-        left = found.filter(F.col("s") > ALONE).withColumn("s", F.lit(ALONE))
-        lost = found.filter(F.col("s") == KNOWN).unionByName(compared(left, False))
-    else:
-        lost = found
-    lost = rows.filter(F.col("s") == KNOWN).drop("many").union(lost.drop("seg"))
+        lost = lost.union(compared(every.filter(F.col("s") > ALONE).withColumn("s", F.lit(ALONE)), False).drop("seg"))
     part = F.struct(F.col("p"), F.col("g").alias("n"))
     out = written(spark, lost.groupBy("d", "a", "b").agg(F.collect_list(part).alias("s")), "spans")
-    discard(rows, found)
+    discard(rows, *found)
     return out
 
 
