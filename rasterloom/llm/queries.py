@@ -25,7 +25,8 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     found = {}
     for name, module in MODULES.items():
-        sql = getattr(import_module(f"rasterloom.llm.{module}"), "ORACLE_SQL", None)
+        made = getattr(import_module(f"rasterloom.llm.{module}"), "oracle_sql", None)
+        sql = made() if made else getattr(import_module(f"rasterloom.llm.{module}"), "ORACLE_SQL", None)
         if sql:
             found[name] = sql
     return found

@@ -2,65 +2,85 @@
 
 DataFrame functions only. Features are the n-grams of `host` and of `path`, each marked by its part, hashed to
 SLOTS; a URL's value for a slot is how often it occurs, over the root of the number of n-grams. Scoring sums
-weights from a literal array inside one expression, with no shuffle. Training is batch gradient descent over
-the small labelled table below: its features are made by the same expression and its ROWS are few by
-construction, so the driver may hold them.
+weights from a literal array inside one expression, with no shuffle. Training is batch gradient descent on the
+driver over the small labelled table that labelled() spells out from word lists: a site's name is one or two
+words (or syllables) under an ordinary domain, and its pages have ordinary paths, so that the name decides.
 
 Rules come first. A rule is a host with a path; it fits that host and its subdomains if the URL's path starts
 with the rule's. The longest fitting rule decides.
 
-Defined results: null, or no `://`: host and path are empty, no rule fits, and the model sees no n-grams, so
-that its intercept decides (allow). Only A-Z of the host is lower-cased. Repeated rows give repeated rows; an
-empty table gives an empty one; columns besides page_id and url are ignored.
+Defined results: null, or no `://`: host and path are empty, no rule fits, and the URL is allowed, as the model
+has nothing to go by. Only A-Z of the host is lower-cased. Very long URLs are read whole. Repeated rows give
+repeated rows; an empty table gives an empty one; columns besides page_id and url are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import LOWER, UPPER, table
+from rasterloom.llm.common import ASCII_LOWER, LOWER, UPPER, table
 
 #: Rule -> verdict.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
-SLOTS = 1024
+SLOTS = 1 << 14
 SIZES = (3, 4)
-EPOCHS = 200
-RATE = 2.0
-DECAY = 1e-3
+EPOCHS = 800
+RATE = 4.0
+MOMENTUM = 0.9
+DECAY = 1e-5
+#: What a spam row weighs against an ordinary one.
+SPAM_WORTH = 2.0
+#: Weights are multiples of this, so that their sums are exact in any order.
+GRAIN = 2.0**-20
 #: A URL is blocked from this probability on.
 BLOCK_FROM = 0.5
 
-#: The labelled URL table: 1 for pages a training corpus should not have.
-LABELLED = [
-    ("https://news.example.org/en/politics/2021/report.html", 0), ("https://www.example.com/en/docs/guide/", 0),
-    ("http://library.example.edu/catalogue/item/1182", 0), ("https://wiki.example.org/en/History_of_glass", 0),
-    ("https://blog.example.com/fr/recettes/pain", 0), ("https://www.example.org/es/ciencia/articulo-44", 0),
-    ("https://m.example.com/en/9897/", 0), ("http://shop.example.com/de/buecher?page=2", 0),
-    ("https://docs.example.dev/reference/api/index.html", 0), ("https://forum.example.org/thread/8812#top", 0),
-    ("https://www.museum.example/collections/maps", 0), ("https://university.example.edu/courses/physics", 0),
-    ("https://health.example.gov/advice/vaccines", 0), ("https://weather.example.org/fr/previsions/lyon", 0),
-    ("https://recipes.example.com/en/soup/onion", 0), ("https://journal.example.org/de/artikel/5099.html", 0),
-    ("http://www.example.com/en/21600#top", 0), ("https://travel.example.com/es/guia/sevilla", 0),
-    ("https://sport.example.org/en/football/results", 0), ("https://data.example.gov/tables/census", 0),
-    ("https://garden.example.com/en/roses/pruning", 0), ("https://music.example.org/en/scores/bach", 0),
-    ("https://code.example.dev/projects/parser/readme", 0), ("https://www.example.org/en/about", 0),
-    ("http://free-casino-slots.example.biz/jackpot/bonus", 1), ("https://xxx-porn-videos.example.xyz/watch/hd", 1),
-    ("http://cheap-viagra-pills.example.top/order/now", 1), ("https://crack-keygen-warez.example.ru/download.exe", 1),
-    ("http://win-lottery-prize.example.click/claim?ref=x", 1), ("https://hot-dating-singles.example.xyz/join/free", 1),
-    ("http://online-casino-bonus.example.bet/slots/", 1), ("https://adult-porn-cams.example.sex/live", 1),
-    ("http://torrent-warez-crack.example.to/download/serial", 1), ("https://viagra-cialis-pharmacy.example.biz/buy", 1),
-    ("http://poker-betting-casino.example.bet/en/jackpot", 1), ("https://xxx-adult-sex.example.top/gallery/porn", 1),
-    ("http://payday-loans-fast.example.loan/apply/now", 1), ("https://replica-watches-cheap.example.shop/buy/rolex", 1),
-    ("http://clickbait-ads-popunder.example.click/redirect?id=9", 1), ("https://keygen-serial-crack.example.xyz/full", 1),
-    ("http://buy-followers-cheap.example.top/order", 1), ("https://casino-jackpot-slots.example.win/play/free", 1),
-    ("http://escort-sex-dating.example.xyz/girls", 1), ("https://download-free-mp3-warez.example.ru/get.exe", 1),
-    ("http://forex-bitcoin-doubler.example.biz/invest/profit", 1), ("https://pills-pharmacy-online.example.top/cialis", 1),
-    ("http://spin-win-bonus.example.bet/free-spins", 1), ("https://porn-tube-xxx.example.sex/videos", 1),
-]
+#: Words in the names of sites that a training corpus should not have, and of ordinary ones; some are in both.
+SPAM_WORDS = """adult ads affiliate backlinks banner bet bets betting bingo bitcoin bonus cams cash casino cheap cheat cialis click
+clicks crack credit crypto dating debt deals doubler drugs escort fake farm fast followers forex free gambling girls hack hot
+instant jackpot keygen likes link loans lotto lucky mega meds naked nude payday pharma pills pixel poker popup porn prize profit
+replica roulette seo serial sex sexy singles slots spam spin spy torrent track tracker traffic viagra vip warez webcam win
+winner x xxx""".split()
+PLAIN_WORDS = """archive art atlas bakery band bank bird book bridge camp castle chess choir city club coast code coffee college
+cook cycle daily data design doctor dance earth energy fair family farm field film fish fitness flower forest free garden gazette
+geo green guide harbor health herald hill history home hotel house island journal kitchen lab lake law leaf library light link
+local maps market math media meteo mill mobile moon mountain museum music nature news north ocean office open opera orchard park
+paper photo physics planet poem post press radio rail recipe review river road school science sea shop sky society soft song
+south sport star stone story studio summer sun tea tech theatre thesis thread times tool tour town track trade travel tree
+union valley village voice walk water weather west wiki wind winter wood world writer yoga zoo""".split()
+#: Syllables of names that are no words.
+SYLLABLES = "al an ar ble con den er es ing ion in ka la len lo ly ma men mo nd ne nt on or pa qu ra re ri ro sh ste ta te th ti tion to tr un ur ve wh".split()
+_FRONT, _DOMAINS, _TONGUES = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net", "example.edu"), ("en", "de", "fr", "es")
+_ENDS = ("", "/", ".html", "?page=2&ref=x", "#top", "?utm_source=feed")
+
+
+def labelled(held_out: bool = False) -> list[tuple[str, int]]:
+    """The labelled URL table: 1 for pages a training corpus should not have. One name in five is held out of it."""
+
+    def pick(key: str, options) -> str:
+        return options[int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "big") % len(options)]
+
+    def pair(i: int, kind: str, words: list[str]) -> str:
+        return pick(f"{kind}:{i}a", words) + pick(f"{kind}:{i}b", ("-", "-", "-", "")) + pick(f"{kind}:{i}c", words)
+
+    syllables = lambda i: ("".join(pick(f"syllable{i}.{k}", SYLLABLES) for k in range(2 + i % 3)), 0)
+    spam = lambda i: (pair(i, "spam", SPAM_WORDS), 1)
+    made = [spam, spam, lambda i: (pair(i, "plain", PLAIN_WORDS), 0), lambda i: (pick(f"word{i}", PLAIN_WORDS), 0), *[syllables] * 3]
+    out = {}
+    for i in range(2400):
+        name, label = made[i % len(made)](i)
+        if (int(hashlib.md5(name.encode()).hexdigest(), 16) % 5 == 0) == held_out:
+            at = [pick(f"{k}{i}", x) for k, x in enumerate((("http", "https"), _FRONT, _DOMAINS, _TONGUES, _ENDS))]
+            out[name] = (f"{at[0]}://{at[1]}{name}.{at[2]}/{at[3]}/{i * 37 % 9973}{at[4]}", label)
+    return list(out.values())
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -87,59 +107,90 @@ def slots(host: Column, path: Column) -> Column:
         text = F.concat(F.lit("^"), part, F.lit("$"))
         count = F.length(text) - (n - 1)
         starts = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.pmod(F.xxhash64(F.concat(F.lit(f"{mark}{n}:"), F.substring(text, i, F.lit(n)))), F.lit(SLOTS)).cast("int"))
+        digest = lambda i: F.substring(F.md5(F.concat(F.lit(f"{mark}{n}:"), F.substring(text, i, F.lit(n)))), 1, 8)
+        return F.transform(starts, lambda i: (F.conv(digest(i), 16, 10).cast("long") % SLOTS).cast("int"))
 
     parts = [grams(part, mark, n) for part, mark in ((host, "h"), (path, "p")) for n in SIZES]
     return F.concat(*[F.when(part != "", g).otherwise(F.array().cast("array<int>")) for g, part in zip(parts, (host, host, path, path))])
 
 
-def train(spark: SparkSession, labelled: list[tuple[str, int]] = LABELLED) -> tuple[list[float], float]:
-    """Weights by slot and the intercept. The labelled table is a literal; its rows are all that is collected."""
-    df = spark.createDataFrame(labelled, "url string, label int")
-    rows = df.select(slots(*split_url(F.col("url"))).alias("s"), "label", "url").collect()
-    examples = []
-    for r in sorted(rows, key=lambda r: (r["url"], r["label"])):
-        counts: dict[int, int] = {}
-        for s in r["s"]:
-            counts[s] = counts.get(s, 0) + 1
-        norm = math.sqrt(max(1, len(r["s"])))
-        examples.append(({s: n / norm for s, n in counts.items()}, r["label"]))
-    weights, bias = [0.0] * SLOTS, 0.0
+def slots_of(url: str) -> list[int]:
+    """The same for a URL of the labelled table."""
+    host, path = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url).groups()
+    texts = [(mark, f"^{part}$") for mark, part in (("h", host.translate(ASCII_LOWER)), ("p", path)) if part]
+    grams = [f"{mark}{n}:{text[i : i + n]}" for mark, text in texts for n in SIZES for i in range(len(text) - n + 1)]
+    return [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % SLOTS for g in grams]
+
+
+@lru_cache(maxsize=2)
+def train(rows: tuple[tuple[str, int], ...] | None = None) -> tuple[tuple[float, ...], float]:
+    """Weights by slot and the intercept, by gradient descent on the logistic loss of the labelled table."""
+    table = rows or labelled()
+    found = [slots_of(url) for url, _ in table]
+    size = np.array([max(1, len(x)) for x in found])
+    row, col = np.repeat(np.arange(len(found)), [len(x) for x in found]), np.array([k for x in found for k in x], np.int64)
+    value, label = 1 / np.sqrt(size)[row], np.array([y for _, y in table], np.float64)
+    worth = np.where(label == 1, SPAM_WORTH, 1.0) / max(1, len(table))
+    weights, bias, push, lean = np.zeros(SLOTS), 0.0, np.zeros(SLOTS), 0.0
     for _ in range(EPOCHS):
-        steps, lean = [0.0] * SLOTS, 0.0
-        for x, label in examples:
-            z = bias + sum(weights[s] * v for s, v in x.items())
-            error = 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - label
-            lean += error
-            for s, v in x.items():
-                steps[s] += error * v
-        n = max(1, len(examples))
-        weights = [w - RATE * (g / n + DECAY * w) for w, g in zip(weights, steps)]
-        bias -= RATE * lean / n
-    return [round(w, 9) for w in weights], round(min(bias, -1e-6), 9)
-
-
-def probability(host: Column, path: Column, model: tuple[list[float], float]) -> Column:
+        z = bias + np.bincount(row, weights[col] * value, len(table))
+        error = worth * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - label)
+        push = MOMENTUM * push - RATE * (np.bincount(col, error[row] * value, SLOTS) + DECAY * weights)
+        lean = MOMENTUM * lean - RATE * error.sum()
+        weights, bias = weights + push, bias + lean
+    grain = lambda w: round(w / GRAIN) * GRAIN
+    return tuple(map(grain, weights.tolist())), grain(float(bias))
+
+
+def probability(host: Column, path: Column, model: tuple[tuple[float, ...], float]) -> Column:
     weights, bias = model
     w = F.from_json(F.lit("[" + ",".join(map(repr, weights)) + "]"), "array<double>")  # folded to a literal once
     found = slots(host, path)
     norm = F.sqrt(F.greatest(F.size(found), F.lit(1)).cast("double"))
-    total = F.aggregate(F.transform(found, lambda s: F.get(w, s)), F.lit(0.0), lambda a, x: a + x)
+    total = F.aggregate(found, F.lit(0.0), lambda a, k: a + F.get(w, k))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(bias) + total / norm)))
 
 
-def judged(pages: DataFrame, model: tuple[list[float], float] | None = None, rules: dict[str, str] = RULES) -> DataFrame:
+def judged(pages: DataFrame, model: tuple[tuple[float, ...], float] | None = None, rules: dict[str, str] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the model's probability of block."""
-    model = model or train(pages.sparkSession)
+    model = model or train()
     host, path = split_url(F.col("url"))
     cut = pages.select("page_id", host.alias("host"), path.alias("path"))
     h, p = F.col("host"), F.col("path")
     scored = cut.select("*", fitting_rule(h, p, rules).alias("rule"), probability(h, p, model).alias("p_block"))
     by_rule = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
-    by_model = F.when(F.col("p_block") >= BLOCK_FROM, F.lit("block")).otherwise(F.lit("allow"))
+    blocked = (F.col("p_block") >= BLOCK_FROM) & ((h != "") | (p != ""))
+    by_model = F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))
     verdict = F.when(F.col("rule").isNull(), by_model).otherwise(F.try_element_at(by_rule, F.col("rule")))
-    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "p_block")
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("p_block", 6).alias("p_block"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages"))
+
+
+def oracle_sql() -> str:
+    """The trained weights as a table; splitting, rules, n-grams and scores stated again."""
+    weights, bias = train()
+    known = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in enumerate(weights) if w)
+    rules = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in RULES.items())
+    marks = ", ".join(f"('{mark}', {n})" for mark in "hp" for n in SIZES)
+    return f"""
+WITH u AS (
+  SELECT row_number() OVER () AS rid, page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), '{UPPER}', '{LOWER}') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+rules AS (SELECT * FROM (VALUES {rules}) t(rule, site, prefix, verdict)),
+fit AS (
+  SELECT rid, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS ruled
+  FROM u, rules WHERE (host = site OR ends_with(host, '.' || site)) AND starts_with(path, prefix) GROUP BY rid),
+w AS (SELECT * FROM (VALUES {known}) t(slot, weight)),
+part AS (
+  SELECT rid, mark, n, '^' || CASE mark WHEN 'h' THEN host ELSE path END || '$' AS t FROM u, (VALUES {marks}) m(mark, n)
+  WHERE CASE mark WHEN 'h' THEN host ELSE path END <> ''),
+gram AS (SELECT rid, mark || n || ':' || substr(t, i, n) AS g FROM (SELECT *, unnest(range(1, length(t) - n + 2)) AS i FROM part)),
+slot AS (SELECT rid, ('0x' || substr(md5(g), 1, 8))::BIGINT % {SLOTS} AS slot FROM gram),
+score AS (SELECT rid, coalesce(sum(weight), 0) / sqrt(count(*)) AS s FROM slot LEFT JOIN w USING (slot) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN s IS NOT NULL AND 1 / (1 + exp(-({bias!r} + s))) >= {BLOCK_FROM} THEN 'block' ELSE 'allow' END) AS verdict,
+       round(1 / (1 + exp(-({bias!r}::DOUBLE + coalesce(s, 0)))), 6) AS p_block
+FROM u LEFT JOIN fit USING (rid) LEFT JOIN score USING (rid)
+"""

@@ -197,38 +197,56 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert all(good) and not any(r["kept"] for r in rows if r["quality"] == 0)
 
 
+URLS = [
+    None, "", "no scheme", "http://NET/x", "http://a.b.net/", "http://example.net/en/1", "http://www.example.net/fr/", "https://x.example.com/de/y?q#f",
+    "http://planet/", "http://site.org/fr/a", "http://site.org/en/a", "http://free-casino.example.xyz/porn/slots", "http://news.example.gov/report", "ftp://A://b/c", "http://net", "x\n://net/",
+    "http://é漢🙂.example.com/ü", "://", "http://" + "casino-" * 4000 + ".com/" + "x/" * 20_000, "http://free-casino.example.xyz/porn/slots",
+]
+
+
 def test_url_filter_equals_brute_force(spark):
     import math
 
-    import xxhash
-
     from rasterloom.llm import url_filter as u
 
-    urls = [
-        None, "", "no scheme", "http://NET/x", "http://a.b.net/", "http://example.net/en/1", "http://www.example.net/fr/", "https://x.example.com/de/y?q#f",
-        "http://planet/", "http://site.org/fr/a", "http://site.org/en/a", "http://free-casino.example.xyz/porn/slots", "http://news.example.gov/report", "ftp://A://b/c", "http://net", "x\n://net/",
-    ]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 as host", "2 as p_block")
-    weights, bias = u.train(spark)
-    for r in u.judged(pages, (weights, bias)).collect():
-        url = urls[r["page_id"]] or ""
+    pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string").selectExpr("*", "1 as host", "2 as p_block", "3 as rule")
+    weights, bias = u.train()
+    rows = u.judged(pages, (weights, bias)).collect()
+    assert len(rows) == len(URLS)
+    for r in rows:
+        url = URLS[r["page_id"]] or ""
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url)
         host, path = (re.sub("[A-Z]", lambda x: x[0].lower(), m[1]), m[2]) if m else ("", "")
         fits = [k for k in u.RULES if (host == k.split("/", 1)[0] or host.endswith("." + k.split("/", 1)[0])) and path.startswith("/" + k.split("/", 1)[1])]
         rule = max(fits, key=len, default=None)
-        parts = [(part, mark) for part, mark in ((host, "h"), (path, "p")) if part]
-        grams = [f"{mark}{n}:{('^' + part + '$')[i : i + n]}" for part, mark in parts for n in u.SIZES for i in range(len(part) + 3 - n)]
-        slots = [((xxhash.xxh64(g.encode(), seed=42).intdigest() + (1 << 63)) % (1 << 64) - (1 << 63)) % u.SLOTS for g in grams]
+        grams = [f"{mark}{n}:{('^' + part + '$')[i : i + n]}" for part, mark in ((host, "h"), (path, "p")) if part for n in u.SIZES for i in range(len(part) + 3 - n)]
+        slots = [int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % u.SLOTS for g in grams]
         p = 1 / (1 + math.exp(-(bias + sum(weights[s] for s in slots) / math.sqrt(max(1, len(slots))))))
-        verdict = u.RULES[rule] if rule else ("block" if p >= u.BLOCK_FROM else "allow")
-        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict), url
-        assert abs(r["p_block"] - p) < 1e-9
-    labelled = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(u.LABELLED)], "page_id long, url string")
-    right = sum((r["p_block"] >= 0.5) == bool(u.LABELLED[r["page_id"]][1]) for r in u.judged(labelled, (weights, bias)).collect())
-    assert right >= 0.95 * len(u.LABELLED)
+        verdict = u.RULES[rule] if rule else ("block" if p >= u.BLOCK_FROM and (host or path) else "allow")
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == (host, path, rule, verdict), url[:80]
+        assert abs(r["p_block"] - p) < 1e-6
     assert u.judged(pages.limit(0), (weights, bias)).count() == 0
 
 
+def test_url_filter_blocks_held_out_hosts(spark):
+    from rasterloom.llm import url_filter as u
+
+    train, held = u.labelled(), u.labelled(held_out=True)
+    name = lambda url: url.split("://")[1].split("/")[0].removeprefix("www.").removeprefix("m.").removeprefix("blog.").rsplit(".", 2)[0]
+    assert not {name(x) for x, _ in train} & {name(x) for x, _ in held}
+    pages = spark.createDataFrame([(i, url) for i, (url, _) in enumerate(held)], "page_id long, url string")
+    blocked = {r["page_id"] for r in u.judged(pages, rules={"none/": "allow"}).collect() if r["verdict"] == "block"}
+    spam = {i for i, (_, label) in enumerate(held) if label}
+    assert len(blocked & spam) >= 0.9 * len(spam) and len(blocked - spam) <= 0.02 * (len(held) - len(spam))
+    # names of the test table, seen by eye to be spam; every page they have counts
+    marks = "free-bets casino-win cheap-pills ads-track adult-x spam-farm".split()
+    assert not any(m in x for m in marks for x, _ in train + held)
+    rows = u.judged(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"), rules={"none/": "allow"}).select("host", "verdict").collect()
+    bad = [r["verdict"] == "block" for r in rows if any(m in r["host"] for m in marks)]
+    good = [r["verdict"] == "block" for r in rows if not any(m in r["host"] for m in marks)]
+    assert len(bad) > 100 and sum(bad) >= 0.9 * len(bad) and sum(good) < 0.01 * len(good)
+
+
 def test_url_filter_is_native(spark):
     from rasterloom.llm import url_filter as u
 

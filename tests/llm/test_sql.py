@@ -13,7 +13,7 @@ def test_every_operator_is_registered():
     assert {q.split("_")[0] for q in queries()} == {f"op{n}" for n in range(1, 11)}
 
 
-@pytest.mark.parametrize("name", ["op3_chat_format", "op4_quality_rules", "op8_sharding", "op9_decontamination"])
+@pytest.mark.parametrize("name", ["op3_chat_format", "op4_quality_rules", "op5_url_filter", "op8_sharding", "op9_decontamination"])
 def test_equals_sql(spark, name):
     from rasterloom.llm.queries import oracle_sql, queries
 
