@@ -1,22 +1,24 @@
 """Operator 7, language identification by compression.
 
-Method: each language has a raw-content zstandard dictionary, made of pieces of labelled documents. A text is
-encoded with every dictionary, and the language whose encoding is smallest is chosen. The score is the lead
-over the second smallest, as a share of it, times SCALE and 1 at most; `rejected` marks leads under NARROW.
-
-Fitting reads text and lang of documents with a lang whose crc32(doc_id as text) mod 3 is not 1: per language
-about SAMPLE_DOCS documents, chosen by a hash of doc_id, of each PIECE characters at most, and DICT_BYTES of
-dictionary. These bounds are parameters; prediction reads every whole text and nothing but the text.
-
-Defined results: null text, or one without a letter, is `und` with score 0; so is every text if nothing
-labelled was found. With one learned language the score is 1. Equal sizes go to the first language in order.
-A null doc_id is not held out. Repeated rows give repeated rows; an empty table gives an empty one; columns
+Method: each language has a raw-content zstandard dictionary, made of labelled documents. A text is encoded with
+every dictionary, and the language whose encoding is smallest is chosen. The score is the lead over the second
+smallest, as a share of it, times SCALE and 1 at most; `rejected` marks leads under NARROW.
+
+Fitting reads text and lang of documents with a lang whose crc32(doc_id as text) mod 3 is not 1. The sample is
+bounded: per language, whole texts in the order of a hash until DICT_BYTES are full; texts longer than that
+take part only where a language has no other, cut to DICT_BYTES. Every language counts; more than
+MOST_LANGUAGES are an error, as the dictionaries are sent to all workers. Prediction reads every whole text and
+nothing but the text.
+
+Defined results: null text, or one without a letter (Unicode categories L*, so that digits, fractions and
+numerals are none), is `und` with score 0; so is every text if nothing labelled was found. With one learned
+language the score is 1. Equal sizes go to the first language in order, with score 0. A null doc_id is not held
+out. Repeated rows give repeated rows, and count once in the sample; an empty table gives an empty one; columns
 besides doc_id, text and lang are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +26,17 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import map_texts, table
 
-SAMPLE_DOCS = 400
-PIECE = 1500
 DICT_BYTES = 64 << 10
+#: Texts are drawn until so many dictionaries would be full, on average.
+SPARE = 3
 LEVEL = 1
 SCALE = 10.0
 NARROW = 0.02
 MOST_LANGUAGES = 500
 
-_LETTER = re.compile(r"[^\W\d_]").search
+
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
 
 
 def held_out():
@@ -42,26 +46,35 @@ def held_out():
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
     """A raw-content dictionary for each language, from a bounded sample of labelled documents.
 
-    Two small passes: one counts documents per language (no text), one reads the texts of the rows whose hash
-    lies under the language's share. The driver gets SAMPLE_DOCS pieces per language, give or take chance."""
+    Two passes: one sums sizes per language, one reads the texts whose hash lies under the language's share, so
+    that the driver gets SPARE * DICT_BYTES per language, give or take chance."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not counts:
+    size = F.octet_length("text")
+    fits = size <= DICT_BYTES
+    sums = known.groupBy("lang").agg(F.sum(F.when(fits, size)).alias("short"), F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    if len(sums) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    if not sums:
         return {}
     spread = 1 << 30
-    draw = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(spread))
-    limits = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(spread, int(spread * SAMPLE_DOCS / r["count"]) + 1))])
-    rows = known.filter(draw < F.try_element_at(limits, F.col("lang"))).select(
-        "lang", draw.alias("h"), F.substring("text", 1, PIECE).alias("piece")
-    )
-    by: dict[str, list] = {}
+    share = lambda r: SPARE * DICT_BYTES / r["short"] if r["short"] else SPARE / r["n"]
+    limits = F.create_map(*[F.lit(x) for r in sums for x in (r["lang"], min(spread, int(spread * share(r)) + 1))])
+    long_only = F.array(*[F.lit(r["lang"]) for r in sums if not r["short"]]).cast("array<string>")
+    hashed = F.xxhash64("doc_id", "text")
+    drawn = known.filter((F.pmod(hashed, F.lit(spread)) < F.try_element_at(limits, F.col("lang"))) & (fits | F.array_contains(long_only, F.col("lang"))))
+    rows = drawn.select("lang", hashed.alias("h"), F.substring("text", 1, DICT_BYTES).alias("t")).groupBy("lang", "h").agg(F.first("t").alias("t"))
+    by: dict[str, list] = {r["lang"]: [] for r in sums}
     for r in rows.collect():
-        by.setdefault(r["lang"], []).append((r["h"], r["piece"]))
+        by[r["lang"]].append((r["h"], r["t"]))
     out = {}
-    for lang, pieces in sorted(by.items()):
-        seen: dict[str, None] = dict.fromkeys(p for _, p in sorted(pieces)[: 2 * SAMPLE_DOCS])
-        share = max(64, DICT_BYTES // len(seen))
-        out[lang] = "\n".join(p[:share] for p in seen).encode()[:DICT_BYTES]
+    for lang, texts in sorted(by.items()):
+        data = b""
+        for _, t in sorted(texts):
+            t = t.encode()[:DICT_BYTES] + b"\n"
+            if not data or len(data) + len(t) <= DICT_BYTES:
+                data += t
+        if data:
+            out[lang] = data
     return out
 
 
@@ -77,7 +90,7 @@ class Classifier:
             self.encoders.append(z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False))
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
-        if text is None or not self.langs or not _LETTER(text):
+        if text is None or not self.langs or not has_letter(text):
             return "und", 0.0, True
         data = text.encode()
         sizes = [(len(e.compress(data)), k) for k, e in enumerate(self.encoders)]

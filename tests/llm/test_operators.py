@@ -341,6 +341,55 @@ def test_language_id_on_held_out_documents(spark):
     assert dictionaries(empty(spark)) == {} and languages(empty(spark), {}).count() == 0
 
 
+def test_language_id_equals_brute_force(spark):
+    """Each text compressed with each dictionary by a compressor of its own; the smallest wins."""
+    import zstandard
+
+    from rasterloom.llm.language_id import LEVEL, dictionaries, languages
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    dicts = dictionaries(docs)
+    texts = corpus(spark) + ["½", "²①Ⅷ", "٣٤", "½ a", "ª", "ʰ", "ー", "naïve " * 30_000, "der die das " * 50_000]
+    got = by_id(languages(documents(spark, texts), dicts))
+    for i, t in enumerate(texts):
+        import unicodedata
+
+        letter = any(unicodedata.category(c).startswith("L") for c in t or "")
+        sizes = []
+        for lang in sorted(dicts):
+            d = zstandard.ZstdCompressionDict(dicts[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append((len(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False).compress((t or "").encode())), lang))
+        sizes.sort()
+        if not letter:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0), t
+        else:
+            lead = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+            assert got[i]["lang_pred"] == sizes[0][1] and abs(got[i]["score"] - min(1, 10 * lead)) < 1e-12, t[:50]
+
+
+def test_language_id_defined_results(spark, monkeypatch):
+    from rasterloom.llm import language_id as g
+
+    same = {"bb": b"one text", "aa": b"one text"}
+    rows = g.languages(documents(spark, ["one text here", "one text here"], [1, 1]), same).collect()
+    assert [(r["lang_pred"], r["score"], r["rejected"]) for r in rows] == [("aa", 0.0, True)] * 2  # a tie, repeated
+    (one,) = g.languages(documents(spark, ["any"]), {"xx": b"some words"}).collect()
+    assert (one["lang_pred"], one["score"]) == ("xx", 1.0)
+    (none,) = g.languages(documents(spark, ["any"]), {}).collect()
+    assert (none["lang_pred"], none["score"]) == ("und", 0.0)
+    # whole texts fill a dictionary; a language of long texts only is learned from one; equal rows count once
+    long = "long words " * 20_000
+    docs = [(i, f"text {i} of one language", "aa") for i in range(40)] + [(100, long, "bb"), (101, long, "bb"), (102, None, "cc"), (103, "x", None)]
+    docs += [(None, "no id at all", "aa")] * 50
+    made = g.dictionaries(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    assert set(made) == {"aa", "bb"} and made["aa"].count(b"no id at all") == 1 and 1000 < len(made["bb"]) <= g.DICT_BYTES + 1
+    learned = made["aa"].decode().splitlines()
+    assert set(learned) <= {t for _, t, _ in docs if t} and len(set(learned)) == len(learned) > 20
+    monkeypatch.setattr(g, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        g.dictionaries(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+
+
 def test_sharding_table_is_even_and_stable(spark):
     from rasterloom.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, placed
 
