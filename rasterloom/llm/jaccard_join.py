@@ -1,50 +1,62 @@
 """Operator 6, n-gram Jaccard join: documents whose sets of five-word shingles have similarity 0.75 or more.
 
-Method: the incidence matrix of documents and shingles, multiplied with itself in blocks. Columns (shingles)
-that can matter come from size-derived bounds: two sets of sizes a and b link only if they share
-3 (a + b) / 7 shingles, so that in any fixed order of all shingles the first a - ceil(3a/4) + 1 of a set hold
-one that both share. Those columns are shuffled; a column with MOST documents or fewer gives candidate pairs
-directly, and a wider one is a block product: its documents' rows meet block against block in one task, which
-accumulates overlap counts, drops pairs under the bound, and returns a spanning forest of the links it found,
-never all pairs. Candidate pairs are thinned by a bound from parity bitmaps (the bitmaps of two sets differ in
-no more bits than the sets differ in elements), and what is left is counted on the whole sets.
-
-The order of the columns is by hash, with frequent shingles last. Which are put last is a hint taken from
-the documents whose hash falls in 1 of SAMPLE; any choice gives the same links, as the bound holds in every
-order, so that only work depends on it. HINTS bounds its size (8 bytes each), which is broadcast.
-
-Copies with equal sets are one row of the matrix. Shingles are 64-bit hashes; sets are told apart by 128 bits.
+Method: the incidence matrix of documents and shingles, multiplied with itself in blocks, as a sparse product: a
+row of the product accumulates, from the columns that one document has, how many every other document of the
+block shares with it, and what is under the size-derived bound is discarded. What is multiplied follows from
+the same bounds: two sets of sizes a and b link only if they share 3 (a + b) / 7 shingles, so that in any fixed
+order of all shingles the first a - ceil(3a/4) + 1 of a set hold one that both share. Only those columns are
+shuffled.
+
+Documents of one column are candidates for each other. Those of a column of at most MOST documents are paired;
+those of a wider one are first paired with pivots, the first and the last document of each size class, which
+makes as many pairs as the column has documents. Candidate pairs are thinned by a bound from parity bitmaps (the
+bitmaps of two sets differ in no more bits than the sets differ in elements) and multiplied, and what links is
+contracted. Documents of a wide column that are one group by then need no more; where several groups are left,
+blocks of the column are multiplied with each other, skipping pairs that are of one group, and a spanning forest
+of the links between groups comes out, never all pairs.
+
+The order of the columns is by hash, with frequent shingles last. Which are put last, and which are dealt to
+SALTS tasks when columns are counted, is a hint taken from the documents whose hash falls in 1 of SAMPLE; any
+choice gives the same links, as the bound holds in every order, so that only work depends on it. HINTS bounds its
+size (8 bytes each), which is broadcast.
+
+Copies with equal sets are one row of the matrix, whatever their doc_ids. Shingles, and sets as wholes, are told
+apart by 64-bit hashes.
 
 Defined results: null, empty or blank texts have 0 shingles and link with nothing; fewer than five words are
 one shingle; repeated rows are one document and appear as often as before; rows that share a doc_id with
-different texts are distinct sets that meet in one component; a null doc_id keeps its row, counts for no
-component's smallest id, and has a null component unless its set has another row; an empty table gives an
-empty one; other columns are ignored. No partner or candidate is dropped. Memory of a task: one Arrow batch
-or two blocks of BLOCK sets, fewer where sets are large.
+different texts are distinct sets of one component; a row without doc_id links like any other, counts for no
+component's smallest id, and has a null component where no row of the component has an id; an empty table
+gives an empty one; other columns are ignored. No partner or candidate is dropped. Memory of a task: one Arrow
+batch or two blocks of BLOCK sets, fewer where sets are large.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import bounded_batches, discard, plain_names, release, slim, table, written
 from rasterloom.operators.components import components
 
 WORDS = 5
-#: Columns of so many documents give pairs directly; wider ones are block products.
+#: Columns of so many documents are paired; wider ones begin with pivots.
 MOST = 64
 BLOCK = 512
 #: Elements of a set that count as one document's when blocks are filled.
 USUAL = 500
 SAMPLE = 16
 OFTEN = 3
+#: Occurrences in the sample from which a column is dealt to SALTS tasks for counting, and taken to be wide.
+HOT = 64
+SALTS = 64
 HINTS = 1_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
@@ -91,9 +103,9 @@ def may_link(n: int, p: bytes, m: int, q: bytes) -> bool:
     return (a ^ b).bit_count() <= differ
 
 
-def hints(docs: DataFrame) -> np.ndarray:
-    """Frequent shingles, the first to be put last in the order: a hint that changes work, not links."""
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+def hints(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, put last in the order, and the very frequent ones: hints that change work, not links."""
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(SAMPLE)) == 0).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -102,87 +114,111 @@ def hints(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n.astype(np.int64))], ["s", "n"])
 
     counted = sample.mapInArrow(slim(run), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= OFTEN)
-    rows = counted.orderBy(F.desc("n"), "s").limit(HINTS).select("s").toPandas()
-    return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
+    rows = counted.orderBy(F.desc("n"), "s").limit(HINTS).toPandas()
+    s = rows["s"].to_numpy(np.int64).view(np.uint64)
+    return np.sort(s), np.sort(s[rows["n"].to_numpy() >= HOT])
+
+
+def among(x: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which of x are in some (sorted)."""
+    if not len(some):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(some, x)
+    at[at == len(some)] = 0
+    return some[at] == x
 
 
 def prefix_of(s: np.ndarray, often: np.ndarray) -> np.ndarray:
     """The elements of a set that the size bound asks to look at: by hash, frequent ones last."""
     if len(often):
-        at = np.searchsorted(often, s)
-        at[at == len(often)] = 0
-        late = often[at] == s
+        late = among(s, often)
         s = np.concatenate([s[~late], s[late]])
     return s[: len(s) + 1 - -(-3 * len(s) // 4)]
 
 
+def text_hash() -> list[Column]:
+    """128 bits of a text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
+
+
+def name_of(s: np.ndarray) -> int:
+    """The number that stands for a set."""
+    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 def rows_of(docs: DataFrame, last: Broadcast) -> DataFrame:
-    """doc_id, mark (of the set) and n of every row; prefix and parity too where no row of the same set in the
-    Arrow batch has a smaller doc_id. last: the elements that come last in the order."""
+    """doc_id, u (its set), n and text hashes of every row; prefix and parity too in the first row of a set in its
+    Arrow batch. last: the elements that come last in the order."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = last.value
+        often = last.value[0]
         for b in batches:
-            ids = b.column(0).to_pylist()
             sets = [shingles(t) for t in b.column(1).to_pylist()]
-            marks = [blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            first: dict[bytes, int] = {}  # the only rows of a set in this batch that can stand for it
-            for i, m in enumerate(marks):
-                if ids[i] is not None and (m not in first or ids[i] < ids[first[m]]):
-                    first[m] = i
+            names = [name_of(s) for s in sets]
+            first = {u: i for i, u in reversed(list(enumerate(names)))}
             prefix, bits = [None] * len(sets), [None] * len(sets)
-            for m, i in first.items():
+            for i in first.values():
                 if len(sets[i]):
                     prefix[i] = prefix_of(sets[i], often).tobytes()
                     bits[i] = parity(sets[i])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(marks, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())],
-                ["doc_id", "mark", "n", "prefix", "parity"],
-            )
+            arrays = [pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), b.column(2), b.column(3), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "u", "n", "h1", "h2", "prefix", "parity"])
 
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(slim(run), f"doc_id {kind}, mark binary, n long, prefix binary, parity binary")
+    narrow = docs.select("doc_id", F.col("text").cast("string"), *text_hash())
+    return narrow.mapInArrow(slim(run), f"doc_id {kind}, u long, n long, h1 long, h2 long, prefix binary, parity binary")
 
 
-def copies_of(rows: DataFrame) -> DataFrame:
-    """mark, rep: the smallest doc_id of each set. Copies are pre-aggregated before the shuffle."""
-    return rows.filter("n > 0").groupBy("mark").agg(F.min("doc_id").alias("rep"))
-
-
-def representatives(rows: DataFrame, copies: DataFrame) -> DataFrame:
+def representatives(rows: DataFrame) -> DataFrame:
     """rep, n, prefix, parity: one row per distinct set. What a reader does not ask for is not shuffled."""
-    held = rows.filter(F.col("prefix").isNotNull())
-    chosen = held.join(copies, (held.mark == copies.mark) & (held.doc_id == copies.rep)).select(held.mark, "rep", "n", "prefix", "parity")
-    return chosen.dropDuplicates(["mark", "rep"]).drop("mark")
+    return rows.filter(F.col("prefix").isNotNull()).select(F.col("u").alias("rep"), "n", "prefix", "parity").dropDuplicates(["rep"])
 
 
-def postings(reps: DataFrame) -> DataFrame:
-    """s, rep, n for each element of each prefix, and of how many documents its column is (only 2 and more)."""
-    kind = reps.schema["rep"].dataType.simpleString()
+def postings(reps: DataFrame, last: Broadcast) -> DataFrame:
+    """s, rep, n for each element of each prefix whose column has other documents, and whether the column is wide."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = last.value[1]
         for b in batches:
-            parts = [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+            parts = [np.frombuffer(x, np.uint64) for x in b.column(2).to_pylist()]
             size = np.array([len(x) for x in parts], np.int64)
             if not len(size):
                 continue
-            at = pa.array(np.repeat(np.arange(len(size)), size))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), b.column(0).take(at), b.column(1).take(at)], ["s", "rep", "n"])
+            s, at = np.concatenate(parts), pa.array(np.repeat(np.arange(len(size)), size))
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(among(s, hot)), b.column(0).take(at), b.column(1).take(at)], ["s", "hot", "rep", "n"])
+
+    rows = reps.select("rep", F.col("n").cast("int").alias("n"), "prefix").mapInArrow(slim(run), "s long, hot boolean, rep long, n int")
+    rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("rep"), F.lit(SALTS))).otherwise(F.lit(0)))
+    counted = rows.withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("s", "salt")))
+    return counted.filter(F.col("hot") | (F.col("k") > 1)).select("s", "rep", "n", (F.col("hot") | (F.col("k") > MOST)).alias("wide"))
+
+
+def size_class(n: Column) -> Column:
+    """Sizes that link are of one class or of neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(4 / 3)).cast("int")
+
+
+def may_differ(nx: Column, ny: Column) -> Column:
+    return (4 * nx >= 3 * ny) & (4 * ny >= 3 * nx)
+
 
-    rows = reps.select("rep", F.col("n").cast("int").alias("n"), "prefix").mapInArrow(slim(run), f"s long, rep {kind}, n int")
-    w = Window.partitionBy("s")
-    return rows.select("*", F.count(F.lit(1)).over(w).alias("wide")).filter("wide > 1")
+def named_pairs(columns: DataFrame) -> DataFrame:
+    """x, y: the pairs of narrow columns, and those of wide columns' documents with pivots."""
+    narrow = columns.filter(~F.col("wide")).select("s", "rep", "n")
+    pairs = narrow.toDF("s", "x", "nx").join(narrow.toDF("s", "y", "ny"), "s").filter((F.col("x") < F.col("y")) & may_differ(F.col("nx"), F.col("ny")))
+    wide = columns.filter("wide").select("s", "rep", "n", size_class(F.col("n")).alias("class"))
+    ends = wide.groupBy("s", "class").agg(F.min("rep").alias("one"), F.max("rep").alias("two"))
+    near = F.explode(F.array(*[F.col("class") + k for k in (-1, 0, 1)])).alias("class")
+    pivots = ends.select("s", near, F.array("one", "two").alias("p")).select("s", "class", F.explode("p").alias("pivot"))
+    led = wide.join(pivots, ["s", "class"]).filter(F.col("rep") != F.col("pivot"))
+    return pairs.select("x", "y").union(led.select(F.least("rep", "pivot"), F.greatest("rep", "pivot"))).distinct()
 
 
 def candidate_pairs(columns: DataFrame, reps: DataFrame) -> DataFrame:
-    """x, y: pairs that narrow columns name and sizes and bitmaps don't exclude."""
-    narrow = columns.filter(F.col("wide") <= MOST)
-    x, y = narrow.select("s", F.col("rep").alias("x"), F.col("n").alias("nx")), narrow.select("s", F.col("rep").alias("y"), F.col("n").alias("ny"))
-    fits = (F.col("x") < F.col("y")) & (4 * F.col("nx") >= 3 * F.col("ny")) & (4 * F.col("ny") >= 3 * F.col("nx"))
-    pairs = x.join(y, "s").filter(fits).select("x", "y").distinct()
+    """x, y: the named pairs that sizes and bitmaps don't exclude."""
     own = reps.select("rep", "n", "parity")
-    both = pairs.join(own.toDF("x", "nx", "px"), "x").join(own.toDF("y", "ny", "py"), "y")
-    kind = reps.schema["rep"].dataType.simpleString()
+    both = named_pairs(columns).join(own.toDF("x", "nx", "px"), "x").join(own.toDF("y", "ny", "py"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -190,142 +226,161 @@ def candidate_pairs(columns: DataFrame, reps: DataFrame) -> DataFrame:
             keep = pa.array([may_link(*z) for z in zip(nx, px, ny, py)], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["x", "y"])
 
-    return both.select("x", "y", "nx", "px", "ny", "py").mapInArrow(slim(run), f"x {kind}, y {kind}")
+    return both.select("x", "y", "nx", "px", "ny", "py").mapInArrow(slim(run), "x long, y long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, set (packed) of the wanted documents, from their whole texts."""
-    kind = wanted.schema["rep"].dataType.simpleString()
-    texts = docs.select(F.col("doc_id").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted.distinct(), "rep", "left_semi")
+    """rep, set (packed) of the wanted sets, from the whole texts whose hashes wanted gives."""
+    texts = docs.select(*text_hash(), F.col("text").cast("string").alias("text")).filter("text is not null").dropDuplicates(["h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
+            sets = [shingles(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(name_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
+
+    return texts.join(wanted, ["h1", "h2"], "left_semi").select("text").mapInArrow(slim(run), "rep long, set binary")
+
+
+class Incidence:
+    """Rows of the matrix, in compressed form, over the columns that they have."""
 
-    return texts.mapInArrow(slim(run), f"rep {kind}, set binary").filter(F.length("set") > 0).distinct()
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(x) for x in sets], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        columns, at = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        self.at, self.mine = at.astype(np.int32), np.zeros(len(columns), bool)
+
+    def overlaps(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The product of row i with others: how many of its columns each of them has."""
+        own = self.at[self.start[i] : self.start[i] + self.size[i]]
+        size = self.size[others]
+        base = np.cumsum(size) - size
+        self.mine[own] = True
+        hit = self.mine[self.at[np.arange(size.sum()) + np.repeat(self.start[others] - base, size)]]
+        self.mine[own] = False
+        return np.add.reduceat(hit, base, dtype=np.int64) if len(others) else size
+
+    def linked(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Whether row i shares with others as much as the bound asks for."""
+        return 7 * self.overlaps(i, others) >= 3 * (self.size[i] + self.size[others])
 
 
 def pair_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: the pairs that link, counted on whole sets."""
-    kind = pairs.schema["x"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = np.concatenate([s, t])
-                both.sort()
-                keep.append(int((both[1:] == both[:-1]).sum()) >= least_overlap(len(both)))
-            keep = pa.array(keep, pa.bool_())
+            number: dict[bytes, int] = {}
+            x, y = (np.array([number.setdefault(p, len(number)) for p in b.column(k).to_pylist()], np.int64) for k in (2, 3))
+            m = Incidence([np.frombuffer(p, np.uint64) for p in number])
+            keep, order = np.zeros(len(x), bool), np.argsort(x, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(x[order])) + 1):
+                if len(part):
+                    keep[part] = m.linked(x[part[0]], y[part])
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
     joined = pairs.join(sets.toDF("x", "p"), "x").join(sets.toDF("y", "q"), "y")
-    return joined.select("x", "y", "p", "q").mapInArrow(slim(run), f"a {kind}, b {kind}")
-
-
-def matrix(sets: list[np.ndarray], part: np.ndarray) -> np.ndarray:
-    """Incidence of sets and the (sorted) columns of part."""
-    m = np.zeros((len(sets), len(part)), np.float32)
-    for i, s in enumerate(sets):
-        at = np.searchsorted(part, s)
-        at[at == len(part)] = 0
-        m[i, at[part[at] == s]] = 1
-    return m
-
-
-def product(lsets: list[np.ndarray], rsets: list[np.ndarray]) -> np.ndarray:
-    """Overlap counts of all pairs of two blocks: a product of incidence matrices, over the columns that both
-    blocks have, a slice of them at a time."""
-    shared = np.zeros((len(lsets), len(rsets)), np.float32)
-    none = np.zeros(0, np.uint64)
-    cols = np.intersect1d(np.unique(np.concatenate([none, *lsets])), np.unique(np.concatenate([none, *rsets])), assume_unique=True)
-    for k in range(0, len(cols), 8192):
-        part = cols[k : k + 8192]
-        shared += matrix(lsets, part) @ matrix(rsets, part).T
-    return shared
-
-
-def before(s: np.ndarray, column: int, often: np.ndarray) -> np.ndarray:
-    """The part of a set's prefix that stands before a column in the order (all of it if the column is of
-    another set with this doc_id)."""
-    p = prefix_of(s, often)
-    at = np.flatnonzero(p == np.uint64(column))
-    return np.sort(p[: at[0]] if len(at) else p)
-
-
-def forest(left: list, lsets: list[np.ndarray], right: list, rsets: list[np.ndarray], column: int, often: np.ndarray) -> list[tuple]:
-    """A spanning forest of the links between two blocks of a column's documents. Pairs under the bound are
-    dropped, and pairs that share an earlier column of their prefixes, as they are looked at there."""
-    n, m = np.array([len(s) for s in lsets]), np.array([len(s) for s in rsets])
-    links = 7 * product(lsets, rsets).astype(np.int64) >= 3 * (n[:, None] + m[None, :])
-    links &= product([before(s, column, often) for s in lsets], [before(s, column, often) for s in rsets]) == 0
-    up: dict = {}
-
-    def top(v):
-        while up.get(v, v) != v:
-            up[v] = up.get(up[v], up[v])
-            v = up[v]
-        return v
+    return joined.select("x", "y", "p", "q").mapInArrow(slim(run), "a long, b long")
 
+
+def forest(labels: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the groups (by label) of one block's documents and another's; blocks
+    says which block a document is of. Documents that are of one group by now are not multiplied again."""
+    m, n, group = Incidence(sets), np.array([len(x) for x in sets]), labels.copy()
+    one, two = blocks.min(initial=blocks.max(initial=0)), blocks.max(initial=0)
     out = []
-    for i, j in zip(*np.nonzero(links)):
-        if left[i] != right[j] and (s := top(left[i])) != (t := top(right[j])):
-            up[max(s, t)] = min(s, t)
-            out.append((left[i], right[j]))
+    for i in np.flatnonzero(blocks == one):
+        others = np.flatnonzero((group != group[i]) & (blocks == two) & (4 * n >= 3 * n[i]) & (4 * n[i] >= 3 * n))
+        others = others[others > i] if one == two else others
+        for j in others[m.linked(i, others)]:
+            if group[i] != group[j]:
+                out.append((int(labels[i]), int(labels[j])))
+                group[group == group[j]] = group[i]
     return out
 
 
-def block_links(columns: DataFrame, sets: DataFrame, last: Broadcast) -> DataFrame:
-    """a, b: spanning forests of the links among the documents of each wide column, block against block."""
-    wide = columns.filter(F.col("wide") > MOST)
-    kind = columns.schema["rep"].dataType.simpleString()
-    # by size: blocks too far apart in size never meet; a block holds BLOCK documents or BLOCK * USUAL elements
-    w = Window.partitionBy("s").orderBy("n", "rep").rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.sum(F.greatest("n", F.lit(USUAL))).over(w)
-    numbered = wide.select("s", "rep", "n", F.floor((weight - 1) / (BLOCK * USUAL)).cast("int").alias("k"))
-    ranges = numbered.groupBy("s", "k").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    i, j = ranges.toDF("s", "i", "ilo", "ihi"), ranges.toDF("s", "j", "jlo", "jhi")
-    tasks = i.join(j, "s").filter((F.col("i") <= F.col("j")) & (4 * F.col("ihi") >= 3 * F.col("jlo")))
+def open_columns(columns: DataFrame, labels: DataFrame) -> DataFrame:
+    """s, rep, n, label: the wide columns whose documents are of several groups."""
+    wide = columns.filter("wide").join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
+    wide = wide.select("s", "rep", "n", F.coalesce("label", "rep").alias("label"))
+    several = wide.groupBy("s").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("s")
+    return wide.join(several, "s")
+
+
+def block_links(wide: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between the groups of each wide column, block against block. Blocks are of one size class, and of
+    one group where that has half a block or more; blocks of one group are not multiplied with each other."""
+    wide = wide.withColumns({"class": size_class(F.col("n")), "load": F.greatest("n", F.lit(USUAL)).cast("long")})
+    large = wide.groupBy("s", "class", "label").agg(F.sum("load").alias("w")).filter(F.col("w") >= BLOCK * USUAL // 2).select("s", "class", "label", F.col("label").alias("whole"))
+    wide = wide.join(large, ["s", "class", "label"], "left").withColumns({"one": F.col("whole").isNotNull(), "of": F.coalesce("whole", F.lit(0))})
+    loads = wide.groupBy("s", "class", "one", "of").agg(F.ceil(F.sum("load") / (BLOCK * USUAL)).alias("parts"))
+    part = F.pmod(F.xxhash64("rep"), F.col("parts"))
+    numbered = wide.join(loads, ["s", "class", "one", "of"]).select("s", "rep", "n", "label", "one", "of", F.xxhash64("class", "one", "of", part).alias("k"))
+    ranges = numbered.groupBy("s", "k", "one", "of").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    i, j = ranges.toDF("s", "i", "ione", "iof", "ilo", "ihi"), ranges.toDF("s", "j", "jone", "jof", "jlo", "jhi")
+    meet = (F.col("i") <= F.col("j")) & (4 * F.col("ihi") >= 3 * F.col("jlo")) & (4 * F.col("jhi") >= 3 * F.col("ilo"))
+    tasks = i.join(j, "s").filter(meet & ~(F.col("ione") & F.col("jone") & (F.col("iof") == F.col("jof"))))
     tasks = tasks.select("s", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("k"))
-    rows = numbered.join(tasks, ["s", "k"]).join(sets, "rep").select("s", "i", "j", "k", "rep", "set")
-
-    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        column, i, j = np.int64(key[0].as_py()).view(np.uint64), key[1].as_py(), key[2].as_py()
-        ks, reps, packed = (group.column(c).to_pylist() for c in ("k", "rep", "set"))
-        part = lambda b: ([r for k, r in zip(ks, reps) if k == b], [np.frombuffer(p, np.uint64) for k, p in zip(ks, packed) if k == b])
-        found = forest(*part(i), *part(j), column, last.value) if ks else []
-        types = group.schema.field("rep").type
-        if len(ks) > BLOCK:
+    rows = numbered.join(tasks, ["s", "k"]).join(sets, "rep").select("s", "i", "j", "k", "label", "set")
+
+    def run(group: pa.Table) -> pa.Table:
+        k, labels = (group.column(c).to_numpy() for c in ("k", "label"))
+        found = forest(labels, np.unique(k, return_inverse=True)[1], [np.frombuffer(p, np.uint64) for p in group.column("set").to_pylist()])
+        if len(k) > BLOCK:
             release()
-        return pa.table({"a": pa.array([a for a, _ in found], types), "b": pa.array([b for _, b in found], types)})
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return rows.groupBy("s", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return rows.groupBy("s", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def shared_ids(members: DataFrame) -> DataFrame:
+    """a, b: links between the sets of one doc_id, a star for each."""
+    held = members.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0)).select("doc_id", "u")
+    several = held.groupBy("doc_id").agg(F.min("u").alias("a"), F.max("u").alias("z")).filter("a <> z").select("doc_id", "a")
+    return held.join(several, "doc_id").filter("u <> a").select("a", F.col("u").alias("b")).distinct()
+
+
+def members_of(docs: DataFrame) -> DataFrame:
+    """doc_id, u (set), n, h1, h2 and label (of the set's group) and class (the group's smallest doc_id) of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     last = spark.sparkContext.broadcast(hints(docs))
     rows = written(spark, rows_of(docs, last), "rows")
-    members = written(spark, rows.select("doc_id", "mark", "n"), "members")
-    copies = copies_of(members)
-    reps = representatives(rows, copies)  # read twice, for prefixes and for bitmaps; a written copy would cost more disk
-    columns = written(spark, postings(reps), "columns")
+    members = written(spark, rows.select("doc_id", "u", "n", "h1", "h2"), "members")
+    reps = representatives(rows)  # read twice, for prefixes and for bitmaps; a written copy would cost more disk
+    columns = written(spark, postings(reps, last), "columns")
     pairs = written(spark, candidate_pairs(columns, reps), "pairs")
     discard(rows)
-    wanted = pairs.select(F.col("x").alias("rep")).union(pairs.select("y")).union(columns.filter(F.col("wide") > MOST).select("rep"))
-    sets = written(spark, sets_of(docs, wanted), "sets")
-    links = written(spark, pair_links(pairs, sets).union(block_links(columns, sets, last)), "found")
-    discard(columns, pairs, sets)
+    asked = pairs.select(F.col("x").alias("u")).union(pairs.select("y")).union(columns.filter("wide").select("rep")).distinct()
+    texts = members.filter("n > 0").groupBy("u").agg(F.min(F.struct("h1", "h2")).alias("h"))
+    sets = written(spark, sets_of(docs, texts.join(asked, "u").select("h.h1", "h.h2")), "sets")
+    links = written(spark, pair_links(pairs, sets).union(shared_ids(members)), "links")
     labels = components(links)
-    # rows meet their set's class on the set, never copies with copies; a hot set is split as a skewed join side
-    known = copies.join(labels, copies.rep == labels.node, "left").select("mark", F.coalesce("label", "rep").alias("class"))
-    out = members.join(known, "mark", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id")).alias("component_id"))
+    discard(pairs, links)
+    left = written(spark, open_columns(columns, labels), "open")
+    discard(columns)
+    if left.head(1):
+        more = written(spark, block_links(left, sets), "more")
+        joined = components(more).toDF("label", "to")
+        merged = labels.join(joined, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        alone = joined.join(labels, joined["label"] == labels["node"], "left_anti").select(F.col("label").alias("node"), F.col("to").alias("label"))
+        labels = written(spark, merged.union(alone), "labels")
+        discard(more)
+    discard(left, sets)
+    # rows meet their set's group on the set, never copies with copies; a hot set is split as a skewed join side
+    known = members.filter("n > 0").groupBy("u").agg(F.min("doc_id").alias("id")).join(labels.withColumnRenamed("node", "u"), "u", "left")
+    known = known.select("u", "id", F.coalesce("label", "u").alias("label"))
+    least = known.groupBy("label").agg(F.min("id").alias("class"))
+    known = known.select("u", "label").join(least, "label")
+    return members.join(known, "u", "left")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    component = F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc_id"))
+    return members_of(docs).select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,8 +389,15 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plain_names
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, once."""
-    found = classes(docs).filter(F.col("component_id").isNull() | (F.col("component_id") == F.col("doc_id")))
-    keep = found.filter(F.col("doc_id").isNotNull()).select("doc_id")
-    one = docs.join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group of near copies: the one with the smallest doc_id, and of several rows with that
+    doc_id one for each set of shingles. Of a group without any doc_id one row stays. Rows without words stay, once
+    for each doc_id and text. Columns besides doc_id and text are taken from one of equal rows."""
+    members = members_of(docs)
+    words = F.col("n") > 0
+    hashes = F.min(F.struct("h1", "h2")).alias("h")
+    named = members.filter(words & (F.col("class") == F.col("doc_id"))).groupBy("doc_id", "u").agg(hashes).select("doc_id", "h.h1", "h.h2")
+    nameless = members.filter(words & F.col("class").isNull()).groupBy("label").agg(hashes).select(F.lit(None).alias("doc_id"), "h.h1", "h.h2")
+    keep = named.union(nameless).union(members.filter(~words).select("doc_id", "h1", "h2").distinct())
+    key = lambda df: df.withColumns({"k1": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "k2": F.col("doc_id").isNull()})
+    one = key(docs.select("*", *text_hash())).dropDuplicates(["k1", "k2", "h1", "h2"])
+    return one.join(key(keep).drop("doc_id"), ["k1", "k2", "h1", "h2"], "left_semi").select(*docs.columns)

@@ -254,48 +254,76 @@ def test_url_filter_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def classes_by_brute_force(rows):
-    sets, links = {}, {}
-    for d, t in rows:
-        w = (t or "").encode().lower().split()
-        sets.setdefault(d, set()).update({tuple(w)} if 0 < len(w) < 5 else zip(w, w[1:], w[2:], w[3:], w[4:]))
-    up = {d: d for d in sets}
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return frozenset({tuple(w)} if 0 < len(w) < 5 else zip(w, w[1:], w[2:], w[3:], w[4:]))
+
+
+def components_by_brute_force(rows):
+    """For each row its set's size and its component's smallest doc_id."""
+    sets = [shingle_set(t) for _, t in rows]
+    up = list(range(len(rows)))
 
     def top(v):
         while up[v] != v:
             v = up[v]
         return v
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                x, y = sorted((top(a), top(b)))
-                up[y] = x
-    return {d: (len(sets[d]), top(d)) for d in sets}, links
+    for i, s in enumerate(sets):
+        for j in range(i):
+            t = sets[j]
+            same_id = rows[i][0] is not None and rows[i][0] == rows[j][0]
+            if s and t and (same_id or 100 * len(s & t) >= 75 * len(s | t)):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    ids = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[top(i)].append(d)
+    return [(d, len(s), (min(ids[top(i)], default=None) if s else d)) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
-@pytest.mark.parametrize("most", [64, 1])
-def test_jaccard_classes_equal_brute_force(spark, monkeypatch, most):
-    from rasterloom.llm import jaccard_join as j
+def classes_by_brute_force(rows):
+    return {d: (n, c) for d, n, c in components_by_brute_force(rows)}, {}
 
-    monkeypatch.setattr(j, "MOST", most)
-    monkeypatch.setattr(j, "BLOCK", 4)
-    monkeypatch.setattr(j, "SAMPLE", 1)
-    rng = random.Random(9)
+
+def families(rng, many=6, copies=9, long=70):
     rows = []
-    for family in range(6):
-        base = [rng.choice("abcdefghij") + str(rng.randrange(60)) for _ in range(rng.randint(6, 70))]
-        for _ in range(9):
+    for _ in range(many):
+        base = [rng.choice("abcdefghij") + str(rng.randrange(60)) for _ in range(rng.randint(6, long))]
+        for _ in range(copies):
             w = list(base)
             for _ in range(rng.randint(0, 3)):
                 w[rng.randrange(len(w))] = "Z" + str(rng.randrange(9))
             rows.append((len(rows), " ".join(w)))
-    rows += [(100 + i, t) for i, t in enumerate(AWKWARD)] + [(200, "one two"), (201, "ONE  two"), (3, rows[3][1]), (202, "one two three")]
-    want, _ = classes_by_brute_force(rows)
+    return rows
+
+
+#: Columns narrow, wide but for pairs, and all dealt as hot ones.
+COLUMNS = [(64, 64), (1, 64), (1, 1)]
+
+
+@pytest.mark.parametrize("most,hot", COLUMNS)
+@pytest.mark.parametrize("ids", ["own", "null", "one", "mixed"])
+def test_jaccard_classes_equal_brute_force(spark, monkeypatch, most, hot, ids):
+    from rasterloom.llm import jaccard_join as j
+
+    for name, value in (("MOST", most), ("HOT", hot), ("BLOCK", 4), ("USUAL", 20), ("SAMPLE", 1)):
+        monkeypatch.setattr(j, name, value)
+    rng = random.Random(9)
+    rows = families(rng)
+    common = " ".join(f"licence{i}" for i in range(40))  # a passage that many otherwise different documents share
+    rows += [(60 + i, common + " " + " ".join(f"own{rng.randrange(10**6)}" for _ in range(rng.randint(5, 30)))) for i in range(20)]
+    rows += [(100 + i, t) for i, t in enumerate(AWKWARD)] + [(200, "one two"), (201, "ONE  two"), (3, rows[3][1]), (202, "one two three"), (203, "w" + " v" * 30_000)]
+    if ids == "null":
+        rows = [(None, t) for _, t in rows]
+    elif ids == "one":
+        rows = [(5 if i % 3 == 0 else 1000 + i, t) for i, (_, t) in enumerate(rows)]
+    elif ids == "mixed":
+        rows = [(None if i % 3 == 0 else d % 70, t) for i, (d, t) in enumerate(rows)]
     got = j.classes(documents(spark, [t for _, t in rows], [d for d, _ in rows])).collect()
-    assert len(got) == len(rows)
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
-    assert j.classes(empty(spark)).count() == 0
+    assert collections.Counter(map(tuple, got)) == collections.Counter(components_by_brute_force(rows))
+    if ids == "own":
+        assert j.classes(empty(spark)).count() == 0
 
 
 def test_jaccard_null_ids(spark):
@@ -316,6 +344,31 @@ def test_jaccard_one_id_with_two_texts(spark, monkeypatch):
     assert len(got) == 5 and {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_jaccard_stage_loses_no_text(spark):
+    from rasterloom.llm import jaccard_join as j
+
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(1, a), (1, b), (1, a), (2, a), (None, a), (None, "x1 x2 x3 x4 x5 x6"), (None, "x1 x2 x3 x4 x5 x6"), (3, " "), (3, ""), (3, ""), (None, ""), (7, "X y"), (8, "x  Y")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, n long")
+    out = j.stage(spark, docs, SF)
+    assert out.columns == docs.columns
+    want = [(1, a), (1, b), (None, "x1 x2 x3 x4 x5 x6"), (3, " "), (3, ""), (None, ""), (7, "X y")]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in out.collect()) == collections.Counter(want)
+
+
+def test_sparse_product_counts():
+    import numpy as np
+
+    from rasterloom.llm.jaccard_join import Incidence
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40)).astype(np.uint64)) for _ in range(30)]
+    m = Incidence(sets)
+    for i in range(30):
+        others = rng.permutation(30)[: rng.integers(0, 30)]
+        assert list(m.overlaps(i, others)) == [len(np.intersect1d(sets[i], sets[j])) for j in others]
+
+
 def test_bitmap_bound_never_excludes_a_link():
     import numpy as np
 
