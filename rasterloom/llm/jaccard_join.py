@@ -312,11 +312,12 @@ def block_links(wide: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b: links between the groups of each wide column, block against block. Blocks are of one size class, and of
     one group where that has half a block or more; blocks of one group are not multiplied with each other."""
     wide = wide.withColumns({"class": size_class(F.col("n")), "load": F.greatest("n", F.lit(USUAL)).cast("long")})
+    spark = wide.sparkSession  # what is joined back is written, so that a hot group can be split as a skewed join side
     large = wide.groupBy("s", "class", "label").agg(F.sum("load").alias("w")).filter(F.col("w") >= BLOCK * USUAL // 2).select("s", "class", "label", F.col("label").alias("whole"))
-    wide = wide.join(large, ["s", "class", "label"], "left").withColumns({"one": F.col("whole").isNotNull(), "of": F.coalesce("whole", F.lit(0))})
+    wide = wide.join(written(spark, large, "large"), ["s", "class", "label"], "left").withColumns({"one": F.col("whole").isNotNull(), "of": F.coalesce("whole", F.lit(0))})
     loads = wide.groupBy("s", "class", "one", "of").agg(F.ceil(F.sum("load") / (BLOCK * USUAL)).alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts"))
-    numbered = wide.join(loads, ["s", "class", "one", "of"]).select("s", "rep", "n", "label", "one", "of", F.xxhash64("class", "one", "of", part).alias("k"))
+    numbered = wide.join(written(spark, loads, "loads"), ["s", "class", "one", "of"]).select("s", "rep", "n", "label", "one", "of", F.xxhash64("class", "one", "of", part).alias("k"))
     ranges = numbered.groupBy("s", "k", "one", "of").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     i, j = ranges.toDF("s", "i", "ione", "iof", "ilo", "ihi"), ranges.toDF("s", "j", "jone", "jof", "jlo", "jhi")
     meet = (F.col("i") <= F.col("j")) & (4 * F.col("ihi") >= 3 * F.col("jlo")) & (4 * F.col("jhi") >= 3 * F.col("ilo"))
@@ -373,7 +374,7 @@ def members_of(docs: DataFrame) -> DataFrame:
     known = members.filter("n > 0").groupBy("u").agg(F.min("doc_id").alias("id")).join(labels.withColumnRenamed("node", "u"), "u", "left")
     known = known.select("u", "id", F.coalesce("label", "u").alias("label"))
     least = known.groupBy("label").agg(F.min("id").alias("class"))
-    known = known.select("u", "label").join(least, "label")
+    known = known.select("u", "label").join(written(spark, least, "least"), "label")
     return members.join(known, "u", "left")
 
 

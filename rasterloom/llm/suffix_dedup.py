@@ -213,12 +213,13 @@ def grouped(rows: DataFrame) -> DataFrame:
 
 def shared_anchors(rows: DataFrame, hot: bool) -> DataFrame:
     """The rows to compare: those that are not alone with their anchor. The groups of hot anchors are counted by
-    aggregation, and the count joined back."""
+    aggregation, and the count joined back (from a written table, so that AQE can split a hot anchor)."""
     out = rows.filter((F.col("s") == ALONE) & F.col("many")).drop("many")
     if not hot:
         return out
     dealt = rows.filter(F.col("s") > ALONE).drop("many")
-    return out.union(dealt.join(dealt.groupBy("h").count().filter("count > 1").select("h"), "h").select(*out.columns))
+    several = written(rows.sparkSession, dealt.groupBy("h").count().filter("count > 1").select("h"), "several")
+    return out.union(dealt.join(several, "h").select(*out.columns))
 
 
 def texts_of(docs: DataFrame, rows: DataFrame) -> DataFrame:

@@ -81,6 +81,7 @@ def awkward(spark):
     good = "One clean sentence of plain words that no rule here has reason to reject at all."
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(AWKWARD)]
     rows += [(50, good, None, None, None), (50, good, None, None, None), (None, good + " Once more.", "en", None, 3), (None, None, None, None, None), (51, "w " * 200_000, "en", "s", 400_000)]
+    rows += [(None, "Another clean text, unlike the ones above, from a source that numbers none of its rows.", None, "t", None)] * 2
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
 
 
@@ -98,5 +99,6 @@ def test_stages_take_awkward_rows(spark, tmp_path):
             now = spark.read.parquet(path)
             if k < 4:
                 assert out.columns == start.columns
+        # of the rows without doc_id one is a near copy of 50, and two are the same
         ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in now.collect())
         assert ids == ([(False, 50), (True, 0)] if start is docs else [])
