@@ -12,7 +12,7 @@ character, and keeps the one that follows it. read_back() parses the formatted s
 Turns are ordered by (turn, role, text). Defined results: a null text is empty; a null role is the empty role,
 which no state accepts; a null turn comes first; a null conv_id is a conversation of its own; repeated rows
 are turns of their own; an invalid order is formatted like any other and flagged in `valid` and `breaks_at`;
-an empty table gives no rows; further columns are ignored. A conversation is one row: its size is bounded by
+an empty table gives no rows (in the query, the probe's alone); further columns are ignored, whatever their names. A conversation is one row: its size is bounded by
 its own turns, which are ordered inside that row without a window over others.
 """
 

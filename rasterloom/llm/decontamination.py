@@ -2,23 +2,27 @@
 
 Method: the patterns are word windows of the benchmark items, the alphabet is words. For each pattern length
 there is a shift table over blocks of BLOCK words, which says how far a search may jump; where it says 0, the
-block names a bucket, the window's first words pick the strings to test in it, and direct comparison confirms
-an occurrence. Items shorter than the window have one pattern, of their own length.
+block names a bucket of patterns, and direct comparison confirms an occurrence. Items shorter than the window
+have one pattern, of their own length.
 
-The benchmark is a stated query set. It is dealt into blocks of BLOCK_BYTES of text at most, each sent to the
-executors once and run against all rows, so nothing is broadcast without a bound; with more than one block,
-what was found so far travels with the rows and is written between blocks.
+The benchmark is a stated query set. It is dealt into blocks of BLOCK_WORDS words at most, each sent to the
+executors once and run against all rows; with more than one block, what was found so far travels with the rows
+and is written between blocks. A longer item is cut into parts that overlap by all but one word of a window. That
+bounds what a block's matcher takes in a Python worker (each word begins one pattern at most), not only its text.
 
 Words are runs of ASCII letters and digits, lower-cased, and of all non-ASCII characters. Defined results: a
 null text or one without words has no hits, whose item digest is that of the empty string; a null item text
-has no windows; rows with one item_id count as one item; repeated rows give repeated rows; empty tables give
-no hits or no rows; other columns are ignored. A text longer than memory for its words is not split.
+has no windows; rows with one item_id count as one item; an item without item_id hits and counts, as one with all
+others of that kind, and is not listed; repeated rows give repeated rows; empty tables give no hits or no rows;
+other columns are ignored. A text longer than memory for its words is not split.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +33,7 @@ from rasterloom.llm.common import bounded_batches, plain_names, slim, table, wri
 
 WINDOW = 10
 BLOCK = 3
-BLOCK_BYTES = 8 << 20
+BLOCK_WORDS = 400_000
 
 _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
 
@@ -40,49 +44,76 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class _OneLength:
-    """Patterns of one length: shift table, buckets by last block, tests by first block."""
+    """Patterns of one length, as places in a text of word numbers: the shift of each block, and for shift 0, as a
+    negative number, its bucket."""
 
-    def __init__(self, length: int, patterns: dict[tuple, set]) -> None:
-        self.length, self.block = length, min(BLOCK, length)
+    def __init__(self, length: int, text: array, starts: array, base: int) -> None:
+        self.length, self.block, self.text, self.base = length, min(BLOCK, length), text, base
         self.far = length - self.block + 1
-        self.shift: dict[tuple, int] = {}
-        self.buckets: dict[tuple, dict[tuple, list]] = {}
-        for p, items in patterns.items():
-            for end in range(self.block, length + 1):
-                key = p[end - self.block : end]
-                self.shift[key] = min(self.shift.get(key, self.far), length - end)
-            self.buckets.setdefault(p[-self.block :], {}).setdefault(p[: self.block], []).append((p, items))
-
-    def search(self, words: list[bytes], hit: bytearray, items: set) -> None:
-        length, block, far = self.length, self.block, self.far
-        shift, i, n = self.shift.get, length, len(words)
+        self.table: dict[int, int] = {}
+        self.buckets: list[int | list[int]] = []  # a pattern's start, or several
+        size, skip = self.block, self.table
+        for start in starts:
+            for shift in range(self.far - 1, 0, -1):
+                key = self.key(text, start + length - shift - size)
+                if skip.get(key, self.far) > shift:
+                    skip[key] = shift
+        for start in starts:
+            key = self.key(text, start + length - size)
+            at = skip.get(key, 1)
+            if at >= 0:
+                skip[key] = -1 - len(self.buckets)
+                self.buckets.append(start)
+            elif isinstance(have := self.buckets[-1 - at], int):
+                self.buckets[-1 - at] = [have, start]
+            else:
+                have.append(start)
+
+    def key(self, text, at: int) -> int:
+        out = text[at]
+        for k in range(at + 1, at + self.block):
+            out = out * self.base + text[k]
+        return out
+
+    def search(self, words: array, hit: bytearray, found: set[int]) -> None:
+        length, size, far, text, skip = self.length, self.block, self.far, self.text, self.table
+        i, n = length, len(words)
         while i <= n:  # i: the end of the window
-            key = tuple(words[i - block : i])
-            s = shift(key, far)
-            if s:
+            s = skip.get(self.key(words, i - size), far)
+            if s > 0:
                 i += s
                 continue
-            start = i - length
-            for p, found in self.buckets[key].get(tuple(words[start : start + block]), ()):
-                if tuple(words[start:i]) == p:
-                    hit[start:i] = b"\1" * length
-                    items |= found
+            bucket = self.buckets[-1 - s]
+            window = words[i - length : i]
+            for start in (bucket,) if isinstance(bucket, int) else bucket:
+                if text[start : start + length] == window:
+                    hit[i - length : i] = b"\1" * length
+                    found.add(start)
             i += 1
 
 
 class Matcher:
-    def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW) -> None:
-        by: dict[int, dict[tuple, set]] = {}
-        for item, text in items:
-            w = words_of(text)
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1) if size else ():
-                by.setdefault(size, {}).setdefault(tuple(w[i : i + size]), set()).add(str(item))
-        self.lengths = [_OneLength(n, p) for n, p in sorted(by.items())]
+    """items: (item_id, words) each. Words are numbered from 1; 0 stands for those that no item has."""
+
+    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = WINDOW) -> None:
+        self.number: dict[bytes, int] = {}
+        text, starts, self.owner, self.ends = array("i"), {}, [], []
+        for item, words in items:
+            size = min(window, len(words))
+            if size:
+                starts.setdefault(size, array("q")).extend(range(len(text), len(text) + len(words) - size + 1))
+                text.extend(self.number.setdefault(w, len(self.number) + 1) for w in words)
+                self.owner.append(None if item is None else str(item))
+                self.ends.append(len(text))
+        self.lengths = [_OneLength(n, text, x, len(self.number) + 1) for n, x in sorted(starts.items())]
 
     def search(self, words: list[bytes], hit: bytearray, items: set) -> None:
+        number = self.number.get
+        numbers = array("i", [number(w, 0) for w in words])
+        found: set[int] = set()
         for x in self.lengths:
-            x.search(words, hit, items)
+            x.search(numbers, hit, found)
+        items.update(self.owner[bisect_right(self.ends, start)] for start in found)
 
 
 _matchers: dict[str, Matcher] = {}
@@ -92,20 +123,23 @@ def _matcher(name: str, block) -> Matcher:
     """The matcher of a broadcast block, built once in each worker."""
     if name not in _matchers:
         _matchers.clear()
-        _matchers[name] = Matcher(block.value)
+        _matchers[name] = Matcher([(item, words.split(b" ")) for item, words in block.value])
     return _matchers[name]
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list]:
-    """The items in lists of so many bytes of text at most (or one item)."""
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list]:
+    """Items and their words, joined by spaces, in lists of so many words at most."""
     now, size = [], 0
     for r in benchmark.select("item_id", "text").orderBy(F.col("item_id"), F.col("text")).toLocalIterator():
-        n = len((r[1] or "").encode())
-        if now and size + n > most:
-            yield now
-            now, size = [], 0
-        now.append((r[0], r[1]))
-        size += n
+        words = words_of(r[1])
+        step = max(1, most - WINDOW)
+        for at in range(0, max(1, len(words) - WINDOW + 1), step) if words else ():
+            part = words[at : at + step + WINDOW - 1]
+            if now and size + len(part) > most:
+                yield now
+                now, size = [], 0
+            now.append((r[0], b" ".join(part)))
+            size += len(part)
     yield now
 
 
@@ -130,7 +164,7 @@ def marked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     hit, items = bytearray(old[0] or bytes(len(words))), set(old[1])
                     m.search(words, hit, items)
                     hits.append(bytes(hit))
-                    found.append(sorted(items))
+                    found.append(sorted(items, key=lambda x: (x is not None, x)))
                 new = [pa.array(hits, pa.binary()), pa.array(found, pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], *new], names=[*b.schema.names[:width], "_hit", "_items"])
 

@@ -8,12 +8,14 @@ look-up. No shuffle: placement is the same wherever a row is read, and a hot key
 nobody, since keys are document ids.
 
 Defined results: a null key hashes as the empty string; repeated rows go to one shard; an empty table gives an
-empty result; columns besides the key and text are ignored; null texts weigh 0 bytes.
+empty result; other columns stay as they are, but for any named _slot or _shard, which are replaced; null texts
+weigh 0 bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +57,14 @@ def slot(key: Column, size: int = TABLE_SIZE) -> Column:
 
 
 def placed(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
-    """df with _slot and _shard."""
+    """df with _slot and _shard, which take the place of columns of these names."""
     spark = df.sparkSession
     rows = [(i, shards[k]) for i, k in enumerate(lookup_table(shards, size))]
-    slots = F.broadcast(spark.createDataFrame(rows, "_slot int, _shard string"))
-    return df.withColumn("_slot", slot(F.col(key), size)).join(slots, "_slot", "left")
+    own = uuid.uuid4().hex  # no column of df has these names
+    slots = F.broadcast(spark.createDataFrame(rows, f"at_{own} int, shard_{own} string"))
+    out = df.withColumn(f"at_{own}", slot(F.col(f"`{key}`"), size)).join(slots, f"at_{own}", "left")
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("_slot", "_shard")]
+    return out.select(*others, F.col(f"at_{own}").alias("_slot"), F.col(f"shard_{own}").alias("_shard"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

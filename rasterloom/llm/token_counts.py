@@ -3,7 +3,7 @@
 Method: prefix dynamic programming. For each position i of a chunk there is exactly one token that can end the
 encoding of the first i characters: the one that is compatible with the last token of the prefix before it.
 Keeping (last token, count) per prefix gives the count of every prefix in one pass, so truncation and budget
-questions need no second encoding. Chunks (a run of spaces and the word after it) cannot merge with each
+questions need no second encoding: prefix_table() stores the counts, within() answers from what is stored. Chunks (a run of spaces and the word after it) cannot merge with each
 other in this vocabulary, which is checked when it is loaded, so counts of chunks add up and may be kept.
 
 Defined results: a null or empty text has 0 bytes and 0 tokens; repeated rows give repeated rows; an empty
@@ -31,6 +31,8 @@ SPACE = "▁"
 KEPT_CHUNKS = 1_000_000
 KEPT_LENGTH = 48
 TOKEN_LIMIT = 4096
+#: Prefixes in a row of the stored counts.
+PIECE = 1 << 16
 
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -273,5 +275,32 @@ def token_counts(docs: DataFrame, model_path: str | None = None, limit: int = TO
     return narrow.mapInArrow(slim(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
 
 
+def prefix_table(docs: DataFrame, model_path: str | None = None, piece: int = PIECE) -> DataFrame:
+    """The counts of all prefixes, stored: doc_id, text_hash, start and counts, where counts[i] is the number of tokens
+    of the first start + i characters. A text has a row for each `piece` characters, so that none grows with it."""
+    bounded_batches(docs.sparkSession)
+    path = model_path or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for b in batches:
+            for i, text in enumerate(pc.fill_null(b.column(2), "").to_pylist()):
+                counts = c.prefix_counts(text) if text else array("q", [0])
+                starts = range(0, len(counts), piece)
+                one = pa.array([i] * len(starts))
+                columns = [pa.array(starts, pa.int64()), pa.array([counts[k : k + piece].tolist() for k in starts], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(one), b.column(1).take(one), *columns], ["doc_id", "text_hash", "start", "counts"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    narrow = docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return narrow.mapInArrow(slim(run), f"doc_id {kind}, text_hash long, start long, counts array<int>")
+
+
+def within(prefixes: DataFrame, budget: int) -> DataFrame:
+    """doc_id, text_hash and fit_chars, the longest prefix of `budget` tokens at most, from stored counts alone."""
+    at = F.transform("counts", lambda n, i: F.when(n <= budget, F.col("start") + i))
+    return prefixes.groupBy("doc_id", "text_hash").agg(F.max(F.array_max(at)).alias("fit_chars"))
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"))

@@ -71,6 +71,26 @@ def test_prefix_counts_are_exact_at_every_prefix():
         assert c.count(" " * k) == len(sp.encode(" " * k))
 
 
+def test_stored_prefix_counts_answer_budgets(spark):
+    import sentencepiece
+
+    from rasterloom.llm.token_counts import default_model, prefix_table, within
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=default_model())
+    texts = [t for t in corpus(spark, 8) if len(t or "") < 700] + ["word " * 60]
+    stored = prefix_table(documents(spark, texts), piece=50).cache()
+    got = collections.defaultdict(dict)
+    for r in stored.collect():
+        got[r["doc_id"]] |= {r["start"] + i: n for i, n in enumerate(r["counts"])}
+        assert len(r["counts"]) <= 50
+    for i, t in enumerate(texts):
+        assert got[i] == {k: len(sp.encode((t or "")[:k])) for k in range(len(t or "") + 1)}, i
+    for budget in (0, 3, 40):
+        fits = {r["doc_id"]: r["fit_chars"] for r in within(stored, budget).collect()}
+        assert fits == {i: max(k for k, n in got[i].items() if n <= budget) for i in range(len(texts))}
+    assert prefix_table(empty(spark)).count() == 0
+
+
 def removed_by_brute_force(rows, size=100):
     first = {}
     key = lambda d: (1 << 63) - 1 if d is None else d
@@ -166,6 +186,23 @@ def test_chat_format_reads_back(spark):
     assert got[0]["valid"] and not got[50]["valid"] and got[50]["breaks_at"] == 1 and got[51]["breaks_at"] == 0
 
 
+def test_chat_format_of_awkward_tables(spark, tmp_path):
+    from rasterloom.llm.chat_format import digests, formatted, op3_chat_format
+
+    schema = "conv_id long, turn long, role string, text string"
+    none = spark.createDataFrame([], schema)
+    assert digests(formatted(none)).count() == 0
+    none.write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r["conv_id"] for r in op3_chat_format(spark, str(tmp_path)).collect()] == [-7]  # the probe alone
+    long = "[INST] </s> \\ word " * 20_000
+    rows = [(1, 0, "user", "same")] * 3 + [(2, 0, "user", long), (2, 1, "assistant", long)]
+    df = spark.createDataFrame(rows, schema).selectExpr("*", "1 as turns", "2 as segments", "3 as loss", "4 as walk")
+    got = {r["conv_id"]: r for r in digests(formatted(df)).collect()}
+    assert got[1]["n_turns"] == 3 and not got[1]["valid"] and got[1]["breaks_at"] == 1
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\nsame\n" * 3).hexdigest()
+    assert got[2]["loss_chars"] == len(long) and got[2]["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_quality_ledger(spark):
     from rasterloom.llm import quality_rules as q
 
@@ -443,6 +480,35 @@ def test_language_id_defined_results(spark, monkeypatch):
         g.dictionaries(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
 
 
+def test_sharding_table_equals_a_plain_filling():
+    """Turns taken slot by slot, each shard walking its own permutation from its start."""
+    from rasterloom.llm.sharding import SHARDS, TABLE_SIZE, lookup_table
+
+    for shards, size in ((SHARDS, TABLE_SIZE), (("a", "b", "c"), 7), (("x",), 2), (("p", "q", "r", "s", "t"), 5)):
+        walks = []
+        for name in shards:
+            digest = hashlib.md5(name.encode()).hexdigest()
+            offset, stride = int(digest[:16], 16) % size, int(digest[16:], 16) % (size - 1) + 1
+            walks.append(iter([(offset + k * stride) % size for k in range(size)]))
+        table = {}
+        while len(table) < size:
+            for k, walk in enumerate(walks):
+                if len(table) < size:
+                    table[next(s for s in walk if s not in table)] = k
+        assert lookup_table(shards, size) == [table[s] for s in range(size)]
+
+
+def test_sharding_takes_any_columns(spark):
+    from rasterloom.llm.sharding import placed
+
+    df = spark.createDataFrame([(1, 5, "x"), (None, 6, None)], "doc_id long, _slot int, _shard string")
+    out = placed(df)
+    assert out.columns == ["doc_id", "_slot", "_shard"]
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[1]["_shard"].startswith("shard-") and rows[None]["_shard"].startswith("shard-")
+    assert placed(df, key="_slot").columns == out.columns and placed(df.limit(0)).count() == 0
+
+
 def test_sharding_table_is_even_and_stable(spark):
     from rasterloom.llm.sharding import SHARDS, TABLE_SIZE, lookup_table, placed
 
@@ -458,16 +524,16 @@ def test_sharding_table_is_even_and_stable(spark):
         lookup_table(SHARDS, 16380)
 
 
-@pytest.mark.parametrize("block_bytes", [8 << 20, 60])
-def test_decontamination_equals_brute_force(spark, monkeypatch, block_bytes):
+@pytest.mark.parametrize("block_words", [400_000, 12])
+def test_decontamination_equals_brute_force(spark, monkeypatch, block_words):
     from rasterloom.llm import decontamination as w
 
-    monkeypatch.setattr(w.blocks, "__defaults__", (block_bytes,))
+    monkeypatch.setattr(w.blocks, "__defaults__", (block_words,))
     rng = random.Random(1)
     words = ["a", "B", "c", "é", "9"]
     item = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, item(rng.choice([1, 2, 3, 5, 10, 12, 14]))) for i in range(12)] + [(50, None), (51, "!!"), (3, "a a a a")]
-    texts = [item(rng.randint(0, 60)) for _ in range(30)] + [items[4][1] + ", x " + items[7][1], *AWKWARD]
+    items = [(i, item(rng.choice([1, 2, 3, 5, 10, 12, 14, 40]))) for i in range(12)] + [(50, None), (51, "!!"), (3, "a a a a"), (None, "a b c a"), (None, "9 9 9"), (70, items70 := item(25)), (71, items70)]
+    texts = [item(rng.randint(0, 60)) for _ in range(30)] + [items[4][1] + ", x " + items[7][1], *AWKWARD, items70, item(3000), "x " * 100_000 + items70]
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as _hit")
     got = by_id(w.occurrences(documents(spark, texts), bench))
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
@@ -476,17 +542,36 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block_bytes):
         for k, x in items:
             p = split(x)
             n = min(10, len(p))
-            for s in range(len(p) - n + 1) if n else ():
-                for at in range(len(ws) - n + 1):
-                    if ws[at : at + n] == p[s : s + n]:
-                        hit.update(range(at, at + n))
-                        found.add(str(k))
-        want = (len(ws), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+            windows = {tuple(p[s : s + n]) for s in range(len(p) - n + 1)} if n else set()
+            for at in range(len(ws) - n + 1) if n else ():
+                if tuple(ws[at : at + n]) in windows:
+                    hit.update(range(at, at + n))
+                    found.add(k)
+        listed = ",".join(sorted(str(k) for k in found if k is not None))  # an item without id counts, unnamed
+        want = (len(ws), len(hit), len(found), hashlib.sha256(listed.encode()).hexdigest(), bool(hit))
         assert tuple(got[i][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want, i
     assert w.occurrences(empty(spark), bench).count() == 0
     assert {r["n_hit"] for r in w.occurrences(documents(spark, texts), bench.limit(0)).collect()} == {0}
 
 
+def test_decontamination_matcher_is_bounded_by_words():
+    import tracemalloc
+
+    from rasterloom.llm.decontamination import Matcher
+
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(40_000)}".encode() for _ in range(100_000)]
+    items = [(i, words[i * 100 : i * 100 + 100]) for i in range(1000)]
+    tracemalloc.start()
+    m = Matcher(items)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 400 * len(words)
+    hit, found = bytearray(100), set()
+    m.search(items[7][1], hit, found)
+    assert found == {"7"} and sum(hit) == 100
+
+
 def test_bpe_equals_the_library(spark):
     import numpy as np
     from tokenizers import Tokenizer
