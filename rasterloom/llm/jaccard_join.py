@@ -215,9 +215,8 @@ def named_pairs(columns: DataFrame) -> DataFrame:
     return pairs.select("x", "y").union(led.select(F.least("rep", "pivot"), F.greatest("rep", "pivot"))).distinct()
 
 
-def candidate_pairs(columns: DataFrame, reps: DataFrame) -> DataFrame:
-    """x, y: the named pairs that sizes and bitmaps don't exclude."""
-    own = reps.select("rep", "n", "parity")
+def candidate_pairs(columns: DataFrame, own: DataFrame) -> DataFrame:
+    """x, y: the named pairs that sizes and bitmaps (own: rep, n, parity) don't exclude."""
     both = named_pairs(columns).join(own.toDF("x", "nx", "px"), "x").join(own.toDF("y", "ny", "py"), "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -350,10 +349,12 @@ def members_of(docs: DataFrame) -> DataFrame:
     last = spark.sparkContext.broadcast(hints(docs))
     rows = written(spark, rows_of(docs, last), "rows")
     members = written(spark, rows.select("doc_id", "u", "n", "h1", "h2"), "members")
-    reps = representatives(rows)  # read twice, for prefixes and for bitmaps; a written copy would cost more disk
+    reps = representatives(rows)  # read twice, for prefixes and for bitmaps, each without the other
     columns = written(spark, postings(reps, last), "columns")
-    pairs = written(spark, candidate_pairs(columns, reps), "pairs")
+    own = written(spark, reps.select("rep", "n", "parity"), "own")
     discard(rows)
+    pairs = written(spark, candidate_pairs(columns, own), "pairs")
+    discard(own)
     asked = pairs.select(F.col("x").alias("u")).union(pairs.select("y")).union(columns.filter("wide").select("rep")).distinct()
     texts = members.filter("n > 0").groupBy("u").agg(F.min(F.struct("h1", "h2")).alias("h"))
     sets = written(spark, sets_of(docs, texts.join(asked, "u").select("h.h1", "h.h2")), "sets")
