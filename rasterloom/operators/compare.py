@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators.focal import box_sums
@@ -55,21 +57,32 @@ def mutual_information(df: DataFrame, lo: float = 0.0, hi: float = 3.0, n: int =
     return p.agg((mi / F.nullif(F.sqrt(ha * hb), F.lit(0.0))).alias("nmi"))
 
 
-def ssim(df: DataFrame, shape: tuple[int, int], size: int = 7) -> DataFrame:
+def ssim(df: DataFrame, shape: tuple[int, int], valid: Column | None = None, size: int = 7) -> DataFrame:
     """Mean structural similarity over the pixels whose window lies inside; sample moments, K1 .01, K2 .03, the
-    range is that of b. a and b must have no gaps (fill them with their means first)."""
+    range is that of b. With valid, the bounding box of the pixels that both rasters have is looked at, and other
+    pixels in it take the means of those; without it, a and b must have no gaps. All pixels count, at any size."""
     h, w = shape
     n, half = size * size, size // 2
     a, b = F.col("a"), F.col("b")
+    edges = {"top": F.min("r"), "bottom": F.max("r"), "left": F.min("c"), "right": F.max("c"), "mean_a": F.avg("a"), "mean_b": F.avg("b")}
+    if valid is None:
+        df = df.select("r", "c", "a", "b").crossJoin(df.sparkSession.range(1).select(*[F.lit(x).alias(k) for k, x in zip(edges, (0, h - 1, 0, w - 1))]))
+    else:
+        box = df.filter(valid).agg(*[e.alias(k) for k, e in edges.items()])
+        df = df.select("r", "c", *[F.when(valid, F.col(x)).alias(x) for x in "ab"]).crossJoin(F.broadcast(box))
+        df = df.filter(F.col("r").between(F.col("top"), F.col("bottom")) & F.col("c").between(F.col("left"), F.col("right")))
+        df = df.withColumns({"a": F.coalesce("a", "mean_a"), "b": F.coalesce("b", "mean_b")})
+    df = df.select("r", "c", "a", "b", *list(edges)[:4])
     parts = df.select("r", "c", "a", "b", (a * a).alias("aa"), (b * b).alias("bb"), (a * b).alias("ab"))
     s = box_sums(parts, ["a", "b", "aa", "bb", "ab"], (size, size), shape, reflect=False)
-    s = s.filter((F.col("r") >= half) & (F.col("r") < h - half) & (F.col("c") >= half) & (F.col("c") < w - half))
-    span = F.broadcast(df.agg(F.greatest(F.max("b") - F.min("b"), F.lit(1e-6)).alias("span")))
+    frame = F.broadcast(df.agg(F.greatest(F.max("b") - F.min("b"), F.lit(1e-6)).alias("span"), *[F.first(k).alias(k) for k in list(edges)[:4]]))
+    s = s.crossJoin(frame)
+    s = s.filter(F.col("r").between(F.col("top") + half, F.col("bottom") - half) & F.col("c").between(F.col("left") + half, F.col("right") - half))
     ma, mb = F.col("a") / n, F.col("b") / n
     va, vb, cab = (F.col("aa") / n - ma * ma) * n / (n - 1), (F.col("bb") / n - mb * mb) * n / (n - 1), (F.col("ab") / n - ma * mb) * n / (n - 1)
     c1, c2 = F.pow(0.01 * F.col("span"), F.lit(2.0)), F.pow(0.03 * F.col("span"), F.lit(2.0))
     v = (2 * ma * mb + c1) * (2 * cab + c2) / ((ma * ma + mb * mb + c1) * (va + vb + c2))
-    return s.crossJoin(span).agg(F.avg(v).alias("ssim"))
+    return s.agg(F.avg(v).alias("ssim"))
 
 
 def pairwise_correlation(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:
@@ -89,10 +102,40 @@ def pairwise_correlation(df: DataFrame, columns: list[str], least: int = 10) ->
     return one.selectExpr(f"stack({len(names)}, {rows}) as (x, y, n, r)")
 
 
-def t_test_p(r: float, n: int) -> float:
-    """Two-sided p of a correlation, by the incomplete beta function (continued fraction)."""
-    import math
+def log_gamma(x: Column) -> Column:
+    """Stirling's series, after eight steps up."""
+    y = x + 8
+    series = 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0))) - 1 / (1680 * F.pow(y, F.lit(7.0)))
+    steps = F.log(x)
+    for k in range(1, 8):
+        steps = steps + F.log(x + k)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - steps
+
+
+def correlation_p(r: Column, n: Column, rounds: int = 400) -> Column:
+    """Two-sided p of a correlation of n pairs without a true one: the incomplete beta function at 1 - r * r, by its
+    continued fraction, folded inside one expression. NULL under three pairs."""
+    a, b, x = (n - 2) / 2.0, F.lit(0.5), 1 - r * r
+    late = x >= (a + 1) / (a + b + 2)
+    q, u, v = F.when(late, 1 - x).otherwise(x), F.when(late, b).otherwise(a), F.when(late, a).otherwise(b)
+    safe = lambda z: F.when(F.abs(z) < 1e-300, F.lit(1e-300)).otherwise(z)
+    d = 1 / safe(1 - (u + v) * q / (u + 1))
 
+    def more(acc: Column, m: Column) -> Column:
+        for num in (m * (v - m) * q / ((u + 2 * m - 1) * (u + 2 * m)), -(u + m) * (u + v + m) * q / ((u + 2 * m) * (u + 2 * m + 1))):
+            d, c = 1 / safe(1 + num * acc["d"]), safe(1 + num / acc["c"])
+            acc = F.struct(c.alias("c"), d.alias("d"), (acc["f"] * c * d).alias("f"))
+        return acc
+
+    start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("f"))
+    fraction = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda acc, m: more(acc, m.cast("double")))["f"]
+    front = F.exp(log_gamma(a + 0.5) - log_gamma(a) - 0.5 * math.log(math.pi) + a * F.log(x) + b * F.log(1 - x))
+    value = front * fraction / u
+    return F.when(n < 3, None).when(F.abs(r) >= 1, F.lit(0.0)).when(r == 0, F.lit(1.0)).otherwise(F.when(late, 1 - value).otherwise(value))
+
+
+def t_test_p(r: float, n: int) -> float:
+    """The same for one pair of numbers on the driver."""
     if n < 3 or abs(r) >= 1:
         return 0.0 if n >= 3 else float("nan")
     df = n - 2

@@ -51,15 +51,18 @@ def multilook_valid(df: DataFrame, column: str, size: tuple[int, int], shape: tu
 
 
 def gradient(df: DataFrame, column: str = "z", dy: float = 20.0, dx: float = 20.0) -> DataFrame:
-    """df with gy and gx: central differences inside, one-sided at the edges; NULL next to a gap."""
-    out = df
+    """df with gy and gx: central differences inside, one-sided at the edges of the grid and 0 on a line of one pixel;
+    NULL next to a gap, be it a NULL value or a pixel that has no row."""
+    edges = F.broadcast(df.agg(*[f(x).alias(f"_{n}_{x}") for n, f in (("first", F.min), ("last", F.max)) for x in ("r", "c")]))
+    out = df.crossJoin(edges)
     for axis, other, step, name in (("r", "c", dy, "gy"), ("c", "r", dx, "gx")):
         w = Window.partitionBy(other).orderBy(axis)
-        before, after, v = F.lag(column).over(w), F.lead(column).over(w), F.col(column)
-        first, last = F.lag(axis).over(w).isNull(), F.lead(axis).over(w).isNull()
+        near = lambda f, k: F.when(f(axis).over(w) == F.col(axis) + k, f(column).over(w))  # noqa: B023, E731
+        before, after, v = near(F.lag, -1), near(F.lead, 1), F.col(column)
+        first, last = F.col(axis) == F.col(f"_first_{axis}"), F.col(axis) == F.col(f"_last_{axis}")
         g = F.when(first & last, F.lit(0.0)).when(first, (after - v) / step).when(last, (v - before) / step).otherwise((after - before) / (2 * step))
         out = out.withColumn(name, g)
-    return out
+    return out.drop(*edges.columns)
 
 
 def slope_deg() -> Column:

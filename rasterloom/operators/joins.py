@@ -42,11 +42,15 @@ def within(grid: DataFrame, target: Column, radius: int) -> DataFrame:
     return g.withColumn("within", F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))).drop("_u", "_d", "_g", "_w")
 
 
-def in_circles(df: DataFrame, circles: DataFrame) -> DataFrame:
-    """Pixels in circles (name, r0, c0, radius), a small table that is broadcast; a box comes before the circle."""
+def in_circles(df: DataFrame, circles: DataFrame, tile: int = 64) -> DataFrame:
+    """Pixels in circles (name, r0, c0, radius). Circles are dealt to the tiles that their boxes touch and meet the
+    pixels by tile, so that any number of circles is an equi-join, which Spark broadcasts where it is small."""
+    part = lambda x: F.floor(x / tile).cast("int")
+    span = lambda x: F.explode(F.sequence(part(F.col(x) - F.col("radius")), part(F.col(x) + F.col("radius"))))
+    dealt = circles.select("*", span("r0").alias("_tr")).select("*", span("c0").alias("_tc"))
     dr, dc = F.col("r") - F.col("r0"), F.col("c") - F.col("c0")
-    box = F.col("r").between(F.col("r0") - F.col("radius"), F.col("r0") + F.col("radius")) & F.col("c").between(F.col("c0") - F.col("radius"), F.col("c0") + F.col("radius"))
-    return df.join(F.broadcast(circles), box & (dr * dr + dc * dc <= F.col("radius") * F.col("radius")))
+    tiled = df.withColumns({"_tr": part(F.col("r")), "_tc": part(F.col("c"))})
+    return tiled.join(dealt, ["_tr", "_tc"]).filter(dr * dr + dc * dc <= F.col("radius") * F.col("radius")).drop("_tr", "_tc")
 
 
 def nearest_by(df: DataFrame, keys: list[str], distance: Column, order: list[str]) -> DataFrame:

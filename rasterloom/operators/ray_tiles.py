@@ -1,7 +1,7 @@
 """Ray casting by tiles with a halo: the way to cast long rays over large grids.
 
 The relational casts of rays.py make a row per observer and step. Here a pixel is shuffled once per tile whose
-halo it lies in (4 / tile * reach times for a square tile, whatever the number of azimuths), and each tile
+halo it lies in ((1 + 2 reach / tile) squared times for a square tile, whatever the number of azimuths), and each tile
 steps all of its observers along a ray at once in arrays, dropping observers as soon as they are settled.
 Results equal those of rays.py. A task holds one tile and its halo: (tile + 2 reach) values each way, a bound
 that the caller sets; the shuffle grows with the grid, not with azimuths x steps.

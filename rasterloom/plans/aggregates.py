@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rasterloom.functions import validity
 from rasterloom.operators import compare, joins, stats
 from rasterloom.operators.focal import box_sums
 from rasterloom.operators.quantiles import quantiles
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.joins import circles
-from rasterloom.sources import derived
+from rasterloom.plans.scans import entries
+from rasterloom.sources import derived, rasters
 
 c = F.col
 BANDS = ["cpr", "dop", "tmean", "zit", "pump", "slope"]
@@ -155,10 +157,10 @@ def f19(spark, d):
     return derived.bands(spark, d).agg(F.count_if(inside & lit).alias("lit"), F.count_if(inside & ~lit).alias("dark"), F.count_if(~inside).alias("outside"))
 
 
-@query("F20_consistency", sql("long", "SELECT count(DISTINCT n) = 1 AS same_count, count(*) AS n_bands FROM (SELECT band, count(*) AS n FROM long GROUP BY band)"))
+@query("F20_consistency", sql("grid bands", """SELECT a.w = b.w AND a.h = b.h AND a.n = b.n AS same, a.w = b.w AND a.h = b.h AS same_size, 2::BIGINT AS n_bands
+FROM (SELECT max(c) AS w, max(r) AS h, count(*) AS n FROM grid) a, (SELECT max(c) AS w, max(r) AS h, count(*) AS n FROM bands) b"""))
 def f20(spark, d):
-    per = stats.unpivot(derived.bands(spark, d), BANDS).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    return per.agg((F.countDistinct(F.struct("n")) == 1).alias("same_count"), F.count(F.lit(1)).alias("n_bands"))
+    return rasters.consistent(entries(spark, d))
 
 
 @query("F21_integrity", sql("long", f"SELECT band, {q6('100.0 * (count(*) - count(v)) / count(*)')} AS nodata_pct, CASE WHEN count(v) = 0 THEN 'empty' WHEN 100.0 * (count(*) - count(v)) / count(*) > 15 THEN 'warn' ELSE 'ok' END AS verdict FROM long GROUP BY band"))
@@ -175,9 +177,28 @@ def f22(spark, d):
     return s.groupBy(c("psr").alias("value")).agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(shape))
 
 
-@query("G1_pearson", sql("pair", f"SELECT {q6('corr(a, b)')} AS pearson_r FROM pair"))
+def _p(r: str, n: str, source: str) -> str:
+    """Two-sided p of a correlation, by the continued fraction of the incomplete beta function."""
+    one = "CASE WHEN abs({0}) < 1e-300 THEN 1e-300 ELSE {0} END"
+    even, odd = "m * (v - m) * q / ((u + 2 * m - 1) * (u + 2 * m))", "-(u + m) * (u + v + m) * q / ((u + 2 * m) * (u + 2 * m + 1))"
+    return f"""(WITH RECURSIVE i AS (SELECT ({r})::DOUBLE AS r, ({n})::DOUBLE AS n FROM {source}),
+k AS (SELECT *, 1 - r * r AS x, (n - 2) / 2 AS a, 1 - r * r >= ((n - 2) / 2 + 1) / ((n - 2) / 2 + 2.5) AS late FROM i),
+l AS (SELECT *, CASE WHEN late THEN 1 - x ELSE x END AS q, CASE WHEN late THEN 0.5 ELSE a END AS u, CASE WHEN late THEN a ELSE 0.5 END AS v FROM k),
+f AS (SELECT 1::DOUBLE AS m, q, u, v, 1::DOUBLE AS c, 1 / ({one.format('(1 - (u + v) * q / (u + 1))')}) AS d, 1 / ({one.format('(1 - (u + v) * q / (u + 1))')}) AS f FROM l
+UNION ALL SELECT m + 1, q, u, v, c2, d2, f * c1 * d1 * c2 * d2 FROM (SELECT *, {one.format(f'(1 + {odd} / c1)')} AS c2, 1 / ({one.format(f'(1 + {odd} * d1)')}) AS d2 FROM (
+SELECT *, {one.format(f'(1 + {even} / c)')} AS c1, 1 / ({one.format(f'(1 + {even} * d)')}) AS d1 FROM f WHERE m <= 400)))
+SELECT CASE WHEN n < 3 THEN NULL WHEN abs(r) >= 1 THEN 0 WHEN r = 0 THEN 1 WHEN late THEN 1 - w ELSE w END FROM (
+SELECT l.*, exp(lgamma(a + 0.5) - lgamma(a) - lgamma(0.5) + a * ln(x) + 0.5 * ln(1 - x)) * (SELECT arg_max(f, m) FROM f) / u AS w FROM l))"""
+
+
+@query("G1_pearson", sql("pair bands", f"""SELECT 'cpr, official' AS pair, {q6('corr(a, b)')} AS pearson_r, {q6(_p('corr(a, b)', 'count(*)', 'pair'))} AS pearson_p FROM pair
+UNION ALL SELECT 'tmean, slope', {q6('corr(tmean, slope)')}, {q6(_p('corr(tmean, slope)', 'count(tmean)', 'bands'))} FROM bands"""))
 def g1(spark, d):
-    return derived.pair(spark, d).agg(r6(F.corr("a", "b")).alias("pearson_r"))
+    """Correlations with their p: of the compared products, and of two bands that have little to do with each other."""
+    related = derived.pair(spark, d).agg(F.lit("cpr, official").alias("pair"), F.corr("a", "b").alias("pearson_r"), F.count(F.lit(1)).alias("n"))
+    unrelated = derived.bands(spark, d).agg(F.lit("tmean, slope").alias("pair"), F.corr("tmean", "slope").alias("pearson_r"), F.count("tmean").alias("n"))
+    both = related.union(unrelated).withColumn("pearson_p", compare.correlation_p(c("pearson_r"), c("n")))
+    return rounded(both, ["pearson_r", "pearson_p"]).drop("n")
 
 
 relation("ranked", "SELECT a, b, rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0 AS rb FROM pair", "pair")
@@ -201,22 +222,24 @@ def g4(spark, d):
     return rounded(derived.pair(spark, d).agg(*compare.basic()), ["r2"]).select("r2")
 
 
-relation("filled", "SELECT r, c, coalesce(cpr, (SELECT avg(cpr) FROM bands)) AS a, coalesce(official, (SELECT avg(official) FROM bands)) AS b FROM bands", "bands")
+relation("overlap", "SELECT r, c, cpr > 0 AND cpr <= 20 AND official > 0 AND official <= 20 AS ok, cpr AS a, official AS b FROM bands", "bands")
+relation("box", "SELECT min(r) AS top, max(r) AS bottom, min(c) AS lft, max(c) AS rgt, avg(a) AS mean_a, avg(b) AS mean_b FROM overlap WHERE ok", "overlap")
+relation("filled", """SELECT r, c, top, bottom, lft, rgt, CASE WHEN ok THEN a ELSE mean_a END AS a, CASE WHEN ok THEN b ELSE mean_b END AS b
+FROM overlap, box WHERE r BETWEEN top AND bottom AND c BETWEEN lft AND rgt""", "overlap box")
+relation("alike", f"""WITH s AS (SELECT max(b) - min(b) AS d FROM filled),
+m AS (SELECT o.r, o.c, avg(t.a) AS ma, avg(t.b) AS mb, var_samp(t.a) AS va, var_samp(t.b) AS vb, covar_samp(t.a, t.b) AS cab FROM filled o JOIN filled t ON t.r BETWEEN o.r - 3 AND o.r + 3 AND t.c BETWEEN o.c - 3 AND o.c + 3
+WHERE o.r BETWEEN o.top + 3 AND o.bottom - 3 AND o.c BETWEEN o.lft + 3 AND o.rgt - 3 GROUP BY o.r, o.c)
+SELECT {q6('avg((2 * ma * mb + (0.01 * d) ** 2) * (2 * cab + (0.03 * d) ** 2) / ((ma * ma + mb * mb + (0.01 * d) ** 2) * (va + vb + (0.03 * d) ** 2)))')} AS ssim FROM m, s""", "filled")
 
 
-def filled(spark, d):
-    b = derived.bands(spark, d)
-    means = F.broadcast(b.agg(F.avg("cpr").alias("ma"), F.avg("official").alias("mb")))
-    return b.crossJoin(means).select("r", "c", F.coalesce("cpr", "ma").alias("a"), F.coalesce("official", "mb").alias("b"))
+def similarity(spark, d):
+    b = derived.bands(spark, d).select("r", "c", c("cpr").alias("a"), c("official").alias("b"))
+    return compare.ssim(b, (derived.table(spark, d, "embeddings").count(), derived.WIDTH), F.coalesce(validity.comparable(c("a"), c("b")), F.lit(False)))
 
 
-@query("G5_ssim", sql("filled size", f"""WITH s AS (SELECT max(b) - min(b) AS d FROM filled),
-m AS (SELECT o.r, o.c, avg(t.a) AS ma, avg(t.b) AS mb, var_samp(t.a) AS va, var_samp(t.b) AS vb, covar_samp(t.a, t.b) AS cab FROM filled o, size JOIN filled t ON t.r BETWEEN o.r - 3 AND o.r + 3 AND t.c BETWEEN o.c - 3 AND o.c + 3
-WHERE o.r BETWEEN 3 AND h - 4 AND o.c BETWEEN 3 AND w - 4 GROUP BY o.r, o.c)
-SELECT {q6('avg((2 * ma * mb + (0.01 * d) ** 2) * (2 * cab + (0.03 * d) ** 2) / ((ma * ma + mb * mb + (0.01 * d) ** 2) * (va + vb + (0.03 * d) ** 2)))')} AS ssim FROM m, s"""))
+@query("G5_ssim", sql("alike", "SELECT ssim FROM alike"))
 def g5(spark, d):
-    h = derived.table(spark, d, "embeddings").count()
-    return rounded(compare.ssim(filled(spark, d), (h, derived.WIDTH)), ["ssim"])
+    return rounded(similarity(spark, d), ["ssim"])
 
 
 def _overlap(lo: str, hi: str, n: int) -> str:
@@ -233,18 +256,28 @@ def g6(spark, d):
 relation("pooled", "SELECT a AS v FROM pair UNION ALL SELECT b FROM pair", "pair")
 
 
-@query("G7_histogram_overlap", sql("pair pooled", f"""WITH q AS (SELECT quantile_cont(v, 0.99) AS hi FROM pooled),
+_SHARED = f"""WITH q AS (SELECT quantile_cont(v, 0.99) AS hi FROM pooled),
 ha AS (SELECT least(floor(a / (hi / 99)), 98) AS bin, count(*) AS n FROM pair, q WHERE a <= hi GROUP BY 1), hb AS (SELECT least(floor(b / (hi / 99)), 98) AS bin, count(*) AS n FROM pair, q WHERE b <= hi GROUP BY 1)
-SELECT {q6('sum(least(coalesce(ha.n, 0) / (SELECT sum(n) FROM ha), coalesce(hb.n, 0) / (SELECT sum(n) FROM hb)))')} AS overlap FROM ha FULL JOIN hb USING (bin)"""))
+SELECT {q6('sum(least(coalesce(ha.n, 0) / (SELECT sum(n) FROM ha), coalesce(hb.n, 0) / (SELECT sum(n) FROM hb)))')} AS overlap FROM ha FULL JOIN hb USING (bin)"""
+
+
+@query("G7_histogram_overlap", sql("pair pooled", _SHARED))
 def g7(spark, d):
-    p = derived.pair(spark, d)
+    return rounded(shared_area(derived.pair(spark, d)), ["overlap"])
+
+
+def shared_area(p):
+    """Histogram overlap of 99 bins up to the 99th percentile of both."""
     hi = quantiles(p.select("a").union(p.select("b")), ["a"], [0.99])["a"][0]
-    return rounded(compare.intersection(p, 0.0, hi, 99), ["overlap"]) if hi else compare.intersection(p, 0.0, 1.0, 99)
+    return compare.intersection(p, 0.0, hi or 1.0, 99)
 
 
-@query("G8_mutual_information", sql("pair", f"""WITH k AS (SELECT {_bin('a', 0.0, 3.0, 100)} AS x, {_bin('b', 0.0, 3.0, 100)} AS y, count(*) AS n FROM pair WHERE a <= 3 AND b <= 3 GROUP BY 1, 2),
+_MUTUAL = f"""WITH k AS (SELECT {_bin('a', 0.0, 3.0, 100)} AS x, {_bin('b', 0.0, 3.0, 100)} AS y, count(*) AS n FROM pair WHERE a <= 3 AND b <= 3 GROUP BY 1, 2),
 p AS (SELECT x, y, n / sum(n) OVER () AS p FROM k), px AS (SELECT x, sum(p) AS px FROM p GROUP BY x), py AS (SELECT y, sum(p) AS py FROM p GROUP BY y)
-SELECT {q6('(SELECT sum(p * ln(p / (px * py))) FROM p JOIN px USING (x) JOIN py USING (y)) / sqrt((SELECT -sum(px * ln(px)) FROM px) * (SELECT -sum(py * ln(py)) FROM py))')} AS nmi"""))
+SELECT {q6('(SELECT sum(p * ln(p / (px * py))) FROM p JOIN px USING (x) JOIN py USING (y)) / sqrt((SELECT -sum(px * ln(px)) FROM px) * (SELECT -sum(py * ln(py)) FROM py))')} AS nmi"""
+
+
+@query("G8_mutual_information", sql("pair", _MUTUAL))
 def g8(spark, d):
     return rounded(compare.mutual_information(derived.pair(spark, d)), ["nmi"])
 
@@ -252,18 +285,33 @@ def g8(spark, d):
 _ALL = ", ".join(f"{q6(e)} AS {n}" for n, e in _BASIC.items())
 
 
-@query("G9_all_metrics", sql("pair ranked", f"SELECT count(*) AS n, {_ALL}, (SELECT {q6('corr(ra, rb)')} FROM ranked) AS spearman_r, ({_overlap('0.0::DOUBLE', '3.0::DOUBLE', 200)}) AS overlap FROM pair HAVING count(*) >= 30"))
+_RHO = "(SELECT corr(ra, rb) FROM ranked)"
+
+
+@query("G9_all_metrics", sql("pair ranked alike", f"""SELECT count(*) AS n, {_ALL}, {q6(_p('corr(a, b)', 'count(*)', 'pair'))} AS pearson_p, {q6(_RHO)} AS spearman_r, {q6(_p('corr(ra, rb)', 'count(*)', 'ranked'))} AS spearman_p,
+({_overlap('0.0::DOUBLE', '3.0::DOUBLE', 200)}) AS overlap, ({_MUTUAL}) AS nmi, (SELECT ssim FROM alike) AS ssim FROM pair HAVING count(*) >= 30"""))
 def g9(spark, d):
     p = derived.pair(spark, d)
     one = p.agg(*compare.basic()).filter("n >= 30").crossJoin(compare.spearman(p)).crossJoin(compare.intersection(p, 0.0, 3.0, 200))
-    return rounded(one, [*_BASIC, "spearman_r", "overlap"])
+    one = one.crossJoin(compare.mutual_information(p)).crossJoin(similarity(spark, d))
+    return rounded(with_p(one), [*_BASIC, "pearson_p", "spearman_r", "spearman_p", "overlap", "nmi", "ssim"])
+
+
+def with_p(one):
+    return one.withColumns({f"{x}_p": compare.correlation_p(c(f"{x}_r"), c("n")) for x in ("pearson", "spearman")})
+
+
+_SIDES = {f"{k}_{x}": f"{e}({x}{q})" for x in "ab" for k, e, q in (("mean", "avg", ""), ("median", "quantile_cont", ", 0.5"))}
 
 
-@query("G10_compare_products", sql("pair ranked", f"SELECT count(*) AS n, {', '.join(f'{q6(_BASIC[n])} AS {n}' for n in ('pearson_r', 'rmse', 'bias'))}, {q6('avg(a)')} AS mean_a, {q6('avg(b)')} AS mean_b, (SELECT {q6('corr(ra, rb)')} FROM ranked) AS spearman_r FROM pair HAVING count(*) >= 2"))
+@query("G10_compare_products", sql("pair ranked pooled", f"""SELECT count(*) AS n, {_ALL}, {', '.join(f'{q6(e)} AS {n}' for n, e in _SIDES.items())}, {q6(_p('corr(a, b)', 'count(*)', 'pair'))} AS pearson_p, {q6(_RHO)} AS spearman_r,
+{q6(_p('corr(ra, rb)', 'count(*)', 'ranked'))} AS spearman_p, ({_SHARED}) AS overlap FROM pair HAVING count(*) >= 2"""))
 def g10(spark, d):
     p = derived.pair(spark, d)
-    one = p.agg(*compare.basic(), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b")).filter("n >= 2").crossJoin(compare.spearman(p))
-    return rounded(one, ["pearson_r", "rmse", "bias", "mean_a", "mean_b", "spearman_r"]).select("n", "pearson_r", "rmse", "bias", "mean_a", "mean_b", "spearman_r")
+    middle = quantiles(p, ["a", "b"], [0.5])
+    sides = [F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), *[F.lit(middle[x][0]).cast("double").alias(f"median_{x}") for x in "ab"]]
+    one = p.agg(*compare.basic(), *sides).filter("n >= 2").crossJoin(compare.spearman(p)).crossJoin(shared_area(p))
+    return rounded(with_p(one), [*_BASIC, *_SIDES, "pearson_p", "spearman_r", "spearman_p", "overlap"])
 
 
 _PAIRS = [(x, y) for i, x in enumerate(BANDS) for y in BANDS[i:]]

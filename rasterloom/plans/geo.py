@@ -132,13 +132,13 @@ def t7(spark, d):
 @query("T9_resample_bands", sql("grid size bands", " UNION ALL ".join(
     f"(SELECT '{b}' AS band, p.r::INT AS r, p.c::INT AS c, {q6(b)} AS v FROM ({_DST}) p LEFT JOIN bands s ON s.r = floor((p.r + 0.5) * 1.5) AND s.c = floor((p.c + 0.5) * 1.5))" for b in ("zit", "slope"))))
 def t9(spark, d):
-    """Several bands to one coarser grid, nearest pixel: one plan, whose bands run side by side."""
-    b, out = derived.bands(spark, d), None
-    for name in ("zit", "slope"):
-        one = resample.nearest(coarse(spark, d), b.select("r", "c", c(name).alias("v")), "v", F.floor((c("r") + 0.5) * 1.5).cast("int"), F.floor((c("c") + 0.5) * 1.5).cast("int"))
-        one = one.select(F.lit(name).alias("band"), "r", "c", r6("v").alias("v"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Several bands to one coarser grid, nearest pixel: one join for all bands."""
+    names = ("zit", "slope")
+    b = derived.bands(spark, d).select("r", "c", F.struct(*names).alias("v"))
+    at = [F.floor((c(x) + 0.5) * _STEP).cast("int") for x in ("r", "c")]
+    one = resample.nearest(coarse(spark, d), b, "v", *at)
+    pairs = ", ".join(f"'{n}', v.{n}" for n in names)
+    return one.selectExpr("r", "c", f"stack({len(names)}, {pairs}) as (band, v)").select("band", "r", "c", r6("v").alias("v"))
 
 
 @query("T8_separable_warp", sql("grid size", f"""WITH s AS (SELECT r, c, c * 10.0::DOUBLE + v AS x, r * 10.0::DOUBLE + v AS y FROM grid), ys AS ({_INV.format(k='r', m='m', x='y')}), xs AS ({_INV.format(k='c', m='m', x='x')}),
@@ -205,10 +205,12 @@ def j2(spark, d):
     return derived.grid(spark, d).groupBy("c").agg(F.min_by("r", F.struct("v", "r")).alias("r"), r6(F.min("v")).alias("v"))
 
 
-@query("J3_subsample")
+@query("J3_subsample", sql("bands", f"""SELECT r, c, {q6('cpr')} AS cpr, {q6('dop')} AS dop, cpr > 0.5 AS hi FROM bands WHERE cpr IS NOT NULL AND dop IS NOT NULL
+ORDER BY md5(r::VARCHAR || ',' || c::VARCHAR), r, c LIMIT 5000"""))
 def j3(spark, d):
+    """A sample without replacement whose flag stays with its pixel: the first 5000 by a hash of the place."""
     b = derived.bands(spark, d).select("r", "c", "cpr", "dop", (c("cpr") > 0.5).alias("hi")).filter("cpr is not null and dop is not null")
-    return b.orderBy(F.xxhash64("r", "c"), "r", "c").limit(5000).select("r", "c", r6("cpr").alias("cpr"), r6("dop").alias("dop"), "hi")
+    return b.orderBy(F.md5(F.concat_ws(",", "r", "c")), "r", "c").limit(5000).select("r", "c", r6("cpr").alias("cpr"), r6("dop").alias("dop"), "hi")
 
 
 @query("J4_even_rows", sql("grid", f"SELECT r, {q6('avg(v)')} AS v FROM grid WHERE r IN (SELECT trunc(10 + k * (487 - 10) / 6.0::DOUBLE)::INT FROM range(7) x(k)) GROUP BY r"))

@@ -189,14 +189,14 @@ _CONV = "SELECT crater, lat2, l AS lon2, k AS convention FROM craters, (VALUES (
 
 
 @query("D6_nearest_tie", sql("ties craters", f"""WITH v AS ({_CONV}), h AS (SELECT crater, convention, n, {_HAV} AS km FROM ties, v),
-b AS (SELECT crater, min(round(km, 6)) AS km FROM h GROUP BY crater)
-SELECT crater, {q6('km')} AS km FROM b"""))
+b AS (SELECT *, row_number() OVER (PARTITION BY crater ORDER BY round(km, 6), convention, n) AS k FROM h)
+SELECT crater, convention, n, {q6('km')} AS km FROM b WHERE k = 1"""))
 def d6(spark, d):
     conv = craters(spark).select("crater", "lat2", F.posexplode(F.array(c("lon2"), c("lon2") - 360, -c("lon2"))).alias("convention", "lon2"))
     pairs = derived.ties(spark, d).crossJoin(F.broadcast(conv))
     km = geodesy.haversine_km(c("lat"), c("lon"), c("lat2"), c("lon2"))
     best = joins.nearest_by(pairs, ["crater"], F.round(km, 6), ["convention", "n"])
-    return best.select("crater", r6("distance").alias("km"))
+    return best.select("crater", "convention", "n", r6("distance").alias("km"))
 
 
 @query("D7_nearest_row", sql("ties", f"SELECT arg_min(n, (abs(lat + 87.3::DOUBLE), n)) AS n, {q6('min(abs(lat + 87.3::DOUBLE))')} AS gap FROM ties"))

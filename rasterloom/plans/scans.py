@@ -14,6 +14,8 @@ from rasterloom.plans.base import q6, query, r6, sql
 from rasterloom.sources import derived, rasters
 from rasterloom.sources.shared import run_dir, written
 
+c = F.col
+
 
 @query("A1_dem_scan", sql("dem", f"SELECT r, c, {q6('z')} AS z FROM dem"))
 def a1(spark, d):
@@ -69,8 +71,11 @@ def a7(spark, d):
 SELECT min(n) + 1 AS n_rng, count_all // (min(n) + 1) AS n_az, count_all AS total FROM (
   SELECT n, slant, lead(slant) OVER (ORDER BY n) AS nx, count(*) OVER () AS count_all FROM ties) WHERE nx - slant < -500 GROUP BY count_all"""))
 def a8(spark, d):
-    raw = derived.ties(spark, d).toDF("n", " Slant_Range (m)", "Latitude", "Longitude ")
-    return tie_group(rasters.geometry_names(raw))
+    """From a CSV file in file order, whose columns are named as instruments name them."""
+    path = f"{run_dir(spark)}/geometry-{uuid.uuid4().hex}"
+    named = derived.ties(spark, d).orderBy("n").select(c("slant").alias("Slant_Range (m)"), c("lat").alias("Latitude"), c("lon").alias("Longitude"))
+    named.coalesce(1).write.csv(path, header=True)
+    return tie_group(rasters.read_geometry(spark, path))
 
 
 @query("A9_window_scan", sql("grid", f"SELECT r, c, {q6('v')} AS v FROM grid WHERE r BETWEEN 100 AND 199 AND c BETWEEN 10 AND 40"))
@@ -85,19 +90,28 @@ def a10(spark, d):
     return rasters.converted(tagged, "v", -9999.0).groupBy("r").agg(F.count_if(F.col("v").isNull()).alias("n_null"), r6(F.sum("v")).alias("total"))
 
 
-@query("A11_metadata", sql("grid", f"""
-SELECT max(c) + 1 AS width, max(r) + 1 AS height, count(*) AS pixels, count(v) AS n_valid, {q6('min(v)')} AS min, {q6('max(v)')} AS max, {q6('avg(v)')} AS mean FROM grid"""))
+@query("A11_metadata", sql("grid bands", " UNION ALL ".join(f"""
+SELECT '{name}' AS band, max(c) + 1 AS width, max(r) + 1 AS height, count(*) AS pixels, count({v}) AS n_valid, {q6(f'min({v})')} AS min, {q6(f'max({v})')} AS max, {q6(f'avg({v})')} AS mean,
+'{derived.FRAME.crs}' AS crs, {derived.FRAME.step}::DOUBLE AS res, {derived.FRAME.left}::DOUBLE AS "left", {derived.FRAME.top} - (max(r) + 1) * {derived.FRAME.step}::DOUBLE AS bottom,
+{derived.FRAME.left} + (max(c) + 1) * {derived.FRAME.step}::DOUBLE AS "right", {derived.FRAME.top}::DOUBLE AS top, 'double' AS dtype, {nodata}::DOUBLE AS nodata FROM {source}"""
+    for name, v, source, nodata in (("dem", "v", "grid", "NULL"), ("cpr", "cpr", "bands", "-9999")))))
 def a11(spark, d):
-    out = derived.grid(spark, d).agg(*rasters.metadata(None))
-    return out.withColumns({c: r6(c) for c in ("min", "max", "mean")})
+    return entries(spark, d).withColumns({x: r6(x) for x in ("min", "max", "mean")})
+
+
+def entries(spark, d):
+    """The catalogue of two products, the second of which borrows its coordinate system."""
+    bands = {"dem": derived.grid(spark, d), "cpr": derived.bands(spark, d).select("r", "c", c("cpr").alias("v"))}
+    return rasters.catalog(bands, {"dem": derived.FRAME, "cpr": derived.BARE}, derived.FRAME)
 
 
-@query("A12_discovery", """
-SELECT page_id, regexp_replace(url, '[?#].*$', '') AS path FROM pages
-WHERE lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '\\.([^./]+)$', 1)) = 'html' AND NOT contains(regexp_replace(url, '[?#].*$', ''), '/fr/')""")
+@query("A12_discovery", sql("grid", "SELECT DISTINCT (r // 64)::INT AS tile FROM grid WHERE r // 64 <> 1"))
 def a12(spark, d):
-    pages = derived.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("path"))
-    return pages.filter(rasters.wanted(F.col("path"), ("html",), ("fr",)))
+    """The tiles whose files are found under a folder, but for one folder."""
+    path = f"{run_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    rasters.write_tiles(derived.grid(spark, d), path, 64)
+    found = rasters.discover(spark, path).filter(rasters.wanted(c("path"), ("parquet",), ("tile_r=1",)))
+    return found.select(F.regexp_extract("path", r"/tile_r=(\d+)/", 1).cast("int").alias("tile")).distinct()
 
 
 _CODES = ["cpr", "srd", "odd", "vol", "hlx", "evn", "trt", "gri", "sli", "sri", "zzz", "XCPRX"]

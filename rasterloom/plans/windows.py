@@ -244,7 +244,13 @@ def w18(spark, d):
     return peaks.density(derived.grid(spark, d), c("v") > 0.12, 150, shape(spark, d)[0]).select("r", r6("dens").alias("dens"))
 
 
-@query("W19_peaks")
+@query("W19_peaks", sql("grid size", f"""WITH p AS (SELECT r, avg((v > 0.12)::INT) AS x FROM grid GROUP BY r),
+s AS (SELECT o.r, avg(p.x) AS dens FROM (SELECT r, {_mirror('r + i', 'h')} AS mr FROM (SELECT DISTINCT r FROM grid), size, range(-5, 5) x(i)) o JOIN p ON p.r = o.mr GROUP BY o.r),
+t AS (SELECT *, sum(fresh) OVER (ORDER BY r) AS g FROM (SELECT *, CASE WHEN lag(dens) OVER (ORDER BY r) = dens THEN 0 ELSE 1 END AS fresh FROM s)),
+u AS (SELECT g, (min(r) + max(r)) // 2 AS r, any_value(dens) AS dens FROM t GROUP BY g),
+m AS (SELECT r, dens, row_number() OVER (ORDER BY dens DESC, r DESC) AS k FROM (SELECT *, lag(dens) OVER (ORDER BY g) AS b, lead(dens) OVER (ORDER BY g) AS e FROM u) WHERE b < dens AND e < dens AND dens >= 0.003),
+choice AS (SELECT 0::BIGINT AS k, []::INT[] AS kept UNION ALL SELECT m.k, CASE WHEN len(list_filter(kept, lambda y: abs(y - m.r) < 20)) = 0 THEN list_append(kept, m.r::INT) ELSE kept END FROM choice JOIN m ON m.k = choice.k + 1)
+SELECT m.r::INT AS r, {q6('dens')} AS dens FROM m WHERE list_contains((SELECT arg_max(kept, k) FROM choice), m.r::INT) ORDER BY dens DESC, m.r LIMIT 9""", recursive=True))
 def w19(spark, d):
     profile = peaks.density(derived.grid(spark, d), c("v") > 0.12, 10, shape(spark, d)[0])
     return peaks.spaced(peaks.maxima(profile, 0.003), 20, 9).select("r", r6("dens").alias("dens"))

@@ -10,8 +10,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.validity import canonical
+from rasterloom.sources.rasters import Frame
 
 WIDTH = 64
+#: The grids' place on the polar plane; bands of another product come without a coordinate system.
+FRAME = Frame("moon south polar stereographic", -640.0, 0.0, 20.0)
+BARE = Frame("", -640.0, 0.0, 20.0, -9999.0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

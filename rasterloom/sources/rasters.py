@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ def decode_float32(files: DataFrame, height: int, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(content) < 4 * height * width:
+                    raise ValueError(f"{path} has {len(content)} bytes, too few for {height} x {width} values")
                 z = np.frombuffer(content, "<f4", height * width, len(content) - 4 * height * width).astype(np.float64)
                 if len(z) and np.nanmax(z) < 50:
                     z = z * 1000
@@ -86,13 +90,45 @@ def read_window(spark: SparkSession, path: str, r0: int, r1: int, c0: int, c1: i
     return df.filter(F.col("tile_r").between(r0 // tile, r1 // tile) & F.col("r").between(r0, r1) & F.col("c").between(c0, c1)).drop("tile_r")
 
 
-def metadata(df: DataFrame, column: str = "v") -> list[Column]:
-    """Catalogue entry of a band, as aggregates."""
-    v = F.col(column)
-    return [
-        (F.max("c") + 1).alias("width"), (F.max("r") + 1).alias("height"), F.count(F.lit(1)).alias("pixels"), F.count(v).alias("n_valid"),
+@dataclass(frozen=True)
+class Frame:
+    """Where a grid lies: coordinate system, outer corner of the first pixel and pixel size, y falling with rows."""
+
+    crs: str
+    left: float
+    top: float
+    step: float
+    nodata: float | None = None
+
+
+def metadata(df: DataFrame, column: str = "v", frame: Frame | None = None, like: Frame | None = None) -> list[Column]:
+    """Catalogue entry of a band, as aggregates; a band without a coordinate system borrows that of its sibling."""
+    v, width, height = F.col(column), F.max("c") + 1, F.max("r") + 1
+    out = [
+        width.alias("width"), height.alias("height"), F.count(F.lit(1)).alias("pixels"), F.count(v).alias("n_valid"),
         F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
     ]
+    if frame is None:
+        return out
+    crs = frame.crs or (like.crs if like else None)
+    right, bottom = frame.left + width * frame.step, frame.top - height * frame.step
+    return [
+        *out, F.lit(crs).cast("string").alias("crs"), F.lit(frame.step).alias("res"), F.lit(frame.left).alias("left"), bottom.alias("bottom"),
+        right.alias("right"), F.lit(frame.top).alias("top"), F.lit(df.schema[column].dataType.simpleString()).alias("dtype"),
+        F.lit(frame.nodata).cast("double").alias("nodata"),
+    ]
+
+
+def catalog(bands: dict[str, DataFrame], frames: dict[str, Frame], like: Frame) -> DataFrame:
+    """A row of metadata for each band (r, c, v)."""
+    rows = [df.agg(*metadata(df, "v", frames[name], like)).select(F.lit(name).alias("band"), "*") for name, df in bands.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def consistent(entries: DataFrame) -> DataFrame:
+    """Whether all bands of a catalogue share size, place, resolution and coordinate system."""
+    same = F.struct("width", "height", "pixels", "crs", "res", "left", "top")
+    return entries.agg((F.count_distinct(same) == 1).alias("same"), (F.count_distinct("width", "height") == 1).alias("same_size"), F.count(F.lit(1)).alias("n_bands"))
 
 
 def converted(df: DataFrame, column: str, nodata: float) -> DataFrame:

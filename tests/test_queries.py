@@ -14,7 +14,7 @@ def test_equals_sql(spark, name):
 
 
 def test_only_these_have_no_sql():
-    assert set(registry.queries()) - set(registry.oracle_sql()) == {"B20_cloude_pottier", "W19_peaks", "I3_rover_path", "J3_subsample"}
+    assert set(registry.queries()) - set(registry.oracle_sql()) == {"B20_cloude_pottier", "I3_rover_path"}
 
 
 def test_coverage():
