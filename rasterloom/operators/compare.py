@@ -119,16 +119,18 @@ def correlation_p(r: Column, n: Column, rounds: int = 400) -> Column:
     late = x >= (a + 1) / (a + b + 2)
     q, u, v = F.when(late, 1 - x).otherwise(x), F.when(late, b).otherwise(a), F.when(late, a).otherwise(b)
     safe = lambda z: F.when(F.abs(z) < 1e-300, F.lit(1e-300)).otherwise(z)
-    d = 1 / safe(1 - (u + v) * q / (u + 1))
 
-    def more(acc: Column, m: Column) -> Column:
-        for num in (m * (v - m) * q / ((u + 2 * m - 1) * (u + 2 * m)), -(u + m) * (u + v + m) * q / ((u + 2 * m) * (u + 2 * m + 1))):
-            d, c = 1 / safe(1 + num * acc["d"]), safe(1 + num / acc["c"])
-            acc = F.struct(c.alias("c"), d.alias("d"), (acc["f"] * c * d).alias("f"))
-        return acc
-
-    start = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("f"))
-    fraction = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda acc, m: more(acc, m.cast("double")))["f"]
+    def more(acc: Column, k: Column) -> Column:
+        m, q, u, v = F.floor((k + 1) / 2), acc["q"], acc["u"], acc["v"]  # two steps a round
+        one, two = m * (v - m) * q / ((u + 2 * m - 1) * (u + 2 * m)), -(u + m) * (u + v + m) * q / ((u + 2 * m) * (u + 2 * m + 1))
+        num = F.when(k % 2 == 1, one).otherwise(two)
+        after = F.struct((1 + num * acc["d"]).alias("d"), (1 + num / acc["c"]).alias("c"))
+        let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+        return let(after, lambda x: let(F.struct((1 / safe(x["d"])).alias("d"), safe(x["c"]).alias("c")), lambda y: F.struct(
+            y["c"].alias("c"), y["d"].alias("d"), (acc["f"] * y["c"] * y["d"]).alias("f"), q.alias("q"), u.alias("u"), v.alias("v"))))
+
+    begin = F.struct(F.lit(1.0).alias("c"), (1 / safe(1 - (u + v) * q / (u + 1))).alias("d"), (1 / safe(1 - (u + v) * q / (u + 1))).alias("f"), q.alias("q"), u.alias("u"), v.alias("v"))
+    fraction = F.aggregate(F.sequence(F.lit(1), F.lit(2 * rounds)), begin, more)["f"]
     front = F.exp(log_gamma(a + 0.5) - log_gamma(a) - 0.5 * math.log(math.pi) + a * F.log(x) + b * F.log(1 - x))
     value = front * fraction / u
     return F.when(n < 3, None).when(F.abs(r) >= 1, F.lit(0.0)).when(r == 0, F.lit(1.0)).otherwise(F.when(late, 1 - value).otherwise(value))
