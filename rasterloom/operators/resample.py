@@ -46,20 +46,25 @@ def interpolate(points: DataFrame, grid: DataFrame, columns: list[str], fi: Colu
 
 def sampled(points: DataFrame, src: DataFrame, column: str, fr: Column, fc: Column, h: int, w: int, most_invalid: float = 0.5) -> DataFrame:
     """points with column, read bilinearly from src (r, c) at fractional rows and columns. Gaps count as 0 and
-    as invalid; NULL outside of the source, or where the invalid weight is over most_invalid."""
+    as invalid; NULL outside of the source, or where the invalid weight is over most_invalid. One join and one
+    aggregation; equal points, whose values are equal, are counted and given back as often."""
     p = points.withColumns({"_fr": fr, "_fc": fc})
-    p = p.withColumns({"_r": F.floor("_fr").cast("int"), "_c": F.floor("_fc").cast("int")}).withColumn("_id", F.struct(*points.columns))
-    corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("k")
+    p = p.withColumns({"_r": F.floor("_fr").cast("int"), "_c": F.floor("_fc").cast("int")})
     inside = (F.col("_fr") >= 0) & (F.col("_fr") <= h - 1) & (F.col("_fc") >= 0) & (F.col("_fc") <= w - 1)
-    e = p.filter(inside).select("_id", "_fr", "_fc", "_r", "_c", corners)
+    corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("_k")
     part = lambda f, i, k: F.when(F.col(k) == 1, F.col(f) - F.col(i)).otherwise(1 - (F.col(f) - F.col(i)))
-    e = e.select("_id", (part("_fr", "_r", "k.a") * part("_fc", "_c", "k.b")).alias("wt"), (F.col("_r") + F.col("k.a")).alias("_sr"), (F.col("_c") + F.col("k.b")).alias("_sc"))
+    weight = F.when(inside, part("_fr", "_r", "_k.a") * part("_fc", "_c", "_k.b"))
+    e = p.select("*", corners).select(
+        *points.columns, weight.alias("_w"), ((F.col("_k.a") == 0) & (F.col("_k.b") == 0)).alias("_own"),
+        (F.col("_r") + F.col("_k.a")).alias("_sr"), (F.col("_c") + F.col("_k.b")).alias("_sc"),
+    )
     s = src.select(F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.col(column).alias("_v"))
-    got = e.filter("wt > 0").join(s, ["_sr", "_sc"], "left").groupBy("_id").agg(
-        F.sum(F.col("wt") * F.coalesce("_v", F.lit(0.0))).alias("_sum"), F.sum(F.when(F.col("_v").isNull(), F.col("wt")).otherwise(0.0)).alias("_bad")
-    )
-    value = got.select("_id.*", F.when(F.col("_bad") <= most_invalid, F.col("_sum")).alias(column))
-    return points.join(value, points.columns, "left")
+    got = e.filter((F.col("_w") > 0) | F.col("_own")).join(s, ["_sr", "_sc"], "left").groupBy(*points.columns).agg(
+        F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("_sum"), F.sum(F.when(F.col("_v").isNull(), F.col("_w")).otherwise(0.0)).alias("_bad"),
+        F.count_if(F.col("_own")).alias("_n"), F.count("_w").alias("_in"),
+    )
+    value = F.when((F.col("_in") > 0) & (F.col("_bad") / F.col("_n") <= most_invalid), F.col("_sum") / F.col("_n"))
+    return got.select(*points.columns, value.alias(column), F.explode(F.array_repeat(F.lit(0), F.col("_n").cast("int"))).alias("_again")).drop("_again")
 
 
 def nearest(points: DataFrame, src: DataFrame, column: str, r: Column, c: Column) -> DataFrame:

@@ -63,6 +63,16 @@ def test_gradient_next_to_missing_pixels(spark):
         assert gx == (10.0 if left is not False and right is not False else None), (r, k)
 
 
+def test_samples_of_equal_points_and_of_points_with_nulls(spark):
+    from rasterloom.operators.resample import sampled
+
+    v = np.arange(20.0).reshape(4, 5)
+    points = [(0.5, 1.5, "a"), (0.5, 1.5, "a"), (0.5, 1.5, None), (9.0, 0.0, "out"), (None, 1.0, "null"), (3.0, 4.0, "corner")]
+    p = spark.createDataFrame(points, "y double, x double, tag string")
+    got = sorted((r["tag"] or "", r["v"] is None, r["v"] or 0.0) for r in sampled(p, grid(spark, {"v": v}), "v", F.col("y"), F.col("x"), 4, 5).collect())
+    assert got == [("", False, 4.0), ("a", False, 4.0), ("a", False, 4.0), ("corner", False, 19.0), ("null", True, 0.0), ("out", True, 0.0)]
+
+
 def test_circles_by_tiles(spark):
     from rasterloom.operators.joins import in_circles
 
