@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rasterloom.config import CRATERS, WEIGHTS
 from rasterloom.functions import geodesy, labels, polarimetry as pol, scaling
 from rasterloom.operators.compare import basic
-from rasterloom.operators.focal import multilook
 from rasterloom.operators.stats import data_format
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.sources import derived
@@ -199,38 +194,6 @@ def coherency(spark, d):
     )
 
 
-T3 = ["t11", "t22", "t33", "t12r", "t12i", "t13r", "t13i", "t23r", "t23i"]
-
-
-def decomposition(t3, eps: float = 1e-10):
-    """Entropy, anisotropy and mean alpha of coherency matrices. SQL has no eigenvectors of complex matrices, so
-    batches go through a vectorised solver; only |v0| is used, which no phase changes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = {n: b.column(n).to_numpy(zero_copy_only=False) for n in T3}
-            m = np.zeros((b.num_rows, 3, 3), np.complex128)
-            for i in range(3):
-                m[:, i, i] = v[f"t{i + 1}{i + 1}"]
-            for i, j in ((0, 1), (0, 2), (1, 2)):
-                m[:, i, j] = v[f"t{i + 1}{j + 1}r"] + 1j * v[f"t{i + 1}{j + 1}i"]
-                m[:, j, i] = m[:, i, j].conj()
-            values, vectors = np.linalg.eigh(m)
-            p = np.clip(values / np.maximum(values.sum(axis=1, keepdims=True), eps), 1e-12, 1.0)
-            low, mid = p[:, 0], p[:, 1]
-            entropy = -(p * np.log(p)).sum(axis=1) / np.log(3)
-            anisotropy = np.where(low + mid > eps, (mid - low) / np.where(low + mid > eps, low + mid, 1), 0.0)
-            alpha = (p * np.degrees(np.arccos(np.clip(np.abs(vectors[:, 0, :]), 0, 1)))).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([b.column("r"), b.column("c"), pa.array(entropy), pa.array(anisotropy), pa.array(alpha)], ["r", "c", "entropy", "anisotropy", "alpha"])
-
-    return t3.select("r", "c", *T3).mapInArrow(run, "r int, c int, entropy double, anisotropy double, alpha double")
-
-
-@query("B20_cloude_pottier")
-def b20(spark, d):
-    h = derived.table(spark, d, "embeddings").count()
-    ml = multilook(coherency(spark, d), T3, (7, 3), (h, derived.WIDTH))
-    return out(decomposition(ml), entropy=c("entropy"), anisotropy=c("anisotropy"), alpha=c("alpha"))
 
 
 R = "1737400.0::DOUBLE"

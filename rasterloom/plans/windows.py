@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from rasterloom.config import SETTINGS
 from rasterloom.functions import polarimetry as pol
-from rasterloom.operators import focal, peaks, ray_tiles
+from rasterloom.operators import eigen, focal, peaks, ray_tiles
 from rasterloom.operators import rays as ray_ops
 from rasterloom.operators.components import regions, without_small
+from rasterloom.operators.eigen import T3
 from rasterloom.operators.resample import tie_group
 from rasterloom.plans.base import q6, query, r6, relation, sql
-from rasterloom.plans.projections import T3, coherency, covariance, stokes
+from rasterloom.plans.projections import coherency, covariance, stokes
 from rasterloom.sources import derived
 
 c = F.col
@@ -77,6 +78,25 @@ def w4(spark, d):
     return rounded(focal.multilook(coherency(spark, d), T3, (7, 3), shape(spark, d)), T3)
 
 
+_EIGEN = """a AS (SELECT *, (t11 + t22 + t33) / 3 AS q, t12r * t12r + t12i * t12i AS n12, t13r * t13r + t13i * t13i AS n13, t23r * t23r + t23i * t23i AS n23 FROM m),
+b AS (SELECT *, sqrt(((t11 - q) ** 2 + (t22 - q) ** 2 + (t33 - q) ** 2 + 2 * (n12 + n13 + n23)) / 6) AS s, (t11 - q) * ((t22 - q) * (t33 - q) - n23) - (t22 - q) * n13 - (t33 - q) * n12
++ 2 * ((t12r * t23r - t12i * t23i) * t13r + (t12r * t23i + t12i * t23r) * t13i) AS det FROM a),
+f AS (SELECT *, CASE WHEN s > 0 THEN acos(least(greatest(det / (2 * s * s * s), -1), 1)) / 3 ELSE 0 END AS phi FROM b),
+l AS (SELECT *, q + 2 * s * cos(phi) AS l1, q + 2 * s * cos(phi + 2 * pi() / 3) AS l3 FROM f), k AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM l),
+v AS (SELECT *, CASE WHEN l1 - l2 > 1e-6 * s THEN ((l1 - t22) * (l1 - t33) - n23) / ((l1 - l2) * (l1 - l3)) END AS x1, CASE WHEN l2 - l3 > 1e-6 * s THEN ((l3 - t22) * (l3 - t33) - n23) / ((l3 - l1) * (l3 - l2)) END AS x3 FROM k),
+x AS (SELECT *, least(greatest(l1 / greatest(3 * q, 1e-10), 1e-12), 1) AS p1, least(greatest(l2 / greatest(3 * q, 1e-10), 1e-12), 1) AS p2, least(greatest(l3 / greatest(3 * q, 1e-10), 1e-12), 1) AS p3,
+coalesce(x1, (1 - x3) / 2, 1 / 3.0::DOUBLE) AS w1, coalesce(x3, (1 - x1) / 2, 1 / 3.0::DOUBLE) AS w3 FROM v)"""
+_ANGLE = lambda w: f"degrees(acos(least(sqrt(greatest({w}, 0)), 1)))"
+
+
+@query("B20_cloude_pottier", sql("grid size coherency", f"""WITH m AS ({_look('coherency', T3, 7, 3)}), {_EIGEN}
+SELECT r, c, {q6('-(p1 * ln(p1) + p2 * ln(p2) + p3 * ln(p3)) / ln(3)')} AS entropy, {q6('CASE WHEN p2 + p3 > 1e-10 THEN (p2 - p3) / (p2 + p3) ELSE 0 END')} AS anisotropy,
+{q6(f"p1 * {_ANGLE('w1')} + p2 * {_ANGLE('1 - w1 - w3')} + p3 * {_ANGLE('w3')}")} AS alpha FROM x"""))
+def b20(spark, d):
+    ml = focal.multilook(coherency(spark, d), T3, (7, 3), shape(spark, d))
+    return rounded(eigen.decomposition(ml), ["entropy", "anisotropy", "alpha"])
+
+
 def _gradient(source: str, dy: str = "20", dx: str = "20") -> str:
     return f"""SELECT o.r, o.c, o.z, CASE WHEN u.z IS NULL THEN (n.z - o.z) / {dy} WHEN n.z IS NULL THEN (o.z - u.z) / {dy} ELSE (n.z - u.z) / (2 * {dy}) END AS gy,
 CASE WHEN l.z IS NULL THEN (e.z - o.z) / {dx} WHEN e.z IS NULL THEN (o.z - l.z) / {dx} ELSE (e.z - l.z) / (2 * {dx}) END AS gx FROM {source} o

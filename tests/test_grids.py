@@ -194,7 +194,7 @@ def test_least_cost(spark):
 
 
 def test_decomposition_of_known_matrices(spark):
-    from rasterloom.plans.projections import T3, decomposition
+    from rasterloom.operators.eigen import T3, decomposition
 
     rows = [(0, 0, 1.0, 1.0, 1.0, *[0.0] * 6), (0, 1, 1.0, 0.0, 0.0, *[0.0] * 6), (0, 2, 0.0, 2.0, 0.0, *[0.0] * 6)]
     df = spark.createDataFrame(rows, "r int, c int, " + ", ".join(f"{t} double" for t in T3))

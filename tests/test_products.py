@@ -124,3 +124,25 @@ def test_no_folder_of_our_own_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_decomposition_equals_a_solver(spark):
+    from rasterloom.operators.eigen import T3, decomposition
+
+    rng = np.random.default_rng(4)
+    looks = rng.normal(size=(400, 3, 9)) + 1j * rng.normal(size=(400, 3, 9))
+    looks[:100, :, 3:] = 0  # of full rank still
+    looks[100:150] *= 1e-4
+    m = looks @ looks.conj().transpose(0, 2, 1)
+    rows = [(i, 0, *(float(x[k, k].real) for k in range(3)), *(float(f(x[j, k])) for j, k in ((0, 1), (0, 2), (1, 2)) for f in (np.real, np.imag))) for i, x in enumerate(m)]
+    rows += [(1000, 0, None, *[1.0] * 8), (1001, 0, *[0.0] * 9), (1002, 0, 2.0, 1.0, 1.0, *[0.0] * 6)]
+    got = {x["r"]: x for x in decomposition(spark.createDataFrame(rows, "r int, c int, " + ", ".join(f"{t} double" for t in T3))).collect()}
+    values, vectors = np.linalg.eigh(m)
+    p = np.clip(values / values.sum(axis=1, keepdims=True), 1e-12, 1)
+    alpha = (p * np.degrees(np.arccos(np.clip(np.abs(vectors[:, 0, :]), 0, 1)))).sum(axis=1)
+    for i in range(len(m)):
+        want = (-(p[i] * np.log(p[i])).sum() / np.log(3), (p[i, 1] - p[i, 0]) / (p[i, 1] + p[i, 0]), alpha[i])
+        assert np.allclose([got[i]["entropy"], got[i]["anisotropy"], got[i]["alpha"]], want, atol=1e-7), i
+    assert all(got[1000][k] is None for k in ("entropy", "anisotropy", "alpha"))
+    assert all(abs(got[1001][k]) < 1e-6 for k in ("entropy", "anisotropy", "alpha"))
+    assert abs(got[1002]["alpha"] - 45) < 1e-4 and abs(got[1002]["anisotropy"]) < 1e-6  # two equal ones at 90 degrees
