@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.functions import geodesy
+from rasterloom.sources.rasters import Frame
+
 Polygon = list[tuple[float, float]]
 
 
@@ -73,6 +78,44 @@ def nearest(points: DataFrame, src: DataFrame, column: str, r: Column, c: Column
     return p.join(src.select(F.col("r").alias("_sr"), F.col("c").alias("_sc"), column), ["_sr", "_sc"], "left").drop("_sr", "_sc")
 
 
+def blended(points: DataFrame, src: DataFrame, column: str, fr: Column, fc: Column, h: int, w: int) -> DataFrame:
+    """points with column, bilinear at fractional pixel centres of src (r, c). The weight of a pixel that is missing,
+    NULL or over the edge goes to the others; NULL outside of the source's edges and where no pixel is left. One
+    join and one aggregation; equal points are counted and given back as often."""
+    p = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("_n")).withColumns({"_fr": fr, "_fc": fc})
+    p = p.withColumns({"_r": F.floor("_fr").cast("int"), "_c": F.floor("_fc").cast("int")})
+    inside = F.col("_fr").between(-0.5, h - 0.5) & F.col("_fc").between(-0.5, w - 0.5)
+    corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])).alias("_k")
+    part = lambda f, i, k: F.when(F.col(k) == 1, F.col(f) - F.col(i)).otherwise(1 - (F.col(f) - F.col(i)))
+    e = p.select("*", corners).withColumns({
+        "_w": F.when(inside, part("_fr", "_r", "_k.a") * part("_fc", "_c", "_k.b")), "_sr": F.col("_r") + F.col("_k.a"), "_sc": F.col("_c") + F.col("_k.b"),
+    })
+    s = src.select(F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.col(column).alias("_v"))
+    weight = F.when(F.col("_v").isNotNull() & (F.col("_w") > 0), F.col("_w"))
+    got = e.join(s, ["_sr", "_sc"], "left").groupBy(*points.columns, "_n").agg((F.sum(weight * F.col("_v")) / F.sum(weight)).alias("_value"))
+    return got.select(*points.columns, F.col("_value").alias(column), F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_again")).drop("_again")
+
+
+def aligned(target: DataFrame, src: DataFrame, column: str, frame: Frame, shape: tuple[int, int], scale: float = 1.0, masks: bool = False, across: float | None = None) -> DataFrame:
+    """target (r, c and x, y on the polar plane) with column of src in the frame's place, times scale: bilinear, or the
+    nearest pixel for masks. A frame without a coordinate system is taken as latitude and longitude on the sphere,
+    rows northwards from its top, columns `across` degrees apart (its step by default)."""
+    if frame.crs:
+        fr, fc = (frame.top - F.col("y")) / frame.step, (F.col("x") - frame.left) / frame.step
+    else:
+        lat, lon = geodesy.from_plane(F.col("x"), F.col("y"))
+        fr, fc = (lat - frame.top) / frame.step, (lon - frame.left) / (across or frame.step)
+    scaled = src.select("r", "c", (F.col(column) * scale).alias(column))
+    if masks:
+        return nearest(target, scaled, column, F.floor(fr).cast("int"), F.floor(fc).cast("int"))
+    return blended(target, scaled, column, fr - 0.5, fc - 0.5, *shape)
+
+
+def filled_or(forward: DataFrame, cells: int, fallback: Callable[[], DataFrame], least: float = 0.005) -> DataFrame:
+    """forward (a row per filled cell), or the fallback's result where it fills less than that share of the target's cells."""
+    return forward if forward.count() >= least * cells else fallback()
+
+
 def sides(polygon: Polygon) -> list[tuple[float, float, float, float]]:
     """x1, y1, x2, y2 of each side."""
     return [tuple(map(float, (*a, *b))) for a, b in zip(polygon, polygon[1:] + polygon[:1])]

@@ -14,6 +14,8 @@ from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.joins import POLYGONS
 from rasterloom.plans.windows import SUNS, dpsr, grad, shape, sunlit
 from rasterloom.sources import derived
+from rasterloom.sources.rasters import Frame
+from rasterloom.sources.shared import written
 
 c = F.col
 N_RG = 9
@@ -96,6 +98,18 @@ def t5(spark, d):
 
 
 _R = "1737400.0::DOUBLE"
+#: A grid that names no coordinate system.
+LATLON = Frame("", -180.0, -90.0, 0.02)
+
+
+def plane_half(spark, d) -> int:
+    """Half the side, in pixels, of the square on the plane that holds the whole source."""
+    h, _ = shape(spark, d)
+    return math.ceil(2 * SETTINGS.moon_radius_m * math.tan(math.radians(h * 0.02 / 2)) / 5000)
+
+
+def plane_square(spark, n: int):
+    return target(spark, 2 * n, 2 * n).withColumns({"x": -5000.0 * n + c("c") * 5000.0 + 100, "y": 5000.0 * n - c("r") * 5000.0 + 100})
 
 
 @query("T6_align", sql("grid size", f"""WITH n AS (SELECT ceil(2 * {_R} * tan(radians(h * 0.02 / 2)) / 5000)::BIGINT AS n FROM size), m AS (SELECT n, unnest(range(2 * n)) AS k FROM n),
@@ -104,12 +118,22 @@ g AS (SELECT r, c, floor((degrees(2 * atan(sqrt(x * x + y * y) / (2 * {_R}))) -
 SELECT g.r::INT AS r, g.c::INT AS c, {q6('v * 1000')} AS v FROM g LEFT JOIN grid s ON s.r = g.sr AND s.c = g.sc"""))
 def t6(spark, d):
     """Scaled values at the nearest source pixel, over the square on the plane that holds the whole source."""
-    h, _ = shape(spark, d)
-    n = math.ceil(2 * SETTINGS.moon_radius_m * math.tan(math.radians(h * 0.02 / 2)) / 5000)
-    p = target(spark, 2 * n, 2 * n)
-    lat, lon = geodesy.from_plane(-5000.0 * n + c("c") * 5000.0 + 100, 5000.0 * n - c("r") * 5000.0 + 100)
-    scaled = derived.grid(spark, d).select("r", "c", (c("v") * 1000).alias("v"))
-    return resample.nearest(p, scaled, "v", F.floor((lat + 90) / 0.02).cast("int"), F.floor((lon + 180) / 5.625).cast("int")).select("r", "c", r6("v").alias("v"))
+    n = plane_half(spark, d)
+    return resample.aligned(plane_square(spark, n), derived.grid(spark, d), "v", LATLON, shape(spark, d), 1000.0, True, 5.625).select("r", "c", r6("v").alias("v"))
+
+
+@query("T6_align_bilinear", sql("grid size bands", f"""WITH n AS (SELECT ceil(2 * {_R} * tan(radians(h * 0.02 / 2)) / 5000)::BIGINT AS n FROM size), m AS (SELECT n, unnest(range(2 * n)) AS k FROM n),
+p AS (SELECT a.k AS r, b.k AS c, -5000.0::DOUBLE * a.n + b.k * 5000.0::DOUBLE + 100 AS x, 5000.0::DOUBLE * a.n - a.k * 5000.0::DOUBLE + 100 AS y FROM m a, m b),
+g AS (SELECT r, c, (degrees(2 * atan(sqrt(x * x + y * y) / (2 * {_R}))) - 90 + 90) / 0.02 - 0.5 AS fr, (degrees(atan2(x, y)) + 180) / 5.625 - 0.5 AS fc FROM p),
+k AS (SELECT r, c, floor(fr) + i AS sr, floor(fc) + j AS sc, (CASE i WHEN 1 THEN fr - floor(fr) ELSE 1 - (fr - floor(fr)) END) * (CASE j WHEN 1 THEN fc - floor(fc) ELSE 1 - (fc - floor(fc)) END) AS wt
+FROM g, size, (VALUES (0), (1)) z(i), (VALUES (0), (1)) o(j) WHERE fr BETWEEN -0.5 AND h - 0.5 AND fc BETWEEN -0.5 AND w - 0.5),
+v AS (SELECT k.r, k.c, sum(wt * dop * 1000) / sum(wt) AS v FROM k JOIN bands s ON s.r = sr AND s.c = sc WHERE dop IS NOT NULL AND wt > 0 GROUP BY k.r, k.c)
+SELECT p.r::INT AS r, p.c::INT AS c, {q6('v')} AS v FROM p LEFT JOIN v ON v.r = p.r AND v.c = p.c"""))
+def t6_bilinear(spark, d):
+    """The same, bilinear, of a band with gaps."""
+    n = plane_half(spark, d)
+    out = resample.aligned(plane_square(spark, n), derived.bands(spark, d), "dop", LATLON, shape(spark, d), 1000.0, False, 5.625)
+    return out.select("r", "c", r6("dop").alias("v"))
 
 
 _INV = "SELECT {k}, {m}, lead({m}) OVER (ORDER BY {k}) AS m2 FROM (SELECT {k}, avg({x}) AS {m} FROM s GROUP BY {k})"
@@ -119,14 +143,42 @@ _CELL = f"""SELECT l.r, l.c, v, 2 * {_R} * tan(pi() / 4 + radians(lat) / 2) * si
 FROM located l JOIN grid g ON g.r = l.r AND g.c = l.c"""
 
 
+def on_plane(spark, d):
+    x, y = geodesy.to_plane(c("lat"), c("lon"))
+    return located(spark, d).join(derived.grid(spark, d), ["r", "c"]).select("r", "c", "v", x.alias("x"), y.alias("y"))
+
+
+def forward(spark, d):
+    """Count and mean of the pixels that fall into each cell of the plane."""
+    row, col = geodesy.cell_floor(c("x"), c("y"), -300000.0, 300000.0, 20000.0, -20000.0)
+    return on_plane(spark, d).groupBy(row.alias("tr"), col.alias("tc")).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+
+
+def inverse_grid(spark, d):
+    """The cells of the target read back from the source by the separable inverse mapping."""
+    cells = target(spark, SIDE, SIDE).withColumns({"x": -300000.0 + (c("c") + 0.5) * 20000.0, "y": 300000.0 - (c("r") + 0.5) * 20000.0})
+    out = resample.separable_warp(on_plane(spark, d), cells, "v", *shape(spark, d))
+    return out.filter("v is not null").select(c("r").alias("tr"), c("c").alias("tc"), c("v").alias("mean"))
+
+
 @query("T7_forward_grid", sql("located grid", f"""WITH p AS ({_CELL}), k AS (SELECT *, floor((x + 300000) / 20000)::INT AS tc, floor((300000 - y) / 20000)::INT AS tr FROM p)
 SELECT tr, tc, count(*) AS n, {q6('avg(v)')} AS mean FROM k GROUP BY tr, tc"""))
 def t7(spark, d):
     """Forward gridding by tie points: a stand-in for a black-box warp, not equal to it."""
-    x, y = geodesy.to_plane(c("lat"), c("lon"))
-    p = located(spark, d).join(derived.grid(spark, d), ["r", "c"]).select("v", x.alias("x"), y.alias("y"))
-    row, col = geodesy.cell_floor(c("x"), c("y"), -300000.0, 300000.0, 20000.0, -20000.0)
-    return p.groupBy(row.alias("tr"), col.alias("tc")).agg(F.count(F.lit(1)).alias("n"), r6(F.avg("v")).alias("mean"))
+    return forward(spark, d).select("tr", "tc", "n", r6("mean").alias("mean"))
+
+
+SIDE = 30  # cells of the target on the plane
+
+
+@query("T7_georeferenced", sql("located grid", f"""WITH p AS ({_CELL}), k AS (SELECT *, floor((x + 300000) / 20000)::INT AS tc, floor((300000 - y) / 20000)::INT AS tr FROM p)
+SELECT tr, tc, {q6('avg(v)')} AS mean FROM k WHERE tr BETWEEN 0 AND {SIDE - 1} AND tc BETWEEN 0 AND {SIDE - 1} GROUP BY tr, tc"""))
+def t7_georeferenced(spark, d):
+    """The forward grid on its target, or the inverse mapping of T8 where it fills too little of it. The SQL states
+    the first case, which is that of the test tables; tests/test_products.py holds the second."""
+    on = c("tr").between(0, SIDE - 1) & c("tc").between(0, SIDE - 1)
+    first = written(forward(spark, d).filter(on).select("tr", "tc", "mean"), "forward")
+    return resample.filled_or(first, SIDE * SIDE, lambda: inverse_grid(spark, d)).select("tr", "tc", r6("mean").alias("mean"))
 
 
 @query("T9_resample_bands", sql("grid size bands", " UNION ALL ".join(

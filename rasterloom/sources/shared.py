@@ -18,7 +18,7 @@ def shared_dir(spark: SparkSession) -> str:
     which is one machine; elsewhere that is an error, as executors share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "/tmp/checkpoints/rasterloom"
         spark.conf.set("spark.checkpoint.dir", named)

@@ -146,3 +146,32 @@ def test_decomposition_equals_a_solver(spark):
     assert all(got[1000][k] is None for k in ("entropy", "anisotropy", "alpha"))
     assert all(abs(got[1001][k]) < 1e-6 for k in ("entropy", "anisotropy", "alpha"))
     assert abs(got[1002]["alpha"] - 45) < 1e-4 and abs(got[1002]["anisotropy"]) < 1e-6  # two equal ones at 90 degrees
+
+
+def test_alignment_gives_the_weight_of_gaps_to_the_others(spark):
+    from rasterloom.operators.resample import aligned
+    from rasterloom.sources.rasters import Frame
+
+    v = np.array([[1.0, 2.0, 3.0], [np.nan, 5.0, 6.0]])
+    at = [(0, 0, 1.0, 3.0), (0, 1, 2.0, 2.0), (0, 1, 2.0, 2.0), (0, 2, 0.2, 3.8), (0, 3, 9.0, 3.0), (0, 4, 0.5, 0.5), (0, 5, None, 1.0)]
+    t = spark.createDataFrame(at, "r int, c int, x double, y double")
+    out = aligned(t, grid(spark, {"v": v}), "v", Frame("plane", 0.0, 4.0, 2.0), (2, 3), 10.0).collect()
+    got = sorted((x["c"], x["v"]) for x in out if x["v"] is not None)
+    # centres: (1, 3), (3, 3), ...; at (2, 2) the four are 1, 2, none and 5
+    assert got == [(0, 10.0), (1, pytest.approx(80 / 3)), (1, pytest.approx(80 / 3)), (2, 10.0)]
+    assert sorted(x["c"] for x in out if x["v"] is None) == [3, 4, 5]
+    near = aligned(t, grid(spark, {"v": v}), "v", Frame("plane", 0.0, 4.0, 2.0), (2, 3), 1.0, True)
+    assert sorted((x["c"], x["v"]) for x in near.collect() if x["v"] is not None) == [(0, 1.0), (1, 5.0), (1, 5.0), (2, 1.0)]
+
+
+def test_a_warp_that_fills_too_little_gives_way(spark):
+    from rasterloom.operators.resample import filled_or, separable_warp
+
+    v = np.arange(12.0).reshape(3, 4)
+    src = grid(spark, {"v": v}).withColumns({"x": F.col("c") * 2.0, "y": F.col("r") * 2.0})
+    cells = spark.createDataFrame([(i, j, j * 1.0, i * 1.0) for i in range(4) for j in range(6)], "r int, c int, x double, y double")
+    inverse = lambda: separable_warp(src, cells, "v", 3, 4)
+    first = spark.createDataFrame([(0, 0, 7.0)] * 5, "r int, c int, v double")
+    assert filled_or(first, 1000, inverse).count() == 5 and filled_or(first.limit(0), 0, inverse).count() == 0
+    got = {(x["r"], x["c"]): x["v"] for x in filled_or(first, 1001, inverse).collect()}
+    assert got == {(i, j): i / 2 * 4 + j / 2 for i in range(4) for j in range(6)}
