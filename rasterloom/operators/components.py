@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +37,48 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def regions(mask: DataFrame, width: int, connectivity: int = 8) -> DataFrame:
-    """r, c, label of the mask's pixels (r, c); the label is the smallest r * width + c of the region. Links
-    are looked for in half of the directions, since each has two ends."""
-    pixels = mask.select("r", "c", (F.col("r").cast("long") * width + F.col("c")).alias("node"))
-    ways = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in (EIGHT if connectivity == 8 else FOUR)])).alias("w")
-    steps = pixels.select("node", "r", "c", ways).select(F.col("node").alias("a"), (F.col("r") + F.col("w.a")).alias("r"), (F.col("c") + F.col("w.b")).alias("c"))
-    links = steps.join(pixels.select("r", "c", F.col("node").alias("b")), ["r", "c"]).select("a", "b")
-    labels = components(links)
-    return pixels.join(labels, "node", "left").select("r", "c", F.coalesce("label", "node").alias("label"))
+def joined(node: np.ndarray, width: int, ways: tuple) -> np.ndarray:
+    """For sorted distinct places r * width + c, the index of the first place of each one's region: larger roots
+    are hooked to smaller ones and paths halved until no link is left."""
+    root = np.arange(len(node))
+    ends = []
+    for down, right in ways:
+        i = np.flatnonzero((node % width + right >= 0) & (node % width + right < width))
+        other = node[i] + down * width + right
+        j = np.minimum(np.searchsorted(node, other), len(node) - 1)
+        ends.append(np.stack([i, j])[:, node[j] == other])
+    a, b = np.concatenate(ends, axis=1)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+
+
+def regions(mask: DataFrame, width: int, connectivity: int = 8, tile: int = 512) -> DataFrame:
+    """r, c, label of the mask's pixels (r, c); the label is the smallest r * width + c of the region. Pixels are
+    labelled inside their tile first, tile * tile of them in a task at most; only pixels at the edges of tiles are
+    then linked across, looked for in half of the directions, since each link has two ends."""
+    ways = EIGHT if connectivity == 8 else FOUR
+
+    def inside(t: pa.Table) -> pa.Table:
+        place = t.column("r").to_numpy().astype(np.int64) * width + t.column("c").to_numpy()
+        node, at = np.unique(place, return_inverse=True)
+        return t.select(["r", "c"]).append_column("label", pa.array(node[joined(node, width, ways)][at]))
+
+    tiled = mask.select("r", "c", F.floor(F.col("r") / tile).alias("_i"), F.floor(F.col("c") / tile).alias("_j"))
+    kinds = ", ".join(f"{n} {mask.schema[n].dataType.simpleString()}" for n in ("r", "c"))
+    part = written(tiled.groupBy("_i", "_j").applyInArrow(inside, f"{kinds}, label long"), "regions")
+    edge = part.filter((F.pmod("r", F.lit(tile)).isin(0, tile - 1)) | (F.pmod("c", F.lit(tile)).isin(0, tile - 1)))
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ways])).alias("w")
+    ends = edge.select(F.col("label").alias("a"), "r", "c", steps).select("a", (F.col("r") + F.col("w.a")).alias("r"), (F.col("c") + F.col("w.b")).alias("c"))
+    labels = components(ends.join(edge.select("r", "c", F.col("label").alias("b")), ["r", "c"]).select("a", "b"))
+    whole = labels.select(F.col("node").alias("label"), F.col("label").alias("_whole"))
+    return part.join(whole, "label", "left").select("r", "c", F.coalesce("_whole", "label").alias("label"))
 
 
 def without_small(labelled: DataFrame, least: int = 5) -> DataFrame:

@@ -136,8 +136,8 @@ def test_p_values():
     assert compare.t_test_p(1.0, 9) == 0.0 and math.isnan(compare.t_test_p(0.3, 2))
 
 
-@pytest.mark.parametrize("connectivity", [8, 4])
-def test_regions_equal_flood_fill(spark, connectivity):
+@pytest.mark.parametrize("connectivity, tile", [(8, 512), (4, 512), (8, 4), (4, 4), (8, 1)])
+def test_regions_equal_flood_fill(spark, connectivity, tile):
     rng = random.Random(connectivity)
     on = {(r, k) for r in range(20) for k in range(16) if rng.random() < 0.45}
     on |= {(25 + i, i) for i in range(5)}  # a diagonal chain
@@ -155,12 +155,20 @@ def test_regions_equal_flood_fill(spark, connectivity):
                     seen.add(q)
                     todo.append(q)
         want |= {q: min(r * 16 + k for r, k in seen) for q in seen}
-    labelled = components.regions(spark.createDataFrame(sorted(on), "r int, c int"), 16, connectivity)
+    labelled = components.regions(spark.createDataFrame(sorted(on), "r int, c int"), 16, connectivity, tile)
     assert {(r["r"], r["c"]): r["label"] for r in labelled.collect()} == want
     kept = {(r["r"], r["c"]) for r in components.without_small(labelled, 5).collect()}
     assert ((25, 0) in kept) == (connectivity == 8)
 
 
+def test_regions_of_snakes_repeated_pixels_and_nothing(spark):
+    snake = [(r, k) for r in range(0, 40, 2) for k in range(30)] + [(r, 29 if r % 4 == 1 else 0) for r in range(1, 39, 2)]
+    df = spark.createDataFrame(snake + snake[:7] + [(50, 3)], "r int, c int")
+    got = [r["label"] for r in components.regions(df, 30, 4, 8).collect()]
+    assert sorted(got) == [0] * (len(snake) + 7) + [1503]
+    assert components.regions(df.limit(0), 30).count() == 0
+
+
 def test_components_of_long_chains_and_nothing(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(70)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["node"]: r["label"] for r in components.components(chain).collect()}
