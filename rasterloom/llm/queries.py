@@ -15,6 +15,9 @@ MODULES = {
     "op9_decontamination": "decontamination",
     "op1_token_counts": "token_counts",
     "op10_bpe_codec": "bpe_codec",
+    "op11_centroid_clustering": "centroid_clustering",
+    "op12_media_columns": "media_columns",
+    "op13_hard_negatives": "hard_negatives",
 }
 
 
