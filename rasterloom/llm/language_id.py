@@ -5,9 +5,10 @@ every dictionary, and the language whose encoding is smallest is chosen. The sco
 smallest, as a share of it, times SCALE and 1 at most; `rejected` marks leads under NARROW.
 
 Fitting reads text and lang of documents with a lang whose crc32(doc_id as text) mod 3 is not 1. The sample is
-bounded: per language, whole texts in the order of a hash until DICT_BYTES are full; texts longer than that
-take part only where a language has no other, cut to DICT_BYTES. Every language counts; more than
-MOST_LANGUAGES are an error, as the dictionaries are sent to all workers. Prediction reads every whole text and
+bounded: per language, whole texts in the order of a hash until DICT_BYTES are full; empty texts and texts longer than
+that take part only where a language has no other, cut to DICT_BYTES. Every language that has a labelled text gets a
+dictionary, whatever the draw (sampled() draws again where chance left one short); more than MOST_LANGUAGES are an
+error, as the dictionaries are sent to all workers. Prediction reads every whole text and
 nothing but the text.
 
 Defined results: null text, or one without a letter (Unicode categories L*, so that digits, fractions and
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.common import map_texts, table
 
 DICT_BYTES = 64 << 10
-#: Texts are drawn until so many dictionaries would be full, on average.
+#: A first draw fills so many dictionaries on average, and each further one so many times as much.
 SPARE = 3
 LEVEL = 1
 SCALE = 10.0
@@ -43,38 +44,49 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """A raw-content dictionary for each language, from a bounded sample of labelled documents.
+def sampled(known: DataFrame) -> dict[str, list[tuple[int, str]]]:
+    """Hash and text of labelled rows, for each language the first in the order of hashes, and enough of them: DICT_BYTES,
+    or all that it has. Only of a language without texts of 1 to DICT_BYTES bytes others are taken, one at least.
 
-    Two passes: one sums sizes per language, one reads the texts whose hash lies under the language's share, so
-    that the driver gets SPARE * DICT_BYTES per language, give or take chance."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    One pass sums sizes per language; one reads the rows whose hash lies under the language's share of all hashes. Chance
+    may leave a language short (a share of three long texts leaves none of them once in twenty times), so that those that
+    came out short are drawn again with SPARE times the share, until they have enough or their share is everything."""
     size = F.octet_length("text")
-    fits = size <= DICT_BYTES
-    sums = known.groupBy("lang").agg(F.sum(F.when(fits, size)).alias("short"), F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
+    fits = size.between(1, DICT_BYTES)
+    sums = known.groupBy("lang").agg(F.sum(F.when(fits, size)).alias("bytes"), F.count(F.lit(1)).alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
     if len(sums) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sums:
-        return {}
+    other = [r["lang"] for r in sums if not r["bytes"]]
     spread = 1 << 30
-    share = lambda r: SPARE * DICT_BYTES / r["short"] if r["short"] else SPARE / r["n"]
-    limits = F.create_map(*[F.lit(x) for r in sums for x in (r["lang"], min(spread, int(spread * share(r)) + 1))])
-    long_only = F.array(*[F.lit(r["lang"]) for r in sums if not r["short"]]).cast("array<string>")
     hashed = F.xxhash64("doc_id", "text")
-    drawn = known.filter((F.pmod(hashed, F.lit(spread)) < F.try_element_at(limits, F.col("lang"))) & (fits | F.array_contains(long_only, F.col("lang"))))
-    rows = drawn.select("lang", hashed.alias("h"), F.substring("text", 1, DICT_BYTES).alias("t")).groupBy("lang", "h").agg(F.first("t").alias("t"))
-    by: dict[str, list] = {r["lang"]: [] for r in sums}
-    for r in rows.collect():
-        by[r["lang"]].append((r["h"], r["t"]))
+    taken = fits | F.array_contains(F.array(*map(F.lit, other)).cast("array<string>"), F.col("lang"))
+    short = {r["lang"]: SPARE * DICT_BYTES / r["bytes"] if r["bytes"] else SPARE / r["n"] for r in sums}
+    found: dict[str, list[tuple[int, str]]] = {}
+    while short:
+        limits = F.create_map(*[F.lit(x) for lang, share in short.items() for x in (lang, min(spread, int(spread * share) + 1))])
+        drawn = known.filter((F.pmod(hashed, F.lit(spread)) < F.try_element_at(limits, F.col("lang"))) & taken)
+        rows = drawn.select("lang", hashed.alias("h"), F.substring("text", 1, DICT_BYTES).alias("t")).groupBy("lang", "h").agg(F.min("t").alias("t")).collect()
+        got: dict[str, list[tuple[int, str]]] = {lang: [] for lang in short}
+        for r in rows:
+            got[r["lang"]].append((r["h"] % spread, r["h"], r["t"]))
+        enough = lambda lang, texts: texts if lang in other else sum(len(t.encode()) for *_, t in texts) >= DICT_BYTES
+        done = {lang: [(h, t) for _, h, t in sorted(texts)] for lang, texts in got.items() if short[lang] >= 1 or enough(lang, texts)}
+        found |= done
+        short = {lang: share * SPARE for lang, share in short.items() if lang not in done}
+    return found
+
+
+def dictionaries(docs: DataFrame) -> dict[str, bytes]:
+    """A raw-content dictionary for each language, from a bounded sample of labelled documents: its texts in the order of
+    their hashes, those left out that would run over DICT_BYTES."""
     out = {}
-    for lang, texts in sorted(by.items()):
+    for lang, texts in sorted(sampled(docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())).items()):
         data = b""
-        for _, t in sorted(texts):
+        for _, t in texts:
             t = t.encode()[:DICT_BYTES] + b"\n"
             if not data or len(data) + len(t) <= DICT_BYTES:
                 data += t
-        if data:
-            out[lang] = data
+        out[lang] = data
     return out
 
 
