@@ -3,7 +3,9 @@
 Method: the patterns are word windows of the benchmark items, the alphabet is words. For each pattern length
 there is a shift table over blocks of BLOCK words, which says how far a search may jump; where it says 0, the
 block names a bucket of patterns, and direct comparison confirms an occurrence. Items shorter than the window
-have one pattern, of their own length.
+have one pattern, of their own length. Equal windows, of one item or of many, are one pattern with a set of owners, and
+a bucket of several patterns is looked up by the window's hash, so that neither repeated nor alike windows are compared
+one by one.
 
 The benchmark is a stated query set. It is dealt into blocks of BLOCK_WORDS words at most, each sent to the
 executors once and run against all rows; with more than one block, what was found so far travels with the rows
@@ -23,7 +25,7 @@ import re
 import uuid
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,30 +46,33 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class _OneLength:
-    """Patterns of one length, as places in a text of word numbers: the shift of each block, and for shift 0, as a
-    negative number, its bucket."""
+    """Distinct patterns of one length, as places in a text of word numbers: the shift of each block, and for shift 0, as
+    a negative number, its bucket. A bucket is one pattern's place, or places by the hash of the pattern, so that a
+    block that many patterns end with costs one look-up. Equal patterns are one entry with several owners."""
 
-    def __init__(self, length: int, text: array, starts: array, base: int) -> None:
+    def __init__(self, length: int, text: array, starts: array, base: int, owner: Callable[[int], object]) -> None:
         self.length, self.block, self.text, self.base = length, min(BLOCK, length), text, base
         self.far = length - self.block + 1
         self.table: dict[int, int] = {}
-        self.buckets: list[int | list[int]] = []  # a pattern's start, or several
+        self.buckets: list[int | dict[int, int | list[int]]] = []
+        #: Owners of a pattern besides that of its place.
+        self.shared: dict[int, set] = {}
         size, skip = self.block, self.table
-        for start in starts:
-            for shift in range(self.far - 1, 0, -1):
-                key = self.key(text, start + length - shift - size)
-                if skip.get(key, self.far) > shift:
-                    skip[key] = shift
         for start in starts:
             key = self.key(text, start + length - size)
-            at = skip.get(key, 1)
-            if at >= 0:
+            if (at := skip.get(key, 1)) >= 0:
                 skip[key] = -1 - len(self.buckets)
                 self.buckets.append(start)
-            elif isinstance(have := self.buckets[-1 - at], int):
-                self.buckets[-1 - at] = [have, start]
             else:
-                have.append(start)
+                first = self._entered(-1 - at, start)
+                if first != start:
+                    if (who := owner(start)) != owner(first):
+                        self.shared.setdefault(first, set()).add(who)
+                    continue
+            for shift in range(1, self.far):
+                key = self.key(text, start + length - shift - size)
+                if skip.get(key, self.far) > shift:
+                    skip[key] = shift
 
     def key(self, text, at: int) -> int:
         out = text[at]
@@ -75,6 +80,28 @@ class _OneLength:
             out = out * self.base + text[k]
         return out
 
+    def _entered(self, number: int, start: int) -> int:
+        """The place of the pattern at start in a bucket, where it is entered if it is new."""
+        window, bucket = self.text[start : start + self.length], self.buckets[number]
+        if isinstance(bucket, int):
+            old = self.text[bucket : bucket + self.length]
+            if old == window:
+                return bucket
+            bucket = self.buckets[number] = {hash(old.tobytes()): bucket}
+        if (first := self._among(bucket, window)) is not None:
+            return first
+        h = hash(window.tobytes())
+        have = bucket.get(h)
+        bucket[h] = start if have is None else [have, start] if isinstance(have, int) else [*have, start]
+        return start
+
+    def _among(self, bucket: dict[int, int | list[int]], window: array) -> int | None:
+        have = bucket.get(hash(window.tobytes()), ())
+        for start in (have,) if isinstance(have, int) else have:
+            if self.text[start : start + self.length] == window:
+                return start
+        return None
+
     def search(self, words: array, hit: bytearray, found: set[int]) -> None:
         length, size, far, text, skip = self.length, self.block, self.far, self.text, self.table
         i, n = length, len(words)
@@ -85,10 +112,13 @@ class _OneLength:
                 continue
             bucket = self.buckets[-1 - s]
             window = words[i - length : i]
-            for start in (bucket,) if isinstance(bucket, int) else bucket:
-                if text[start : start + length] == window:
-                    hit[i - length : i] = b"\1" * length
-                    found.add(start)
+            if isinstance(bucket, int):
+                start = bucket if text[bucket : bucket + length] == window else None
+            else:
+                start = self._among(bucket, window)
+            if start is not None:
+                hit[i - length : i] = b"\1" * length
+                found.add(start)
             i += 1
 
 
@@ -105,15 +135,18 @@ class Matcher:
                 text.extend(self.number.setdefault(w, len(self.number) + 1) for w in words)
                 self.owner.append(None if item is None else str(item))
                 self.ends.append(len(text))
-        self.lengths = [_OneLength(n, text, x, len(self.number) + 1) for n, x in sorted(starts.items())]
+        owner = lambda start: self.owner[bisect_right(self.ends, start)]
+        self.lengths = [_OneLength(n, text, x, len(self.number) + 1, owner) for n, x in sorted(starts.items())]
 
     def search(self, words: list[bytes], hit: bytearray, items: set) -> None:
         number = self.number.get
         numbers = array("i", [number(w, 0) for w in words])
-        found: set[int] = set()
         for x in self.lengths:
+            found: set[int] = set()
             x.search(numbers, hit, found)
-        items.update(self.owner[bisect_right(self.ends, start)] for start in found)
+            for start in found:
+                items.add(self.owner[bisect_right(self.ends, start)])
+                items.update(x.shared.get(start, ()))
 
 
 _matchers: dict[str, Matcher] = {}
