@@ -3,8 +3,8 @@
 DataFrame functions only. Features are the n-grams of `host` and of `path`, each marked by its part, hashed to
 SLOTS; a URL's value for a slot is how often it occurs, over the root of the number of n-grams. Scoring sums
 weights from a literal array inside one expression, with no shuffle. Training is batch gradient descent on the
-driver over the small labelled table that labelled() spells out from word lists: a site's name is one or two
-words (or syllables) under an ordinary domain, and its pages have ordinary paths, so that the name decides.
+driver over the small labelled table that labelled() makes up from families of words and from traits of names
+(hyphens, digits, cheap domains); pages have ordinary paths, so that the name decides.
 
 Rules come first. A rule is a host with a path; it fits that host and its subdomains if the URL's path starts
 with the rule's. The longest fitting rule decides.
@@ -31,7 +31,7 @@ from rasterloom.llm.common import ASCII_LOWER, LOWER, UPPER, table
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 SLOTS = 1 << 14
-SIZES = (3, 4)
+SIZES = (1, 3, 4)
 EPOCHS = 800
 RATE = 4.0
 MOMENTUM = 0.9
@@ -43,46 +43,71 @@ GRAIN = 2.0**-20
 #: A URL is blocked from this probability on.
 BLOCK_FROM = 0.5
 
-#: Words in the names of sites that a training corpus should not have, and of ordinary ones; some are in both.
-SPAM_WORDS = """adult ads affiliate backlinks banner bet bets betting bingo bitcoin bonus cams cash casino cheap cheat cialis click
-clicks crack credit crypto dating debt deals doubler drugs escort fake farm fast followers forex free gambling girls hack hot
-instant jackpot keygen likes link loans lotto lucky mega meds naked nude payday pharma pills pixel poker popup porn prize profit
-replica roulette seo serial sex sexy singles slots spam spin spy torrent track tracker traffic viagra vip warez webcam win
-winner x xxx""".split()
+#: Families of words in the names of sites that a training corpus should not have, and ordinary words.
+SPAM_FAMILIES = {
+    "gambling": "poker bingo roulette jackpot lotto blackjack wager slots bookmaker",
+    "pharmacy": "viagra cialis pharma meds drugs steroid dosage rx tablets",
+    "dating": "porn sex sexy nude naked cams escort girls dating singles",
+    "money": "loans payday credit forex crypto bitcoin debt cash profit income",
+    "gifts": "prize bonus gift reward lucky lottery deals discount coupon",
+    "malware": "hack crack keygen warez torrent cheat serial popup codec",
+    "promotion": "seo backlinks affiliate banner click clicks likes followers promo traffic",
+    "fakes": "replica fake luxury outlet rolex handbags wholesale clearance",
+}
 PLAIN_WORDS = """archive art atlas bakery band bank bird book bridge camp castle chess choir city club coast code coffee college
-cook cycle daily data design doctor dance earth energy fair family farm field film fish fitness flower forest free garden gazette
+cook cycle daily data design doctor dance earth energy fair family field film fish fitness flower forest garden gazette
 geo green guide harbor health herald hill history home hotel house island journal kitchen lab lake law leaf library light link
 local maps market math media meteo mill mobile moon mountain museum music nature news north ocean office open opera orchard park
 paper photo physics planet poem post press radio rail recipe review river road school science sea shop sky society soft song
-south sport star stone story studio summer sun tea tech theatre thesis thread times tool tour town track trade travel tree
+south sport star stone story studio summer sun tea tech theatre thesis thread times tool tour town trade travel tree
 union valley village voice walk water weather west wiki wind winter wood world writer yoga zoo""".split()
-#: Syllables of names that are no words.
-SYLLABLES = "al an ar ble con den er es ing ion in ka la len lo ly ma men mo nd ne nt on or pa qu ra re ri ro sh ste ta te th ti tion to tr un ur ve wh".split()
-_FRONT, _DOMAINS, _TONGUES = ("", "www.", "m.", "blog."), ("example.com", "example.org", "example.net", "example.edu"), ("en", "de", "fr", "es")
+_FRONT, _TONGUES = ("", "www.", "m.", "blog."), ("en", "de", "fr", "es")
+#: Ordinary sites are under these; spam is as often under one of the cheap ones.
+_DOMAINS, _CHEAP = ("example.com", "example.org", "example.net", "example.edu"), ("example.top", "example.xyz", "example.biz", "example.click")
 _ENDS = ("", "/", ".html", "?page=2&ref=x", "#top", "?utm_source=feed")
+#: Of a hundred names of two words, how many have a hyphen: spam and ordinary ones.
+HYPHENS = {1: 85, 0: 10}
 
 
-def labelled(held_out: bool = False) -> list[tuple[str, int]]:
-    """The labelled URL table: 1 for pages a training corpus should not have. One name in five is held out of it."""
+def _pick(key: str, options):
+    return options[int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "big") % len(options)]
 
-    def pick(key: str, options) -> str:
-        return options[int.from_bytes(hashlib.md5(key.encode()).digest()[:8], "big") % len(options)]
 
-    def pair(i: int, kind: str, words: list[str]) -> str:
-        return pick(f"{kind}:{i}a", words) + pick(f"{kind}:{i}b", ("-", "-", "-", "")) + pick(f"{kind}:{i}c", words)
+def _invented(key: str) -> str:
+    """A name that is no word: syllables of a consonant or two, a vowel and sometimes a consonant."""
+    letter = lambda k, of: _pick(f"{key}{k}", of)
+    return "".join(letter(f"a{k}", "bcdfghklmnprstvwz") + letter(f"b{k}", ("", "", "h", "r", "l")) + letter(f"c{k}", "aeiou") + letter(f"d{k}", ("", "n", "r", "s")) for k in range(2 + len(key) % 2))
 
-    syllables = lambda i: ("".join(pick(f"syllable{i}.{k}", SYLLABLES) for k in range(2 + i % 3)), 0)
-    spam = lambda i: (pair(i, "spam", SPAM_WORDS), 1)
-    made = [spam, spam, lambda i: (pair(i, "plain", PLAIN_WORDS), 0), lambda i: (pick(f"word{i}", PLAIN_WORDS), 0), *[syllables] * 3]
+
+def labelled(without: str | None = None) -> list[tuple[str, int]]:
+    """The labelled URL table: 1 for pages that a training corpus should not have. Traits of theirs are words of the
+    families (all but `without`), names of two or three parts joined by hyphens, digits at a name's end, and cheap
+    domains; ordinary names are words, pairs of them mostly without a hyphen, and invented names."""
+    words = [w for family, text in SPAM_FAMILIES.items() if family != without for w in text.split()]
     out = {}
     for i in range(2400):
-        name, label = made[i % len(made)](i)
-        if (int(hashlib.md5(name.encode()).hexdigest(), 16) % 5 == 0) == held_out:
-            at = [pick(f"{k}{i}", x) for k, x in enumerate((("http", "https"), _FRONT, _DOMAINS, _TONGUES, _ENDS))]
-            out[name] = (f"{at[0]}://{at[1]}{name}.{at[2]}/{at[3]}/{i * 37 % 9973}{at[4]}", label)
+        spam = i % 7 < 2
+        key = f"{'spam' if spam else 'plain'}:{i}"
+        one = lambda k: _pick(key + k, words if spam and k != "y" else PLAIN_WORDS) if spam or i % 7 < 4 else _invented(key + k)  # noqa: B023, E731
+        hyphen = "-" if int(hashlib.md5(f"{key}-".encode()).hexdigest(), 16) % 100 < HYPHENS[int(spam)] else ""
+        if spam:  # a spam word with another one or with an ordinary one, on either side
+            parts = [one("x"), _pick(key + "z", [one("y"), one("w")])]
+            parts = parts[:: _pick(key + "turn", (1, -1))] + ([one("v")] if i % 5 == 0 else [])
+            name = hyphen.join(parts) + (str(i % 900) if i % 4 == 0 else "")
+        else:
+            name = one("x") if i % 7 == 2 or i % 7 > 4 else hyphen.join((one("x"), one("w")))
+        at = [_pick(f"{k}{i}", x) for k, x in enumerate((("http", "https"), _FRONT, _DOMAINS + _CHEAP if spam else _DOMAINS, _TONGUES, _ENDS))]
+        out[name] = (f"{at[0]}://{at[1]}{name}.{at[2]}/{at[3]}/{i * 37 % 9973}{at[4]}", int(spam))
     return list(out.values())
 
 
+def of_family(family: str, n: int = 200) -> list[str]:
+    """URLs under ordinary domains whose names are two words of a family, to hold a model against that never saw it."""
+    words = SPAM_FAMILIES[family].split()
+    names = [_pick(f"{family}{i}a", words) + _pick(f"{family}{i}j", ("-", "-", "-", "")) + _pick(f"{family}{i}b", words) for i in range(n)]
+    return [f"http://{name}.{_pick(f'{family}{i}d', _DOMAINS)}/en/{i * 37 % 9973}" for i, name in enumerate(names)]
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lower-cased) and path."""
     found = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -110,8 +135,8 @@ def slots(host: Column, path: Column) -> Column:
         digest = lambda i: F.substring(F.md5(F.concat(F.lit(f"{mark}{n}:"), F.substring(text, i, F.lit(n)))), 1, 8)
         return F.transform(starts, lambda i: (F.conv(digest(i), 16, 10).cast("long") % SLOTS).cast("int"))
 
-    parts = [grams(part, mark, n) for part, mark in ((host, "h"), (path, "p")) for n in SIZES]
-    return F.concat(*[F.when(part != "", g).otherwise(F.array().cast("array<int>")) for g, part in zip(parts, (host, host, path, path))])
+    none = F.array().cast("array<int>")
+    return F.concat(*[F.when(part != "", grams(part, mark, n)).otherwise(none) for part, mark in ((host, "h"), (path, "p")) for n in SIZES])
 
 
 def slots_of(url: str) -> list[int]:
