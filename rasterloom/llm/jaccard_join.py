@@ -20,8 +20,8 @@ SALTS tasks when columns are counted, is a hint taken from the documents whose h
 choice gives the same links, as the bound holds in every order, so that only work depends on it. HINTS bounds its
 size (8 bytes each), which is broadcast.
 
-Copies with equal sets are one row of the matrix, whatever their doc_ids. Shingles, and sets as wholes, are told
-apart by 64-bit hashes.
+Copies with equal sets are one row of the matrix, whatever their doc_ids. Shingles are told apart by 64-bit hashes,
+sets as wholes by 128 bits: a row's number is half of them, and sets that share a number get new ones.
 
 Defined results: null, empty or blank texts have 0 shingles and link with nothing; fewer than five words are
 one shingle; repeated rows are one document and appear as often as before; rows that share a doc_id with
@@ -142,32 +142,62 @@ def text_hash() -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("second"), text).alias("h2")]
 
 
-def name_of(s: np.ndarray) -> int:
-    """The number that stands for a set."""
-    return int.from_bytes(blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+#: Bytes of the number that stands for a set, up to 8.
+NUMBER_BYTES = 8
+
+
+def names_of(s: np.ndarray, size: int) -> tuple[int, int]:
+    """Two halves of a set's hash: the number that stands for it, and what tells it from others with that number."""
+    h = blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(h[:size], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
+
+
+def renumbered(names: DataFrame) -> DataFrame | None:
+    """u, v, node: new numbers, which no other set has, of all but one of the sets that share a number; None if none do.
+    names: u, v of each set."""
+    names = names.distinct()
+    shared = names.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("z")).filter("a <> z").select("u", "a")
+    others = written(names.sparkSession, names.join(shared, "u").filter("v <> a").select("u", "v"), "shared")
+    seed = 0
+    while others.head(1):
+        seed += 1
+        new = others.withColumn("node", F.xxhash64(F.lit(seed), "u", "v"))
+        clash = new.join(names.select(F.col("u").alias("node")), "node", "left_semi").select("node")
+        if not clash.union(new.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")).head(1):
+            return new
+    discard(others)
+    return None
+
+
+def with_numbers(df: DataFrame, new: DataFrame | None) -> DataFrame:
+    """df (with u and v) with the new numbers in place of u, and without v."""
+    if new is None:
+        return df.drop("v")
+    return df.join(new, ["u", "v"], "left").withColumn("u", F.coalesce("node", "u")).drop("v", "node")
 
 
 def rows_of(docs: DataFrame, last: Broadcast) -> DataFrame:
-    """doc_id, u (its set), n and text hashes of every row; prefix and parity too in the first row of a set in its
+    """doc_id, u and v (its set), n and text hashes of every row; prefix and parity too in the first row of a set in its
     Arrow batch. last: the elements that come last in the order."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, size = docs.schema["doc_id"].dataType.simpleString(), NUMBER_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = last.value[0]
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
-            names = [name_of(s) for s in sets]
+            names = [names_of(s, size) for s in sets]
             first = {u: i for i, u in reversed(list(enumerate(names)))}
             prefix, bits = [None] * len(sets), [None] * len(sets)
             for i in first.values():
                 if len(sets[i]):
                     prefix[i] = prefix_of(sets[i], often).tobytes()
                     bits[i] = parity(sets[i])
-            arrays = [pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), b.column(2), b.column(3), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "u", "n", "h1", "h2", "prefix", "parity"])
+            halves = [pa.array([x[k] for x in names], pa.int64()) for k in (0, 1)]
+            arrays = [*halves, pa.array([len(s) for s in sets], pa.int64()), b.column(2), b.column(3), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *arrays], ["doc_id", "u", "v", "n", "h1", "h2", "prefix", "parity"])
 
     narrow = docs.select("doc_id", F.col("text").cast("string"), *text_hash())
-    return narrow.mapInArrow(slim(run), f"doc_id {kind}, u long, n long, h1 long, h2 long, prefix binary, parity binary")
+    return narrow.mapInArrow(slim(run), f"doc_id {kind}, u long, v long, n long, h1 long, h2 long, prefix binary, parity binary")
 
 
 def representatives(rows: DataFrame) -> DataFrame:
@@ -228,16 +258,19 @@ def candidate_pairs(columns: DataFrame, own: DataFrame) -> DataFrame:
     return both.select("x", "y", "nx", "px", "ny", "py").mapInArrow(slim(run), "x long, y long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, new: DataFrame | None) -> DataFrame:
     """rep, set (packed) of the wanted sets, from the whole texts whose hashes wanted gives."""
+    size = NUMBER_BYTES
     texts = docs.select(*text_hash(), F.col("text").cast("string").alias("text")).filter("text is not null").dropDuplicates(["h1", "h2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(name_of, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "set"])
+            halves = zip(*[names_of(s, size) for s in sets]) if sets else ((), ())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in halves), pa.array([s.tobytes() for s in sets], pa.binary())], ["u", "v", "set"])
 
-    return texts.join(wanted, ["h1", "h2"], "left_semi").select("text").mapInArrow(slim(run), "rep long, set binary")
+    found = texts.join(wanted, ["h1", "h2"], "left_semi").select("text").mapInArrow(slim(run), "u long, v long, set binary")
+    return with_numbers(found, new).withColumnRenamed("u", "rep")
 
 
 class Incidence:
@@ -347,17 +380,19 @@ def members_of(docs: DataFrame) -> DataFrame:
     bounded_batches(spark)
     docs = docs.select("doc_id", "text")
     last = spark.sparkContext.broadcast(hints(docs))
-    rows = written(spark, rows_of(docs, last), "rows")
+    rows = raw = written(spark, rows_of(docs, last), "rows")
+    new = renumbered(raw.filter(F.col("prefix").isNotNull()).select("u", "v"))
+    rows = with_numbers(raw, new)
     members = written(spark, rows.select("doc_id", "u", "n", "h1", "h2"), "members")
     reps = representatives(rows)  # read twice, for prefixes and for bitmaps, each without the other
     columns = written(spark, postings(reps, last), "columns")
     own = written(spark, reps.select("rep", "n", "parity"), "own")
-    discard(rows)
+    discard(raw)
     pairs = written(spark, candidate_pairs(columns, own), "pairs")
     discard(own)
     asked = pairs.select(F.col("x").alias("u")).union(pairs.select("y")).union(columns.filter("wide").select("rep")).distinct()
     texts = members.filter("n > 0").groupBy("u").agg(F.min(F.struct("h1", "h2")).alias("h"))
-    sets = written(spark, sets_of(docs, texts.join(asked, "u").select("h.h1", "h.h2")), "sets")
+    sets = written(spark, sets_of(docs, texts.join(asked, "u").select("h.h1", "h.h2"), new), "sets")
     links = written(spark, pair_links(pairs, sets).union(shared_ids(members)), "links")
     labels = components(links)
     discard(pairs, links)
