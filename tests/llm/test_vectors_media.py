@@ -105,7 +105,7 @@ def test_hard_negatives_equal_brute_force(spark, monkeypatch, per_pivot, part):
     unlabelled = [(807, rows[0][1], None), (700, rows[1][1], None)]
     monkeypatch.setattr(h, "EVERY", 5)
     monkeypatch.setattr(h, "ANCHORS", 8)
-    monkeypatch.setattr(h, "BLOCK_BYTES", 8 * 64 * 30)
+    monkeypatch.setattr(h, "BLOCK_BYTES", 4 * 64 * 30)
     monkeypatch.setattr(h, "BLOCKS_PER_PART", part)
     out = h.hard_negatives(frame(spark, rows + odd + unlabelled), per_pivot=per_pivot)
     assert out.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
