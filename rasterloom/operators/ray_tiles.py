@@ -1,10 +1,9 @@
-"""Ray casting by tiles with a halo: the way to cast long rays over large grids.
+"""Ray tables as arrays, and statistics of whole rays by tiles with a halo.
 
-The relational casts of rays.py make a row per observer and step. Here a pixel is shuffled once per tile whose
+looks() asks for every step of every ray, so that no step can be passed over: a pixel is shuffled once per tile whose
 halo it lies in ((1 + 2 reach / tile) squared times for a square tile, whatever the number of azimuths), and each tile
-steps all of its observers along a ray at once in arrays, dropping observers as soon as they are settled.
-Results equal those of rays.py. A task holds one tile and its halo: (tile + 2 reach) values each way, a bound
-that the caller sets; the shuffle grows with the grid, not with azimuths x steps.
+steps all of its observers along a ray at once in arrays. A task holds one tile and its halo: (tile + 2 reach) values
+each way, a bound that the caller sets. What rays see or what hides a sun is for ray_pyramid.py, which needs no halo.
 """
 
 from __future__ import annotations
@@ -100,42 +99,6 @@ def tiled(grid: DataFrame, columns: list[str], tile: int, halo: tuple[int, int],
     return e.groupBy("tr", "tc").applyInArrow(run, schema)
 
 
-def doubly_shadowed(shadow: DataFrame, table: Table, tile: int = 512, radius: float | None = SETTINGS.moon_radius_m, target: str | None = None) -> DataFrame:
-    """r, c of shadowed pixels that see no pixel out of the shadow (none whose column `target` is 1, if given), over a
-    sphere, or over a plane without radius."""
-    halo = reach(table)
-
-    def solve(r, c, top, left, arrays, there):
-        z, psr = arrays["z"], arrays["psr"]
-        inside = psr[r, c] == 1
-        r, c = r[inside], c[inside]
-        left_over = np.ones(len(r), bool)
-        for dr, dc, dist in table:
-            at = np.flatnonzero(left_over)  # settled observers cast no further ray
-            if not len(at):
-                break
-            r1 = (radius or 0.0) + z[r[at], c[at]]
-            highest = np.full(len(at), -1e18)
-            for a, b, d in zip(dr, dc, dist):
-                y, x = r[at] + a, c[at] + b
-                on = there[y, x]
-                at, r1, highest, y, x = at[on], r1[on], highest[on], y[on], x[on]
-                if not len(at):
-                    break
-                if radius is None:
-                    tan = (z[y, x] - r1) / d
-                else:
-                    r2 = radius + z[y, x]
-                    tan = r1 * (r2 - np.sqrt(d * d + r1 * r1)) / (d * r2)
-                sees = (psr[y, x] == 0 if target is None else arrays[target][y, x] == 1) & (tan >= highest)
-                left_over[at[sees]] = False
-                highest = np.maximum(highest, np.nan_to_num(tan, nan=-1e18))
-                at, r1, highest = at[~sees], r1[~sees], highest[~sees]
-        return {"r": (r[left_over] + top).astype(np.int32), "c": (c[left_over] + left).astype(np.int32)}
-
-    return tiled(shadow, ["z", "psr", *([target] if target else [])], tile, halo, solve, "r int, c int")
-
-
 def looks(shadow: DataFrame, table: Table, tile: int = 512) -> DataFrame:
     """a, k, n, rise: over each step of each ray the shadowed pixels that meet a pixel there, and by how much those
     pixels lie higher in sum."""
@@ -159,27 +122,3 @@ def looks(shadow: DataFrame, table: Table, tile: int = 512) -> DataFrame:
 
     parts = tiled(shadow, ["z", "psr"], tile, halo, solve, "a int, k int, n int, rise double")
     return parts.groupBy("a", "k").agg(F.sum("n").alias("n"), F.sum("rise").alias("rise"))
-
-
-def illumination(dem: DataFrame, azimuths: list[float], elevation: float, max_steps: int, tile: int = 512, cell: float = SETTINGS.cell_m, shape: tuple[int, int] | None = None) -> DataFrame:
-    """r, c, lit and n_dark (azimuths whose sun is hidden) of every pixel; shape, the grid's, spares steps off it."""
-    table, tan = sun_table(azimuths, max_steps, cell), math.tan(math.radians(elevation))
-    table = table if shape is None else inside(table, *shape)
-
-    def solve(r, c, top, left, arrays, there):
-        z = arrays["z"]
-        dark = np.zeros(len(r), np.int32)
-        for dr, dc, dist in table:
-            at = np.arange(len(r))
-            for a, b, d in zip(dr, dc, dist):
-                y, x = r[at] + a, c[at] + b
-                on = there[y, x]
-                at, y, x = at[on], y[on], x[on]
-                hides = (z[y, x] - z[r[at], c[at]]) / d >= tan
-                dark[at[hides]] += 1
-                at = at[~hides]
-                if not len(at):
-                    break
-        return {"r": (r + top).astype(np.int32), "c": (c + left).astype(np.int32), "lit": (dark < len(table)).astype(np.int32), "n_dark": dark}
-
-    return tiled(dem, ["z"], tile, reach(table), solve, "r int, c int, lit int, n_dark int")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.config import SETTINGS
 from rasterloom.functions import polarimetry as pol
-from rasterloom.operators import eigen, focal, peaks, ray_tiles
+from rasterloom.operators import eigen, focal, peaks, ray_pyramid, ray_tiles
 from rasterloom.operators import rays as ray_ops
 from rasterloom.operators.components import regions, without_small
 from rasterloom.operators.eigen import T3
@@ -147,17 +147,36 @@ def w9(spark, d):
     return grad(spark, d).select("r", "c", r6(focal.hillshade_byte(), 5).alias("shade"))
 
 
-@query("W10_bresenham_rays", sql("around", f"SELECT a, k, dr, dc, {q6('dist')} AS dist FROM around"))
+relation("pits", "SELECT arg_min(r, (z, r)) AS r, c, min(z) AS z FROM dem GROUP BY c", "dem")
+_PROFILE = "SELECT o.r, o.c, a, k, t.r AS tr, t.c AS tc, {z0} AS z0, {z1} AS z1, {dist} AS dist FROM (SELECT r, c, z, a, k, dist, r + dr AS tr, c + dc AS tc FROM pits CROSS JOIN {rays}) o JOIN dem t ON t.r = o.tr AND t.c = o.tc"
+
+
+def _profiles(rays: str, needs: str) -> str:
+    return sql(f"dem pits {needs}", _PROFILE.format(rays=rays, z0=q6("o.z"), z1=q6("t.z"), dist=q6("dist")))
+
+
+def profiles(spark, d, rays):
+    """Heights along every ray from the lowest pixel of each column, as far as the grid goes."""
+    h, w = shape(spark, d)
+    z = derived.dem(spark, d)
+    pits = z.groupBy("c").agg(F.min_by("r", F.struct("z", "r")).alias("r"), F.min("z").alias("z"))
+    seen = ray_ops.targets(pits, rays.filter((F.abs("dr") < h) & (F.abs("dc") < w)), z)
+    return seen.select("r", "c", "a", "k", "tr", "tc", r6("z0").alias("z0"), r6("z1").alias("z1"), r6("dist").alias("dist"))
+
+
+@query("W10_bresenham_rays", _profiles("rays", "rays"))
 def w10(spark, d):
-    return ray_ops.bresenham_rays(spark, 8, 8).select("a", "k", "dr", "dc", r6("dist").alias("dist"))
+    return profiles(spark, d, ray_ops.bresenham_rays(spark, SETTINGS.n_angles, SETTINGS.max_distance))
 
 
-relation("dda", "SELECT *, greatest(sqrt(dr * dr + dc * dc) * 20, 1)::DOUBLE AS dist FROM (SELECT a::INT AS a, k::INT AS k, round_even(sin(a * (2 * pi()) / 8) * k, 0)::INT AS dr, round_even(cos(a * (2 * pi()) / 8) * k, 0)::INT AS dc FROM range(8) x(a), range(1, 9) y(k))")
+_TURN = f"a * (2 * 3.141592653589793::DOUBLE) / {SETTINGS.n_angles}"
+relation("roundrays", f"""SELECT a, k, dr, dc, greatest(sqrt(dr * dr + dc * dc) * 20, 1)::DOUBLE AS dist FROM (SELECT a::INT AS a, k::INT AS k, round_even(sin({_TURN}) * k, 0)::INT AS dr, round_even(cos({_TURN}) * k, 0)::INT AS dc
+FROM range({SETTINGS.n_angles}) x(a), range(1, {SETTINGS.max_distance + 1}) y(k)), size WHERE abs(dr) < h AND abs(dc) < w""", "size")
 
 
-@query("W11_rounded_rays", sql("dda", f"SELECT a, k, dr, dc, {q6('dist')} AS dist FROM dda"))
+@query("W11_rounded_rays", _profiles("roundrays", "roundrays"))
 def w11(spark, d):
-    return ray_ops.rounded_rays(spark, 8, 8).select("a", "k", "dr", "dc", r6("dist").alias("dist"))
+    return profiles(spark, d, ray_ops.rounded_rays(spark, SETTINGS.n_angles, SETTINGS.max_distance))
 
 
 def _sun(azimuths: list[float], steps: int) -> str:
@@ -166,12 +185,12 @@ def _sun(azimuths: list[float], steps: int) -> str:
 FROM (VALUES {rows}) x(a, az), range(1, {steps + 1}) y(k))"""
 
 
-relation("sun1", _sun([137.0], 8))
+relation("sun1", f"SELECT s.* FROM ({_sun([137.0], SETTINGS.max_distance)}) s, size WHERE abs(dr) < h AND abs(dc) < w", "size")
 
 
-@query("W12_sun_ray", sql("sun1", f"SELECT a, k, dr, dc, {q6('dist')} AS dist FROM sun1"))
+@query("W12_sun_ray", _profiles("sun1", "sun1"))
 def w12(spark, d):
-    return ray_ops.sun_rays(spark, [137.0], 8).select("a", "k", "dr", "dc", r6("dist").alias("dist"))
+    return profiles(spark, d, ray_ops.sun_rays(spark, [137.0], SETTINGS.max_distance))
 
 
 def _lit(azimuths: list[float]) -> str:
@@ -190,7 +209,7 @@ TILE = 512
 
 
 def sunlit(spark, d, azimuths):
-    return ray_tiles.illumination(derived.dem(spark, d), azimuths, 80.0, SETTINGS.max_distance, TILE, shape=shape(spark, d))
+    return ray_pyramid.illumination(derived.dem(spark, d), azimuths, 80.0, SETTINGS.max_distance, TILE, shape=shape(spark, d))
 
 
 @query("W13_sun_shadow", sql("lit1", "SELECT r, c, lit FROM lit1"))
@@ -204,8 +223,8 @@ def w14(spark, d):
 
 
 def dpsr(spark, d):
-    table = ray_tiles.inside(ray_tiles.bresenham_table(SETTINGS.n_angles, SETTINGS.max_distance), *shape(spark, d))
-    return ray_tiles.doubly_shadowed(derived.shadow(spark, d), table, TILE)
+    table = ray_tiles.bresenham_table(SETTINGS.n_angles, SETTINGS.max_distance)
+    return ray_pyramid.doubly_shadowed(derived.shadow(spark, d), table, TILE, shape=shape(spark, d))
 
 
 @query("W15_doubly_shadowed", sql("dpsr", "SELECT r, c FROM dpsr"))
@@ -220,27 +239,14 @@ SELECT o.r, o.c, a, k, (t.z - o.z) / dist AS tan, t.lit FROM (SELECT r, c, z, a,
 JOIN (SELECT r, c, z, lit FROM shadow JOIN lit1 USING (r, c)) t ON t.r = tr AND t.c = tc)) WHERE lit = 1 AND tan >= coalesce(before, -1e18)"""
 
 
-_TURN = f"a * (2 * 3.141592653589793::DOUBLE) / {SETTINGS.n_angles}"
-relation("roundrays", f"""SELECT a, k, dr, dc, greatest(sqrt(dr * dr + dc * dc) * 20, 1)::DOUBLE AS dist FROM (SELECT a::INT AS a, k::INT AS k, round_even(sin({_TURN}) * k, 0)::INT AS dr, round_even(cos({_TURN}) * k, 0)::INT AS dc
-FROM range({SETTINGS.n_angles}) x(a), range(1, {SETTINGS.max_distance + 1}) y(k)), size WHERE abs(dr) < h AND abs(dc) < w""", "size")
 relation("unlit", f"SELECT * FROM dark ANTI JOIN ({_flat('dark', '(SELECT * FROM roundrays WHERE k <= 4)')}) USING (r, c)", "dark roundrays lit1")
 
 
 @query("W16_doubly_shadowed_flat", sql("unlit roundrays", f"SELECT r, c FROM unlit ANTI JOIN ({_flat('unlit', 'roundrays')}) USING (r, c)"))
 def w16(spark, d):
     s = derived.shadow(spark, d).join(sunlit(spark, d, [137.0]).select("r", "c", "lit"), ["r", "c"])
-    table = ray_tiles.inside(ray_tiles.rounded_table(SETTINGS.n_angles, SETTINGS.max_distance), *shape(spark, d))
-    return ray_tiles.doubly_shadowed(s, table, TILE, None, "lit")
-
-
-@query("W14_annual_illumination_tiled", sql("year", "SELECT r, c, lit, n_dark FROM year"))
-def w14_tiled(spark, d):
-    return sunlit(spark, d, SUNS)
-
-
-@query("W15_doubly_shadowed_tiled", sql("dpsr", "SELECT r, c FROM dpsr"))
-def w15_tiled(spark, d):
-    return dpsr(spark, d)
+    table = ray_tiles.rounded_table(SETTINGS.n_angles, SETTINGS.max_distance)
+    return ray_pyramid.doubly_shadowed(s, table, TILE, None, "lit", shape(spark, d))
 
 
 _REGIONS = """near AS (SELECT a.r, a.c, b.r AS r2, b.c AS c2 FROM {m} a JOIN {m} b ON abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 AND {way}),
@@ -254,7 +260,7 @@ def _components(m: str, body: str, needs: str, way: str = "true") -> str:
 
 @query("W17_doubly_shadowed_product", _components("dpsr", ", big AS (SELECT r, c FROM label WHERE label IN (SELECT label FROM label GROUP BY label HAVING count(*) >= 5)) SELECT g.r, g.c, CASE WHEN big.r IS NULL THEN 0 ELSE 1 END AS dpsr FROM grid g LEFT JOIN big ON big.r = g.r AND big.c = g.c", "dpsr grid"))
 def w17(spark, d):
-    kept = without_small(regions(w15_tiled(spark, d), derived.WIDTH), 5)
+    kept = without_small(regions(dpsr(spark, d), derived.WIDTH), 5)
     return ray_ops.scattered(derived.grid(spark, d), kept, "dpsr")
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import ray_tiles, rays
+from rasterloom.operators import ray_pyramid, ray_tiles, rays
 
 MOON = 1_737_400.0
 
@@ -73,7 +73,7 @@ def test_doubly_shadowed(spark, seed, near):
     g = grid(spark, z, psr)
     got = {(r["r"], r["c"]) for r in rays.doubly_shadowed(g, rays.bresenham_rays(spark, 16, 12), near).collect()}
     assert got == want and want
-    tiled = ray_tiles.doubly_shadowed(g, ray_tiles.bresenham_table(16, 12), tile=7)
+    tiled = ray_pyramid.doubly_shadowed(g, ray_tiles.bresenham_table(16, 12), tile=7, block=3)
     assert {(r["r"], r["c"]) for r in tiled.collect()} == want
 
 
@@ -112,10 +112,99 @@ def test_illumination(spark, seed):
     g = grid(spark, z, [[0] * 14] * 15)
     got = {(r["r"], r["c"]): (r["lit"], r["n_dark"]) for r in rays.illumination(g.select("r", "c", "z"), azimuths, elevation, most).collect()}
     assert got == {(r, k): (int(dark.get((r, k), 0) < 3), dark.get((r, k), 0)) for r in range(15) for k in range(14)}
-    tiled = ray_tiles.illumination(g.select("r", "c", "z"), azimuths, elevation, most, tile=6)
+    tiled = ray_pyramid.illumination(g.select("r", "c", "z"), azimuths, elevation, most, tile=6, block=2)
     assert {(r["r"], r["c"]): (r["lit"], r["n_dark"]) for r in tiled.collect()} == got
 
 
+def hilly(h, w, seed):
+    """Heights with hills some pixels wide."""
+    import numpy as np
+
+    z = np.random.default_rng(seed).normal(size=(h, w))
+    for _ in range(6):
+        z = (z + sum(np.roll(z, k, axis) for axis in (0, 1) for k in (1, -1))) / 5
+    return z / z.std()
+
+
+def cast_by_loop(z, there, goal, looks, table, tangent, sun=None):
+    """Pixel -> azimuths along which it meets a goal (with a sun: a pixel at its tangent). A missing pixel ends a ray."""
+    h, w = z.shape
+    out = {}
+    for r in range(h):
+        for k in range(w):
+            if not (there[r, k] and looks[r, k]):
+                continue
+            met = 0
+            for dr, dc, dist in table:
+                top = -1e18 if sun is None else sun
+                for i, j, d in zip(dr, dc, dist):
+                    y, x = r + i, k + j
+                    if not (0 <= y < h and 0 <= x < w and there[y, x]):
+                        break
+                    tan = tangent(z[r, k], z[y, x], d)
+                    if goal[y, x] and tan >= top:
+                        met += 1
+                        break
+                    top = max(top, tan) if sun is None else top
+            out[r, k] = met
+    return out
+
+
+def curved(z0, z1, d):
+    return (MOON + z0) * (MOON + z1 - math.sqrt(d * d + (MOON + z0) ** 2)) / (d * (MOON + z1))
+
+
+@pytest.mark.parametrize("seed,size,tile,block,holes", [(1, (48, 40), 16, 4, 0), (2, (40, 33), 13, 5, 0), (3, (36, 50), 7, 3, 5), (4, (30, 30), 64, 32, 3)])
+def test_pyramid_equals_loops_over_whole_rays(spark, seed, size, tile, block, holes):
+    """Rays of 2,500 steps, over many tiles, with pixels missing."""
+    import numpy as np
+
+    z, lit = hilly(*size, seed) * 40, hilly(*size, seed + 50) >= 0.9
+    there, rng = np.ones(size, bool), random.Random(seed)
+    for _ in range(holes):
+        there[rng.randrange(size[0]), rng.randrange(size[1])] = False
+    rows = [(r, c, float(z[r, c]), int(not lit[r, c])) for r in range(size[0]) for c in range(size[1]) if there[r, c]]
+    g = spark.createDataFrame(rows, "r int, c int, z double, psr int").repartition(3).cache()
+    table = ray_tiles.bresenham_table(12, 2500)
+    for radius, tangent in ((MOON, curved), (None, lambda a, b, d: (b - a) / d)):
+        met = cast_by_loop(z, there, lit, ~lit, ray_tiles.inside(table, *size), tangent)
+        got = ray_pyramid.doubly_shadowed(g, table, tile, radius, shape=size, block=block).collect()
+        want = {at for at, n in met.items() if not n}
+        assert len(got) == len(want) and {tuple(x) for x in got} == want
+    azimuths = [360 * k / 10 for k in range(10)]
+    for elevation in (4.0, 45.0):
+        met = cast_by_loop(z, there, there, there, ray_tiles.inside(ray_tiles.sun_table(azimuths, 2500), *size), lambda a, b, d: (b - a) / d, math.tan(math.radians(elevation)))
+        got = ray_pyramid.illumination(g.select("r", "c", "z"), azimuths, elevation, 2500, tile, shape=size, block=block).collect()
+        assert {(x["r"], x["c"]): x["n_dark"] for x in got} == met and all(x["lit"] == (x["n_dark"] < 10) for x in got)
+    g.unpersist()
+
+
+def test_pyramid_of_no_and_of_flat_ground(spark):
+    empty = spark.createDataFrame([], "r int, c int, z double, psr int")
+    assert ray_pyramid.doubly_shadowed(empty, ray_tiles.bresenham_table(8, 5)).count() == 0
+    assert ray_pyramid.illumination(empty, [0.0], 5.0, 5).count() == 0
+    flat = spark.createDataFrame([(r, c, 5.0, int(c > 0)) for r in range(20) for c in range(90)], "r int, c int, z double, psr int")
+    table = ray_tiles.bresenham_table(8, 100)
+    assert ray_pyramid.doubly_shadowed(flat, table, 16, None, block=4).count() == 0  # over a plane the lit edge is seen
+    assert {r["n_dark"] for r in ray_pyramid.illumination(flat.select("r", "c", "z"), [90.0, 200.0], 1.0, 100, 16, block=4).collect()} == {0}
+
+
+def test_pyramid_sends_rows_that_do_not_grow_with_reach(spark):
+    """Behind a near crest nothing of a far plain is asked for."""
+    from rasterloom.operators.ray_pyramid import Cast, Sight, _first, _pixels
+
+    ridges = [(r, c, 300.0 if c % 16 == 8 else 0.0, int(c % 16 != 8)) for r in range(64) for c in range(512)]
+    g = spark.createDataFrame(ridges, "r int, c int, z double, psr int").cache()
+    goal, looks = F.lit(True), F.col("psr") == 1
+    n = []
+    for reach in (64, 500):
+        table = ray_tiles.inside(ray_tiles.sun_table([90.0, 137.0, 240.0], reach), 64, 512)
+        cast = Cast(table, Sight(None, math.tan(math.radians(30.0))), (64, 512), 64, 8)
+        n.append(_first(_pixels(g, 64, goal, looks), cast, True).filter("tr is not null").count())
+    assert n[1] <= 1.2 * n[0] and n[1] < 0.5 * 3 * 64 * 512, n  # of all rays
+    g.unpersist()
+
+
 def test_shadow_is_inside_the_mask(spark):
     from rasterloom.plans import registry
 

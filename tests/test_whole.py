@@ -205,8 +205,7 @@ def test_suns_over_whole_rays(spark):
     assert {(x["r"], x["c"]): x["lit"] for x in rows(spark, "W13_sun_shadow")} == {k: 1 - n for k, n in np.ndenumerate(one)}
     year = dark_suns(z, [5.0 * a for a in range(72)])
     want = {k: (int(n < 72), n) for k, n in np.ndenumerate(year)}
-    for name in ("W14_annual_illumination", "W14_annual_illumination_tiled"):
-        assert {(x["r"], x["c"]): (x["lit"], x["n_dark"]) for x in rows(spark, name)} == want
+    assert {(x["r"], x["c"]): (x["lit"], x["n_dark"]) for x in rows(spark, "W14_annual_illumination")} == want
     assert {(x["r"], x["c"]): x["lit"] for x in rows(spark, "K1_mask_union")} == {k: x for k, (x, _) in want.items()}
 
 
@@ -216,8 +215,7 @@ def test_sight_over_whole_rays(spark):
     z, psr = terrain()
     rays = [line(a, 72, 2500) for a in range(72)]
     want = blind(z, psr, 1 - psr, rays, 1_737_400.0)
-    for name in ("W15_doubly_shadowed", "W15_doubly_shadowed_tiled"):
-        assert {(x["r"], x["c"]) for x in rows(spark, name)} == want
+    assert {(x["r"], x["c"]) for x in rows(spark, "W15_doubly_shadowed")} == want
     k = np.arange(1, 2501)
     rounded = [list(zip(np.rint(np.sin(a * 2 * np.pi / 72) * k).astype(int), np.rint(np.cos(a * 2 * np.pi / 72) * k).astype(int))) for a in range(72)]
     lit = 1 - dark_suns(z, [137.0])
@@ -235,12 +233,12 @@ def test_sight_over_whole_rays(spark):
 
 
 def test_sight_by_small_tiles(spark):
-    from rasterloom.operators import ray_tiles
+    from rasterloom.operators import ray_pyramid, ray_tiles
     from tests.test_rays import line
 
     rng = np.random.default_rng(3)
     z, psr = rng.uniform(0, 60, (40, 23)), (rng.random((40, 23)) < 0.95).astype(int)
     g = spark.createDataFrame([(r, k, float(z[r, k]), int(psr[r, k])) for r, k in np.ndindex(z.shape)], "r int, c int, z double, psr int")
     table = ray_tiles.inside(ray_tiles.bresenham_table(72, 2500), *z.shape)
-    got = {(x["r"], x["c"]) for x in ray_tiles.doubly_shadowed(g, table, tile=7).collect()}
+    got = {(x["r"], x["c"]) for x in ray_pyramid.doubly_shadowed(g, table, tile=7, block=3).collect()}
     assert got == blind(z, psr, 1 - psr, [line(a, 72, 2500) for a in range(72)], 1_737_400.0)
