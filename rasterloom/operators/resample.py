@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geodesy
+from rasterloom.operators.asof import asof
 from rasterloom.sources.rasters import Frame
 
 Polygon = list[tuple[float, float]]
@@ -49,8 +50,8 @@ def interpolate(points: DataFrame, grid: DataFrame, columns: list[str], fi: Colu
     return p.select(*points.columns, *[mix(c).alias(c) for c in columns])
 
 
-def sampled(points: DataFrame, src: DataFrame, column: str, fr: Column, fc: Column, h: int, w: int, most_invalid: float = 0.5) -> DataFrame:
-    """points with column, read bilinearly from src (r, c) at fractional rows and columns. Gaps count as 0 and
+def sampled(points: DataFrame, src: DataFrame, column: str, fr: Column, fc: Column, h: int, w: int, most_invalid: float = 0.5, gap: float = 0.0) -> DataFrame:
+    """points with column, read bilinearly from src (r, c) at fractional rows and columns. Gaps count as `gap` and
     as invalid; NULL outside of the source, or where the invalid weight is over most_invalid. One join and one
     aggregation; equal points, whose values are equal, are counted and given back as often."""
     p = points.withColumns({"_fr": fr, "_fc": fc})
@@ -65,7 +66,7 @@ def sampled(points: DataFrame, src: DataFrame, column: str, fr: Column, fc: Colu
     )
     s = src.select(F.col("r").alias("_sr"), F.col("c").alias("_sc"), F.col(column).alias("_v"))
     got = e.filter((F.col("_w") > 0) | F.col("_own")).join(s, ["_sr", "_sc"], "left").groupBy(*points.columns).agg(
-        F.sum(F.col("_w") * F.coalesce("_v", F.lit(0.0))).alias("_sum"), F.sum(F.when(F.col("_v").isNull(), F.col("_w")).otherwise(0.0)).alias("_bad"),
+        F.sum(F.col("_w") * F.coalesce("_v", F.lit(gap))).alias("_sum"), F.sum(F.when(F.col("_v").isNull(), F.col("_w")).otherwise(0.0)).alias("_bad"),
         F.count_if(F.col("_own")).alias("_n"), F.count("_w").alias("_in"),
     )
     value = F.when((F.col("_in") > 0) & (F.col("_bad") / F.col("_n") <= most_invalid), F.col("_sum") / F.col("_n"))
@@ -167,32 +168,31 @@ def rasterised(grid: DataFrame, polygons: DataFrame) -> DataFrame:
 
 def resized(patch: DataFrame, column: str, shape: tuple[int, int], size: int, most_invalid: float = 0.4) -> DataFrame:
     """A patch (r, c from 0) stretched to size x size, corners on corners; gaps count as the patch's mean and
-    as invalid, NULL where their weight is over most_invalid."""
+    as invalid, NULL where their weight is over most_invalid. Without pixels there is nothing to stretch."""
     h, w = shape
     spark = patch.sparkSession
-    mean = F.broadcast(patch.agg(F.avg(column).alias("_m")))
+    mean = patch.agg(F.avg(column)).first()[0]
+    if mean is None:
+        return patch.select("r", "c", column).limit(0)
     side = spark.range(size)
     p = side.select(F.col("id").cast("int").alias("r")).crossJoin(side.select(F.col("id").cast("int").alias("c")))
     fr, fc = F.col("r") * (h - 1) / float(size - 1), F.col("c") * (w - 1) / float(size - 1)
-    filled = patch.crossJoin(mean).select("r", "c", F.coalesce(column, "_m").alias(column), F.col(column).isNull().cast("double").alias("_gap"))
-    value = sampled(p, filled, column, fr, fc, h, w)
-    gap = sampled(p, filled, "_gap", fr, fc, h, w)
-    return value.join(gap, ["r", "c"]).select("r", "c", F.when(F.col("_gap") <= most_invalid, F.col(column)).alias(column))
+    return sampled(p, patch, column, fr, fc, h, w, most_invalid, float(mean))
+
+
+def inverse(asked: DataFrame, value: str, src: DataFrame, line: str) -> DataFrame:
+    """value, with the fractional line of src (0, 1, ... in its column `line`) whose mean of `value` it is: means are sorted,
+    and their lines interpolated between neighbours. No row outside of the means."""
+    means = src.groupBy(F.col(line).alias("k")).agg(F.avg(value).alias("m"))
+    found = asof(asked.select(F.col(value).cast("double").alias("v")).distinct(), means).filter("k is not null and k2 is not null")
+    at = F.col("k") + (F.col("v") - F.col("m")) / (F.col("m2") - F.col("m")) * (F.col("k2") - F.col("k"))
+    return found.select(F.col("v").alias(value), at.alias(f"_{line}"))
 
 
 def separable_warp(src: DataFrame, target: DataFrame, column: str, h: int, w: int) -> DataFrame:
     """Inverse mapping whose rows and columns are independent: the mean y of each source row and the mean x of
     each source column are inverted by linear interpolation, and the source is read bilinearly there. src has
     r, c, x, y and column; target has r, c, x, y. Pixels outside of the means are left out."""
-
-    def inverse(key: str, value: str) -> DataFrame:
-        means = src.groupBy(key).agg(F.avg(value).alias("m"))
-        nxt = means.select((F.col(key) - 1).alias(key), F.col("m").alias("m2"))  # the next line, by a join on its number
-        return F.broadcast(means.join(nxt, key).select(F.col(key).alias(f"_{key}"), F.col("m").alias(f"m{key}"), F.col("m2").alias(f"n{key}")))
-
-    between = lambda v, k: (F.col(v) >= F.col(f"m{k}")) & (F.col(v) < F.col(f"n{k}"))
-    rows = target.select("r", "y").distinct().join(inverse("r", "y"), between("y", "r"))
-    cols = target.select("c", "x").distinct().join(inverse("c", "x"), between("x", "c"))
-    at = lambda v, k: F.col(f"_{k}") + (F.col(v) - F.col(f"m{k}")) / (F.col(f"n{k}") - F.col(f"m{k}"))
-    p = target.select("r", "c").join(rows.select("r", at("y", "r").alias("fr")), "r").join(cols.select("c", at("x", "c").alias("fc")), "c")
+    t = target.select("r", "c", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    p = t.join(inverse(t, "y", src, "r"), "y").join(inverse(t, "x", src, "c"), "x").select("r", "c", F.col("_r").alias("fr"), F.col("_c").alias("fc"))
     return sampled(p, src.select("r", "c", column), column, F.col("fr"), F.col("fc"), h, w).select("r", "c", column)
