@@ -1,4 +1,4 @@
-"""Tie points, resampling between grids, rasterised polygons. A sample is an equi-join on source pixels."""
+"""Tie points and resampling between grids. A sample is an equi-join on source pixels."""
 
 from __future__ import annotations
 
@@ -11,9 +11,6 @@ from rasterloom.functions import geodesy
 from rasterloom.operators.asof import asof
 from rasterloom.sources.rasters import Frame
 
-Polygon = list[tuple[float, float]]
-
-
 def tie_group(ties: DataFrame, drop: float = -500.0) -> DataFrame:
     """One row: n_rng, the points before the range first falls by more than -drop, and n_az. The difference to
     the point before is a self-join on the file position, so that no window orders the whole file."""
@@ -117,55 +114,6 @@ def filled_or(forward: DataFrame, cells: int, fallback: Callable[[], DataFrame],
     return forward if forward.count() >= least * cells else fallback()
 
 
-def sides(polygon: Polygon) -> list[tuple[float, float, float, float]]:
-    """x1, y1, x2, y2 of each side."""
-    return [tuple(map(float, (*a, *b))) for a, b in zip(polygon, polygon[1:] + polygon[:1])]
-
-
-def _literal(polygon: Polygon) -> Column:
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("x1", "y1", "x2", "y2"), s)]) for s in sides(polygon)])
-
-
-def inside(points: DataFrame, polygons: list[Polygon], x: Column, y: Column) -> DataFrame:
-    """points with inside: 1 in some polygon, by crossing parity. Polygons are few and literal here, so this is a
-    projection; rasterised() is for many."""
-
-    def crossed(e: Column) -> Column:
-        left = x < e["x1"] + (y - e["y1"]) / (e["y2"] - e["y1"]) * (e["x2"] - e["x1"])
-        return ((e["y1"] > y) != (e["y2"] > y)) & left
-
-    hit = F.lit(False)
-    for p in polygons:
-        hit = hit | (F.size(F.filter(_literal(p), crossed)) % 2 == 1)
-    return points.withColumn("inside", hit.cast("int"))
-
-
-def border_distance(points: DataFrame, polygons: list[Polygon], x: Column, y: Column) -> DataFrame:
-    """points with the distance to the nearest side of any of a few literal polygons."""
-
-    def far(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        t = F.greatest(F.least(((x - e["x1"]) * dx + (y - e["y1"]) * dy) / (dx * dx + dy * dy), F.lit(1.0)), F.lit(0.0))
-        ex, ey = x - (e["x1"] + t * dx), y - (e["y1"] + t * dy)
-        return F.sqrt(ex * ex + ey * ey)
-
-    return points.withColumn("distance", F.least(*[F.array_min(F.transform(_literal(p), far)) for p in polygons], F.lit(float("inf"))))
-
-
-def rasterised(grid: DataFrame, polygons: DataFrame) -> DataFrame:
-    """r, c, inside: 1 where a pixel's centre lies in some polygon. polygons has poly, x1, y1, x2, y2, a row per
-    side. Scan lines: each side is cut with the pixel rows that it straddles, and pixels meet only the crossings
-    of their own row, in one equi-join on the row; they are inside if an odd number lies to the right."""
-    top, end = F.least("y1", "y2"), F.greatest("y1", "y2")
-    lines = F.sequence(F.floor(top - 0.5).cast("int"), F.floor(end + 0.5).cast("int"))
-    cut = polygons.select("*", F.explode(lines).alias("r")).withColumn("yc", F.col("r") + 0.5)
-    cut = cut.filter((F.col("y1") > F.col("yc")) != (F.col("y2") > F.col("yc")))
-    at = F.col("x1") + (F.col("yc") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))
-    rows = cut.groupBy("r", "poly").agg(F.collect_list(at).alias("xs")).groupBy("r").agg(F.collect_list("xs").alias("all"))
-    odd = F.exists("all", lambda xs: F.size(F.filter(xs, lambda v: F.col("c") + 0.5 < v)) % 2 == 1)
-    return grid.select("r", "c").join(rows, "r", "left").select("r", "c", F.coalesce(odd, F.lit(False)).cast("int").alias("inside"))
-
-
 def resized(patch: DataFrame, column: str, shape: tuple[int, int], size: int, most_invalid: float = 0.4) -> DataFrame:
     """A patch (r, c from 0) stretched to size x size, corners on corners; gaps count as the patch's mean and
     as invalid, NULL where their weight is over most_invalid. Without pixels there is nothing to stretch."""

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from rasterloom.config import SETTINGS
 from rasterloom.functions import geodesy
-from rasterloom.operators import control_points, paths, resample
+from rasterloom.operators import control_points, paths, polygons, resample
 from rasterloom.operators.quantiles import quantiles
 from rasterloom.plans.base import q6, query, r6, relation, sql
-from rasterloom.plans.joins import POLYGONS
+from rasterloom.plans.joins import customer_sides
 from rasterloom.plans.windows import SUNS, dpsr, grad, shape, sunlit
 from rasterloom.sources import derived
 from rasterloom.sources.rasters import Frame
@@ -262,13 +262,9 @@ def t8(spark, d):
     return resample.separable_warp(placed(derived.grid(spark, d)), scene_points(spark, d), "v", h, w).select("r", "c", r6("v").alias("v"))
 
 
-@query("T10_rasterise", sql("grid sides", """WITH p AS (SELECT r, c, c + 0.5 AS x, r + 0.5 AS y FROM grid),
-i AS (SELECT r, c, poly, (count(*) FILTER ((y1 > y) <> (y2 > y) AND x < x1 + (y - y1) / (y2 - y1) * (x2 - x1)))::INT % 2 AS k FROM p, sides GROUP BY r, c, poly)
-SELECT r, c, max(k)::INT AS psr FROM i GROUP BY r, c"""))
+@query("T10_rasterise", sql("inner_pixels", "SELECT r, c, inside AS psr FROM inner_pixels"))
 def t10(spark, d):
-    rows = [(k, *side) for k, p in enumerate(POLYGONS) for side in resample.sides(p)]
-    polygons = spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double")
-    return resample.rasterised(derived.grid(spark, d), polygons).withColumnRenamed("inside", "psr")
+    return polygons.covered(derived.grid(spark, d), customer_sides(spark, d)).withColumnRenamed("inside", "psr")
 
 
 @query("T11_patch_resize", sql("bands", f"""WITH s AS (SELECT r - 100 AS r, c, dop FROM bands WHERE r BETWEEN 100 AND 139), m AS (SELECT avg(dop) AS m FROM s),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from rasterloom.config import SETTINGS
 from rasterloom.functions import geodesy, polarimetry as pol, validity
 from rasterloom.operators import joins, ray_tiles, rays as ray_ops
-from rasterloom.operators.resample import border_distance, inside, nearest
+from rasterloom.operators import polygons
+from rasterloom.operators.resample import nearest
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.projections import _HAV, craters, plane, powers
 from rasterloom.sources import derived
@@ -104,21 +105,41 @@ def c12(spark, d):
     return joins.in_circles(derived.grid(spark, d), circles(spark)).select("crater", "r", "c", r6("v").alias("v"))
 
 
-POLYGONS = [[(3.3, 20.2), (50.7, 31.9), (40.1, 180.4), (9.6, 140.8)], [(20.5, 300.5), (60.2, 310.1), (35.4, 420.9)]]
-_SIDES = ", ".join(f"({k}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for k, p in enumerate(POLYGONS) for a, b in zip(p, p[1:] + p[:1]))
-relation("sides", f"SELECT * FROM (VALUES {_SIDES}) t(poly, x1, y1, x2, y2)")
+#: Rings of a customer's polygon: how often a key has it (all, each third, each fifth), and its points in sizes from its middle.
+RINGS = [
+    (1, [(-1.0, -1.0), (1.0, -0.7), (0.9, 1.0), (-0.8, 0.8)]),
+    (3, [(-0.3, -0.3), (0.4, -0.2), (0.1, 0.4)]),  # a hole
+    (5, [(2.0, 0.0), (3.0, 0.3), (2.5, 1.0)]),  # another part
+]
+_RING = " UNION ALL ".join("SELECT poly, [" + ", ".join(f"{{'x': cx + s * {x!r}::DOUBLE, 'y': cy + s * {y!r}::DOUBLE}}" for x, y in ring) + f"] AS p FROM middles WHERE poly % {every} = 0" for every, ring in RINGS)
+relation("middles", "SELECT c_custkey AS poly, c_custkey * 37 % 641 / 10::DOUBLE AS cx, c_custkey * 7919 % 1009 / 1009::DOUBLE * h AS cy, 0.5::DOUBLE + abs(c_acctbal) / 10000 AS s FROM customer, size", "size")
+relation("sides", f"""SELECT poly, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM (SELECT poly, unnest(list_transform(p, lambda q, i: {{'a': q, 'b': p[i % len(p) + 1]}}), recursive := false) AS s FROM ({_RING})), LATERAL (SELECT s.a AS a, s.b AS b)""", "middles")
 
 
-@query("C13_polygon_distance", sql("grid sides", f"""WITH p AS (SELECT r, c, c + 0.5 AS x, r + 0.5 AS y FROM grid),
-i AS (SELECT r, c, max(k) AS inside FROM (SELECT r, c, poly, (count(*) FILTER ((y1 > y) <> (y2 > y) AND x < x1 + (y - y1) / (y2 - y1) * (x2 - x1)))::INT % 2 AS k FROM p, sides GROUP BY r, c, poly) GROUP BY r, c),
-t AS (SELECT *, greatest(least(((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 1), 0) AS u FROM p, sides),
-g AS (SELECT r, c, min(sqrt((x - (x1 + u * (x2 - x1))) ** 2 + (y - (y1 + u * (y2 - y1))) ** 2)) AS distance FROM t GROUP BY r, c)
-SELECT r, c, inside::INT AS inside, {q6('distance')} AS distance FROM i JOIN g USING (r, c)"""))
+def customer_sides(spark, d):
+    """A polygon for each customer, some with a hole and some of two parts, all over the grid."""
+    h, k = derived.table(spark, d, "embeddings").count(), c("c_custkey")
+    m = derived.table(spark, d, "customer").select(
+        k.alias("poly"), (k * 37 % 641 / F.lit(10.0)).alias("cx"), (k * 7919 % 1009 / F.lit(1009.0) * h).alias("cy"), (0.5 + F.abs("c_acctbal") / 10000).alias("s")
+    )
+    ring = lambda points: F.array(*[F.struct((c("cx") + c("s") * x).alias("x"), (c("cy") + c("s") * y).alias("y")) for x, y in points])
+    rings = F.filter(F.array(*[F.when(c("poly") % every == 0, ring(points)) for every, points in RINGS]), lambda r: r.isNotNull())
+    return polygons.sides_of(m.select("poly", F.explode(rings).alias("p")), "poly", "p")
+
+
+relation("cut", "SELECT r, poly, x1 + (r + 0.5 - y1) / (y2 - y1) * (x2 - x1) AS x FROM (SELECT DISTINCT r FROM grid), sides WHERE (y1 > r + 0.5) <> (y2 > r + 0.5)", "grid sides")
+relation("inner_pixels", "SELECT g.r, g.c, coalesce(max(k), 0)::INT AS inside FROM grid g LEFT JOIN (SELECT g.r, g.c, poly, count(*) % 2 AS k FROM grid g JOIN cut ON cut.r = g.r AND g.c + 0.5 < cut.x GROUP BY g.r, g.c, poly) i ON i.r = g.r AND i.c = g.c GROUP BY g.r, g.c", "grid cut")
+
+
+@query("C13_polygon_distance", sql("grid sides inner_pixels", f"""WITH p AS (SELECT r, c, c + 0.5 AS x, r + 0.5 AS y FROM grid),
+s AS (SELECT x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, (x2 - x1) ** 2 + (y2 - y1) ** 2 AS q FROM sides),
+t AS (SELECT r, c, x - x1 AS ex, y - y1 AS ey, dx, dy, greatest(least(((x - x1) * dx + (y - y1) * dy) / q, 1), 0) AS u FROM p, s),
+g AS (SELECT r, c, sqrt(min((ex - u * dx) * (ex - u * dx) + (ey - u * dy) * (ey - u * dy))) AS distance FROM t GROUP BY r, c)
+SELECT r, c, inside, {q6('distance')} AS distance FROM inner_pixels JOIN g USING (r, c)"""))
 def c13(spark, d):
-    p = derived.grid(spark, d).select("r", "c")
-    x, y = c("c") + 0.5, c("r") + 0.5
-    near = border_distance(p, POLYGONS, x, y)
-    return inside(p, POLYGONS, x, y).join(near, ["r", "c"]).select("r", "c", "inside", r6("distance").alias("distance"))
+    p, sides = derived.grid(spark, d).select("r", "c"), customer_sides(spark, d)
+    near = polygons.border_distance(p, sides, c("c") + 0.5, c("r") + 0.5)
+    return polygons.covered(p, sides).join(near, ["r", "c"]).select("r", "c", "inside", r6("distance").alias("distance"))
 
 
 @query("D1_aligned_bands", sql("bands", f"SELECT r, c, {q6('cpr')} AS cpr, {q6('dop')} AS dop, {q6('tmean')} AS tmean FROM bands WHERE cpr IS NOT NULL AND dop IS NOT NULL AND tmean IS NOT NULL"))

@@ -211,21 +211,6 @@ def test_decomposition_of_known_matrices(spark):
     assert abs(got[1]["alpha"]) < 1e-3 and math.isclose(got[2]["alpha"], 90, abs_tol=1e-3)
 
 
-def test_inside_a_square(spark):
-    p = spark.createDataFrame([(r, k) for r in range(6) for k in range(6)], "r int, c int")
-    got = {(r["r"], r["c"]) for r in resample.inside(p, [[(1.0, 1.0), (4.0, 1.0), (4.0, 3.0), (1.0, 3.0)]], F.col("c") + 0.5, F.col("r") + 0.5).filter("inside = 1").collect()}
-    assert got == {(r, k) for r in (1, 2) for k in (1, 2, 3)}
-
-
-def test_rasterised_is_inside(spark):
-    shapes = [[(1.2, 0.7), (9.5, 3.1), (4.4, 9.9)], [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (0.0, 3.0)], [(6.1, 6.2), (9.0, 6.2), (6.1, 9.7), (9.0, 9.7)]]
-    p = spark.createDataFrame([(r, k) for r in range(12) for k in range(11)], "r int, c int")
-    rows = [(i, *s) for i, shape in enumerate(shapes) for s in resample.sides(shape)]
-    got = resample.rasterised(p, spark.createDataFrame(rows, "poly int, x1 double, y1 double, x2 double, y2 double"))
-    want = resample.inside(p, shapes, F.col("c") + 0.5, F.col("r") + 0.5)
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.filter("inside = 1").count() > 10
-
-
 def test_sampling_outside_and_in_gaps(spark):
     a = np.array([[0.0, 1, np.nan], [2, 3, np.nan]])
     p = spark.createDataFrame([(0, 0.5, 0.5), (1, -0.1, 0.0), (2, 0.0, 1.4), (3, 0.0, 1.6), (4, 1.0, 1.0)], "k int, y double, x double")
