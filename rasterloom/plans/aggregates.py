@@ -12,6 +12,7 @@ from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.joins import circles
 from rasterloom.plans.scans import entries
 from rasterloom.sources import derived, rasters
+from rasterloom.sources.shared import written
 
 c = F.col
 BANDS = ["cpr", "dop", "tmean", "zit", "pump", "slope"]
@@ -163,11 +164,11 @@ def f20(spark, d):
     return rasters.consistent(entries(spark, d))
 
 
-@query("F21_integrity", sql("long", f"SELECT band, {q6('100.0 * (count(*) - count(v)) / count(*)')} AS nodata_pct, CASE WHEN count(v) = 0 THEN 'empty' WHEN 100.0 * (count(*) - count(v)) / count(*) > 15 THEN 'warn' ELSE 'ok' END AS verdict FROM long GROUP BY band"))
+@query("F21_integrity", sql("long", f"SELECT band, {q6('100.0 * (count(*) - count(v)) / count(*)')} AS nodata_pct, CASE WHEN count(v) = 0 THEN 'empty' WHEN 100.0 * (count(*) - count(v)) / count(*) > 80 THEN 'warn' ELSE 'ok' END AS verdict FROM long GROUP BY band"))
 def f21(spark, d):
     s = stats.band_stats(derived.bands(spark, d), BANDS)
     pct = 100.0 * c("n_missing") / c("n_total")
-    return s.select("band", r6(pct).alias("nodata_pct"), F.when(c("n_valid") == 0, "empty").when(pct > 15, "warn").otherwise("ok").alias("verdict"))
+    return s.select("band", r6(pct).alias("nodata_pct"), F.when(c("n_valid") == 0, "empty").when(pct > 80, "warn").otherwise("ok").alias("verdict"))
 
 
 @query("F22_shape_values", sql("shadow size", "SELECT psr AS value, count(*) AS n, any_value(h) AS h, any_value(w) AS w FROM shadow, size GROUP BY psr"))
@@ -232,8 +233,13 @@ WHERE o.r BETWEEN o.top + 3 AND o.bottom - 3 AND o.c BETWEEN o.lft + 3 AND o.rgt
 SELECT {q6('avg((2 * ma * mb + (0.01 * d) ** 2) * (2 * cab + (0.03 * d) ** 2) / ((ma * ma + mb * mb + (0.01 * d) ** 2) * (va + vb + (0.03 * d) ** 2)))')} AS ssim FROM m, s""", "filled")
 
 
-def similarity(spark, d):
-    b = derived.bands(spark, d).select("r", "c", c("cpr").alias("a"), c("official").alias("b"))
+def both(spark, d):
+    """Two products over all pixels."""
+    return derived.bands(spark, d).select("r", "c", c("cpr").alias("a"), c("official").alias("b"))
+
+
+def similarity(spark, d, b=None):
+    b = both(spark, d) if b is None else b
     return compare.ssim(b, (derived.table(spark, d, "embeddings").count(), derived.WIDTH), F.coalesce(validity.comparable(c("a"), c("b")), F.lit(False)))
 
 
@@ -291,9 +297,10 @@ _RHO = "(SELECT corr(ra, rb) FROM ranked)"
 @query("G9_all_metrics", sql("pair ranked alike", f"""SELECT count(*) AS n, {_ALL}, {q6(_p('corr(a, b)', 'count(*)', 'pair'))} AS pearson_p, {q6(_RHO)} AS spearman_r, {q6(_p('corr(ra, rb)', 'count(*)', 'ranked'))} AS spearman_p,
 ({_overlap('0.0::DOUBLE', '3.0::DOUBLE', 200)}) AS overlap, ({_MUTUAL}) AS nmi, (SELECT ssim FROM alike) AS ssim FROM pair HAVING count(*) >= 30"""))
 def g9(spark, d):
-    p = derived.pair(spark, d)
+    b = written(both(spark, d), "pair")  # read by seven one-row plans, derived once
+    p = b.filter(validity.comparable(c("a"), c("b")))
     one = p.agg(*compare.basic()).filter("n >= 30").crossJoin(compare.spearman(p)).crossJoin(compare.intersection(p, 0.0, 3.0, 200))
-    one = one.crossJoin(compare.mutual_information(p)).crossJoin(similarity(spark, d))
+    one = one.crossJoin(compare.mutual_information(p)).crossJoin(similarity(spark, d, b))
     return rounded(with_p(one), [*_BASIC, "pearson_p", "spearman_r", "spearman_p", "overlap", "nmi", "ssim"])
 
 
@@ -329,7 +336,7 @@ _QQ = ", ".join(repr((0.5 + k * 99.0 / 999) / 100) for k in range(1000))
 def g12(spark, d):
     at = [(0.5 + k * 99.0 / 999) / 100 for k in range(1000)]
     q = quantiles(derived.pair(spark, d), ["a", "b"], at)
-    rows = spark.createDataFrame(list(zip(range(1000), q["a"], q["b"])), "i long, qa double, qb double")
+    rows = spark.createDataFrame([x for x in zip(range(1000), q["a"], q["b"]) if x[1] is not None], "i long, qa double, qb double")
     return rows.select("i", r6("qa").alias("qa"), r6("qb").alias("qb"))
 
 

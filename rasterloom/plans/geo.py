@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.config import SETTINGS
 from rasterloom.functions import geodesy
-from rasterloom.operators import control_points, paths, polygons, resample
+from rasterloom.operators import control_points, paths, peaks, polygons, resample
 from rasterloom.operators.quantiles import quantiles
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.joins import customer_sides
@@ -87,7 +87,8 @@ g AS (SELECT k.r, k.c, sum(CASE WHEN inside THEN wt * coalesce(dop, 0) END) AS s
 
 def coarse(spark, d):
     """The coarser grid over the whole of the source, ending behind its last pixel."""
-    return target(spark, *(math.ceil((n + 1) / _STEP) for n in shape(spark, d)))
+    h, w = shape(spark, d)
+    return target(spark, *(math.ceil((n + 1) / _STEP) if h else 0 for n in (h, w)))
 
 
 @query("T5_resample", sql("grid size bands", _RESAMPLED + f" SELECT r::INT AS r, c::INT AS c, {q6('CASE WHEN bad <= 0.5 THEN s END')} AS dop FROM g"))
@@ -318,9 +319,10 @@ def j3(spark, d):
     return b.orderBy(F.md5(F.concat_ws(",", "r", "c")), "r", "c").limit(5000).select("r", "c", r6("cpr").alias("cpr"), r6("dop").alias("dop"), "hi")
 
 
-@query("J4_even_rows", sql("grid", f"SELECT r, {q6('avg(v)')} AS v FROM grid WHERE r IN (SELECT trunc(10 + k * (487 - 10) / 6.0::DOUBLE)::INT FROM range(7) x(k)) GROUP BY r"))
+@query("J4_even_rows", sql("grid size", f"SELECT r, {q6('avg(v)')} AS v FROM grid WHERE r IN (SELECT trunc(10 + k * (h - 20) / 6.0::DOUBLE)::INT FROM range(7) x(k), size) GROUP BY r"))
 def j4(spark, d):
-    rows = spark.range(7).select((10 + c("id") * (487 - 10) / 6.0).cast("int").alias("r"))
+    """Seven lines evenly apart, ten from both ends of the grid."""
+    rows = spark.createDataFrame([(r,) for r in peaks.even(shape(spark, d)[0], 10, 7)], "r int")
     return derived.grid(spark, d).join(F.broadcast(rows), "r", "left_semi").groupBy("r").agg(r6(F.avg("v")).alias("v"))
 
 

@@ -16,6 +16,7 @@ from rasterloom.operators.resample import tie_group
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.projections import coherency, covariance, stokes
 from rasterloom.sources import derived
+from rasterloom.sources.shared import written
 
 c = F.col
 
@@ -278,8 +279,11 @@ m AS (SELECT r, dens, row_number() OVER (ORDER BY dens DESC, r DESC) AS k FROM (
 choice AS (SELECT 0::BIGINT AS k, []::INT[] AS kept UNION ALL SELECT m.k, CASE WHEN len(list_filter(kept, lambda y: abs(y - m.r) < 20)) = 0 THEN list_append(kept, m.r::INT) ELSE kept END FROM choice JOIN m ON m.k = choice.k + 1)
 SELECT m.r::INT AS r, {q6('dens')} AS dens FROM m WHERE list_contains((SELECT arg_max(kept, k) FROM choice), m.r::INT) ORDER BY dens DESC, m.r LIMIT 9""", recursive=True))
 def w19(spark, d):
-    profile = peaks.density(derived.grid(spark, d), c("v") > 0.12, 10, shape(spark, d)[0])
-    return peaks.spaced(peaks.maxima(profile, 0.003), 20, 9).select("r", r6("dens").alias("dens"))
+    """The choice of the nine tallest, 20 lines apart; the SQL states the case that there are peaks, which the tables have,
+    and tests/test_grids.py holds the evenly spaced lines of the other."""
+    h = shape(spark, d)[0]
+    profile = written(peaks.density(derived.grid(spark, d), c("v") > 0.12, 10, h), "density")
+    return peaks.centres(profile, 0.003, 20, 9, h, 10).select("r", r6("dens").alias("dens"))
 
 
 @query("W20_tie_groups", sql("ties", "SELECT min(n) + 1 AS n_rng FROM (SELECT n, slant, lead(slant) OVER (ORDER BY n) AS nx FROM ties) WHERE nx - slant < -100"))

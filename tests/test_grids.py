@@ -185,6 +185,49 @@ def test_peaks(spark):
     assert chosen == [1, 4, 9]
 
 
+@pytest.mark.parametrize("seed,distance,most", [(1, 1, 9), (2, 4, 9), (3, 15, 400), (4, 300, 5)])
+def test_peaks_equal_the_sequential_choice(spark, seed, distance, most):
+    rng = np.random.default_rng(seed)
+    dens = np.round(np.cumsum(rng.normal(size=700)) + 5, 1)  # with flat tops and equal heights
+    if seed == 3:
+        dens = np.arange(700) * 0.01 + (np.arange(700) % 2)  # a long climb of near peaks
+    profile = spark.createDataFrame([(i, float(x)) for i, x in enumerate(dens)], "r int, dens double").repartition(3)
+    tops, i = [], 0
+    while i < len(dens):
+        j = i
+        while j + 1 < len(dens) and dens[j + 1] == dens[i]:
+            j += 1
+        if 0 < i and j < len(dens) - 1 and dens[i - 1] < dens[i] > dens[j + 1] and dens[i] >= 1.0:
+            tops.append(((i + j) // 2, float(dens[i])))
+        i = j + 1
+    found = peaks.maxima(profile, 1.0)
+    assert {tuple(r) for r in found.collect()} == set(tops)
+    kept = []
+    for r, d in sorted(tops, key=lambda x: (-x[1], -x[0])):
+        if all(abs(r - k) >= distance for k, _ in kept):
+            kept.append((r, d))
+    got = peaks.spaced(found, distance, most)
+    assert {tuple(r) for r in got.collect()} == set(sorted(kept, key=lambda x: (-x[1], x[0]))[:most])
+
+
+def test_peaks_of_a_flat_profile_are_evenly_spaced(spark):
+    profile = spark.createDataFrame([(i, 0.5) for i in range(100)], "r int, dens double")
+    got = peaks.centres(profile, 0.003, 20, 9, 100, 10).collect()
+    assert sorted(r["r"] for r in got) == np.linspace(10, 90, 9, dtype=int).tolist()
+    assert peaks.centres(profile.limit(0), 0.003, 20, 9, 0, 10).count() == 0
+
+
+@pytest.mark.parametrize("smooth,lines", [(5, 16), (10, 7), (150, 4096), (40, 64)])
+def test_density_in_blocks(spark, smooth, lines):
+    a = np.random.default_rng(smooth).random((203, 6))
+    got = {r["r"]: r["dens"] for r in peaks.density(table(spark, a), F.col("v") > 0.5, smooth, 203, lines).collect()}
+    per = (a > 0.5).mean(1)
+    lo, hi = smooth // 2, smooth - 1 - smooth // 2
+    wide = np.concatenate([per[:lo][::-1], per, per[len(per) - hi :][::-1]])
+    want = np.convolve(wide, np.ones(smooth) / smooth, "valid")
+    assert set(got) == set(range(203)) and all(abs(got[i] - want[i]) < 1e-12 for i in got)
+
+
 def test_least_cost(spark):
     a = np.random.default_rng(6).uniform(1, 5, (6, 5))
     got = array(paths.least_cost(table(spark, a, "cost"), (0, 0)), "dist", a.shape)
