@@ -11,23 +11,37 @@ from rasterloom.functions.polarimetry import power
 from rasterloom.operators.resample import tie_group
 from rasterloom.operators.stats import band_stats
 from rasterloom.plans.base import q6, query, r6, sql
-from rasterloom.sources import derived, rasters
-from rasterloom.sources.shared import run_dir, written
+from rasterloom.sources import derived, rasters, tiff
+from rasterloom.sources.manifest import made_once
+from rasterloom.sources.shared import run_dir
 
 c = F.col
 
 
+def shape(spark, d) -> tuple[int, int]:
+    """Lines and columns of the derived grid, from metadata alone."""
+    return derived.table(spark, d, "embeddings").count(), derived.WIDTH
+
+
 @query("A1_dem_scan", sql("dem", f"SELECT r, c, {q6('z')} AS z FROM dem"))
 def a1(spark, d):
     return derived.dem(spark, d).select("r", "c", r6("z").alias("z"))
 
 
-@query("A2_raw_float_scan", f"""
-SELECT 'line-' || vec_id AS path, (i // 8)::INT AS r, (i % 8)::INT AS c, {q6('x * CASE WHEN list_max(e) < 50 THEN 1000 ELSE 1 END')} AS z
-FROM (SELECT vec_id, embedding AS e, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)""")
+#: Lines of a raw file; every other file is in metres, the rest in kilometres.
+RAW_LINES = 40
+
+
+@query("A2_raw_float_scan", sql("grid", f"""WITH f AS (SELECT r, c, r // {RAW_LINES} AS file, (v * 4 * CASE WHEN r // {RAW_LINES} % 2 = 1 THEN 1000 ELSE 1 END)::FLOAT::DOUBLE AS x FROM grid WHERE r >= 20),
+m AS (SELECT file, max((v * 4 * CASE WHEN r // {RAW_LINES} % 2 = 1 THEN 1000 ELSE 1 END)::FLOAT::DOUBLE) AS top FROM (SELECT *, r // {RAW_LINES} AS file FROM grid) GROUP BY file)
+SELECT r, c, {q6('x * CASE WHEN top < 50 THEN 1000 ELSE 1 END', 3)} AS z FROM f JOIN m USING (file)"""))
 def a2(spark, d):
-    lines = derived.table(spark, d, "embeddings").select(F.concat(F.lit("line-"), "vec_id").alias("path"), "embedding")
-    return rasters.decode_float32(rasters.encode_float32(lines), 8, 8).select("path", "r", "c", r6("z").alias("z"))
+    """Raw files of 32-bit floats behind a header, read from line 20 on; a file's greatest value tells its unit."""
+    path = f"{run_dir(spark)}/raw-{uuid.uuid4().hex}"
+    heights = derived.grid(spark, d).withColumn("v", c("v") * 4 * F.when(F.floor(c("r") / RAW_LINES) % 2 == 1, 1000).otherwise(1))
+    tiff.write_raster(heights, path, shape(spark, d), RAW_LINES, layout="raw")
+    back = tiff.read_raster(spark, path, layout="raw", kilometres="auto", rows="20,2147483647")
+    return back.select("r", "c", r6("v", 3).alias("z"))
 
 
 @query("A3_mask_scan", sql("shadow size", """SELECT count(*) AS pixels, sum(psr)::BIGINT AS n_psr, any_value(h * w) = count(*) AS shape_ok,
@@ -71,10 +85,10 @@ def a7(spark, d):
 SELECT min(n) + 1 AS n_rng, count_all // (min(n) + 1) AS n_az, count_all AS total FROM (
   SELECT n, slant, lead(slant) OVER (ORDER BY n) AS nx, count(*) OVER () AS count_all FROM ties) WHERE nx - slant < -500 GROUP BY count_all"""))
 def a8(spark, d):
-    """From a CSV file in file order, whose columns are named as instruments name them."""
+    """From CSV files in file order, whose columns are named as instruments name them."""
     path = f"{run_dir(spark)}/geometry-{uuid.uuid4().hex}"
     named = derived.ties(spark, d).orderBy("n").select(c("slant").alias("Slant_Range (m)"), c("lat").alias("Latitude"), c("lon").alias("Longitude"))
-    named.coalesce(1).write.csv(path, header=True)
+    named.write.csv(path, header=True)  # files by range, their names in order
     return tie_group(rasters.read_geometry(spark, path))
 
 
@@ -86,8 +100,11 @@ def a9(spark, d):
 @query("A10_convert_nodata", sql("grid", f"""
 SELECT r, count(*) FILTER (v > 0.2) AS n_null, {q6('sum(v) FILTER (v <= 0.2)')} AS total FROM grid GROUP BY r"""))
 def a10(spark, d):
+    """Written with a nodata value, which is NULL when read."""
+    path = f"{run_dir(spark)}/nodata-{uuid.uuid4().hex}"
     tagged = derived.grid(spark, d).withColumn("v", F.when(F.col("v") > 0.2, -9999.0).otherwise(F.col("v")))
-    return rasters.converted(tagged, "v", -9999.0).groupBy("r").agg(F.count_if(F.col("v").isNull()).alias("n_null"), r6(F.sum("v")).alias("total"))
+    tiff.write_raster(rasters.converted(tagged, "v", -9999.0), path, shape(spark, d), 256, nodata=-9999.0)
+    return tiff.read_raster(spark, path).groupBy("r").agg(F.count_if(F.col("v").isNull()).alias("n_null"), r6(F.sum("v")).alias("total"))
 
 
 @query("A11_metadata", sql("grid bands", " UNION ALL ".join(f"""
@@ -133,9 +150,10 @@ def a13(spark, d):
 
 @query("A14_tiled_sink", sql("grid", f"SELECT (r // 64)::INT AS tile, count(*) AS n, {q6('sum(v)')} AS total FROM grid WHERE r BETWEEN 60 AND 300 GROUP BY 1"))
 def a14(spark, d):
-    path = f"{run_dir(spark)}/tiles-{uuid.uuid4().hex}"
-    rasters.write_tiles(derived.grid(spark, d), path, 64)
-    back = rasters.read_window(spark, path, 60, 300, 0, 63, 64)
+    """Blocks of 64 lines as files, of which a window of lines is read back."""
+    path = f"{run_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    tiff.write_raster(derived.grid(spark, d), path, shape(spark, d), 64)
+    back = tiff.read_raster(spark, path, (60, 300))
     return back.groupBy(F.floor(F.col("r") / 64).cast("int").alias("tile")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("v")).alias("total"))
 
 
@@ -158,5 +176,6 @@ def a16(spark, d):
 
 @query("A18_materialised", sql("grid", f"SELECT c, {q6('avg(v)')} AS mean, count(*) AS n FROM grid GROUP BY c"))
 def a18(spark, d):
-    kept = written(derived.grid(spark, d), "grid")
+    """The grid as a product that is made once for an input: a second run finds it and reads it."""
+    kept = made_once(derived.grid(spark, d), f"{run_dir(spark)}/products/grid")
     return kept.groupBy("c").agg(r6(F.avg("v")).alias("mean"), F.count(F.lit(1)).alias("n"))

@@ -15,17 +15,13 @@ from rasterloom.operators.eigen import T3
 from rasterloom.operators.resample import tie_group
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.projections import coherency, covariance, stokes
+from rasterloom.plans.scans import shape
 from rasterloom.sources import derived
 from rasterloom.sources.shared import written
 
 c = F.col
 
 
-def shape(spark, d) -> tuple[int, int]:
-    """Lines and columns of the derived grid, from metadata alone."""
-    return derived.table(spark, d, "embeddings").count(), derived.WIDTH
-
-
 def rounded(df, names, digits=6):
     return df.select("r", "c", *[r6(n, digits).alias(n) for n in names])
 

@@ -2,50 +2,15 @@
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.validity import canonical
 
 
-def decode_float32(files: DataFrame, height: int, width: int) -> DataFrame:
-    """path, r, c, z of raw little-endian float rasters (path, content): the header is whatever stands before
-    the last height x width values; values whose maximum is under 50 are kilometres and become metres."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if len(content) < 4 * height * width:
-                    raise ValueError(f"{path} has {len(content)} bytes, too few for {height} x {width} values")
-                z = np.frombuffer(content, "<f4", height * width, len(content) - 4 * height * width).astype(np.float64)
-                if len(z) and np.nanmax(z) < 50:
-                    z = z * 1000
-                i = np.arange(height * width)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([path] * len(z)), pa.array((i // width).astype(np.int32)), pa.array((i % width).astype(np.int32)), pa.array(z)], ["path", "r", "c", "z"]
-                )
-
-    return files.select("path", "content").mapInArrow(run, "path string, r int, c int, z double")
-
-
-def encode_float32(lines: DataFrame, header: bytes = b"PDS3") -> DataFrame:
-    """path, content for rasters given as (path, array of values)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            content = [header + struct.pack(f"<{len(v)}f", *v) for v in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.binary())], ["path", "content"])
-
-    return lines.mapInArrow(run, "path string, content binary")
-
-
 def discover(spark: SparkSession, root: str, pattern: str = "*.parquet") -> DataFrame:
     """path, length and modification time of files under root; no content is read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
@@ -74,9 +39,20 @@ def geometry_names(df: DataFrame) -> DataFrame:
 
 
 def read_geometry(spark: SparkSession, path: str) -> DataFrame:
-    """A tie-point CSV with n, its line number from 0 (files are one split each, so that order is the file's)."""
+    """A tie-point CSV (one file, or files whose names are in order) with n, the line number from 0, without header lines.
+
+    Files are read in splits. A row's place in its split is counted where it is read, and the lines of each split, a row
+    per split, say where the next one begins: no task reads more than its splits."""
     df = geometry_names(spark.read.option("header", True).option("inferSchema", True).csv(path))
-    return df.withColumn("n", F.monotonically_increasing_id())
+    names = df.columns
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = df.groupBy("_file", "_start").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")).orderBy("_file", "_start").collect()
+    begins, n = [], 0
+    for r in splits:
+        begins.append((r["_file"], r["_start"], n - r["_first"]))
+        n += r["_lines"]
+    begins = spark.createDataFrame(begins, "_file string, _start long, _shift long")
+    return df.join(F.broadcast(begins), ["_file", "_start"]).select(*names, (F.col("_id") + F.col("_shift")).alias("n"))
 
 
 def write_tiles(df: DataFrame, path: str, tile: int = 256) -> None:

@@ -3,7 +3,6 @@
 import json
 import math
 import random
-import struct
 
 import numpy as np
 import pytest
@@ -261,23 +260,6 @@ def test_sampling_outside_and_in_gaps(spark):
     assert math.isclose(got.pop(2), 0.6) and got == {0: 1.5, 1: None, 3: None, 4: 3.0}
 
 
-def test_raw_float_file(spark, tmp_path):
-    values = [0.5, 1.25, -2.0, 3.5, 4.0, 5.0]
-    (tmp_path / "a.img").write_bytes(b"HEADER" * 3 + struct.pack("<6f", *values))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.img").load(str(tmp_path))
-    got = array(rasters.decode_float32(files, 2, 3), "z", (2, 3))
-    assert np.allclose(got.ravel(), np.array(values) * 1000)
-    assert rasters.discover(spark, str(tmp_path), "*.img").count() == 1
-
-
-def test_geometry_csv(spark, tmp_path):
-    lines = ["Latitude (deg),Longitude (deg), Slant_Range (m),Incidence"] + [f"-8{i % 3},{i},{1000 * (i % 3)},{i}" for i in range(9)]
-    (tmp_path / "g.csv").write_text("\n".join(lines))
-    df = rasters.read_geometry(spark, str(tmp_path / "g.csv"))
-    assert df.columns == ["lat", "lon", "slant", "incidence", "n"]
-    assert tuple(resample.tie_group(df).first()) == (3, 3, 9)
-
-
 def test_windows_open_only_their_tiles(spark, tmp_path):
     rasters.write_tiles(derived.grid(spark, SF), str(tmp_path / "t"), 64)
     win = rasters.read_window(spark, str(tmp_path / "t"), 70, 80, 3, 9, 64)
