@@ -1,38 +1,65 @@
-"""Neighbourhood operators on dense grids: separable box windows with mirrored edges, gradients, terrain.
+"""Neighbourhood operators on dense grids: box windows with mirrored edges, gradients, terrain.
 
-A box is two one-dimensional window passes, so that a pixel is shuffled twice whatever the window, instead of
-once per neighbour. Mirrored halo rows are added before each pass; windows are partitioned by the other axis.
-"""
+Box sums are taken in tiles: a pixel is shuffled once, and again for each tile whose halo it lies in ((1 + window / TILE)
+squared times), and a task sums a tile of all bands by running sums in arrays."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.operators.ray_tiles import tiled
+
+TILE = 256
+
 
 def reach(size: int) -> tuple[int, int]:
     """Cells before and after the centre; an even window has one more before it."""
     return size // 2, size - 1 - size // 2
 
 
-def line_sums(df: DataFrame, columns: list[str], axis: str, other: str, size: int, n: int, reflect: bool) -> DataFrame:
-    if size == 1:
-        return df
-    lo, hi = reach(size)
-    rows = df
-    if reflect:  # a pixel stands for itself and for its mirror images; one branch, so that its source is read once
-        at = F.col(axis)
-        images = F.array(at, F.when(at < lo, -1 - at), F.when(at >= n - hi, 2 * n - 1 - at))
-        rows = df.withColumn(axis, F.explode(F.filter(images, lambda x: x.isNotNull())))
-    w = Window.partitionBy(other).orderBy(axis).rangeBetween(-lo, hi)
-    return rows.withColumns({c: F.sum(c).over(w) for c in columns}).filter((F.col(axis) >= 0) & (F.col(axis) < n))
-
-
-def box_sums(df: DataFrame, columns: list[str], size: tuple[int, int], shape: tuple[int, int], reflect: bool = True) -> DataFrame:
-    """Sums of columns over a window of size (rows, columns); NULL counts as absent."""
-    h, w = shape
-    out = line_sums(df, columns, "r", "c", size[0], h, reflect)
-    return line_sums(out, columns, "c", "r", size[1], w, reflect)
+def _mirrored(first: int, n: int, total: int) -> np.ndarray:
+    """Which of the places first .. first + n - 1 stands for each of them: mirrored at the ends of 0 .. total - 1, edge pixels
+    twice, as often as it takes."""
+    at = (first + np.arange(n)) % (2 * total)
+    return np.where(at < total, at, 2 * total - 1 - at) - first
+
+
+def _running(x: np.ndarray, size: int, axis: int) -> np.ndarray:
+    """Sums over windows of a size along an axis; the result is shorter by size - 1."""
+    upto = np.concatenate([np.zeros_like(np.take(x, [0], axis)), np.cumsum(x, axis=axis)], axis=axis)
+    n = x.shape[axis] - size + 1
+    return np.take(upto, np.arange(size, size + n), axis) - np.take(upto, np.arange(n), axis)
+
+
+def box_sums(df: DataFrame, columns: list[str], size: tuple[int, int], shape: tuple[int, int], reflect: bool = True, tile: int = TILE) -> DataFrame:
+    """r, c and sums of columns over a window of size (rows, columns); NULL counts as absent, a window of nothing gives NULL.
+    With reflect, edges are mirrored: a pixel off the grid is that which its distance behind the edge has before it."""
+    lo, hi = zip(*map(reach, size))
+    halo = tuple(map(max, lo, hi))
+    wide = max(tile, *halo)  # mirror images of a tile's halo lie in the tile, or the grid is smaller
+
+    def solve(r, c, top, left, arrays, there):
+        cuts = []
+        for axis, (first, total) in enumerate(zip((top, left), shape)):
+            n = there.shape[axis]
+            at = _mirrored(first, n, total) if reflect else np.arange(n)
+            inside = (at >= 0) & (at < n)
+            cuts.append((np.where(inside, at, 0), inside))
+        (rows, on_rows), (cols, on_cols) = cuts
+        out = {"r": (r + top).astype(np.int32), "c": (c + left).astype(np.int32)}
+        for name in columns:
+            x = arrays[name][np.ix_(rows, cols)]
+            known = ~np.isnan(x) & on_rows[:, None] & on_cols
+            sums = [_running(_running(v, size[0], 0), size[1], 1) for v in (np.where(known, x, 0.0), known.astype(np.float64))]
+            value, count = (v[r - lo[0], c - lo[1]] for v in sums)
+            out[name] = np.ma.masked_array(value, count < 0.5)
+        return out
+
+    schema = ", ".join(["r int", "c int", *(f"{x} double" for x in columns)])
+    narrow = df.select("r", "c", *[F.col(x).cast("double").alias(x) for x in columns])
+    return tiled(narrow, columns, wide, halo, solve, schema)
 
 
 def multilook(df: DataFrame, columns: list[str], size: tuple[int, int], shape: tuple[int, int]) -> DataFrame:

@@ -94,7 +94,7 @@ def tiled(grid: DataFrame, columns: list[str], tile: int, halo: tuple[int, int],
         there = np.zeros((tile + 2 * hr, tile + 2 * hc), bool)
         there[r - top, c - left] = True
         found = solve(r[own] - top, c[own] - left, top, left, arrays, there)
-        return pa.table({n: pa.array(found[n], t) for n, t in kinds})
+        return pa.table({n: pa.array(np.ma.getdata(found[n]), t, mask=np.ma.getmaskarray(found[n]) if np.ma.isMA(found[n]) else None) for n, t in kinds})
 
     return e.groupBy("tr", "tc").applyInArrow(run, schema)
 

@@ -35,14 +35,17 @@ def grid(spark: SparkSession, sf_dir: str, rows: tuple[int, int] | None = None,
     return out.select("r", (F.col("c") + first).cast("int").alias("c"), canonical(F.col("v"), None).alias("v"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """r, c and the whole line e, for bands that read at offsets."""
-    e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").cast("int").alias("r"), F.col("embedding").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(WIDTH - 1))).alias("c"))
+def lines(spark: SparkSession, sf_dir: str, offsets: tuple[int, ...]) -> DataFrame:
+    """r, c and the line's values at offsets from c, modulo its length, as at(). Whole lines are turned and zipped before they
+    become pixels, so that a pixel carries its own values only."""
+    e = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull())
+    turned = lambda k: F.concat(F.slice("embedding", k + 1, WIDTH), F.slice("embedding", 1, k)).alias(f"o{k}") if k else F.col("embedding").alias("o0")
+    out = e.select(F.col("vec_id").cast("int").alias("r"), F.posexplode(F.arrays_zip(*map(turned, offsets))).alias("c", "z"))
+    return out.select("r", "c", "z.*")
 
 
 def at(k: int) -> Column:
-    return F.get(F.col("e"), (F.col("c") + k) % WIDTH).cast("double")
+    return F.col(f"o{k}").cast("double")
 
 
 def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,13 +61,14 @@ def shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sli(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four complex channels."""
     pairs = {"hh": (0, 16), "hv": (32, 48), "vh": (8, 24), "vv": (40, 56)}
-    return lines(spark, sf_dir).select("r", "c", *[at(k).alias(f"{p}_{x}") for p, ks in pairs.items() for x, k in zip(("re", "im"), ks)])
+    offsets = tuple(k for ks in pairs.values() for k in ks)
+    return lines(spark, sf_dir, offsets).select("r", "c", *[at(k).alias(f"{p}_{x}") for p, ks in pairs.items() for x, k in zip(("re", "im"), ks)])
 
 
 def bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six continuous bands and two masks, some values missing, and an official product."""
     null_over = lambda v, k, most: F.when(at(k) <= most, v)
-    return lines(spark, sf_dir).select(
+    return lines(spark, sf_dir, (0, 5, 8, 9, 16, 17, 24, 32, 33, 40, 48, 56, 57)).select(
         "r", "c",
         null_over(0.4 + 2 * at(0), 5, 0.2).alias("cpr"), null_over(F.abs(at(8)) * 2, 9, 0.15).alias("dop"),
         null_over(110 + 300 * at(16), 17, 0.25).alias("tmean"), (1 + 5 * F.abs(at(24))).alias("zit"),
