@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.sources.shared import run_dir
+
 KEYS = ["r", "c"]
 
 
@@ -15,6 +18,15 @@ def aligned(bands: list[DataFrame], how: str = "inner") -> DataFrame:
     return reduce(lambda a, b: a.join(b, KEYS, how), bands)
 
 
+def bucketed(df: DataFrame, what: str, buckets: int) -> DataFrame:
+    """df, written in buckets by pixel: tables that are bucketed alike meet on the pixel without a shuffle. Each bucket is one
+    file, sorted. The table's files lie in the folder of the application, its entry in the session's catalogue."""
+    name = f"{what}_{uuid.uuid4().hex}"
+    rows = df.repartition(buckets, *KEYS).write.bucketBy(buckets, *KEYS).sortBy(*KEYS)
+    rows.format("parquet").option("path", f"{run_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def offset_pairs(df: DataFrame, other: DataFrame, reach: int, include_self: bool = True) -> DataFrame:
     """df's pixels with those of other within reach rows and columns (tr, tc): a table of offsets is exploded
     on df and the rest is an equi-join, so that no range join compares all pixels."""

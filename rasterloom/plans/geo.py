@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from rasterloom.config import SETTINGS
 from rasterloom.functions import geodesy
-from rasterloom.operators import control_points, paths, peaks, polygons, resample
+from rasterloom.operators import control_points, nearest, paths, peaks, polygons, resample
 from rasterloom.operators.quantiles import quantiles
 from rasterloom.plans.base import q6, query, r6, relation, sql
 from rasterloom.plans.joins import customer_sides
+from rasterloom.plans.projections import _HAV
 from rasterloom.plans.windows import SUNS, dpsr, grad, shape, sunlit
 from rasterloom.sources import derived
 from rasterloom.sources.rasters import Frame
@@ -66,6 +67,16 @@ def t3(spark, d):
     return located(spark, d).select("r", "c", r6("lat").alias("lat"), r6("lon").alias("lon"))
 
 
+@query("D6_nearest_tie_pixels", sql("located ties", f"""WITH p AS (SELECT r, c, lat, lon, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z FROM located),
+t AS (SELECT n, lat AS lat2, lon AS lon2, cos(radians(lat)) * cos(radians(lon)) AS u, cos(radians(lat)) * sin(radians(lon)) AS v, sin(radians(lat)) AS w FROM ties),
+b AS (SELECT r, c, lat, lon, x, y, z, min((x - u) * (x - u) + (y - v) * (y - v) + (z - w) * (z - w)) AS d FROM p, t GROUP BY ALL),
+m AS (SELECT r, c, n, {_HAV} AS km FROM b JOIN t ON abs(x - u) <= sqrt(d) + 1e-7 AND (x - u) * (x - u) + (y - v) * (y - v) + (z - w) * (z - w) <= (sqrt(d) + 1e-7) ** 2)
+SELECT r::INT AS r, c::INT AS c, arg_min(n, (round(km, 6), n)) AS n, {q6('min(km)')} AS km FROM m GROUP BY r, c"""))
+def d6_pixels(spark, d):
+    """The nearest tie point of every pixel of the scene."""
+    return nearest.nearest_on_sphere(located(spark, d), derived.ties(spark, d)).select("r", "c", "n", r6("km").alias("km"))
+
+
 @query("T4_along_track", sql("tiegrid lay", f"""WITH p AS (SELECT r, fa, least(floor(fa), n_az - 2)::INT AS i FROM (SELECT r, n_az, r * (n_az - 1) / (h - 1)::DOUBLE AS fa FROM (SELECT unnest(range(h)) AS r, h, n_az FROM lay)))
 SELECT p.r::INT AS r, {q6('a.lat + (fa - p.i) * (b.lat - a.lat)')} AS lat FROM p JOIN tiegrid a ON a.i = p.i AND a.j = 4 JOIN tiegrid b ON b.i = p.i + 1 AND b.j = 4"""))
 def t4(spark, d):

@@ -149,6 +149,17 @@ def d1(spark, d):
     return joins.aligned(parts).select("r", "c", *[r6(n).alias(n) for n in ("cpr", "dop", "tmean")])
 
 
+EIGHT = ["cpr", "dop", "tmean", "zit", "pump", "slope", "psr", "dpsr"]
+
+
+@query("D1_bucketed_bands", sql("bands", f"SELECT r, c, {', '.join(q6(n) + f' AS {n}' for n in EIGHT)} FROM bands WHERE {' AND '.join(f'{n} IS NOT NULL' for n in EIGHT)}"))
+def d1_bucketed(spark, d):
+    """Eight bands of one grid, each written in buckets once, that meet without a shuffle."""
+    b, buckets = derived.bands(spark, d), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = [joins.bucketed(b.select("r", "c", n).filter(c(n).isNotNull()), f"band_{n}", buckets) for n in EIGHT]
+    return joins.aligned(parts).select("r", "c", *[r6(n).alias(n) for n in EIGHT])
+
+
 @query("D2_optional_bands", sql("bands", f"SELECT r, c, {q6('zit')} AS zit, {q6('dop')} AS dop FROM bands"))
 def d2(spark, d):
     b = derived.bands(spark, d)

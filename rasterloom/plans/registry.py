@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.plans import base
 
-for _module in ("scans", "projections", "joins", "aggregates", "windows", "geo"):
+for _module in ("scans", "projections", "joins", "aggregates", "windows", "geo", "streams"):
     import_module(f"rasterloom.plans.{_module}")
 
 

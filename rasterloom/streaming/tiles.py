@@ -5,6 +5,8 @@ tiles stream in; a tile that is read again gives the same scores."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -32,3 +34,19 @@ def stream(spark: SparkSession, folder: str, schema: StructType, lim: dict[str,
     """A streaming DataFrame of scored pixels from Parquet tiles that appear under folder."""
     raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return scored(raw, lim)
+
+
+def keep(out: str) -> Callable[[DataFrame, int], None]:
+    """Writes a batch to the folder of its number, in place of what an attempt before left there: a batch that runs again after
+    a failure adds nothing twice."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return write
+
+
+def arrive(scores: DataFrame, out: str, checkpoint: str) -> None:
+    """Scores what has arrived since the checkpoint and ends."""
+    query = scores.writeStream.foreachBatch(keep(out)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
