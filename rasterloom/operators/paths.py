@@ -1,8 +1,11 @@
-"""Least-cost distances over a cost surface, tile by tile until no tile's border improves."""
+"""Least-cost paths over a cost surface: a graph of tile borders, searched from the start, and refined in the tiles crossed.
+
+A step from a pixel to one of its eight neighbours costs its length times the mean of both pixels' costs. Pixels without a
+cost, or with one that is not over 0, cannot be entered."""
 
 from __future__ import annotations
 
-import heapq
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -11,63 +14,129 @@ from pyspark.sql import functions as F
 
 from rasterloom.sources.shared import discard, written
 
-_SCHEMA = "r int, c int, cost double, dist double, new boolean"
-_MOVES = [(a, b, (a * a + b * b) ** 0.5) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-
-
-def _solved(key, own: pa.Table, told: pa.Table) -> pa.Table:
-    """The pixels of one tile after the told ones (its own, or a border of its neighbours) have spread over it."""
-    r, c, cost = (own.column(x).to_numpy() for x in ("r", "c", "cost"))
-    old = np.where(own.column("dist").is_null().to_numpy(), np.inf, own.column("dist").fill_null(0.0).to_numpy())
-    if not len(r) or not told.num_rows:
-        new, dist = np.zeros(len(r), bool), old
-    else:
-        top, left = r.min() - 1, c.min() - 1
-        h, w = r.max() - top + 2, c.max() - left + 2
-        costs, best, inner = np.full((h, w), np.nan), np.full((h, w), np.inf), np.zeros((h, w), bool)
-        costs[r - top, c - left], best[r - top, c - left], inner[r - top, c - left] = cost, old, True
-        tr, tc, tcost, tdist = (told.column(x).to_numpy() for x in ("r", "c", "cost", "dist"))
-        y, x = tr - top, tc - left
-        on = (y >= 0) & (y < h) & (x >= 0) & (x < w)
-        y, x = y[on], x[on]
-        costs[y, x], best[y, x] = tcost[on], tdist[on]
-        seeds = (y * w + x).tolist()
-        k, d, mine = costs.ravel().tolist(), best.ravel().tolist(), inner.ravel().tolist()
-        moves = [(int(a * w + b), s / 2) for a, b, s in _MOVES]
-        heap = [(d[p], p) for p in seeds]
-        heapq.heapify(heap)
-        size = len(k)
-        while heap:
-            at, p = heapq.heappop(heap)
-            if at > d[p]:
-                continue
-            for step, s in moves:
-                q = p + step
-                if 0 <= q < size and mine[q] and (there := at + s * (k[p] + k[q])) < d[q] - 1e-12:
-                    d[q] = there
-                    heapq.heappush(heap, (there, q))
-        dist = np.array(d).reshape(h, w)[r - top, c - left]
-        start = np.zeros((h, w), bool)
-        start[y, x] = True
-        new = (dist < old) | start[r - top, c - left]
-    return pa.table({"r": pa.array(r, pa.int32()), "c": pa.array(c, pa.int32()), "cost": cost, "dist": pa.array(dist, pa.float64(), mask=np.isinf(dist)), "new": new})
-
-
-def least_cost(cost: DataFrame, start: tuple[int, int], tile: int = 512) -> DataFrame:
-    """r, c, dist: the least sum of step costs from start; a step costs its length times the mean of both
-    pixels' costs. A tile is searched whenever pixels next to it improved, so that there are about as many rounds
-    as tiles on the longest path; rounds are written. A task holds a tile. No row where nothing leads."""
+TILE = 64
+_MOVES = [(a, b, math.hypot(a, b)) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+_EDGES = "r int, c int, r2 int, c2 int, w double"
+
+
+def _spread(cost: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """For each seed (its index in the flat tile) the least cost to every pixel inside of the tile, relaxed over whole arrays
+    until nothing improves. cost: NaN without a pixel."""
+    h, w = cost.shape
+    padded = np.pad(cost, 1, constant_values=np.nan)
+    steps = [(a, b, np.nan_to_num(s / 2 * (cost + padded[1 + a : 1 + a + h, 1 + b : 1 + b + w]), nan=np.inf)) for a, b, s in _MOVES]
+    d = np.full((len(seeds), h + 2, w + 2), np.inf)
+    inner = d[:, 1:-1, 1:-1]
+    inner.reshape(len(seeds), h, w)[np.arange(len(seeds)), seeds // w, seeds % w] = 0.0
+    while True:
+        best = inner.copy()
+        for a, b, step in steps:
+            np.minimum(best, d[:, 1 + a : 1 + a + h, 1 + b : 1 + b + w] + step, out=best)
+        if not (best < inner - 1e-12).any():
+            return inner
+        inner[:] = best
+
+
+def _array(group: pa.Table) -> tuple[np.ndarray, int, int]:
+    r, c = group.column("r").to_numpy(), group.column("c").to_numpy()
+    top, left = int(r.min()), int(c.min())
+    cost = np.full((int(r.max()) - top + 1, int(c.max()) - left + 1), np.nan)
+    cost[r - top, c - left] = group.column("cost").to_numpy()
+    return cost, top, left
+
+
+def _pixels(cost: DataFrame, tile: int) -> DataFrame:
     place = [F.floor(F.col(x) / tile).cast("int").alias(f"t{x}") for x in "rc"]
-    first = (F.col("r") == start[0]) & (F.col("c") == start[1])
-    state = cost.filter("cost is not null").select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("cost").cast("double").alias("cost"), F.when(first, 0.0).alias("dist"), first.alias("new"))
-    state, own = written(state, "front"), True
+    known = cost.filter("cost > 0 and not isnan(cost)")
+    return known.select(F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), F.col("cost").cast("double").alias("cost"), *place)
+
+
+def border_graph(cost: DataFrame, places: list[tuple[int, int]], tile: int = TILE) -> DataFrame:
+    """r, c, r2, c2, w: what it costs between any two border pixels of a tile (and the places inside of it), without leaving
+    it, and between neighbours in different tiles. Both ways of a pair; about 8 rows for each pixel at the usual tile."""
+    pixels = _pixels(cost, tile)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        z, top, left = _array(group)
+        y, x = np.nonzero(~np.isnan(z))
+        r, c = y + top, x + left
+        on = (r % tile == 0) | (r % tile == tile - 1) | (c % tile == 0) | (c % tile == tile - 1)
+        for a, b in places:
+            on |= (r == a) & (c == b)
+        y, x, r, c = y[on], x[on], r[on], c[on]
+        d = _spread(z, y * z.shape[1] + x)[:, y, x]
+        i, j = np.nonzero(np.isfinite(d) & (d > 0))
+        return pa.table({"r": pa.array(r[i], pa.int32()), "c": pa.array(c[i], pa.int32()), "r2": pa.array(r[j], pa.int32()), "c2": pa.array(c[j], pa.int32()), "w": d[i, j]})
+
+    inside = pixels.groupBy("tr", "tc").applyInArrow(run, _EDGES)
+    edge = [F.col(x) % tile == e for x in "rc" for e in (0, tile - 1)]
+    border = pixels.filter(edge[0] | edge[1] | edge[2] | edge[3])
+    moves = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("s")) for a, b, s in _MOVES])).alias("m")
+    out = border.select("r", "c", "cost", "tr", "tc", moves).withColumns({"r2": F.col("r") + F.col("m.a"), "c2": F.col("c") + F.col("m.b")})
+    out = out.filter((F.floor(F.col("r2") / tile) != F.col("tr")) | (F.floor(F.col("c2") / tile) != F.col("tc")))
+    there = border.select(F.col("r").alias("r2"), F.col("c").alias("c2"), F.col("cost").alias("cost2"))
+    return inside.union(out.join(there, ["r2", "c2"]).select("r", "c", "r2", "c2", F.col("m.s") / 2 * (F.col("cost") + F.col("cost2"))))
+
+
+def least_path(cost: DataFrame, start: tuple[int, int], goal: tuple[int, int], tile: int = TILE) -> DataFrame:
+    """r, c, k (from 0) and dist (from the start) of the pixels of a least-cost path from start to goal; no row where nothing
+    leads there. Of equal paths one is taken, the same in every run.
+
+    Costs between border pixels are found inside tiles once; from then on only border pixels move. A round goes from the
+    pixels that improved over a tile and over its edge, so that there are about as many rounds as tiles on the path; rounds are
+    written. What cannot beat the goal's best cost any more, by the least cost of a pixel times the way that is left, stops.
+    The path is followed back from border pixel to border pixel, and its legs are found again in the tiles they cross."""
+    spark = cost.sparkSession
+    edges = written(border_graph(cost, [start, goal], tile), "edges")
+    least = _pixels(cost, tile).filter((F.col("r").isin(start[0], goal[0])) & (F.col("c").isin(start[1], goal[1]))).select("r", "c").collect()
+    if not {start, goal} <= {tuple(x) for x in least}:
+        return spark.createDataFrame([], "r int, c int, k int, dist double")
+    cheapest = cost.filter("cost > 0").agg(F.min("cost")).first()[0]
+    away = [F.abs(F.col(x) - g) for x, g in zip(("r", "c"), goal)]
+    bound = F.lit(float(cheapest)) * (F.greatest(*away) + (math.sqrt(2) - 1) * F.least(*away))
+    state = written(spark.createDataFrame([(*start, 0.0, None, None, True)], "r int, c int, dist double, pr int, pc int, new boolean"), "reached")
+    best = 0.0 if start == goal else math.inf
     while state.filter("new").head(1):
-        near = lambda x: F.explode(F.sequence(F.floor((F.col(x) - 1) / tile).cast("int"), F.floor((F.col(x) + 1) / tile).cast("int"))).alias(f"t{x}")
-        told = state.filter("new").select("r", "c", "cost", "dist", near("r")).select("*", near("c"))
-        if not own:  # a tile has spread its own pixels already
-            told = told.filter((F.col("tr") != F.floor(F.col("r") / tile)) | (F.col("tc") != F.floor(F.col("c") / tile)))
-        tiles = state.select("r", "c", "cost", "dist", *place)
-        last, state = state, written(tiles.groupBy("tr", "tc").cogroup(told.groupBy("tr", "tc")).applyInArrow(_solved, _SCHEMA), "front")
+        front = state.filter("new").select("r", "c", "dist")
+        told = front.join(edges, ["r", "c"]).select(F.col("r2").alias("r"), F.col("c2").alias("c"), (F.col("dist") + F.col("w")).alias("dist"), F.col("r").alias("pr"), F.col("c").alias("pc"))
+        told = told.filter(F.col("dist") + bound <= best * (1 + 1e-9)) if best < math.inf else told
+        both = told.select("r", "c", F.struct("dist", "pr", "pc", F.lit(True).alias("new")).alias("v")).union(state.select("r", "c", F.struct("dist", "pr", "pc", F.lit(False).alias("new"))))
+        old = F.min(F.when(~F.col("v.new"), F.col("v.dist"))).alias("old")
+        merged = both.groupBy("r", "c").agg(F.min("v").alias("v"), old)
+        better = F.col("v.new") & (F.col("old").isNull() | (F.col("v.dist") < F.col("old") - 1e-12))
+        last, state = state, written(merged.select("r", "c", "v.dist", "v.pr", "v.pc", better.alias("new")), "reached")
         discard(last)
-        own = False
-    return state.filter("dist is not null").select("r", "c", "dist")
+        at = state.filter((F.col("r") == goal[0]) & (F.col("c") == goal[1])).first()
+        best = at["dist"] if at else best
+    if best == math.inf:
+        return spark.createDataFrame([], "r int, c int, k int, dist double")
+    # followed back: as many look-ups as border pixels on the path, a few for each tile that it crosses
+    nodes, at = [], goal
+    while at is not None:
+        row = state.filter((F.col("r") == at[0]) & (F.col("c") == at[1])).first()
+        nodes.append((*at, row["dist"]))
+        at = None if row["pr"] is None else (row["pr"], row["pc"])
+    nodes.reverse()
+    legs = [(k, *a, *b[:2], a[0] // tile, a[1] // tile) for k, (a, b) in enumerate(zip(nodes, nodes[1:]))]
+    inner = [x for x in legs if (x[4] // tile, x[5] // tile) == x[6:]]
+    crossed = spark.createDataFrame(inner, "leg int, r int, c int, dist double, r2 int, c2 int, tr int, tc int")
+    hops = [(n, 0, *nodes[n][:3]) for n in range(len(nodes))]
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        out = []
+        if own.num_rows and asked.num_rows:
+            z, top, left = _array(own)
+            w = z.shape[1]
+            for leg, r, c, dist, r2, c2 in zip(*(asked.column(x).to_pylist() for x in ("leg", "r", "c", "dist", "r2", "c2"))):
+                (d,) = _spread(z, np.array([(r - top) * w + c - left]))
+                y, x, back = r2 - top, c2 - left, []
+                while (y, x) != (r - top, c - left):  # to a neighbour from which the pixel is reached at its cost
+                    back.append((y, x, d[y, x]))
+                    near = [(abs(d[y + a, x + b] + s / 2 * (z[y, x] + z[y + a, x + b]) - d[y, x]), y + a, x + b) for a, b, s in _MOVES if 0 <= y + a < z.shape[0] and 0 <= x + b < w and d[y + a, x + b] < d[y, x]]
+                    _, y, x = min(near)
+                out += [(leg, n, y + top, x + left, dist + e) for n, (y, x, e) in enumerate(back[:0:-1], 1)]
+        return pa.table({n: pa.array([o[k] for o in out], t) for k, (n, t) in enumerate((("leg", pa.int32()), ("n", pa.int32()), ("r", pa.int32()), ("c", pa.int32()), ("dist", pa.float64())))})
+
+    between = _pixels(cost, tile).groupBy("tr", "tc").cogroup(crossed.groupBy("tr", "tc")).applyInArrow(run, "leg int, n int, r int, c int, dist double")
+    path = sorted([*hops, *(tuple(r) for r in between.collect())])  # the pixels of the path
+    return spark.createDataFrame([(r, c, k, float(d)) for k, (_, _, r, c, d) in enumerate(path)], "r int, c int, k int, dist double")

@@ -297,9 +297,11 @@ def t12(spark, d):
 
 @query("I3_rover_path")
 def i3(spark, d):
-    """Least-cost distances from a start over the grid; an extension, as its model is only sketched elsewhere."""
-    cost = grad(spark, d).select("r", "c", (1 + F.abs("gx") + F.abs("gy")).alias("cost"))
-    return paths.least_cost(cost, (0, 0)).select("r", "c", r6("dist").alias("dist"))
+    """The least-cost path over the slopes from the first pixel to the last; an extension, as its model is only sketched elsewhere.
+    Without SQL: tests/test_paths.py holds it against recursive SQL on a fixture, and against a plain search."""
+    cost = written(grad(spark, d).select("r", "c", (1 + F.abs("gx") + F.abs("gy")).alias("cost")), "slopes")
+    h, w = shape(spark, d)
+    return paths.least_path(cost, (0, 0), (h - 1, w - 1)).select("k", "r", "c", r6("dist").alias("dist"))
 
 
 @query("I4_landing_rank", sql("scored bands", f"SELECT r, c, {q6('0.7::DOUBLE * score - 0.3::DOUBLE * slope / 40')} AS merit FROM scored JOIN bands USING (r, c) WHERE slope < 10 ORDER BY round(0.7::DOUBLE * score - 0.3::DOUBLE * slope / 40, 6) DESC, r, c LIMIT 25"))

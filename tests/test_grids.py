@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geodesy, labels, polarimetry as pol, scaling, validity
-from rasterloom.operators import compare, components, focal, paths, peaks, resample, stats
+from rasterloom.operators import compare, components, focal, peaks, resample, stats
 from rasterloom.sources import derived, rasters
 
 SF = "/root/testdata/sf0.001"
@@ -227,22 +227,6 @@ def test_density_in_blocks(spark, smooth, lines):
     assert set(got) == set(range(203)) and all(abs(got[i] - want[i]) < 1e-12 for i in got)
 
 
-def test_least_cost(spark):
-    a = np.random.default_rng(6).uniform(1, 5, (6, 5))
-    got = array(paths.least_cost(table(spark, a, "cost"), (0, 0)), "dist", a.shape)
-    want = np.full(a.shape, np.inf)
-    want[0, 0] = 0
-    for _ in range(40):
-        for r in range(6):
-            for k in range(5):
-                for dr in (-1, 0, 1):
-                    for dk in (-1, 0, 1):
-                        y, x = r + dr, k + dk
-                        if (dr or dk) and 0 <= y < 6 and 0 <= x < 5:
-                            want[r, k] = min(want[r, k], want[y, x] + math.hypot(dr, dk) * (a[r, k] + a[y, x]) / 2)
-    assert np.allclose(got, want)
-
-
 def test_decomposition_of_known_matrices(spark):
     from rasterloom.operators.eigen import T3, decomposition
 

@@ -120,43 +120,6 @@ def test_coarse_grid_grows_with_the_table(spark, tmp_path):
         assert max(x["r"] for x in got if x[column] is not None) >= 665 and max(x["c"] for x in got if x[column] is not None) == most, name
 
 
-def settled(cost, dist):
-    """Whether dist is 0 at the first pixel and the best that any neighbour offers elsewhere."""
-    h, w = cost.shape
-    best = np.full((h, w), np.inf)
-    best[0, 0] = 0
-    for a in (-1, 0, 1):
-        for b in (-1, 0, 1):
-            if a or b:
-                to = (slice(max(0, -a), h - max(0, a)), slice(max(0, -b), w - max(0, b)))
-                frm = (slice(max(0, a), h - max(0, -a)), slice(max(0, b), w - max(0, -b)))
-                best[to] = np.minimum(best[to], dist[frm] + np.hypot(a, b) * (cost[to] + cost[frm]) / 2)
-    return np.allclose(dist, best, atol=1e-5)
-
-
-def test_path_costs_of_the_whole_grid(spark):
-    z = lines() * 40
-    gy, gx = np.gradient(z, 20.0)
-    got = rows(spark, "I3_rover_path")
-    assert len(got) == z.size
-    dist = np.zeros(z.shape)
-    for x in got:
-        dist[x["r"], x["c"]] = x["dist"]
-    assert dist[0, 0] == 0 and settled(1 + abs(gx) + abs(gy), dist)
-
-
-def test_paths_cross_tiles_and_come_back(spark):
-    from rasterloom.operators import paths
-
-    cost = np.random.default_rng(9).uniform(1, 3, (19, 17))
-    cost[3, :16], cost[8, 1:], cost[13, :16] = 500, 500, 500
-    g = spark.createDataFrame([(r, k, float(x)) for r, line in enumerate(cost) for k, x in enumerate(line)], "r int, c int, cost double")
-    dist = np.zeros(cost.shape)
-    for x in paths.least_cost(g, (0, 0), tile=5).collect():
-        dist[x["r"], x["c"]] = x["dist"]
-    assert settled(cost, dist)
-
-
 def terrain():
     v = lines()
     return v * 4 * 1000, (v < 0.1).astype(int)
