@@ -90,6 +90,8 @@ class BpeCodec:
                     self.shorter[t] = p
                     break
         self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        if not all("<|" in t for t in self.added):  # encode() looks for added tokens only where this is
+            raise ValueError("added tokens without <| are not looked for here")
         self.split_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         texts = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
         tokens = [(texts.get(i, "") + " ").encode() for i in range(max(texts) + 1)]
@@ -228,7 +230,9 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of ids and decoding."""
+    """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and the digests of ids and decoding, a row for each row. A
+    null or empty text has no ids and decodes to the empty text; a null doc_id is kept; other columns are left out; an empty
+    table gives an empty one."""
 
     def row(_, text):
         c = codec(default_vocabulary())

@@ -1,8 +1,11 @@
 """The corpus pipeline, stage by stage, against a brute-force version on a small table."""
 
 import collections
+import hashlib
 import re
 
+import numpy as np
+
 from tests.llm.test_operators import classes_by_brute_force, removed_by_brute_force  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +30,10 @@ def dedup_text(rows, size=100):
 
 
 def test_stages_equal_brute_force(spark, tmp_path):
+    from tokenizers import Tokenizer
+
     import corpus_pipeline as c
+    from rasterloom.llm.bpe_codec import default_vocabulary
 
     docs = spark.read.parquet(f"{SF}/documents.parquet").filter("n_chars < 6000").selectExpr("*", "doc_id as _hit", "1 as _s", "2 as rep")
     rows = {r["doc_id"]: r["text"] for r in docs.collect()}
@@ -59,13 +65,21 @@ def test_stages_equal_brute_force(spark, tmp_path):
     left = dedup_text(list(left.items()))
     assert {d: r["text"] for d, r in kept[2].items()} == left and all(r["n_chars"] == len(r["text"]) for r in kept[2].values())
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
-    windows = set()
+    windows = set()  # an item of fewer than ten words is one window of its own length
     for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
         w = words(r["text"])
-        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))}
-    clean = {d for d, t in left.items() if not any(tuple(w[i : i + 10]) in windows for w in [words(t)] for i in range(len(w) - 9))}
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} - {()}
+    sizes = {len(x) for x in windows}
+    clean = {d for d, t in left.items() if not any(tuple(w[i : i + n]) in windows for w in [words(t)] for n in sizes for i in range(len(w) - n + 1))}
     assert set(kept[3]) == clean and len(clean) < len(left)
+    library = Tokenizer.from_file(default_vocabulary())
     assert set(kept[4]) == clean
+    for d, r in kept[4].items():
+        ids = library.encode(left[d], add_special_tokens=False).ids
+        packed = np.array(ids, "<u4").tobytes()
+        back = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], bytes(r["ids"])) == (len(ids), packed)
+        assert (r["ids_sha256"], r["decoded_sha256"]) == (hashlib.sha256(packed).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
 def test_run(spark):
