@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 #: Removes a query's shuffle files once it has ended, not when the driver's collector comes by.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _used: set[str] = set()
+_lock = threading.Lock()
+#: Writes that go on in each session, and its setting before the first of them.
+_writing: dict[SparkSession, tuple[int, str]] = {}
+
+
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """The setting holds while some thread writes in the session, and is put back after the last one."""
+    with _lock:
+        n, before = _writing.get(spark) or (0, spark.conf.get(_CLEAN))
+        _writing[spark] = (n + 1, before)
+        spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(spark)
+            if n > 1:
+                _writing[spark] = (n - 1, before)
+            else:
+                spark.conf.set(_CLEAN, before)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,12 +68,8 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet and reads it back. Its shuffle files go with the end of the write."""
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN)
-    spark.conf.set(_CLEAN, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out

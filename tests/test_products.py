@@ -97,6 +97,19 @@ def test_catalogue_borrows_and_compares(spark):
     assert not moved["same"] and moved["same_size"]
 
 
+def test_writes_of_several_threads_leave_the_session_as_it_was(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from rasterloom.sources import shared
+
+    before = spark.conf.get(shared._CLEAN)
+    with ThreadPoolExecutor(4) as pool:
+        tables = list(pool.map(lambda n: shared.written(spark.range(n), "threads"), range(1, 9)))
+    assert [t.count() for t in tables] == list(range(1, 9)) and spark.conf.get(shared._CLEAN) == before
+    assert not shared._writing
+    shared.discard(*tables)
+
+
 def test_no_folder_of_our_own_on_a_cluster():
     from rasterloom.sources.shared import shared_dir
 
