@@ -6,7 +6,7 @@ squared times), and a task sums a tile of all bands by running sums in arrays.""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.operators.ray_tiles import tiled
@@ -77,19 +77,24 @@ def multilook_valid(df: DataFrame, column: str, size: tuple[int, int], shape: tu
     return sums.select("r", "c", F.when(F.col("_k") / n >= least, F.col("_s") / F.col("_k")).alias(column), (F.col("_k") / n).alias("valid_fraction"))
 
 
-def gradient(df: DataFrame, column: str = "z", dy: float = 20.0, dx: float = 20.0) -> DataFrame:
-    """df with gy and gx: central differences inside, one-sided at the edges of the grid and 0 on a line of one pixel;
+def gradient(df: DataFrame, column: str = "z", dy: float = 20.0, dx: float = 20.0, tile: int = TILE) -> DataFrame:
+    """r, c, column, gy and gx: central differences inside, one-sided at the edges of the grid and 0 on a line of one pixel;
     NULL next to a gap, be it a NULL value or a pixel that has no row."""
-    edges = F.broadcast(df.agg(*[f(x).alias(f"_{n}_{x}") for n, f in (("first", F.min), ("last", F.max)) for x in ("r", "c")]))
-    out = df.crossJoin(edges)
-    for axis, other, step, name in (("r", "c", dy, "gy"), ("c", "r", dx, "gx")):
-        w = Window.partitionBy(other).orderBy(axis)
-        near = lambda f, k: F.when(f(axis).over(w) == F.col(axis) + k, f(column).over(w))  # noqa: B023, E731
-        before, after, v = near(F.lag, -1), near(F.lead, 1), F.col(column)
-        first, last = F.col(axis) == F.col(f"_first_{axis}"), F.col(axis) == F.col(f"_last_{axis}")
-        g = F.when(first & last, F.lit(0.0)).when(first, (after - v) / step).when(last, (v - before) / step).otherwise((after - before) / (2 * step))
-        out = out.withColumn(name, g)
-    return out.drop(*edges.columns)
+    first_r, last_r, first_c, last_c = df.agg(F.min("r"), F.max("r"), F.min("c"), F.max("c")).first()
+    if first_r is None:
+        return df.select("r", "c", column, F.lit(0.0).alias("gy"), F.lit(0.0).alias("gx"))
+
+    def solve(r, c, top, left, arrays, there):
+        z = arrays[column]
+        v, found = z[r, c], {}
+        for name, step, at, ends, before, after in (("gy", dy, r + top, (first_r, last_r), z[r - 1, c], z[r + 1, c]), ("gx", dx, c + left, (first_c, last_c), z[r, c - 1], z[r, c + 1])):
+            first, last = at == ends[0], at == ends[1]
+            found[name] = np.select([first & last, first, last], [np.zeros(len(v)), (after - v) / step, (v - before) / step], (after - before) / (2 * step))
+        told = {"r": (r + top).astype(np.int32), "c": (c + left).astype(np.int32)}
+        return told | {n: np.ma.masked_invalid(x) for n, x in ((column, v), *found.items())}
+
+    narrow = df.select("r", "c", F.col(column).cast("double").alias(column))
+    return tiled(narrow, [column], tile, (1, 1), solve, f"r int, c int, {column} double, gy double, gx double")
 
 
 def slope_deg() -> Column:
