@@ -37,3 +37,8 @@ def test_geolocation_by_very_many_lines(spark, many_lines):
 
 def test_along_track_by_very_many_lines(spark, many_lines):
     assert sorted(run(spark, "T4_along_track")) == [(r, -89 + r / 2) for r in range(H)]
+
+
+def test_forward_grid_by_very_many_lines(spark, many_lines):
+    got = run(spark, "T7_forward_grid")
+    assert sum(n for _, _, n, _ in got) == H * W and sum(n * mean for _, _, n, mean in got) == pytest.approx(63.0)
