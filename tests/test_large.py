@@ -42,3 +42,7 @@ def test_along_track_by_very_many_lines(spark, many_lines):
 def test_forward_grid_by_very_many_lines(spark, many_lines):
     got = run(spark, "T7_forward_grid")
     assert sum(n for _, _, n, _ in got) == H * W and sum(n * mean for _, _, n, mean in got) == pytest.approx(63.0)
+
+
+def test_georeferenced_by_very_many_lines(spark, many_lines):
+    assert sorted((tr, tc, mean) for tr, tc, _, mean in run(spark, "T7_forward_grid")) == sorted(run(spark, "T7_georeferenced"))
