@@ -33,10 +33,11 @@ def asof(asked: DataFrame, keys: DataFrame) -> DataFrame:
     before = carried(lambda p: next((r["last"] for r in reversed(ends) if r["part"] < p), None))
     after = carried(lambda p: next((r["first"] for r in ends if r["part"] > p), None))
     order = Window.partitionBy("part").orderBy("v", F.desc("own"), "k")  # a key comes before the values that equal it
-    behind = order.rowsBetween(1, Window.unboundedFollowing)
+    # what follows is what comes before the other way round: a frame that grows is read once, one that shrinks again for every row
+    back = Window.partitionBy("part").orderBy(F.desc("v"), "own", F.desc("k"))
     here = rows.withColumn("key", key).select(
         "v", "own",
         F.coalesce(F.last("key", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), before).alias("low"),
-        F.coalesce(F.first("key", True).over(behind), after).alias("high"),
+        F.coalesce(F.last("key", True).over(back.rowsBetween(Window.unboundedPreceding, -1)), after).alias("high"),
     )
     return here.filter(~F.col("own")).select("v", F.col("low.m").alias("m"), F.col("low.k").alias("k"), F.col("high.m").alias("m2"), F.col("high.k").alias("k2"))

@@ -34,6 +34,13 @@ def test_asof_equals_search(spark, parts):
     assert {r["v"]: (r["m"], r["k"], r["m2"], r["k2"]) for r in got} == want and len(got) == len(want)
 
 
+def test_asof_reads_no_frame_again_for_every_row(spark):
+    v, k = spark.createDataFrame([(1.0,)], "v double"), spark.createDataFrame([(1.0, 2), (3.0, 4)], "m double, k int")
+    out = asof(v, k)
+    assert [tuple(r) for r in out.collect()] == [(1.0, 1.0, 2, 3.0, 4)]
+    assert "unboundedfollowing" not in plan(out)
+
+
 def test_asof_of_empty_sides(spark):
     v, k = spark.createDataFrame([(1.0,)], "v double"), spark.createDataFrame([(1.0, 2)], "m double, k int")
     assert [tuple(r) for r in asof(v, k.limit(0)).collect()] == [(1.0, None, None, None, None)]
