@@ -184,6 +184,13 @@ def test_peaks(spark):
     assert chosen == [1, 4, 9]
 
 
+def test_ends_of_flat_runs_are_read_in_one_pass(spark):
+    profile = spark.createDataFrame([(i, float(x)) for i, x in enumerate([0, 1, 0, 2, 2, 0])], "r int, dens double")
+    tops = peaks.maxima(profile, 1.0)
+    assert {r["r"] for r in tops.collect()} == {1, 3}
+    assert "unboundedfollowing" not in tops._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("seed,distance,most", [(1, 1, 9), (2, 4, 9), (3, 15, 400), (4, 300, 5)])
 def test_peaks_equal_the_sequential_choice(spark, seed, distance, most):
     rng = np.random.default_rng(seed)
