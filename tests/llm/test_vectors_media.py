@@ -290,3 +290,38 @@ def test_thumbnail_table(spark):
     assert collections.Counter((r["page"], r["width"], r["height"], r["error"] is None) for r in got) == {(1, 40, 24, True): 2, (None, 40, 24, True): 1, (2, None, None, False): 1, (3, None, None, True): 1}
     assert {bytes(r["thumbnail"]) for r in got if r["thumbnail"]} == {bytes(v for line in shown for v in line)}
     assert thumbnails(df.limit(0), "page", "a.b").count() == 0
+
+
+def test_what_waits_for_blocks_is_bounded_over_many_cells():
+    """One batch that goes to 1,000 cells: 256 MB of vectors if all of them waited."""
+    import pyarrow as pa
+
+    from rasterloom.llm import hard_negatives
+
+    q = np.random.default_rng(5).integers(-99, 99, (1000, 64)).astype("<i4")
+    square = (q.astype(np.int64) ** 2).sum(1)
+    number = pa.array(range(1000), pa.int64())
+    batch = pa.RecordBatch.from_arrays([number, number, number, pa.array(square), pa.array([v.tobytes() for v in q], pa.binary())], ["u", "vec_id", "label", "square", "q"])
+    cells = hard_negatives.Cells(q, int(square.max()))
+    before, rows, most = pa.total_allocated_bytes(), 0, 0
+    for block in hard_negatives.dealt(iter([batch]), cells, np.full(1000, -np.inf), np.full(1000, np.inf), None):
+        rows += len(block.column("ids")[0])
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert rows == 1000 * 1000 and most < 3 * hard_negatives.HELD_BYTES
+
+
+def test_blocks_are_written_in_small_row_groups(spark):
+    """64 rows of 512 KB; by Parquet's own sizes they are one group."""
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    from rasterloom.llm import hard_negatives
+    from rasterloom.sources.shared import discard, written
+
+    rows = spark.createDataFrame([(k, np.random.default_rng(k).bytes(1 << 19)) for k in range(64)], "id long, x binary").coalesce(1)
+    table = written(rows, "groups", hard_negatives.GROUP_BYTES)
+    (file,) = pathlib.Path(table._written_at.removeprefix("file://")).glob("*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert table.count() == 64 and max(groups.row_group(k).num_rows for k in range(groups.num_row_groups)) <= 24
+    discard(table)
