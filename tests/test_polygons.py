@@ -86,3 +86,37 @@ def test_ten_thousand_polygons(spark, stacked):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan and len(plan) < 200_000
     check(spark, sides, h, w)
+
+
+def test_dense_lines_send_only_what_is_seen(spark):
+    """Polygons along two lines far apart, as the query has them at size: tiles between meet a small share of the sides, and the nearest."""
+    rng, h, w, sides = np.random.default_rng(3), 200, 64, []
+    for k in range(4_000):
+        x, y = rng.uniform(0, w), (3.3, 194.6)[k % 2]
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 4))
+        sides += ring(k, [(x + 1.2 * np.cos(t), y + 1.2 * np.sin(t)) for t in turn])
+    df = spark.createDataFrame(sides, SIDES).repartition(3)
+    blocks = grid(spark, h // 8, w // 8).select(F.col("c").cast("long").alias("bi"), F.col("r").cast("long").alias("bj"))
+    met = polygons.met_sides(blocks, df.select(*polygons.ENDS), 8.0)
+    between = met.filter("tj in (1, 2)").count()
+    assert 0 < between < 2 * len(sides) // 4  # of two tiles, each near both lines
+    y, x = (np.indices((h, w)) + 0.5).reshape(2, -1)[:, ::97]
+    x1, y1, x2, y2 = np.array(sides).T[1:]
+    t = np.clip(((x[:, None] - x1) * (x2 - x1) + (y[:, None] - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)
+    far = np.hypot(x[:, None] - x1 - t * (x2 - x1), y[:, None] - y1 - t * (y2 - y1)).min(1)
+    got = {(r["r"], r["c"]): r["distance"] for r in polygons.border_distance(grid(spark, h, w), df, F.col("c") + 0.5, F.col("r") + 0.5).collect()}
+    assert len(got) == h * w and all(abs(got[int(b), int(a)] - d) < 1e-9 for a, b, d in zip(x, y, far))
+
+
+def test_parts_of_a_tile_and_points_at_one_place(spark, monkeypatch):
+    monkeypatch.setattr(polygons, "PART", 7)
+    monkeypatch.setattr(polygons, "ROOM", 16)
+    rng = np.random.default_rng(5)
+    sides = [(k, *rng.uniform(0, 30, 2), *rng.uniform(0, 30, 2)) for k in range(60)] + [(60, 8.0, 0.0, 8.0, 16.0), (61, 0.0, 16.0, 24.0, 16.0)]
+    _, far = by_numpy(sides, 40, 33)
+    df = spark.createDataFrame(sides, SIDES)
+    for one in (False, True):
+        x, y = (F.lit(20.5), F.lit(20.5)) if one else (F.col("c") + 0.5, F.col("r") + 0.5)
+        got = polygons.border_distance(grid(spark, 40, 33), df, x, y).collect()
+        assert len(got) == 40 * 33
+        assert all(abs(r["distance"] - (far[20, 20] if one else far[r["r"], r["c"]])) < 1e-9 for r in got)
