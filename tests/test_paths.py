@@ -1,5 +1,6 @@
 """Least-cost paths against a plain search, and against recursive SQL."""
 
+import functools
 import heapq
 import math
 
@@ -99,3 +100,37 @@ def test_the_registered_path(spark):
     h = spark.read.parquet(f"{SF}/embeddings.parquet").count()
     assert (rows[0]["r"], rows[0]["c"], rows[-1]["r"], rows[-1]["c"]) == (0, 0, h - 1, 63) and len(rows) >= h
     assert all(max(abs(a["r"] - b["r"]), abs(a["c"] - b["c"])) == 1 and a["dist"] < b["dist"] for a, b in zip(rows, rows[1:]))
+
+
+def test_tiles_of_a_long_strip_are_joined(spark, monkeypatch):
+    """Forty tiles in a row took a round each; joined, their ends are one step apart."""
+    z = np.random.default_rng(6).uniform(1, 9, (160, 4))
+    z[70, 1:] = np.nan
+    z[75:78, 0] = np.nan
+    rounds, write = [], paths.written
+    monkeypatch.setattr(paths, "written", lambda df, what: rounds.append(what) or write(df, what))
+    check(spark, z, (0, 0), (159, 3), 4)
+    assert 0 < rounds.count("reached") < 6
+
+
+@pytest.mark.parametrize("most", [0, 44])
+def test_regions_are_joined_up_to_a_bound(spark, monkeypatch, most):
+    z = np.random.default_rng(8).uniform(1, 30, (40, 44)) ** 1.5
+    z[10:30, 12] = z[25, 3:20] = np.nan
+    monkeypatch.setattr(paths, "least_path", functools.partial(paths.least_path, most=most))
+    check(spark, z, (1, 2), (33, 41), 5)
+    check(spark, z, (26, 13), (24, 11), 5)
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 7), (6, 1), (5, 8), (13, 6)])
+def test_borders_of_an_array_equal_a_plain_search(shape):
+    z = np.random.default_rng(9).uniform(1, 30, (2, *shape)) ** 1.5
+    z[1, 0, shape[1] // 2] = np.inf
+    y, x = paths._border(*shape)
+    for costs, d in zip(z, paths._closure(z)):
+        costs = np.where(np.isinf(costs), np.nan, costs)
+        for i, j in np.ndindex(d.shape):
+            ends = (int(y[i]), int(x[i])), (int(y[j]), int(x[j]))
+            if not any(np.isnan(costs[e]) for e in ends):
+                want = least(costs, *ends)
+                assert d[i, j] == (math.inf if want is None else pytest.approx(want, abs=1e-9))
