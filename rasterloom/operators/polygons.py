@@ -204,7 +204,9 @@ def met_sides(blocks: DataFrame, sides: DataFrame, cell: float) -> DataFrame | N
     seen_from = F.when(tile("j") < F.col("aj"), 1).when(tile("j") > F.col("aj"), 2).when(tile("i") < F.col("ai"), 4).otherwise(8)
     others = asked.withColumn("from", seen_from).join(own.filter("ways > 0"), ["i", "j"]).filter(F.col("ways").bitwiseAND(F.col("from")) != 0)
     others = others.select(F.col("ai").alias("ti"), F.col("aj").alias("tj"), F.lit(0).alias("part"), *ENDS, "i", "j", F.lit(15).alias("ways"))
-    return own.union(others)
+    met = written(own.union(others), "met")
+    discard(own, filled)
+    return met
 
 
 def border_distance(points: DataFrame, sides: DataFrame, x: Column, y: Column, cell: float = 8.0) -> DataFrame:
@@ -220,7 +222,7 @@ def border_distance(points: DataFrame, sides: DataFrame, x: Column, y: Column, c
     met = met_sides(blocks.repartition(tasks, "bi", "bj"), sides, cell)
     if met is None:
         return points.withColumn("distance", F.lit(float("inf")))
-    met = written(met, "met")
+    discard(blocks)
     parts = met.groupBy("ti", "tj").agg(F.max("part").alias("last"))
     p = p.join(parts, ["ti", "tj"], "left").select("*", F.explode(F.sequence(F.lit(0), F.coalesce("last", F.lit(0)))).alias("part")).drop("last")
 

@@ -112,7 +112,7 @@ def test_parts_of_a_tile_and_points_at_one_place(spark, monkeypatch):
     monkeypatch.setattr(polygons, "PART", 7)
     monkeypatch.setattr(polygons, "ROOM", 16)
     rng = np.random.default_rng(5)
-    sides = [(k, *rng.uniform(0, 30, 2), *rng.uniform(0, 30, 2)) for k in range(60)] + [(60, 8.0, 0.0, 8.0, 16.0), (61, 0.0, 16.0, 24.0, 16.0)]
+    sides = [(k, *rng.uniform(0, 30, 4).tolist()) for k in range(60)] + [(60, 8.0, 0.0, 8.0, 16.0), (61, 0.0, 16.0, 24.0, 16.0)]
     _, far = by_numpy(sides, 40, 33)
     df = spark.createDataFrame(sides, SIDES)
     for one in (False, True):
